@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import fingerprint, license_scan, mixing, packing, quality_model, quality_rules, secrets, toxicity, warc
 from .near_dup import NearDuplicates
+from .oracle import ORACLE_SQL as ORACLE_SQL
 from .scratch import Scratch
 
 
@@ -14,12 +17,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return NearDuplicates(Scratch(spark, "near-dup"), width=2).groups(docs)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.evaluate(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "mix"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), Scratch(spark, "pack"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"), Scratch(spark, "licenses")).drop("spans")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), Scratch(spark, "warc"))
+    return warc.read_archives(manifest, keep_html=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.with_edits(table(spark, sf_dir, "documents"), Scratch(spark, "fingerprints"))
+    own, edited, following = F.col("print"), F.col("edited_print"), F.col("next_print")
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint.as_text(own).alias("fingerprint"),
+        fingerprint.as_text(edited).alias("edited_fingerprint"),
+        fingerprint.resemblance(own, edited).alias("near_edited"),
+        fingerprint.resemblance(own, following).alias("near_next"),
+    )
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"), Scratch(spark, "secrets"))
+    base = secrets.of_kind(F.col("spans"), "assign", "access", "hex")
+    count = lambda kind: F.size(secrets.of_kind(F.col("spans"), kind)).cast("long").alias(f"n_{kind}")
+    digest = F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), digest, secrets.listed(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_minhash_near_dup": op2_minhash_near_dup,
+    f.__name__: f
+    for f in (op1_toxicity, op2_minhash_near_dup, op3_quality_rules, op4_source_mix, op5_best_fit_packing, op6_license_scan, op7_quality_classifier, op8_warc, op9_fingerprints, op10_secret_scan)
 }
-ORACLE_SQL: dict[str, str] = {}
