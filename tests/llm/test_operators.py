@@ -381,3 +381,28 @@ def test_words_of_any_texts(texts):
     assert got == [(i, w) for i, t in enumerate(texts) for w in WORD.findall(t)]
     lines = text.lines()
     assert [(int(d), raw[a:b].decode()) for d, a, b in zip(lines.doc, lines.starts, lines.ends, strict=True)] == [(i, x) for i, t in enumerate(texts) for x in t.split("\n")]
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    before = rows = spark.read.parquet(f"{sf}/documents.parquet").cache()
+    held = Scratch(spark, "test-pipeline")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        rows = held.keep(stage(spark, rows, sf), name.split()[0])
+        seen[name] = rows
+        if name != "best-fit packing":
+            assert rows.schema.names == before.schema.names
+    good, single, clean, mixed, packed = seen.values()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    kept = {r.doc_id for r in good.select("doc_id").collect()}
+    assert np.mean([(i in kept) == (q == 1) for i, q in labels.items()]) > 0.95
+    texts = {r.doc_id: r.text for r in good.collect()}
+    label, _ = components(texts, 5)
+    assert sorted(r.doc_id for r in single.collect()) == sorted(set(label.values()))
+    assert clean.count() == single.count() and not any(secrets_of(r.text) for r in clean.collect())
+    copies = Counter(r.doc_id for r in mixed.collect())
+    assert set(copies) <= {r.doc_id for r in clean.select("doc_id").collect()} and max(copies.values()) <= 3
+    assert Counter(r.doc_id for r in packed.where("piece = 0").collect()) == copies
