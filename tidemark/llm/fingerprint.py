@@ -64,24 +64,20 @@ def as_text(x: Column) -> Column:
     return F.array_join(F.transform(x, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
 
 
-def neighbours(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """(key, before, before_chars): each id with the one before it; before the first comes the last.
+def stretches(rows: DataFrame, key: str, n: int) -> Column:
+    """Number of the stretch of the ordered ids that a row's id lies in: n or fewer, about equally full.
 
-    Ids are sorted by ranges, so each task finds the neighbours within its own
-    range; the first of a range is joined to the last of the range before, of
-    which there is one row for each partition.
+    The bounds are quantiles, n - 1 numbers whatever the input, and an id finds
+    its stretch by halving.
     """
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ids = docs.groupBy("key").agg(F.max(F.char_length("text")).alias("chars"))
-    ids = scratch.keep(ids, "ids").repartitionByRange(parts, "key").withColumn("part", F.spark_partition_id())
-    ids = scratch.keep(ids, "ranges")
-    lasts = ids.groupBy("part").agg(F.max(F.struct("key", "chars")).alias("last"))
-    every = Window.orderBy("part")
-    end = F.last("last").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    lasts = lasts.select("part", F.coalesce(F.lag("last").over(every), end).alias("outer"))
-    inner = F.lag(F.struct("key", "chars")).over(Window.partitionBy("part").orderBy("key"))
-    found = ids.withColumn("inner", inner).join(lasts, "part").withColumn("b", F.coalesce("inner", "outer"))
-    return found.select("key", F.col("b.key").alias("before"), F.col("b.chars").alias("before_chars"))
+    found = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n).alias("b")).first() if n > 1 else None
+    bounds = sorted(set(found["b"] or ())) if found else []
+    if not bounds:
+        return F.lit(0)
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    listed = F.array(*map(F.lit, bounds))
+    further = lambda at, step: F.when(F.coalesce(F.get(listed, at + step - 1) <= F.col(key), F.lit(False)), at + step).otherwise(at)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
 
 
 def with_edits(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -91,19 +87,30 @@ def with_edits(docs: DataFrame, scratch: Scratch) -> DataFrame:
     the edited form the last quarter of the code points (rounded down) is
     replaced by as many from the beginning of the next document by doc_id; after
     the last comes the first, so a lone document follows itself. A null id comes
-    before all others. Of rows that share an id, the one with the least text
-    is what the document before them is followed by.
+    before all others; rows that share an id follow each other by text.
 
-    Texts are shuffled once by id, for two joins: one cuts from each document
-    the passage that the one before needs, the other brings it there.
+    Texts are shuffled once, by stretches of ids of about equal numbers of rows,
+    four for each shuffle partition. Within a stretch the next row is a window's
+    lead; for its last row the beginning of the next stretch's first row is
+    brought there, one row for each stretch.
     """
+    parts = 4 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LEAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    beside = scratch.keep(neighbours(scratch, own), "neighbours")
-    scratch.drop("ids", "ranges")
-    sent = own.join(beside, "key").select(F.col("before").alias("key"), F.col("key").alias("from"), F.expr("left(text, cast(floor(before_chars / 4) as int))").alias("passage"), "text")
-    sent = with_fingerprint(sent, "text", "next_print").drop("text")
-    sent = sent.groupBy("key").agg(F.min(F.struct("passage", "next_print")).alias("next"))
-    both = own.join(sent, "key").withColumn("n_chars", F.char_length("text").cast("long"))
+    own = own.withColumn("stretch", stretches(own, "key", parts))
+    ends = own.groupBy("stretch").agg(F.min("key").alias("first"), F.max(F.struct("key", F.char_length("text").alias("chars"))).alias("last"))
+    ends = scratch.keep(ends, "ends")
+    # One row for each stretch from here on.
+    every = Window.orderBy("stretch")
+    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = ends.select("stretch", F.coalesce(F.lead("first").over(every), F.first("first").over(whole)).alias("key"), F.floor(F.col("last.chars") / 4).cast("int").alias("need"))
+    begins = own.select("key", "text").join(F.broadcast(after), "key")
+    begins = with_fingerprint(begins.groupBy("stretch", "need").agg(F.min("text").alias("text")), "text", "outer_print")
+    begins = scratch.keep(begins.select("stretch", F.expr("left(text, need)").alias("outer_text"), "outer_print"), "begins")
+    dealt = with_fingerprint(own.repartition("stretch"), "text", "print")
+    order = Window.partitionBy("stretch").orderBy("key", "text")
+    dealt = dealt.withColumn("inner", F.lead(F.struct(F.col("text").alias("passage"), F.col("print").alias("next_print"))).over(order))
+    both = dealt.join(begins, "stretch").withColumn("next", F.coalesce("inner", F.struct(F.col("outer_text").alias("passage"), F.col("outer_print").alias("next_print"))))
+    both = both.withColumn("n_chars", F.char_length("text").cast("long"))
     both = both.withColumn("edited", F.expr("concat(left(text, cast(n_chars - floor(n_chars / 4) as int)), left(next.passage, cast(floor(n_chars / 4) as int)))"))
-    both = both.select("doc_id", "text", "n_chars", "edited", F.col("next.next_print").alias("next_print"))
-    return with_fingerprint(with_fingerprint(both, "text", "print"), "edited", "edited_print")
+    both = both.select("doc_id", "text", "n_chars", "edited", "print", F.col("next.next_print").alias("next_print"))
+    return with_fingerprint(both, "edited", "edited_print")
