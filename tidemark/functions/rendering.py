@@ -37,7 +37,7 @@ def file_name(timestamp: Column, title: Column) -> Column:
 
 def tags_of(text: Column) -> Column:
     """Comma-separated tags, trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def hours(silent: Column) -> Column:

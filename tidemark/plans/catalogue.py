@@ -48,9 +48,9 @@ def stats_by_type(spark, sf_dir):
     return store.stats(adapters.memories(spark, sf_dir))
 
 
-@query(f"with {MEMORIES} select cast(timestamp as date) as day, count(*) as n_memories from memories_v where timestamp >= date '2024-01-31' - 14 group by 1")
+@query(f"with {MEMORIES} select cast(timestamp as date) as day, count(*) as n_memories from memories_v where timestamp >= date '2024-01-31' - 28 group by 1")
 def daily_counts(spark, sf_dir):
-    return store.daily_counts(adapters.memories(spark, sf_dir), NOW, 14)
+    return store.daily_counts(adapters.memories(spark, sf_dir), NOW, 28)
 
 
 @query(f"with {MEMORIES} select max(timestamp) as last_activity, date_sub('minute', max(timestamp), {_NOW}) / 60 as silent_hours, date_sub('minute', max(timestamp), {_NOW}) / 60 >= 2 as alert from memories_v")
