@@ -72,7 +72,7 @@ def mix(docs: DataFrame, scratch: Scratch) -> DataFrame:
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = targets(scratch, sources)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    offset = F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % UNIT
+    offset = F.conv(F.left(F.md5(F.coalesce("source", F.lit("")).cast("binary")), F.lit(6)), 16, 10).cast("long")  # 24 bits
     sources = sources.select(F.col("source").alias("name"), "position", "source_size", "target", F.round(rate * UNIT).cast("long").alias("expected"), offset.alias("offset"))
     sources = scratch.keep(sources, "rates")
     rates = F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
@@ -80,7 +80,7 @@ def mix(docs: DataFrame, scratch: Scratch) -> DataFrame:
     ranked = prefix_sums(scratch, known, ["position"], [F.col("size"), F.col("doc_id")], F.lit(1).cast("long"), "dealt", "rank")
     scratch.drop("sized", "sources")
     before = F.col("rank") * F.col("expected") + F.col("offset")
-    copies = F.floor((before + F.col("expected")) / UNIT) - F.floor(before / UNIT)
+    copies = F.shiftright(before + F.col("expected"), 24) - F.shiftright(before, 24)
     return ranked.withColumn("copies", copies.cast("long")).select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -1,3 +1,45 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express.
 
-ORACLE_SQL: dict[str, str] = {}
+The trained models, the packing and the hash functions of sketches have no SQL;
+their queries are tested against plain versions instead.
+"""
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_NEAR_DUP = rf"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+    sets as (select doc_id, case when len(w) >= 2 then list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) when len(w) = 1 then w else [] end as s from w),
+    each as (select doc_id, unnest(s) as g from sets), n as (select doc_id, len(s) as n from sets),
+    pairs as (select a.doc_id as x, b.doc_id as y, count(*) as shared from each a join each b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+    links as (select x, y from pairs join n p on p.doc_id = x join n q on q.doc_id = y where 100 * shared >= 80 * (p.n + q.n - shared)),
+    reach as (select doc_id as x, doc_id as y from sets union select reach.x, links.y from reach join links on links.x = reach.y)
+    select n.doc_id, n.n as n_shingles, min(reach.y) as component_id, n.doc_id = min(reach.y) as kept from n join reach on reach.x = n.doc_id group by 1, 2"""
+
+_RULES = rf"""with d as (select doc_id, coalesce(text, '') as text, {WORDS} as w from documents),
+    lines as (select doc_id, unnest(string_split(text, chr(10))) as line from d),
+    l as (select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
+    starts as (select doc_id, w, unnest(range(1, len(w) - 6)) as i from d), grams as (select doc_id, i, w[i:i + 7] as g from starts),
+    again as (select doc_id, i, count(*) over (partition by doc_id, g) as n from grams),
+    r as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest(range(i, i + 8)) as p from again where n > 1) group by 1),
+    m as (select d.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, (length(text) - length(translate(text, '#*$%&|<>', '')))::bigint as n_symbols,
+        coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_lines, 0) as n_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words from d left join l using (doc_id) left join r using (doc_id)),
+    f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, (case when n_words < 20 then 1 else 0 end + case when 100 * n_repeat_words > 30 * n_words then 2 else 0 end + case when 10 * n_symbols > word_chars then 4 else 0 end
+        + case when 100 * n_dup_lines > 30 * n_lines then 8 else 0 end + case when word_chars > 20 * n_words then 16 else 0 end + case when word_chars < 2 * n_words then 32 else 0 end)::bigint as failed_bits from m)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_bits = 0 as kept, failed_bits from f"""
+
+_MIX = rf"""with recursive d as (select doc_id, source, len({WORDS})::bigint as size from documents),
+    s as (select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight from d group by 1),
+    rounds as (select 0 as step, 0.0::double as share, -1::bigint as capped union all
+        select step + 1, n.more, n.full from rounds, lateral (select count(*) filter (where 3 * source_size <= rounds.share * weight) as full,
+            (sum(source_size) - coalesce(sum(3 * source_size) filter (where 3 * source_size <= rounds.share * weight), 0))::double / sum(weight) filter (where not (3 * source_size <= rounds.share * weight)) as more from s) n
+        where n.full <> rounds.capped and n.more is not null),
+    last as (select share from rounds order by step desc limit 1),
+    t as (select source, source_size, least(3.0 * source_size, share * weight) as target from s, last),
+    r as (select doc_id, size, source_size, target, row_number() over (partition by d.source order by size, doc_id) - 1 as rank,
+        round(case when source_size > 0 then target / source_size else 0 end * 16777216)::bigint as e, ('0x' || left(md5(coalesce(d.source, '')), 6))::bigint as o from d join t on d.source is not distinct from t.source)
+    select doc_id, size, source_size, round(target, 6) as target, (((rank * e + o + e) >> 24) - ((rank * e + o) >> 24)) * size as taken from r"""
+
+_WARC = """with p as (select page_id, coalesce(html, '') as html from pages), h as (select page_id, strlen(html)::bigint as payload_bytes, sha256(html) as payload_digest, min(page_id) over (partition by html) as first from p)
+    select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and first < page_id then 'revisit' else 'response' end as record_type,
+        case when payload_bytes >= 100 and first < page_id then first end as refers_to from h"""
+
+ORACLE_SQL: dict[str, str] = {"op2_minhash_near_dup": _NEAR_DUP, "op3_quality_rules": _RULES, "op4_source_mix": _MIX, "op8_warc": _WARC}
