@@ -5,8 +5,9 @@ One weight vector is shared by all thresholds: P(grade >= k) is the logistic
 function of (features . weights - threshold k), with rising thresholds. The
 result is the expected severity, the sum of those probabilities.
 
-Labels say only toxic or not. Toxic rows get their grade from how much of the
-text consists of words that toxic rows have far more often than clean ones.
+Labels say only toxic or not. Toxic rows get their grade from how many words
+they hold that toxic rows have far more often than clean ones; the features of
+those words grow with the same counts, as shared weights need.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import FIT_ROWS, labelled_sample
-from .textkit import LETTER_OR_DIGIT, LOWER, Text, signed, slices
+from .textkit import LETTER_OR_DIGIT, LOWER, Text, mix, signed, slices
 
 GRADES = 4
 #: Words are features where their standard score between toxic and clean rows reaches this; so many at most.
 LEAST_SCORE, FEATURES = 4.0, 512
+#: A word must stand in this share of the toxic rows, and in so many of them, so that copies of a few texts teach no words.
+LEAST_SHARE, LEAST_ROWS = 0.05, 4
 #: Probability from which a text counts as toxic.
-TOXIC = 0.5
+TOXIC = 0.3
 
 
 def word_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,7 +67,7 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, ridge: float = 1e-3, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, ridge: float = 1e-5, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds that maximize the likelihood of the grades, by Adam."""
     n, width = x.shape
     counts = np.array([(grade >= k).mean() for k in range(1, grades)]).clip(1 / (2 * n), 1 - 1 / (2 * n))
@@ -98,14 +101,29 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             doc, word, count, _ = word_counts(part.column("text"))
             ends = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
-            columns = [part.column("label"), pa.ListArray.from_arrays(pa.array(ends), pa.array(word)), pa.ListArray.from_arrays(pa.array(ends), pa.array(count.astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays(columns, ["label", "words", "counts"])
+            columns = [part.column("doc_id"), part.column("label"), pa.ListArray.from_arrays(pa.array(ends), pa.array(word)), pa.ListArray.from_arrays(pa.array(ends), pa.array(count.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "words", "counts"])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ordinal:
     """Fit on up to ``rows`` labelled rows; without toxic rows no text is toxic."""
     sample = labelled_sample(docs, labels, "toxic", rows)
-    found = sample.mapInArrow(_sparse, "label int, words array<long>, counts array<int>").toArrow()
+    return fit(sample.mapInArrow(_sparse, "doc_id long, label int, words array<long>, counts array<int>").toArrow())
+
+
+def _unlike(words: pa.ListArray) -> pa.Array:
+    """Rows to learn from: of those whose three least word hashes agree, as copies' mostly do, the first."""
+    flat, ends = mix(words.flatten().to_numpy().view(np.uint64)), np.append(0, np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False)))
+    seen: dict[bytes, int] = {}
+    for row in range(len(words)):
+        seen.setdefault(np.sort(flat[ends[row] : ends[row + 1]])[:3].tobytes(), row)
+    return pa.array(sorted(seen.values()), pa.int64())
+
+
+def fit(found: pa.Table) -> Ordinal:
+    """Choose the words, grade the toxic rows, and fit: from (doc_id, label, words, counts) of each row."""
+    found = found.sort_by("doc_id")
+    found = found.take(_unlike(found.column("words").combine_chunks()))
     toxic = found.column("label").to_numpy() == 1
     words, counts = (found.column(c).combine_chunks() for c in ("words", "counts"))
     size = np.diff(words.offsets.to_numpy()) if len(toxic) else np.zeros(0, np.int64)
@@ -120,16 +138,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ordinal:
     spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / toxic.sum() + 1 / (~toxic).sum()))
     score = (bad / toxic.sum() - good / (~toxic).sum()) / spread
     best = np.argsort(-score, kind="stable")[:FEATURES]
-    chosen = np.sort(best[score[best] >= LEAST_SCORE])
+    spread_enough = bad[best] >= max(LEAST_ROWS, LEAST_SHARE * toxic.sum())
+    chosen = np.sort(best[(score[best] >= LEAST_SCORE) & spread_enough])
     column = np.full(len(distinct), -1)
     column[chosen] = np.arange(len(chosen))
     used = column[which] >= 0
     x = np.zeros((len(toxic), len(chosen)))
     x[row[used], column[which[used]]] = np.log1p(count[used])
     hits = np.bincount(row[used], weights=count[used], minlength=len(toxic))
-    density = hits / np.maximum(np.bincount(row, weights=count, minlength=len(toxic)), 1)
-    cuts = np.quantile(density[toxic], [i / (GRADES - 1) for i in range(1, GRADES - 1)])
-    grade = np.where(toxic, 1 + np.searchsorted(cuts, density, "right"), 0)
+    told = toxic & (hits > 0)
+    cuts = np.quantile(hits[told], [i / (GRADES - 1) for i in range(1, GRADES - 1)]) if told.any() else np.zeros(GRADES - 2)
+    grade = np.where(toxic, 1 + np.searchsorted(cuts, hits), 0)
     weights, thresholds = fit_ordinal(x, grade)
     return Ordinal(distinct[chosen], weights, thresholds)
 
