@@ -1,43 +1,5 @@
-"""Intermediate tables that outlive a lost executor.
+"""Tables in the shared folder, as all operators of the engine use them."""
 
-Lineage is cut by writing Parquet below the folder that the session names in
-``spark.checkpoint.dir``. A session without that setting gets a folder of its
-own, which is allowed only where driver and tasks share one machine.
-"""
+from ..shared.scratch import Scratch, shared_root
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables, as the session names it."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file://{tempfile.gettempdir()}/tidemark-scratch"
-
-
-class Scratch:
-    """A folder of intermediate tables for one run of an operator."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return a DataFrame that reads it back."""
-        df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that no returned DataFrame reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+__all__ = ["Scratch", "shared_root"]
