@@ -96,7 +96,8 @@ def with_edits(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """
     parts = 4 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LEAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    own = own.withColumn("stretch", stretches(own, "key", parts))
+    # A generated column, as the optimizer else carries the expression over to the other side of the join below.
+    own = own.withColumn("stretch", F.explode(F.array(stretches(own, "key", parts))))
     ends = own.groupBy("stretch").agg(F.min("key").alias("first"), F.max(F.struct("key", F.char_length("text").alias("chars"))).alias("last"))
     ends = scratch.keep(ends, "ends")
     # One row for each stretch from here on.
