@@ -291,3 +291,31 @@ def test_sql_gives_the_same_rows(spark, sf, name):
     a = sorted((tuple(clean(r[c]) for c in sorted(got.columns)) for r in got.collect()), key=repr)
     b = sorted((tuple(clean(r[i]) for i in order) for r in want.fetchall()), key=repr)
     assert a == b and (a or name == "corrections")
+
+
+def test_files_config_and_listings(spark, sf, tmp_path):
+    from tidemark import config
+    from tidemark.operators import sinks
+    from tidemark.sources import adapters, listing
+
+    rows = adapters.memories(spark, sf)
+    files = sinks.vault_files(rows)
+    first = listing.listing(spark, f"file://{sf}")
+    n = sinks.write_files(files, f"file://{tmp_path}/notes")
+    assert n == files.count() == len(os.listdir(tmp_path / "notes")) > 0
+    after = listing.listing(spark, str(tmp_path / "notes"))
+    assert listing.stored_bytes(spark, str(tmp_path / "notes")) == sum(os.path.getsize(tmp_path / "notes" / f) for f in os.listdir(tmp_path / "notes"))
+    found = listing.changes(first, after).groupBy("change").count().collect()
+    assert {r["change"]: r["count"] for r in found} == {"create": n, "remove": first.count()}
+    assert listing.changes(after, after).count() == 0
+    assert listing.doctor(spark, sf, ("documents.parquet", "nothing.parquet")) == {"documents.parquet": True, "nothing.parquet": False}
+    (tmp_path / "c.toml").write_text("[retention]\ndays = 7\n[watch]\nignore = ['x/']\n")
+    assert config.load(str(tmp_path / "c.toml")).retention == config.Retention(days=7) and config.load().intake.dedup_threshold == 0.92
+    (tmp_path / "c.toml").write_text("[retention]\nyears = 7\n")
+    with pytest.raises(ValueError):
+        config.load(str(tmp_path / "c.toml"))
+    (tmp_path / "i.json").write_text(json.dumps([{"id": "a", "title": "t", "tags": '["x"]', "timestamp": "2024-01-01"}, {"id": "a", "title": "u", "tags": "bad", "timestamp": "2024-01-02"}]))
+    from tidemark.operators import store
+
+    new = store.import_new(store.with_defaults(listing.read_import(spark, str(tmp_path / "i.json"))), spark.createDataFrame([("b",)], "id string")).collect()
+    assert [(r.id, r.title, r.tags, r.memory_type, r.source) for r in new] == [("a", "t", ["x"], "note", "manual")]

@@ -42,3 +42,19 @@ def tags_of(text: Column) -> Column:
 
 def hours(silent: Column) -> Column:
     return F.when(silent >= 48, F.concat(F.floor(silent / 24).cast("string"), F.lit("d"))).when(silent >= 1, F.concat(F.floor(silent).cast("string"), F.lit("h"))).otherwise(F.concat(F.floor(silent * 60).cast("string"), F.lit("m")))
+
+
+def short_title(title: Column) -> Column:
+    """Up to 60 characters; longer ones are cut to 57 and marked."""
+    return F.when(F.char_length(title) > 60, F.concat(F.left(title, F.lit(57)), F.lit("..."))).otherwise(title)
+
+
+def importance_bar(importance: Column) -> tuple[Column, Column]:
+    """Filled fifths, and the colour."""
+    value = importance.cast("double")
+    filled = F.size(F.filter(F.array(*(F.lit(i / 5) for i in range(5))), lambda x: x < value))
+    return filled, F.when(value >= 0.8, "orange").when(value >= 0.5, "green").otherwise("gray")
+
+
+def commit_content(message: Column, insertions: Column, deletions: Column, files: Column) -> Column:
+    return F.format_string("Git commit: %s (+%d -%d in %d files)", message, insertions, deletions, files)

@@ -23,6 +23,22 @@ def sections(memories: DataFrame, now: Column) -> DataFrame:
     return kept.select("section", "place", "id", cut(F.col("title"), 120).alias("line"), age(F.col("timestamp"), now).alias("age"))
 
 
+def graph_summary(all_entities: DataFrame, all_edges: DataFrame, entities: int = 10, near: int = 5) -> DataFrame:
+    """(name, entity_type, mention_count, neighbours) of the entities most mentioned, at least twice; at most ``near`` names each.
+
+    The few entities are joined to the edges from either side, so the edges are
+    read once and only those of the few go on.
+    """
+    top = all_entities.where("mention_count >= 2").orderBy(F.desc("mention_count"), "name").limit(entities)
+    ends = F.explode(F.array(F.struct(F.col("source").alias("name"), F.col("target").alias("other")), F.struct(F.col("target").alias("name"), F.col("source").alias("other"))))
+    pairs = all_edges.select("source", "target").distinct().select(ends.alias("e")).select("e.*").where("name <> other").distinct()
+    counts = all_entities.select(F.col("name").alias("other"), F.col("mention_count").alias("n"))
+    found = pairs.join(F.broadcast(top.select("name")), "name").join(counts, "other")
+    placed = found.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "other"))).where(F.col("place") <= near)
+    names = placed.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("place", "other"))).alias("o")).select("name", F.array_join("o.other", ",").alias("neighbours"))
+    return top.join(names, "name", "left").select("name", "entity_type", "mention_count", F.coalesce("neighbours", F.lit("")).alias("neighbours"))
+
+
 def write(lines: DataFrame, path: str) -> None:
     """The report as one text file; at most the rows of the sections."""
     text = lines.orderBy("section", "place").select(F.concat_ws(" ", F.lit("-"), "line", F.concat(F.lit("("), "age", F.lit(")"))).alias("value"))

@@ -34,14 +34,23 @@ def stats(memories: DataFrame) -> DataFrame:
 
 
 def daily_counts(memories: DataFrame, now: datetime, days: int) -> DataFrame:
-    """Rows by date since the day ``days`` before now, that whole day included; days without rows are left out.
-
-    ``bar`` has up to 20 marks in proportion to the largest count.
-    """
+    """Rows by date since the day ``days`` before now, that whole day included; days without rows are left out."""
     first = F.date_sub(F.lit(now.date()), days)
     return memories.where(F.col("timestamp") >= first.cast("timestamp_ntz")).groupBy(F.to_date("timestamp").alias("day")).agg(F.count(F.lit(1)).alias("n_memories"))
 
 
+def daily_bars(counts: DataFrame, width: int = 20) -> DataFrame:
+    """Daily counts with a bar in proportion to the largest; there is one row for each day."""
+    most = counts.agg(F.max("n_memories").alias("_most"))
+    bar = F.repeat(F.lit("#"), F.floor(F.col("n_memories") / F.col("_most") * width).cast("int"))
+    return counts.join(F.broadcast(most)).withColumn("bar", bar).drop("_most")
+
+
+def recent_of_type(memories: DataFrame, memory_type: str, n: int = 20) -> DataFrame:
+    """Those of a type among the newest n: the limit comes first."""
+    return recent(memories, n).where(F.col("memory_type") == memory_type)
+
+
 def last_activity(memories: DataFrame, now: datetime) -> DataFrame:
     """One row: the newest timestamp, whole minutes since then as hours, and whether that is silence (2 hours)."""
     last = memories.agg(F.max("timestamp").alias("last_activity"))

@@ -53,6 +53,30 @@ def daily_counts(spark, sf_dir):
     return store.daily_counts(adapters.memories(spark, sf_dir), NOW, 28)
 
 
+@query(f"""with {MEMORIES}, d as (select cast(timestamp as date) as day, count(*) as n_memories from memories_v where timestamp >= date '2024-01-31' - 28 group by 1)
+    select day, n_memories, repeat('#', floor(n_memories / (select max(n_memories) from d) * 20)::int) as bar from d""")
+def daily_bars(spark, sf_dir):
+    return store.daily_bars(store.daily_counts(adapters.memories(spark, sf_dir), NOW, 28))
+
+
+@query(f"with {MEMORIES}, r as (select * from memories_v order by timestamp desc, id desc limit 20) select id, memory_type, title from r where memory_type = 'note'")
+def recent_notes(spark, sf_dir):
+    return store.recent_of_type(adapters.memories(spark, sf_dir), "note").select("id", "memory_type", "title")
+
+
+@query(f"""with {MEMORIES}, v as (select id, title, importance::double as i from memories_v) select id, case when length(title) > 60 then left(title, 57) || '...' else title end as title,
+    len(list_filter([0, 0.2::double, 0.4::double, 0.6::double, 0.8::double], lambda x: x < i))::int as filled, case when i >= 0.8 then 'orange' when i >= 0.5 then 'green' else 'gray' end as colour from v""")
+def importance_bars(spark, sf_dir):
+    filled, colour = rendering.importance_bar(F.col("importance"))
+    return adapters.memories(spark, sf_dir).select("id", rendering.short_title(F.col("title")).alias("title"), filled.alias("filled"), colour.alias("colour"))
+
+
+@query(f"with {COMMITS} select event_id, 'Git commit: ' || message || ' (+' || (event_id % 90) || ' -' || (event_id % 70) || ' in ' || files_changed || ' files)' as content from commits_v")
+def commit_contents(spark, sf_dir):
+    content = rendering.commit_content(F.col("message"), F.col("event_id") % 90, F.col("event_id") % 70, F.col("files_changed"))
+    return adapters.commits(spark, sf_dir).select("event_id", content.alias("content"))
+
+
 @query(f"with {MEMORIES} select max(timestamp) as last_activity, date_sub('minute', max(timestamp), {_NOW}) / 60 as silent_hours, date_sub('minute', max(timestamp), {_NOW}) / 60 >= 2 as alert from memories_v")
 def last_activity(spark, sf_dir):
     return store.last_activity(adapters.memories(spark, sf_dir), NOW)
@@ -304,6 +328,15 @@ def report_sections(spark, sf_dir):
     return report.sections(adapters.memories(spark, sf_dir), _now())
 
 
+@query(f"""with {_GRAPH}, top as (select * from entity where mention_count >= 2 order by mention_count desc, name limit 10),
+    pair as (select source as name, target as other from edge where source <> target union select target, source from edge where source <> target),
+    placed as (select p.name, p.other, row_number() over (partition by p.name order by e.mention_count desc, p.other) as place from pair p join entity e on e.name = p.other where p.name in (select name from top))
+    select name, entity_type, mention_count, coalesce((select string_agg(other, ',' order by place) from placed where placed.name = top.name and place <= 5), '') as neighbours from top""")
+def graph_report(spark, sf_dir):
+    found = _graph(spark, sf_dir)
+    return report.graph_summary(graph.entities(found, "event_id", "ts"), found.select(F.explode("edges").alias("e")).select("e.*"))
+
+
 @query()
 def hash_embeddings(spark, sf_dir):
     return with_embedding(adapters.memories(spark, sf_dir).select("id", F.concat_ws(" ", "title", "content").alias("text")), "text").drop("text")
