@@ -426,3 +426,22 @@ def test_sql_gives_the_same_rows(spark, sf, name):
     order = [want.columns.index(c) for c in sorted(want.columns)]
     a = Counter(tuple(clean(r[c]) for c in sorted(got.columns)) for r in got.collect())
     assert a == Counter(tuple(clean(r[i]) for i in order) for r in want.fetchall())
+
+
+def test_whole_rows(spark, docs, none):
+    """What the pipeline's stages return keeps every column, clashing names included."""
+    single = NearDuplicates(scratch(spark)).representatives(docs)
+    want, _ = components({i: t for i, t, _ in ROWS if i is not None}, 5)
+    assert single.schema.names == docs.schema.names and sorted(r.doc_id for r in single.collect()) == sorted(set(want.values()))
+    again = mixing.resample(docs, scratch(spark))
+    copies = defaultdict(int)
+    for r in mixing.mix(docs, scratch(spark)).collect():
+        copies[r.doc_id] = max(copies[r.doc_id], r.copies)
+    assert again.schema.names == docs.schema.names
+    assert Counter(r.doc_id for r in again.collect()) == Counter({i: sum(copies[i] for j, _, _ in ROWS if j == i) for i in copies if copies[i]})
+    model = quality_model.train(docs, spark.createDataFrame([(1, 1, 0), (5, 0, 0), (6, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int"))
+    good = quality_model.keep_good(docs, model)
+    kept = Counter(r.doc_id for r in quality_model.score(docs, model).collect() if r.predicted)
+    assert good.schema.names == docs.schema.names and Counter(r.doc_id for r in good.collect()) == kept
+    for empty in (NearDuplicates(scratch(spark)).representatives(none), mixing.resample(none, scratch(spark)), secrets.redact(none, scratch(spark)), quality_model.keep_good(none, model)):
+        assert empty.count() == 0 and empty.schema.names == none.schema.names
