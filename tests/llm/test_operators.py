@@ -1,6 +1,7 @@
 """Each operator against a plain-Python version, on awkward rows and on the smallest tables."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -111,6 +112,16 @@ def test_near_dup_large_groups(spark, spread):
     assert {r.doc_id: r.component_id for r in got} == components(texts, 2)[0]
 
 
+def test_near_dup_nested(spark):
+    """Sets of 300, 297 and 239 shingles, each within the one before: the outer two are linked, and the inner two."""
+    texts = {}
+    for number, order in enumerate(list(itertools.permutations(range(3))) * 8):
+        words = [f"n{number}w{i}" for i in range(301)]
+        texts |= {3 * number + i: " ".join(words[:size]) for i, size in zip(order, (301, 298, 240), strict=True)}
+    got = NearDuplicates(scratch(spark), width=2).groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 3 for i in texts}
+
+
 def rules_of(text):
     text = text or ""
     words = WORD.findall(text)
