@@ -21,8 +21,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8), that of the smallest id."""
-    return NearDuplicates(Scratch(spark, "stage-near-dup")).representatives(docs)
+    """One document of each group of near-duplicates (five words, similarity 0.8), that of the smallest id; rows without an id take part."""
+    return NearDuplicates(Scratch(spark, "stage-near-dup")).representatives(docs, unnamed=True)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

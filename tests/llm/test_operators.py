@@ -122,6 +122,24 @@ def test_near_dup_nested(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 3 for i in texts}
 
 
+def test_near_dup_rows(spark):
+    """The stage keeps texts without an id, and each text of a repeated id, unless another row of its group comes first."""
+    import corpus_pipeline
+
+    text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(None, text("a"), "1"), (None, text("b"), "2"), (None, text("b", 58), "3"), (7, text("c"), "4"), (7, text("d"), "5"), (7, text("d"), "5"), (3, text("c", 58), "6"), (None, text("c", 59), "7"), (9, text("e"), "8"), (None, text("e"), "9")]
+    rows += [(7, text(f"f{i}"), "f") for i in range(20)] + [(None, None, "n"), (None, "", "n"), (5, "", "n"), (5, "", "n"), (5, None, "n")]
+    source = spark.createDataFrame(rows, SCHEMA)
+    got = Counter(map(tuple, corpus_pipeline.one_of_each_group(spark, source.repartition(3), "").collect()))
+    either = [x for x in rows if x[2] in "23" and got[x]]
+    want = Counter({x: 1 for x in rows if x[2] in "1568fn"} | {either[0]: 1})
+    assert len(either) == 1 and got == want
+    again = corpus_pipeline.one_of_each_group(spark, source.orderBy(F.desc("text")), "").collect()
+    assert Counter(map(tuple, again)) == want
+    found = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in NearDuplicates(scratch(spark)).groups(source.where("source in ('4', '5', '6')")).collect()}
+    assert found == {(7, 56, 3, False), (7, 56, 7, True), (3, 54, 3, True)}
+
+
 def rules_of(text):
     text = text or ""
     words = WORD.findall(text)
