@@ -236,6 +236,18 @@ def test_tokens_of_any_text(text):
     assert packing_tokenizer()(pa.array([text, "x", text]))[2].tolist() == ids_of([text])[0]
 
 
+def test_tokens_of_added_tokens():
+    """The contract's call finds the vocabulary's added tokens inside texts."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y　<|endoftext|> ", "<|endof", "text|> c", "no <|endoftext |>", "é  <|<|endoftext|>|>"]
+    want = [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [ids.tolist() for ids in packing_tokenizer()(pa.array(texts))] == want
+
+
 def packing_tokenizer(found=[]):  # noqa: B006
     if not found:
         found.append(packing.Tokenizer())

@@ -9,6 +9,7 @@ finds its place from its rank among the pieces of its length.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -35,16 +36,20 @@ class Tokenizer:
 
     A chunk is a run of other characters with the space before it, or white
     space between such runs; the vocabulary's pattern never joins two chunks.
-    Texts with white space outside ASCII are tokenized whole.
+    Texts with white space outside ASCII or with an added token of the
+    vocabulary, which has its own id wherever it stands, are tokenized whole.
     """
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
         import tiktoken
 
+        with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as vocabulary:
+            self.added = {token["content"]: token["id"] for token in json.load(vocabulary)["added_tokens"]}
+
         with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.model = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.model = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.added)
         self._forget()
 
     def _forget(self) -> None:
@@ -81,9 +86,9 @@ class Tokenizer:
         ids = self.flat[np.repeat(self.starts[places] - upto[:-1], length) + np.arange(upto[-1])]
         cuts = upto[np.searchsorted(starts, text.offsets)]
         out = [ids[cuts[i] : cuts[i + 1]] for i in range(text.n)]
-        for i in wide_spaced(text):
+        for i in {*wide_spaced(text), *holding(text, [t.encode() for t in self.added])}:
             whole = text.raw[text.offsets[i] : text.offsets[i + 1]].tobytes().decode()
-            out[i] = np.array(self.model.encode_ordinary(whole), np.uint32)
+            out[i] = np.array(self.model.encode(whole, allowed_special="all"), np.uint32)
         return out
 
 
@@ -95,6 +100,21 @@ def wide_spaced(text: Text) -> list[int]:
     return np.unique(text.doc_of(np.array(found, np.int64))).tolist() if found else []
 
 
+def holding(text: Text, tokens: list[bytes]) -> list[int]:
+    """Texts that hold one of ``tokens``."""
+    raw, found = text.raw.tobytes(), set()
+    for token in tokens:
+        at = raw.find(token)
+        while at >= 0:
+            i = int(text.doc_of(np.array([at], np.int64))[0])
+            if at + len(token) <= text.offsets[i + 1]:
+                found.add(i)
+                at = raw.find(token, int(text.offsets[i + 1]))
+            else:
+                at = raw.find(token, at + 1)
+    return sorted(found)
+
+
 def chunks(text: Text) -> tuple[np.ndarray, np.ndarray]:
     """Byte ranges that cover the texts and that tokenize alike alone and together."""
     words = text.runs(NOT_SPACE)
