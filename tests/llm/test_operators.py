@@ -140,6 +140,23 @@ def test_near_dup_rows(spark):
     assert found == {(7, 56, 3, False), (7, 56, 7, True), (3, 54, 3, True)}
 
 
+def test_toxicity_of_a_wide_vocabulary():
+    """Toxic rows whose telling words each stand in one hundredth of the toxic rows."""
+    rng = np.random.default_rng(2)
+    texts, labels = [], []
+    for i in range(3600):
+        words = [f"c{w}" for w in rng.integers(0, 3000, 40)]
+        if toxic := i < 600:
+            words[3:7] = [f"t{j}x{i * j % 100}" for j in (1, 3, 7, 9)]
+        texts.append(" ".join(words))
+        labels.append(int(toxic))
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(3600)), "label": pa.array(labels, pa.int32()), "text": texts})
+    found = pa.Table.from_batches(toxicity._sparse([rows.slice(0, 500), rows.slice(1000)]))
+    p = toxicity.fit(found).reaches(rows.column("text"))[:, 0]
+    held, clean = p[500:600], p[600:1000]
+    assert (held >= toxicity.TOXIC).mean() > 0.9 and (clean >= toxicity.TOXIC).mean() < 0.02
+
+
 def rules_of(text):
     text = text or ""
     words = WORD.findall(text)

@@ -26,8 +26,8 @@ from .textkit import LETTER_OR_DIGIT, LOWER, Text, mix, signed, slices
 GRADES = 4
 #: Words are features where their standard score between toxic and clean rows reaches this; so many at most.
 LEAST_SCORE, FEATURES = 4.0, 512
-#: A word must stand in this share of the toxic rows, and in so many of them, so that copies of a few texts teach no words.
-LEAST_SHARE, LEAST_ROWS = 0.05, 4
+#: A word must stand in so many toxic rows; copies are left out before, so that those of a few texts teach no words.
+LEAST_ROWS = 4
 #: Probability from which a text counts as toxic.
 TOXIC = 0.3
 
@@ -138,7 +138,7 @@ def fit(found: pa.Table) -> Ordinal:
     spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / toxic.sum() + 1 / (~toxic).sum()))
     score = (bad / toxic.sum() - good / (~toxic).sum()) / spread
     best = np.argsort(-score, kind="stable")[:FEATURES]
-    spread_enough = bad[best] >= max(LEAST_ROWS, LEAST_SHARE * toxic.sum())
+    spread_enough = bad[best] >= LEAST_ROWS
     chosen = np.sort(best[(score[best] >= LEAST_SCORE) & spread_enough])
     column = np.full(len(distinct), -1)
     column[chosen] = np.arange(len(chosen))
