@@ -216,7 +216,6 @@ def ids_of(texts):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     return [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
 
 

@@ -53,11 +53,11 @@ class Tokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
-    def _learn(self, key: int, chunk: bytes) -> int:
+    def _learn(self, chunk: bytes) -> int:
         ids = self.model.encode_ordinary(chunk.decode())
         place = len(self.index)
         if self.used + len(ids) > len(self.flat):
@@ -67,7 +67,7 @@ class Tokenizer:
         self.flat[self.used : self.used + len(ids)] = ids
         self.starts[place], self.lengths[place] = self.used, len(ids)
         self.used += len(ids)
-        self.index[key] = place
+        self.index[chunk] = place
         return place
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
@@ -75,12 +75,13 @@ class Tokenizer:
         text = Text(texts)
         if len(self.index) > REMEMBERED:
             self._forget()
-        starts, ends = chunks(text)
-        keys = text.hashes(starts, ends)
-        distinct, one, which = np.unique(keys, return_index=True, return_inverse=True)
-        known, raw = self.index.get, text.raw
-        places = np.array([p if (p := known(k)) is not None else self._learn(k, raw[starts[i] : ends[i]].tobytes()) for k, i in zip(distinct.tolist(), one.tolist(), strict=True)], np.int64)
-        places = places[which] if len(distinct) else np.zeros(0, np.int64)
+        starts = chunks(text)[0]
+        # Chunks follow each other without gaps, so they are one Arrow array over the texts' bytes; equal ones are found by comparing these.
+        ends = pa.py_buffer(np.append(starts, len(text.raw)).astype(np.int64))
+        found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, ends, pa.py_buffer(text.raw)]).dictionary_encode()
+        known = self.index.get
+        places = np.array([p if (p := known(chunk)) is not None else self._learn(chunk) for chunk in found.dictionary.to_pylist()], np.int64)
+        places = places[found.indices.to_numpy()] if len(starts) else np.zeros(0, np.int64)
         length = self.lengths[places]
         upto = np.concatenate([[0], np.cumsum(length)])
         ids = self.flat[np.repeat(self.starts[places] - upto[:-1], length) + np.arange(upto[-1])]
@@ -116,7 +117,7 @@ def holding(text: Text, tokens: list[bytes]) -> list[int]:
 
 
 def chunks(text: Text) -> tuple[np.ndarray, np.ndarray]:
-    """Byte ranges that cover the texts and that tokenize alike alone and together."""
+    """Byte ranges that cover the texts without gaps and that tokenize alike alone and together."""
     words = text.runs(NOT_SPACE)
     begin, doc = words.starts, words.doc
     led = np.zeros(len(begin), bool)
