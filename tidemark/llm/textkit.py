@@ -2,7 +2,9 @@
 
 These helpers run inside Spark tasks (``mapInArrow``). They see one slice of a
 record batch at a time, so memory follows the slice (``SLICE_BYTES`` or one
-longer text), not the partition.
+longer text), not the partition. Bytes are marked by arrays of one byte each
+and hashed in stretches of ``SLICE_BYTES``; what a long text needs beside is a
+few numbers for each of its words.
 """
 
 from __future__ import annotations
@@ -49,15 +51,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
-        out = np.full(size, base, np.uint64)
+    """The first n powers of a number, n at most ``SLICE_BYTES`` + 1."""
+    if base not in _powers:
+        out = np.full(SLICE_BYTES + 1, base, np.uint64)
         out[0] = 1
-        have = np.multiply.accumulate(out)
-        if size <= 4 * SLICE_BYTES:
-            _powers[base] = have
-    return have[:n]
+        _powers[base] = np.multiply.accumulate(out)
+    return _powers[base][:n]
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -90,7 +89,6 @@ class Text:
         self.offsets = offsets - offsets[0]
         self.raw = raw
         self.data = raw if fold is SAME else fold[raw]
-        self._sum: np.ndarray | None = None
 
     def runs(self, table: np.ndarray) -> Spans:
         """Maximal runs of the table's bytes, none across two texts."""
@@ -119,16 +117,33 @@ class Text:
 
     def count(self, table: np.ndarray) -> np.ndarray:
         """Bytes of the table in each text."""
-        total = np.concatenate([[0], np.cumsum(table[self.data])])
-        return total[self.offsets[1:]] - total[self.offsets[:-1]]
+        inside = table[self.data]
+        return np.array([np.count_nonzero(inside[a:b]) for a, b in zip(self.offsets[:-1], self.offsets[1:], strict=True)], np.int64)
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of byte ranges; equal bytes have equal hashes."""
-        if self._sum is None:
-            self._sum = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * _power(_STEP, len(self.data)), out=self._sum[1:])
-        total = self._sum
-        return mix((total[ends] - total[starts]) * _power(_BACK, len(self.data) + 1)[starts] + (ends - starts).astype(np.uint64))
+        """64-bit hashes of byte ranges in reading order, none within another; equal bytes have equal hashes."""
+        total = np.zeros(len(starts), np.uint64)
+        at = 0
+        while at < len(starts):
+            base = int(starts[at])
+            to = int(np.searchsorted(ends, base + SLICE_BYTES, "right"))
+            if to > at:
+                own = self._sums(base, int(ends[to - 1]))
+                first = starts[at:to] - base
+                total[at:to] = (own[ends[at:to] - base] - own[first]) * _power(_BACK, SLICE_BYTES + 1)[first]
+            else:  # one long range, piece by piece
+                to = at + 1
+                for begin in range(base, int(ends[at]), SLICE_BYTES):
+                    piece = self._sums(begin, min(begin + SLICE_BYTES, int(ends[at])))[-1]
+                    total[at] += piece * np.uint64(pow(_STEP, begin - base, 1 << 64))
+            at = to
+        return mix(total + (ends - starts).astype(np.uint64))
+
+    def _sums(self, begin: int, end: int) -> np.ndarray:
+        """Prefix sums of the bytes from ``begin`` to ``end``, each times a power of its place."""
+        out = np.zeros(end - begin + 1, np.uint64)
+        np.cumsum(_BYTE[self.data[begin:end]] * _power(_STEP, end - begin), out=out[1:])
+        return out
 
 
 class Spans:
