@@ -5,9 +5,15 @@ One weight vector is shared by all thresholds: P(grade >= k) is the logistic
 function of (features . weights - threshold k), with rising thresholds. The
 result is the expected severity, the sum of those probabilities.
 
-Labels say only toxic or not. Toxic rows get their grade from how many words
-they hold that toxic rows have far more often than clean ones; the features of
-those words grow with the same counts, as shared weights need.
+Features are the words that stand in more toxic rows than chance explains. Each
+word of the sample is tested for itself (hypergeometric tail), and as many are
+taken as keep the expected share of chance finds below ``FALSE_SHARE``
+(Benjamini and Hochberg): no word needs a share of the toxic rows, so the words
+of a small language count as those of a large one.
+
+Labels say only toxic or not. Toxic rows are graded by how many of those words
+they hold. The grades are therefore no judgement independent of the features:
+they tell the thresholds to rise with the amount of toxic wording, no more.
 """
 
 from __future__ import annotations
@@ -21,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import FIT_ROWS, labelled_sample
+from .scratch import Scratch
 from .textkit import LETTER_OR_DIGIT, LOWER, Text, mix, signed, slices
 
 GRADES = 4
-#: Words are features where their standard score between toxic and clean rows reaches this; so many at most.
-LEAST_SCORE, FEATURES = 4.0, 512
-#: A word must stand in so many toxic rows; copies are left out before, so that those of a few texts teach no words.
-LEAST_ROWS = 4
+#: Share of the chosen words that chance may have put there.
+FALSE_SHARE = 0.05
+#: Standard deviation of the weights' prior: a word of one toxic row in a thousand can outweigh the first threshold, one of two or three rows can't.
+PRIOR = 4.0
 #: Probability from which a text counts as toxic.
 TOXIC = 0.3
 
@@ -67,90 +74,124 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, ridge: float = 1e-5, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds that maximize the likelihood of the grades, by Adam."""
-    n, width = x.shape
-    counts = np.array([(grade >= k).mean() for k in range(1, grades)]).clip(1 / (2 * n), 1 - 1 / (2 * n))
+def fit_ordinal(row: np.ndarray, column: np.ndarray, value: np.ndarray, width: int, grade: np.ndarray, times: np.ndarray, grades: int = GRADES, prior: float = PRIOR, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of the largest posterior of the grades, by Adam.
+
+    Features are sparse: ``value`` at (row, column). Row i counts ``times``[i]
+    times. Weights have a normal prior of that standard deviation, so a word
+    of few rows moves a text less than one of many.
+    """
+    n = times.sum()
+    counts = np.array([times[grade >= k].sum() / n for k in range(1, grades)]).clip(1 / (2 * n), 1 - 1 / (2 * n))
     theta = np.zeros(width + grades - 1)
     cuts = -np.log(counts / (1 - counts))
     theta[width] = cuts[0]
     theta[width + 1 :] = np.log(np.maximum(np.diff(cuts), 1e-2))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    rows = np.arange(n)
     for step in range(1, steps + 1):
-        weights, gaps = theta[:width], np.exp(theta[width + 1 :])
-        thresholds = theta[width] + np.concatenate([[0], np.cumsum(gaps)])
-        reach = np.concatenate([np.ones((n, 1)), _logistic((x @ weights)[:, None] - thresholds), np.zeros((n, 1))], 1)
-        p = np.maximum(reach[rows, grade] - reach[rows, grade + 1], 1e-12)
-        slope = reach * (1 - reach)
-        d = np.zeros((n, grades + 1))
-        d[rows, grade] += slope[rows, grade] / p
-        d[rows, grade + 1] -= slope[rows, grade + 1] / p
-        d = -d[:, 1:grades] / n  # of the loss, by (score - threshold k)
-        g = np.empty_like(theta)
-        g[:width] = x.T @ d.sum(1) + ridge * weights
-        g[width] = -d.sum()
-        g[width + 1 :] = [-d[:, k:].sum() * gaps[k - 1] for k in range(1, grades - 1)]
+        g = loss_slope(theta, row, column, value, width, grade, times, grades, prior)[1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return theta[:width], theta[width] + np.concatenate([[0], np.cumsum(np.exp(theta[width + 1 :]))])
+    return theta[:width], _thresholds(theta[width:])
+
+
+def _thresholds(theta: np.ndarray) -> np.ndarray:
+    return theta[0] + np.concatenate([[0], np.cumsum(np.exp(theta[1:]))])
+
+
+def loss_slope(theta: np.ndarray, row: np.ndarray, column: np.ndarray, value: np.ndarray, width: int, grade: np.ndarray, times: np.ndarray, grades: int, prior: float) -> tuple[float, np.ndarray]:
+    """Mean loss (likelihood and prior) and its slope, by weights, first threshold and logarithms of the gaps."""
+    total, rows = times.sum(), np.arange(len(grade))
+    z = np.bincount(row, value * theta[column], len(grade))
+    reach = np.concatenate([np.ones((len(grade), 1)), _logistic(z[:, None] - _thresholds(theta[width:])), np.zeros((len(grade), 1))], 1)
+    p = np.maximum(reach[rows, grade] - reach[rows, grade + 1], 1e-12)
+    bend = reach * (1 - reach)
+    d = np.zeros((len(grade), grades + 1))
+    d[rows, grade] += bend[rows, grade] / p
+    d[rows, grade + 1] -= bend[rows, grade + 1] / p
+    d = -d[:, 1:grades] * times[:, None] / total  # of the loss, by (score - threshold k)
+    g = np.empty_like(theta)
+    g[:width] = np.bincount(column, value * d.sum(1)[row], width) + theta[:width] / (prior**2 * total)
+    g[width] = -d.sum()
+    g[width + 1 :] = [-d[:, k:].sum() * np.exp(theta[width + k]) for k in range(1, grades - 1)]
+    return -(times * np.log(p)).sum() / total + (theta[:width] ** 2).sum() / (2 * prior**2 * total), g
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and counts of each row, and the least three of its words' mixed hashes, which copies mostly share."""
     for batch in batches:
         for part in slices(batch, "text"):
             doc, word, count, _ = word_counts(part.column("text"))
             ends = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
-            columns = [part.column("doc_id"), part.column("label"), pa.ListArray.from_arrays(pa.array(ends), pa.array(word)), pa.ListArray.from_arrays(pa.array(ends), pa.array(count.astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "words", "counts"])
-
-
-def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ordinal:
-    """Fit on up to ``rows`` labelled rows; without toxic rows no text is toxic."""
-    sample = labelled_sample(docs, labels, "toxic", rows)
-    return fit(sample.mapInArrow(_sparse, "doc_id long, label int, words array<long>, counts array<int>").toArrow())
-
-
-def _unlike(words: pa.ListArray) -> pa.Array:
-    """Rows to learn from: of those whose three least word hashes agree, as copies' mostly do, the first."""
-    flat, ends = mix(words.flatten().to_numpy().view(np.uint64)), np.append(0, np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False)))
-    seen: dict[bytes, int] = {}
-    for row in range(len(words)):
-        seen.setdefault(np.sort(flat[ends[row] : ends[row + 1]])[:3].tobytes(), row)
-    return pa.array(sorted(seen.values()), pa.int64())
-
-
-def fit(found: pa.Table) -> Ordinal:
-    """Choose the words, grade the toxic rows, and fit: from (doc_id, label, words, counts) of each row."""
-    found = found.sort_by("doc_id")
-    found = found.take(_unlike(found.column("words").combine_chunks()))
-    toxic = found.column("label").to_numpy() == 1
-    words, counts = (found.column(c).combine_chunks() for c in ("words", "counts"))
-    size = np.diff(words.offsets.to_numpy()) if len(toxic) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(toxic)), size)
-    distinct, which = np.unique(words.flatten().to_numpy(), return_inverse=True)
-    count = counts.flatten().to_numpy()
-    if not toxic.any() or toxic.all():
-        return Ordinal(np.zeros(0, np.int64), np.zeros(0), np.array([10.0 + 10 * toxic.any() * -2 + k for k in range(GRADES - 1)]))
-    bad = np.bincount(which[toxic[row]], minlength=len(distinct))
-    good = np.bincount(which[~toxic[row]], minlength=len(distinct))
-    rate = (bad + good) / len(toxic)
-    spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / toxic.sum() + 1 / (~toxic).sum()))
-    score = (bad / toxic.sum() - good / (~toxic).sum()) / spread
-    best = np.argsort(-score, kind="stable")[:FEATURES]
-    spread_enough = bad[best] >= LEAST_ROWS
-    chosen = np.sort(best[(score[best] >= LEAST_SCORE) & spread_enough])
-    column = np.full(len(distinct), -1)
-    column[chosen] = np.arange(len(chosen))
-    used = column[which] >= 0
-    x = np.zeros((len(toxic), len(chosen)))
-    x[row[used], column[which[used]]] = np.log1p(count[used])
-    hits = np.bincount(row[used], weights=count[used], minlength=len(toxic))
-    told = toxic & (hits > 0)
-    cuts = np.quantile(hits[told], [i / (GRADES - 1) for i in range(1, GRADES - 1)]) if told.any() else np.zeros(GRADES - 2)
-    grade = np.where(toxic, 1 + np.searchsorted(cuts, hits), 0)
-    weights, thresholds = fit_ordinal(x, grade)
-    return Ordinal(distinct[chosen], weights, thresholds)
+            mixed = mix(word.view(np.uint64))
+            least = [np.sort(mixed[a:b])[:3].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            columns = [part.column("doc_id"), part.column("label"), pa.array(least, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(word)), pa.ListArray.from_arrays(pa.array(ends), pa.array(count.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "least", "words", "counts"])
+
+
+def tail(found: np.ndarray, rows: np.ndarray, toxic: int, total: int) -> np.ndarray:
+    """Chance that a word of so many ``rows`` stands in ``found`` toxic ones or more, if toxic rows have it as often as others."""
+    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, total + 1)))])
+    choose = lambda n, k: log_factorial[n] - log_factorial[k] - log_factorial[n - k]
+    out = np.ones(len(found))
+    for i in np.flatnonzero(found * total > rows * toxic):
+        x = np.arange(found[i], min(rows[i], toxic) + 1)
+        out[i] = np.exp(choose(toxic, x) + choose(total - toxic, rows[i] - x) - choose(total, rows[i])).sum()
+    return out
+
+
+def significant(chance: np.ndarray, words: np.ndarray, share: float = FALSE_SHARE) -> np.ndarray:
+    """Which cases, each of so many words with that chance, are beyond chance by Benjamini and Hochberg."""
+    order = np.argsort(chance, kind="stable")
+    good = np.flatnonzero(chance[order] <= share * np.cumsum(words[order]) / max(words.sum(), 1))
+    return chance <= (chance[order][good[-1]] if len(good) else -1.0)
+
+
+def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = FIT_ROWS) -> Ordinal:
+    """Fit on up to ``rows`` labelled rows; without toxic rows no text is toxic.
+
+    Of rows whose three least word hashes agree, as copies' mostly do, the one
+    of the smallest doc_id teaches, so that the words of one text with many
+    copies don't look telling. Words are counted and chosen by Spark. The
+    driver gets a row for each pair of (toxic rows, rows) that words have, and
+    the chosen words' places in the sample.
+    """
+    found = labelled_sample(docs, labels, "toxic", rows).mapInArrow(_sparse, "doc_id long, label int, least binary, words array<long>, counts array<int>")
+    first = found.groupBy("least").agg(F.min(F.struct("doc_id", "label", "words", "counts")).alias("r")).select(F.monotonically_increasing_id().alias("row"), "r.*")
+    return fit(scratch.keep(first, "sample"), scratch)
+
+
+def fit(sample: DataFrame, scratch: Scratch) -> Ordinal:
+    """Choose the words, grade the toxic rows, and fit: from (row, label, words, counts) of each row."""
+    sizes = np.zeros(2, np.int64)
+    for r in sample.groupBy((F.col("label") == 1).alias("toxic")).count().collect():
+        sizes[int(r["toxic"])] = r["count"]
+    total, toxic = int(sizes.sum()), int(sizes[1])
+    if not toxic or toxic == total:
+        return Ordinal(np.zeros(0, np.int64), np.zeros(0), np.array([10.0 - 20 * bool(toxic) + k for k in range(GRADES - 1)]))
+    words = sample.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum((F.col("label") == 1).cast("long")).alias("bad"), F.count(F.lit(1)).alias("in_rows"))
+    words = scratch.keep(words, "words")
+    pairs = words.groupBy("bad", "in_rows").count().toArrow()
+    bad, in_rows, n_words = (pairs.column(c).to_numpy() for c in ("bad", "in_rows", "count"))
+    telling = significant(tail(bad, in_rows, toxic, total), n_words)
+    spark = sample.sparkSession
+    chosen = spark.createDataFrame([(int(b), int(r)) for b, r in zip(bad[telling], in_rows[telling], strict=True)], "bad long, in_rows long")
+    chosen = words.join(F.broadcast(chosen), ["bad", "in_rows"], "left_semi").select("word")
+    each = sample.select("row", "label", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", "label", F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
+    places = each.join(chosen, "word", "left_semi").toArrow().sort_by([("row", "ascending"), ("word", "ascending")])
+    scratch.drop("sample", "words")
+    at, row = np.unique(places.column("row").to_numpy(), return_inverse=True)
+    known, column = np.unique(places.column("word").to_numpy(), return_inverse=True)
+    count = places.column("count").to_numpy().astype(float)
+    is_toxic = np.zeros(len(at), bool)
+    is_toxic[row] = places.column("label").to_numpy() == 1
+    hits = np.bincount(row, count, len(at))
+    cuts = np.quantile(hits[is_toxic], [i / (GRADES - 1) for i in range(1, GRADES - 1)]) if is_toxic.any() else np.zeros(GRADES - 2)
+    grade = np.where(is_toxic, 1 + np.searchsorted(cuts, hits), 0)
+    # Rows without a chosen word are alike but for their grade: one row for the clean ones, one for the toxic.
+    rest = np.array([total - toxic - (~is_toxic).sum(), toxic - is_toxic.sum()])
+    weights, thresholds = fit_ordinal(row, column, np.log1p(count), len(known), np.append(grade, [0, 1]), np.append(np.ones(len(at)), rest))
+    return Ordinal(known, weights, thresholds)
 
 
 def _scored(model: Ordinal):
@@ -170,7 +211,9 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
 
     Reads (doc_id, text); further columns are ignored. Severity is expected
     severity from 0 to ``GRADES`` - 1. A null or empty text has no features and
-    so the severity that the thresholds alone give, which is close to 0.
+    so the severity that the thresholds alone give, which is close to 0. All
+    words of a very long text count. Repeated rows and ids are scored each for
+    itself, and an empty table gives no rows.
     """
     found = docs.select("doc_id", "text").mapInArrow(_scored(model), "doc_id long, severity double, p_toxic double, grade int")
     return found.withColumn("toxic", F.col("p_toxic") >= TOXIC)
