@@ -198,7 +198,7 @@ def test_ordinal_likelihood():
     loss, slope = toxicity.loss_slope(theta, *given)
     assert loss == pytest.approx(plain(theta))
     assert slope == pytest.approx([(plain(theta + d) - plain(theta - d)) / 2e-5 for d in np.eye(6) * 1e-5], abs=1e-6)
-    weights, cuts = toxicity.fit_ordinal(row, column, x[row, column], 3, grade, times)
+    weights, cuts = toxicity.fit_ordinal(row, column, x[row, column], 3, grade, times, prior=1.0)
     best = np.concatenate([weights, [cuts[0]], np.log(np.diff(cuts))])
     assert all(plain(best + d) >= plain(best) - 1e-9 for d in [*np.eye(6) * 0.02, *-np.eye(6) * 0.02])
 
