@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .prefix import prefix_sums
-from .scratch import Scratch
+from ..shared.names import unused
+from ..shared.prefix import prefix_sums
+from ..shared.scratch import Scratch
 from .textkit import NOT_SPACE, Text, slices
 
 #: Expected copies are counted in units of 2^-24, so prefix sums are exact whole numbers.
@@ -24,7 +25,7 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             sizes = Text(part.column("text")).runs(NOT_SPACE).counts()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(sizes, pa.int64())], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), part.column("source"), pa.array(sizes, pa.int64())], ["row", "doc_id", "source", "size"])
 
 
 def targets(scratch: Scratch, sources: DataFrame) -> DataFrame:
@@ -34,7 +35,8 @@ def targets(scratch: Scratch, sources: DataFrame) -> DataFrame:
     sum of all sizes by weight; a target stops at ``MOST`` times its source's
     size, and the excess goes to the others by weight. Each round is one
     aggregation; capped sources stay capped, so the share of a weight only
-    rises, and the loop ends when no further source is capped.
+    rises, and the loop ends when no further source is capped: after as many
+    rounds as there are sources at most, and in practice a few.
     """
     ordered = prefix_sums(scratch, sources, [], [F.col("source").asc_nulls_last()], F.lit(1).cast("long"), "ordered", "position")
     ordered = scratch.keep(ordered.withColumn("weight", F.col("position") % 3 + 1), "sources")
@@ -67,7 +69,12 @@ def mix(docs: DataFrame, scratch: Scratch) -> DataFrame:
     Rows that equal each other in id and size are interchangeable. A source
     whose texts are all empty has target 0 and no copies.
     """
-    sized = docs.select("doc_id", "source", "text").mapInArrow(_sized, "doc_id long, source string, size long")
+    return _taken(docs.select(F.lit(None).cast("long").alias("row"), "doc_id", "source", "text"), scratch).drop("row")
+
+
+def _taken(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``mix`` of (row, doc_id, source, text), with each row's number."""
+    sized = docs.mapInArrow(_sized, "row long, doc_id long, source string, size long")
     sized = scratch.keep(sized, "sized")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = targets(scratch, sources)
@@ -77,18 +84,21 @@ def mix(docs: DataFrame, scratch: Scratch) -> DataFrame:
     sources = scratch.keep(sources, "rates")
     rates = F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
     known = sized.join(rates, F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    ranked = prefix_sums(scratch, known, ["position"], [F.col("size"), F.col("doc_id")], F.lit(1).cast("long"), "dealt", "rank")
+    ranked = prefix_sums(scratch, known, ["position"], [F.col("size"), F.col("doc_id"), F.col("row")], F.lit(1).cast("long"), "dealt", "rank")
     scratch.drop("sized", "sources")
     before = F.col("rank") * F.col("expected") + F.col("offset")
     copies = F.shiftright(before + F.col("expected"), 24) - F.shiftright(before, 24)
-    return ranked.withColumn("copies", copies.cast("long")).select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return ranked.withColumn("copies", copies.cast("long")).select("row", "doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def resample(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` with each document as often as the mix takes it, repeats as equal rows.
+    """``docs`` with each row as often as the mix takes it, repeats as equal rows.
 
-    Rows that share a doc_id are each taken as often as the most taken of them.
+    Rows go by a number of their own, so that rows of one doc_id are taken each
+    for itself and null ids don't gather. An empty table gives no rows.
     """
-    taken = mix(docs, scratch).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    each = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    own, copies = unused(docs, "_row"), unused(docs, "_copies")
+    rows = scratch.keep(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    taken = _taken(rows.select(F.col(own).alias("row"), "doc_id", "source", "text"), scratch)
+    each = rows.join(taken.where("copies > 0").select(F.col("row").alias(own), F.col("copies").alias(copies)), own)
+    return each.withColumn(own, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
