@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from ..shared.scratch import Scratch
+
 
 #: Code points between two parts of one credential, at most.
 SCOPE = 200
@@ -138,15 +139,17 @@ def redact(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     Only ``text`` changes. Spans that overlap are replaced as one, named after
     the first. Texts are joined to their spans by id and hash; a text without
-    spans stays as it is, null included.
+    spans stays as it is, null included. Repeated rows are cleaned alike, and
+    an empty table stays empty.
     """
     spans = scan_secrets(docs, scratch).where(F.size("spans") > 0)
     spans = spans.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.first("spans").alias("_spans"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_digest"))
     names = ", ".join(f"'{k.name}'" for k in KINDS)
-    clean = F.expr(f"""aggregate(_spans, named_struct('at', 0L, 'done', ''),
+    # The pieces are listed and joined once, so that a text with many spans is not copied for each.
+    clean = F.expr(f"""aggregate(_spans, named_struct('at', 0L, 'done', cast(array() as array<string>)),
         (a, s) -> case
-            when s.start >= a.at then named_struct('at', s.stop, 'done', concat(a.done, substring(text, cast(a.at as int) + 1, cast(s.start - a.at as int)), '[', get(array({names}), s.kind), ']'))
+            when s.start >= a.at then named_struct('at', s.stop, 'done', concat(a.done, array(substring(text, cast(a.at as int) + 1, cast(s.start - a.at as int)), concat('[', get(array({names}), s.kind), ']'))))
             else named_struct('at', greatest(a.at, s.stop), 'done', a.done) end,
-        a -> concat(a.done, substring(text, cast(a.at as int) + 1)))""")
+        a -> concat(array_join(a.done, ''), substring(text, cast(a.at as int) + 1)))""")
     return docs.join(spans, same, "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
