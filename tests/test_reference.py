@@ -43,22 +43,30 @@ def test_commits(spark, message, files, want):
 @pytest.mark.parametrize(
     ("kind", "content", "want"),
     [
-        ("UserCorrection", "Don't use monolith architecture", ("feedback", 0.9)),
-        ("ErrorFixed", "x", ("note", 0.6)),
-        ("SessionStart", "", ("session_summary", 0.5)),
-        ("SessionEnd", "", ("session_summary", 0.5)),
+        ("UserCorrection", "Don't use monolith architecture", ("User correction", "feedback", 0.9, ["feedback", "correction"])),
+        ("ErrorFixed", "x", ("Error fixed", "note", 0.6, ["bugfix"])),
+        ("SessionStart", "", ("Session started", "session_summary", 0.5, ["session"])),
+        ("SessionEnd", "", ("Session ended", "session_summary", 0.5, ["session"])),
         ("FileModified", "a.py", None),
-        ("FileCreated", "src/a.py", ("note", 0.5)),
+        ("FileCreated", "src/a.py", ("New file: a.py", "note", 0.5, [])),
         ("FileCreated", "a.md", None),
-        ("FileDeleted", "a/b.md", ("note", 0.4)),
-        ("DependencyAdded", "x/Cargo.toml", ("decision", 0.6)),
-        ("conversation_decision", "use redis", ("decision", 0.7)),
+        ("FileDeleted", "a/b.md", ("Deleted: b.md", "note", 0.4, [])),
+        ("DependencyAdded", "x/Cargo.toml", ("Dependency change: Cargo.toml", "decision", 0.6, ["dependency"])),
+        ("conversation_decision", "use redis", ("Conversation decision", "decision", 0.7, ["decision", "conversation"])),
         ("GitBranchCreated", "x", None),
     ],
 )
 def test_events(spark, kind, content, want):
     got = one(spark, rules.classify(F.col("k"), F.col("c"), F.lit(None).cast("string"), F.lit(0)), k=kind, c=content)
-    assert (got and (got.memory_type, round(got.importance, 5))) == want
+    assert (got and (got.title, got.memory_type, round(got.importance, 5), got.tags)) == want
+
+
+@pytest.mark.parametrize("text", ["decided: " + "é" * 150, "decided: " + "x" * 191, "decided: " + "x" * 192, "decided: " + "日" * 90, "decided " + "😀" * 70 + "\nmore", "decided\r\nmore", "x😀" + "decided" * 40])
+def test_decisions_are_cut_between_characters(spark, text):
+    line = text.split("\n")[0].rstrip("\r")
+    while len(line.encode()) > 200:
+        line = line[:-1]
+    assert one(spark, rules.decision_content(F.col("t")), t=text) == line
 
 
 @pytest.mark.parametrize(
@@ -132,6 +140,10 @@ def test_embeddings(spark):
         ("Some change", ["auth", "security", "feature"], {"auth", "security"}, None),
         ("Fix scoring floor for new topics\n\n- falling through to Note=0.4 redis", [], set(), None),
         ("AgentCRM migration", [], {"agentcrm"}, None),
+        ("chore(deps): bump version of local branch commit", [], {"deps"}, None),
+        ("use mongodb go and next.js, not gonext.js", [], {"mongodb", "next.js"}, ("next.js", "mongodb", "co_mentioned")),
+        ("change", ["Redis", "API", "api", "Release", "v=1"], {"redis", "api"}, None),
+        ("feat(ui): ui ui polish", [], {"polish"}, ("polish", "ui", "added_to")),
     ],
 )
 def test_entities(spark, title, tags, names, edge):
@@ -141,6 +153,14 @@ def test_entities(spark, title, tags, names, edge):
     assert edge is None or edge in {tuple(e) for e in got.edges}
 
 
+def test_entity_types(spark):
+    """A tag's type goes by how it is written, a module's name must be valid, a null title names nothing."""
+    rows = spark.createDataFrame([("redis AgentCRM", ["Docker", "docker", "Elsewhere"], "a/src/storage/x.rs"), ("x", ["redis"], "src/lib/y.rs"), (None, None, None)], "title string, tags array<string>, path string")
+    got = graph.extract(rows, graph.Vocabulary(projects=("agentcrm",)), "path").collect()
+    assert [tuple(e) for e in got[0].entities] == [("redis", "tech"), ("agentcrm", "project"), ("storage", "module"), ("docker", "concept"), ("elsewhere", "concept")]
+    assert [tuple(e) for e in got[1].entities] == [("redis", "tech")] and got[2].entities == [] == got[2].edges
+
+
 def test_modules(spark):
     assert one(spark, graph.module_of(F.col("p")), p="src/storage/mod.rs") == "storage"
     assert one(spark, graph.module_of(F.col("p")), p="src/main.rs") is None
@@ -166,6 +186,17 @@ def test_edge_weights_follow_calls(spark):
     assert got == weights
 
 
+def test_graph_query(spark):
+    rows = [(1, 1, "feat(auth): jwt"), (2, 2, "fix(auth): jwt and redis"), (3, 3, "docs: none")]
+    found = graph.extract(spark.createDataFrame(rows, "id long, timestamp long, title string"))
+    parts = graph.query("AUTH", graph.entities(found, "id", "timestamp"), graph.edges(found, "id", "timestamp", Scratch(spark, "t")), graph.links(found, "id"), found)
+    assert [(r.name, r.mention_count) for r in parts["entity"].collect()] == [("auth", 2)]
+    assert [(r.source, r.relation, r.memory_id, r.weight) for r in parts["edges"].collect()] == [("jwt", "added_to", 1, 1.0), ("jwt", "fixed_in", 2, 1.0), ("redis", "fixed_in", 2, 1.0)]
+    assert [r.id for r in parts["memories"].collect()] == [2, 1] and [r.name for r in parts["neighbours"].collect()] == ["jwt", "redis"]
+    nothing = graph.query("absent", graph.entities(found, "id", "timestamp"), graph.edges(found, "id", "timestamp", Scratch(spark, "t")), graph.links(found, "id"), found)
+    assert all(part.count() == 0 for part in nothing.values())
+
+
 def test_signals_and_text(spark):
     signal = scoring.signal(F.col("k"), F.col("t"))
     for kind, memory, want in [("UserCorrection", "note", 1.0), ("GitCommit", "decision", 0.6), ("FileCreated", "note", 0.4), ("ErrorFixed", "note", 0.8)]:
@@ -174,8 +205,8 @@ def test_signals_and_text(spark):
     assert one(spark, scoring.combine(F.lit(0.0), F.lit(0.0), F.lit(0.6))) == pytest.approx(0.45)
     assert one(spark, rendering.slug(F.col("t")), t="Add JWT auth") == "add-jwt-auth"
     assert one(spark, rendering.slug(F.col("t")), t="feat(api): implement OAuth") == "feat_api__-implement-oauth"
-    text = one(spark, rendering.markdown(F.col("t"), F.lit("decision"), F.lit(0.75), F.array(F.lit("a")), F.lit("body")), t='A "b"')
-    assert "title: \"A 'b'\"" in text and "type: decision" in text and "body" in text
+    text = one(spark, rendering.markdown(F.col("t"), F.lit("decision"), F.lit("2024-01-02").cast("timestamp_ntz"), F.array(F.lit("a")), F.lit(0.75), F.lit("body")), t='A "b"')
+    assert text == "---\ntitle: \"A 'b'\"\ntype: decision\ndate: 2024-01-02\ntags: [a]\nimportance: 0.8\nsource: tidemark\n---\n\nbody\n"
     assert one(spark, rendering.tags_of(F.col("t")), t=" a, ,b ") == ["a", "b"]
     assert [one(spark, rendering.hours(F.col("h")), h=h) for h in (50.0, 3.5, 0.5)] == ["2d", "3h", "30m"]
 
@@ -183,7 +214,7 @@ def test_signals_and_text(spark):
 def plain_fold(rows, policy):
     kept, out = [], {}
     for i, time, strength, vector in sorted(rows, key=lambda r: (r[1], r[0])):
-        near = [(float(np.float32(v) @ np.float32(vector)), t) for v, t in reversed(kept[-scoring.HISTORY :])]
+        near = [(float(np.float32(v) @ np.float32(vector)), t) for v, t in reversed(kept if policy.history is None else kept[-policy.history :])]
         if near and max(s for s, _ in near) >= policy.dedup:
             out[i] = "deduped"
             continue
@@ -213,6 +244,81 @@ def test_fold(spark, sf):
     assert got == want and len(set(got.values())) > 1
 
 
+def test_fold_looks_back_at_all_kept_rows(spark):
+    """An exact repeat is found behind 300 other rows, unless the policy forgets them."""
+    rng = np.random.default_rng(0)
+    vectors = [v / np.linalg.norm(v) for v in rng.normal(size=(300, 64))]
+    vectors.append(vectors[0])
+    rows = spark.createDataFrame([(i, 0, i, 1.0, v.tolist()) for i, v in enumerate(vectors)], "id long, project long, at long, strength double, embedding array<float>")
+    rows = rows.withColumn("timestamp", F.timestamp_micros(F.col("at") * 3_600_000_000).cast("timestamp_ntz")).drop("at")
+    outcome = lambda policy: {r.id: r.outcome for r in scoring.fold(rows, "project", policy).collect()}
+    assert outcome(scoring.BATCH)[300] == "deduped" and set(list(outcome(scoring.BATCH).values())[:300]) == {"saved"}
+    assert outcome(scoring.Policy(history=200))[300] == "saved" and outcome(scoring.Policy(history=301))[300] == "deduped"
+    counts = {r.outcome: r.n for r in scoring.outcomes(scoring.fold(rows, "project"), rows.limit(7)).collect()}
+    assert counts == {"saved": 300, "deduped": 1, "skipped": 7}
+
+
+def test_policies(spark):
+    """Corrections pass as they are, saves keep what scores low, and a save by hand has a signal of its own."""
+    rows = spark.createDataFrame([(1, 0, 0.4, [1.0, 0.0]), (2, 0, 0.4, [1.0, 0.0])], "id long, project long, strength double, embedding array<float>")
+    rows = rows.withColumn("timestamp", F.lit("2024-01-01").cast("timestamp_ntz"))
+    outcome = lambda policy: [r.outcome for r in scoring.fold(rows, "project", policy).orderBy("id").collect()]
+    assert outcome(scoring.URGENT) == outcome(scoring.BACKFILL) == ["saved", "saved"]
+    assert outcome(scoring.BATCH) == ["low_importance", "low_importance"] and outcome(scoring.SAVE) == ["saved", "deduped"]
+    signal = scoring.signal(F.col("k"), F.lit("note"))
+    assert one(spark, signal, k=scoring.BY_HAND) == 0.8 and one(spark, signal, k=scoring.BY_TOOL) == 0.4
+
+
+def test_lanes(spark):
+    events = spark.createDataFrame([("UserCorrection", "no"), ("GitCommit", "x"), ("ErrorFixed", "y")], "kind string, content string")
+    urgent, other = ingest.lanes(events)
+    assert [r.kind for r in urgent.collect()] == ["UserCorrection"] and other.count() == 2
+
+
+def test_export_and_import(spark, sf, tmp_path):
+    """All nine fields survive; rows without a time are kept, and an earlier row of an id wins."""
+    from tidemark.operators import store
+    from tidemark.sources import adapters
+
+    rows = adapters.memories(spark, sf).withColumn("id", F.col("id").cast("string"))
+    back = store.imported(store.export(rows))
+    key = lambda df: sorted((tuple(str(r[c]) for c in store.EXPORTED) for r in df.select(*store.EXPORTED).collect()))
+    assert key(back) == key(rows) and back.count() == 200
+    lines = ['{"id": "a", "title": "t", "tags": "[\\"x\\"]"}', '{"id": "a", "title": "u", "timestamp": "2024-01-02T00:00:00+00:00"}', '{"id": "b", "content": "c"}', "{}"]
+    got = store.import_new(store.imported(spark.createDataFrame([(x,) for x in lines], "json string")), spark.createDataFrame([("c",)], "id string"))
+    assert {(r.id, r.title, r.content, r.memory_type, tuple(r.tags), r.source) for r in got.collect()} == {("a", "u", None, "note", (), "manual"), ("b", None, "c", "note", (), "manual"), ("", None, None, "note", (), "manual")}
+
+
+def test_stored_index_equals_scan(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "Café ÜBER snake_case uber cafe", "x"), (2, "cafe latte uber", "y cafe"), (3, "other", "z"), (4, None, "cafe"), (5, "cafe cafe uber cafe uber", "")], "id long, a string, b string")
+    search.write_index(rows, "id", ("a", "b"), str(tmp_path / "index"))
+    T, M = search.Term, search.Match
+    for match in (M(all_of=(T("cafe"),)), M(all_of=(T("cafe uber"),)), M(any_of=(T("lat", prefix=True), T("snake"))), M(all_of=(T("cafe", column="b"),)), M(all_of=(T("uber"),), none_of=(T("latte"),)), M(all_of=(T("cafe ub", prefix=True),), any_of=(T("nothing"), T("uber cafe")))):
+        want = [(r.id, round(r.score, 9)) for r in search.search(rows, match, "id", ("a", "b"), 10).collect()]
+        got = [(r.id, round(r.score, 9)) for r in search.lookup(spark, str(tmp_path / "index"), match, "id", 10).collect()]
+        assert got == want
+
+
+def test_one_clock(spark):
+    from datetime import datetime
+
+    from tidemark.operators.sequences import throttle
+
+    events = spark.createDataFrame([(i, f"2024-01-01 00:00:{s:02d}") for i, s in enumerate((0, 1, 2, 3, 5, 9))], "event_id long, at string").select("event_id", F.to_timestamp_ntz("at").alias("ts"))
+    assert [r.event_id for r in throttle(events, None, 2).orderBy("event_id").collect()] == [0, 2, 4, 5]
+    assert [r.event_id for r in throttle(events, None, 2, datetime(2024, 1, 1)).orderBy("event_id").collect()] == [2, 4, 5]
+
+
+def test_report_file(spark, sf, tmp_path):
+    from tidemark.operators import report, sinks
+
+    lines = catalogue.report_sections(spark, sf)
+    report.write(lines, str(tmp_path / "r"))
+    text = "".join(open(f).read() for f in glob.glob(str(tmp_path / "r" / "*.txt")))
+    assert len(text.splitlines()) == lines.count() > 0 and "d ago)" in text
+    assert sinks.project_folder("/base/", "/home/me/x") == "/base/-home-me-x/memory"
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
     rows = fold_rows(spark, sf).cache()
     want = {(r.id, r.outcome) for r in scoring.fold(rows, "project").collect()}
@@ -314,6 +420,9 @@ def test_files_config_and_listings(spark, sf, tmp_path):
     (tmp_path / "c.toml").write_text("[retention]\nyears = 7\n")
     with pytest.raises(ValueError):
         config.load(str(tmp_path / "c.toml"))
+    own = config.Config(watch=config.Watch(ignore=('a"b', "é"), debounce_ms=7), output=config.Output(vault_files=True))
+    config.save(own, str(tmp_path / "c.toml"))
+    assert config.load(str(tmp_path / "c.toml")) == own
     (tmp_path / "i.json").write_text(json.dumps([{"id": "a", "title": "t", "tags": '["x"]', "timestamp": "2024-01-01"}, {"id": "a", "title": "u", "tags": "bad", "timestamp": "2024-01-02"}]))
     from tidemark.operators import store
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tomllib
 from dataclasses import dataclass, field, fields, is_dataclass
 from typing import Any
@@ -9,10 +10,14 @@ from typing import Any
 
 @dataclass(frozen=True)
 class Watch:
+    """Folders and files whose changes are events, and the log of conversations."""
+
     paths: tuple[str, ...] = (".",)
-    ignore: tuple[str, ...] = ("target/", "node_modules/", ".git/")
-    extensions: tuple[str, ...] = ("rs", "ts", "py", "toml", "json", "yaml", "md")
+    extensions: tuple[str, ...] = ("rs", "ts", "js", "py", "md", "toml", "json", "yaml")
+    ignore: tuple[str, ...] = ("target/", "node_modules/", ".git/objects/", ".git/logs/", "*.lock")
     debounce_ms: int = 500
+    conversations: bool = True
+    conversations_folder: str = ""
 
 
 @dataclass(frozen=True)
@@ -28,11 +33,26 @@ class Retention:
     importance: float = 0.5
 
 
+@dataclass(frozen=True)
+class Output:
+    """Where memories are kept and written to besides; an empty folder or address is none."""
+
+    tables: str = "memories"
+    memory_files: bool = True
+    memory_folder: str = ""
+    vault_files: bool = False
+    vault_folder: str = ""
+    service: bool = False
+    service_url: str = ""
+    service_key: str = ""
+
+
 @dataclass(frozen=True)
 class Config:
     watch: Watch = field(default_factory=Watch)
     intake: Intake = field(default_factory=Intake)
     retention: Retention = field(default_factory=Retention)
+    output: Output = field(default_factory=Output)
 
 
 def _filled(kind: type, values: dict[str, Any]) -> Any:
@@ -52,3 +72,17 @@ def load(path: str | None = None) -> Config:
         return Config()
     with open(path, "rb") as file:
         return _filled(Config, tomllib.load(file))
+
+
+def save(config: Config, path: str) -> None:
+    """Write all settings as TOML, to be loaded again."""
+
+    def text(value: Any) -> str:
+        if isinstance(value, bool):
+            return str(value).lower()
+        return "[" + ", ".join(map(text, value)) + "]" if isinstance(value, tuple) else json.dumps(value, ensure_ascii=False)
+
+    with open(path, "w", encoding="utf-8") as file:
+        for part in fields(config):
+            own = getattr(config, part.name)
+            file.write(f"[{part.name}]\n" + "".join(f"{f.name} = {text(getattr(own, f.name))}\n" for f in fields(own)) + "\n")

@@ -20,51 +20,65 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{IsAlphabetic}\p{N}_-]+"), lambda w: F.octet_length(w) >= 2)
 
 
-def hashes(tokens: list[str], seed: int) -> np.ndarray:
-    """Seeded FNV-1a of each token, all tokens at once, byte by byte."""
-    raw = [t.encode() for t in tokens]
-    size = np.array([len(r) for r in raw], np.int64)
-    flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
-    at = np.cumsum(size) - size
-    h = np.full(len(raw), (_OFFSET + seed * _SEED_STEP) & _ALL, np.uint64)
-    order = np.argsort(-size, kind="stable")
-    for place in range(int(size.max(initial=0))):
-        live = order[: np.searchsorted(-size[order], -place)]
-        h[live] = (h[live] ^ flat[at[live] + place]) * _PRIME
-    return h
-
-
-def _spread(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The eight dimensions that each token falls on, and their signs."""
-    dims, signs = [], []
-    for seed in range(SEEDS):
-        h = hashes(tokens, seed)
-        for shift, sign in ((0, 8), (16, 24)):
-            dims.append(((h >> np.uint64(shift)) % np.uint64(DIM)).astype(np.int64))
-            signs.append(1.0 - 2.0 * ((h >> np.uint64(sign)) & np.uint64(1)).astype(float))
-    return np.stack(dims, 1), np.stack(signs, 1)
+class Words:
+    """Distinct words as bytes, to be hashed all at once."""
+
+    def __init__(self, words: pa.StringArray):
+        raw = words.cast(pa.large_binary())
+        _, offsets, data = raw.buffers()
+        at = np.frombuffer(offsets, np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+        self.at, self.size = at[:-1], np.diff(at)
+        self.data = np.frombuffer(data, np.uint8).astype(np.uint64) if data is not None else np.zeros(0, np.uint64)
+
+    def onto(self, state: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Seeded FNV-1a states, a row for each of ``words``, after the bytes of that word."""
+        size, at = self.size[words], self.at[words]
+        order = np.argsort(-size, kind="stable")
+        state, at, size = state[order], at[order], size[order]
+        for place in range(int(size[0]) if len(size) else 0):
+            live = int(np.searchsorted(-size, -place))
+            state[:live] = (state[:live] ^ self.data[at[:live] + place][:, None]) * _PRIME
+        out = np.empty_like(state)
+        out[order] = state
+        return out
+
+
+def first_states(n: int) -> np.ndarray:
+    """The states before any byte: a column for each seed."""
+    return np.tile(np.array([(_OFFSET + seed * _SEED_STEP) & _ALL for seed in range(SEEDS)], np.uint64), (n, 1))
+
+
+def _spread(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The eight dimensions that each row of hashes falls on, and their signs."""
+    dims = np.concatenate([h % np.uint64(DIM), (h >> np.uint64(16)) % np.uint64(DIM)], 1).astype(np.int64)
+    signs = 1.0 - 2.0 * np.concatenate([(h >> np.uint64(8)) & np.uint64(1), (h >> np.uint64(24)) & np.uint64(1)], 1).astype(float)
+    return dims, signs
 
 
 def embed_words(lists: pa.ListArray) -> np.ndarray:
     """Unit vectors of lists of words; zero for an empty list.
 
-    Words weigh one each and neighbouring pairs one half, over the list's length.
+    Words weigh one each and neighbouring pairs, joined by a blank, one half,
+    over the list's length. A pair's hash goes on from the first word's.
     """
     n = len(lists)
     flat = lists.flatten().dictionary_encode()
     code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    names = flat.dictionary.to_pylist()
+    words = Words(flat.dictionary)
     size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     doc = np.repeat(np.arange(n), size)
     out = np.zeros(n * DIM)
+    n_words = len(flat.dictionary)
+    alone = words.onto(first_states(n_words), np.arange(n_words))
     pair = np.flatnonzero(doc[:-1] == doc[1:]) if len(doc) else np.zeros(0, np.int64)
-    distinct, which = np.unique(code[pair] * max(len(names), 1) + code[pair + 1], return_inverse=True)
-    pairs = [f"{names[x // len(names)]} {names[x % len(names)]}" for x in distinct.tolist()]
-    for tokens, own, place, weight in ((names, doc, code, 1.0), (pairs, doc[pair], which, 0.5)):
-        if tokens:
-            dims, signs = _spread(tokens)
-            cell = own[:, None] * DIM + dims[place]
-            out += np.bincount(cell.ravel(), (signs[place] * (weight / size[own])[:, None]).ravel(), n * DIM)
+    distinct, which = np.unique(code[pair] * max(n_words, 1) + code[pair + 1], return_inverse=True)
+    blank = (alone[distinct // max(n_words, 1)] ^ np.uint64(0x20)) * _PRIME
+    joined = words.onto(blank, distinct % max(n_words, 1))
+    for h, own, place, weight in ((alone, doc, code, 1.0), (joined, doc[pair], which, 0.5)):
+        dims, signs = _spread(h)
+        share = weight / np.maximum(size, 1)[own]
+        for column in range(dims.shape[1]):
+            out += np.bincount(own * DIM + dims[place, column], signs[place, column] * share, n * DIM)
     out = out.reshape(n, DIM)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)

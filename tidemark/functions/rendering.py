@@ -26,8 +26,9 @@ def slug(title: Column) -> Column:
     return F.left(F.regexp_replace(F.regexp_replace(F.lower(title), " ", "-"), r"[^\p{IsAlphabetic}\p{N}-]", "_"), F.lit(60))
 
 
-def markdown(title: Column, memory_type: Column, importance: Column, tags: Column, content: Column) -> Column:
-    head = F.format_string('---\ntitle: "%s"\ntype: %s\nimportance: %.1f\ntags: [%s]\n---\n\n', F.translate(title, '"', "'"), memory_type, importance.cast("double"), F.array_join(tags, ", "))
+def markdown(title: Column, memory_type: Column, timestamp: Column, tags: Column, importance: Column, content: Column, source: str = "tidemark") -> Column:
+    """Front matter and content; importance has one digit, ties go to the even one."""
+    head = F.format_string('---\ntitle: "%s"\ntype: %s\ndate: %s\ntags: [%s]\nimportance: %.1f\nsource: %s\n---\n\n', F.translate(title, '"', "'"), memory_type, F.date_format(timestamp, "yyyy-MM-dd"), F.array_join(tags, ", "), F.bround(importance.cast("double"), 1), F.lit(source))
     return F.concat(head, content, F.lit("\n"))
 
 

@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 #: Importance is single precision, and commits and new files below this are dropped.
 THRESHOLD = 0.4
 #: Prefixes of commit titles that become tags.
-COMMIT_TAGS = {"fix": "bugfix", "feat": "feature", "refactor": "refactor", "docs": "docs", "test": "test", "chore": "chore", "perf": "performance", "security": "security", "sec": "security"}
+COMMIT_TAGS = {"feat": "feature", "fix": "bugfix", "refactor": "refactor", "docs": "docs", "test": "test", "chore": "chore", "perf": "performance", "security": "security", "sec": "security"}
+#: Titles of memories whose event has none of its own, and bytes that are kept of a decision.
+TITLES = {"UserCorrection": "User correction", "ErrorFixed": "Error fixed", "SessionStart": "Session started", "SessionEnd": "Session ended", "conversation_decision": "Conversation decision"}
+DECISION_BYTES = 200
 #: Importance of a new file by its extension.
 FILE_IMPORTANCE = {"rs": 0.5, "ts": 0.5, "py": 0.5, "toml": 0.4, "json": 0.4, "yaml": 0.4, "md": 0.3}
 #: Files whose change is a change of dependencies.
@@ -102,17 +105,17 @@ def file_memory(path: Column, threshold: float = THRESHOLD) -> Column:
 
 def classify(kind: Column, content: Column, message: Column, files_changed: Column, threshold: float = THRESHOLD) -> Column:
     """The memory of an event, or null: unknown kinds and modified files are dropped."""
-    line = F.substring_index(content, "\n", 1)
+    title = {k: F.lit(t) for k, t in TITLES.items()}
     return (
         F.when(kind == "GitCommit", commit_memory(message, files_changed, threshold))
         .when(kind == "DependencyAdded", _memory(F.concat(F.lit("Dependency change: "), basename(content)), "decision", 0.6, _tags("dependency")))
         .when(kind == "FileCreated", file_memory(content, threshold))
         .when(kind == "FileDeleted", _memory(F.concat(F.lit("Deleted: "), basename(content)), "note", 0.4, _tags()))
-        .when(kind == "UserCorrection", _memory(line, "feedback", 0.9, _tags("feedback", "correction")))
-        .when(kind == "ErrorFixed", _memory(line, "note", 0.6, _tags("bugfix")))
-        .when(kind == "SessionStart", _memory(F.lit("Session started"), "session_summary", 0.5, _tags("session")))
-        .when(kind == "SessionEnd", _memory(F.lit("Session ended"), "session_summary", 0.5, _tags("session")))
-        .when(kind == "conversation_decision", _memory(line, "decision", 0.7, _tags("decision", "conversation")))
+        .when(kind == "UserCorrection", _memory(title["UserCorrection"], "feedback", 0.9, _tags("feedback", "correction")))
+        .when(kind == "ErrorFixed", _memory(title["ErrorFixed"], "note", 0.6, _tags("bugfix")))
+        .when(kind == "SessionStart", _memory(title["SessionStart"], "session_summary", 0.5, _tags("session")))
+        .when(kind == "SessionEnd", _memory(title["SessionEnd"], "session_summary", 0.5, _tags("session")))
+        .when(kind == "conversation_decision", _memory(title["conversation_decision"], "decision", 0.7, _tags("decision", "conversation")))
     )
 
 
@@ -147,3 +150,20 @@ def is_decision(text: Column) -> Column:
 
 def message_kind(text: Column) -> Column:
     return F.when(is_correction(text), "UserCorrection").when(is_decision(text), "conversation_decision")
+
+
+def decision_content(text: Column) -> Column:
+    """The first line, cut to ``DECISION_BYTES`` before a character that would not fit."""
+    line = F.rtrim(F.substring_index(text, "\n", 1), F.lit("\r"))
+    raw = line.cast("binary")
+    # A byte 10xxxxxx goes on with a character that began before it.
+    begins = lambda at: ~F.hex(F.substring(raw, F.lit(at), F.lit(1))).rlike("^[89AB]")
+    n = DECISION_BYTES
+    cut = F.when(begins(n + 1), n).when(begins(n), n - 1).when(begins(n - 1), n - 2).otherwise(n - 3)
+    return F.when(F.octet_length(line) > DECISION_BYTES, F.substring(raw, F.lit(1), cut).cast("string")).otherwise(line)
+
+
+def message_content(text: Column) -> Column:
+    """What is kept of a message: a correction whole, a decision's first line, nothing of others."""
+    kind = message_kind(text)
+    return F.when(kind == "UserCorrection", text).when(kind == "conversation_decision", decision_content(text))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rendering import age, cut
+from .search import in_order
 from .store import recent
 
 #: Newest rows looked at, and rows of each section.
@@ -39,6 +40,13 @@ def graph_summary(all_entities: DataFrame, all_edges: DataFrame, entities: int =
     return top.join(names, "name", "left").select("name", "entity_type", "mention_count", F.coalesce("neighbours", F.lit("")).alias("neighbours"))
 
 
+def topic(found: DataFrame, memories: DataFrame, now: Column) -> DataFrame:
+    """The rows of a merged list of hits (id, similarity, source, rank): vector hits first, each kind by its rank, as lines with what they are and how near."""
+    rows = in_order(found, memories, "id", F.col("source"), F.desc(F.round("rank", 9)), F.col("id"))
+    near, line = F.col("similarity").isNotNull().alias("near"), cut(F.col("content"), 150).alias("line")
+    return rows.select("place", "id", "memory_type", "title", near, F.round("similarity", 2).alias("similarity"), line, age(F.col("timestamp"), now).alias("age"), F.array_join("tags", ", ").alias("tags"))
+
+
 def write(lines: DataFrame, path: str) -> None:
     """The report as one text file; at most the rows of the sections."""
     text = lines.orderBy("section", "place").select(F.concat_ws(" ", F.lit("-"), "line", F.concat(F.lit("("), "age", F.lit(")"))).alias("value"))

@@ -1,8 +1,11 @@
 """Importance from frequency, recency and signal, and the fold that keeps memories.
 
 Every row that is kept changes what later rows are compared with, so keeping
-is a fold over the rows of a key in order. The state is bounded: the newest
-``HISTORY`` kept vectors and their times.
+is a fold over the rows of a key in order. A row is a repeat if any kept row of
+its key is near enough; frequency and recency look back at the newest 100 and
+50. The state is one vector for each kept row of a key (a kilobyte at 256
+dimensions), and near repeats are never kept. A ``Policy`` may bound it to the
+newest rows for keys without end, at the price of forgetting older ones.
 """
 
 from __future__ import annotations
@@ -23,20 +26,21 @@ SIMILAR, FREQUENT, LOOK_FREQUENCY, LOOK_RECENCY, DECAY_HOURS, FLOOR = 0.5, 5.0,
 #: Signal by kind of event, else by type of memory.
 SIGNAL_OF_KIND = {"UserCorrection": 1.0, "ErrorFixed": 0.8, "manual": 0.8, "GitCommit": 0.6}
 SIGNAL_OF_TYPE = {"feedback": 1.0, "security": 0.9, "decision": 0.7, "session_summary": 0.5, "note": 0.4}
-#: Kept rows of a key that later ones are compared with, at most.
-HISTORY = 200
-
 
 @dataclass(frozen=True)
 class Policy:
-    """What a path of intake does with its rows."""
+    """What a path of intake does with its rows; ``history`` bounds the kept rows that are looked back at."""
 
     dedup: float | None = 0.92
     score: bool = True
     threshold: float | None = 0.4
+    history: int | None = None
 
 
+#: Batches of events; corrections, which pass at once; single saves, by hand or by a tool, which keep what scores low; rebuilding.
 BATCH, URGENT, SAVE, BACKFILL = Policy(), Policy(None, False, None), Policy(threshold=None), Policy(None, False, None)
+#: Kinds of event that a save by hand and one by a tool have: the first has a signal of its own, the second that of its type.
+BY_HAND, BY_TOOL = "manual", "mcp"
 
 
 def signal(kind: Column, memory_type: Column) -> Column:
@@ -57,25 +61,36 @@ def combine(frequency: Column, recency: Column, strength: Column) -> Column:
 
 
 class History:
-    """The newest kept rows of one key, as a ring of vectors and times."""
+    """Kept rows of one key, oldest first, as vectors and times."""
+
+    def __init__(self, most: int | None = None):
+        self.most, self.n, self.vectors, self.times = most, 0, None, np.zeros(0, np.int64)
 
-    def __init__(self, size: int = HISTORY):
-        self.size, self.n, self.vectors, self.times = size, 0, None, np.zeros(size, np.int64)
+    def load(self, vectors: np.ndarray, times: np.ndarray) -> None:
+        self.n, self.vectors, self.times = len(times), vectors.copy(), times.copy()
 
     def add(self, vector: np.ndarray, time: int) -> None:
         if self.vectors is None:
-            self.vectors = np.zeros((self.size, len(vector)), np.float32)
-        self.vectors[self.n % self.size] = vector
-        self.times[self.n % self.size] = time
+            self.vectors, self.times = np.zeros((16, len(vector)), np.float32), np.zeros(16, np.int64)
+        if self.most is not None and self.n >= 2 * self.most:
+            self.vectors[: self.most], self.times[: self.most] = self.vectors[self.n - self.most : self.n].copy(), self.times[self.n - self.most : self.n].copy()
+            self.n = self.most
+        if self.n == len(self.times):
+            self.vectors, self.times = (np.concatenate([x, np.zeros_like(x)]) for x in (self.vectors, self.times))
+        self.vectors[self.n], self.times[self.n] = vector, time
         self.n += 1
 
+    def kept(self) -> tuple[np.ndarray | None, np.ndarray]:
+        """Vectors and times, the newest ``most`` of them."""
+        first = max(0, self.n - self.most) if self.most is not None else 0
+        return (None if self.vectors is None else self.vectors[first : self.n]), self.times[first : self.n]
+
     def similar(self, vector: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and times, newest first; a zero vector is similar to none."""
-        have = min(self.n, self.size)
-        if not have:
+        vectors, times = self.kept()
+        if vectors is None:
             return np.zeros(0), np.zeros(0, np.int64)
-        order = (self.n - 1 - np.arange(have)) % self.size
-        return self.vectors[order] @ vector, self.times[order]
+        return (vectors @ vector)[::-1], times[::-1]
 
 
 def judge(history: History, vector: np.ndarray, time: int, strength: float, policy: Policy) -> tuple[str, float | None]:
@@ -102,19 +117,21 @@ def fold(rows: DataFrame, key: str, policy: Policy = BATCH) -> DataFrame:
     """(id, key, outcome, score) of each row of (id, key, timestamp, strength, embedding), in order of (timestamp, id).
 
     Rows are dealt by key and sorted; a task streams them and holds one key's
-    history. Keys run in parallel, and no key's rows are gathered.
+    history. Keys run in parallel, and no key's rows are gathered. A key is one
+    stream, as the fate of a row depends on that of all before it, so keys
+    should be fine enough.
     """
     dealt = rows.select("id", key, "timestamp", "strength", "embedding").repartition(key).sortWithinPartitions(key, "timestamp", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, history = object(), History()
+        own, history = object(), History(policy.history)
         for batch in batches:
             times = pc.cast(batch.column("timestamp"), pa.int64()).to_pylist()
             keys, strengths = batch.column(key).to_pylist(), batch.column("strength").to_pylist()
             outcomes, scores = [], []
             for i, at in enumerate(keys):
                 if at != own:
-                    own, history = at, History()
+                    own, history = at, History(policy.history)
                 vector = batch.column("embedding")[i].values.to_numpy(zero_copy_only=False).astype(np.float32)
                 outcome, score = judge(history, vector, times[i], strengths[i], policy)
                 outcomes.append(outcome)
@@ -123,3 +140,11 @@ def fold(rows: DataFrame, key: str, policy: Policy = BATCH) -> DataFrame:
 
     kind = dict(rows.dtypes)
     return dealt.mapInArrow(run, f"id {kind['id']}, {key} {kind[key]}, outcome string, score double")
+
+
+def outcomes(folded: DataFrame, dropped: DataFrame | None = None) -> DataFrame:
+    """(outcome, n): rows saved, deduped and of low importance, and rows of ``dropped`` as skipped."""
+    each = folded.select("outcome")
+    if dropped is not None:
+        each = each.unionByName(dropped.select(F.lit("skipped").alias("outcome")))
+    return each.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))

@@ -1,4 +1,9 @@
-"""Ranked full-text search over title, content and tags, and its merge with vector hits."""
+"""Ranked full-text search over title, content and tags, and its merge with vector hits.
+
+A search either reads a stored index (``write_index``, ``lookup``), of which it
+needs the rows of its terms only, or goes through the texts once (``search``).
+Both give the same scores.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the ranking.
@@ -25,7 +30,8 @@ MARKED, PLAIN = ("".join(x) for x in zip(*_unaccented().items(), strict=True))
 
 def tokens(text: Column) -> Column:
     """Runs of letters and digits, lower-case and without marks."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, PLAIN)
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    plain = F.when(F.octet_length(lower) > F.char_length(lower), F.translate(lower, MARKED, PLAIN)).otherwise(lower)
     return F.filter(F.split(plain, r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: t != "")
 
 
@@ -51,10 +57,15 @@ class Match:
             raise ValueError("a search needs a term to look for")
 
 
-def _occurrences(words: Column, term: Term) -> Column:
+def _parts(term: Term) -> list[str]:
     parts = term.text.lower().translate(str.maketrans(MARKED, PLAIN)).split()
     if not parts:
         raise ValueError("an empty term")
+    return parts
+
+
+def _occurrences(words: Column, term: Term) -> Column:
+    parts = _parts(term)
     if len(parts) == 1:
         hit = lambda w: w.startswith(parts[0]) if term.prefix else w == parts[0]
         return F.size(F.filter(words, hit))
@@ -81,7 +92,17 @@ def search(rows: DataFrame, match: Match, key: str, columns: tuple[str, ...], n:
     count = lambda t: reduce(lambda a, b: a + b, (_occurrences(F.col(f"_{c}"), t) for c in columns if t.column in (None, c)))
     length = reduce(lambda a, b: a + b, (F.size(f"_{c}") for c in columns))
     counted = words.select(key, length.alias("length"), *(count(t).alias(f"tf{i}") for i, t in enumerate(terms)))
-    facts = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"n{i}") for i in range(len(terms)))).first()
+    facts = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *_frequencies(terms)).first().asDict()
+    return _best(counted, match, key, n, facts)
+
+
+def _frequencies(terms: tuple[Term, ...]) -> list[Column]:
+    return [F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"n{i}") for i in range(len(terms))]
+
+
+def _best(counted: DataFrame, match: Match, key: str, n: int, facts: dict) -> DataFrame:
+    """The n best of the rows (key, length, tf0, tf1, ...), with the numbers and the mean length of all rows at hand."""
+    terms = match.all_of + match.any_of + match.none_of
     score = F.lit(0.0)
     for i in range(len(match.all_of) + len(match.any_of)):
         have = facts[f"n{i}"]
@@ -97,9 +118,54 @@ def search(rows: DataFrame, match: Match, key: str, columns: tuple[str, ...], n:
 
 
 def postings(rows: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
-    """An index to store: (term, key, column, tf), for searches that should not read the texts."""
-    each = [rows.select(F.col(key), F.lit(c).alias("column"), F.explode(tokens(F.col(c))).alias("term")) for c in columns]
-    return reduce(DataFrame.unionByName, each).groupBy("term", key, "column").agg(F.count(F.lit(1)).alias("tf"))
+    """(term, key, column, length, tf, places): where each term stands in each column of each row; length is that of the row, all columns."""
+    words = rows.select(F.col(key), *(tokens(F.col(c)).alias(f"_{c}") for c in columns))
+    words = words.withColumn("length", reduce(lambda a, b: a + b, (F.size(f"_{c}") for c in columns)))
+    each = [words.select(F.col(key), "length", F.lit(c).alias("column"), F.posexplode(f"_{c}").alias("place", "term")) for c in columns]
+    found = reduce(DataFrame.unionByName, each).groupBy("term", key, "column", "length").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    return found.select("term", key, "column", "length", F.size("places").cast("long").alias("tf"), "places")
+
+
+def write_index(rows: DataFrame, key: str, columns: tuple[str, ...], path: str) -> None:
+    """Store the postings below ``path``, sorted by term so that a search reads few row groups, and a row of facts.
+
+    Ranges are of (term, key), so a term of very many rows has several files.
+    """
+    found = postings(rows, key, columns)
+    found.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
+    length = reduce(lambda a, b: a + b, (F.size(tokens(F.col(c))) for c in columns))
+    rows.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("mean")).write.mode("overwrite").parquet(f"{path}/facts")
+
+
+def lookup(spark: SparkSession, path: str, match: Match, key: str, n: int) -> DataFrame:
+    """The n best rows of a stored index: (key, score), as ``search`` gives them.
+
+    Reads the rows of the terms only. A phrase is where its words' places,
+    shifted by their position in the phrase, agree.
+    """
+    index, terms = spark.read.parquet(f"{path}/postings"), match.all_of + match.any_of + match.none_of
+    hits = []
+    for i, term in enumerate(terms):
+        parts = _parts(term)
+        own = index.where(F.col("column") == term.column) if term.column else index
+        each = [own.where(F.col("term").startswith(p) if term.prefix and j == len(parts) - 1 else F.col("term") == p) for j, p in enumerate(parts)]
+        if len(parts) == 1:
+            found = each[0].select(key, "length", "tf")
+        else:
+            starts = [e.select(key, "length", "column", F.explode("places").alias("place"), F.lit(j).alias("part")).withColumn("place", F.col("place") - j) for j, e in enumerate(each)]
+            met = reduce(DataFrame.unionByName, starts).groupBy(key, "length", "column", "place").agg(F.bit_or(F.expr("shiftleft(1L, part)")).alias("parts"))
+            found = met.where(F.col("parts") == (1 << len(parts)) - 1).select(key, "length", F.lit(1).cast("long").alias("tf"))
+        hits.append(found.withColumn("number", F.lit(i)))
+    tf = [F.coalesce(F.sum(F.when(F.col("number") == i, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i in range(len(terms))]
+    counted = reduce(DataFrame.unionByName, hits).groupBy(key, "length").agg(*tf)
+    facts = spark.read.parquet(f"{path}/facts").first().asDict() | counted.agg(*_frequencies(terms)).first().asDict()
+    return _best(counted, match, key, n, facts)
+
+
+def in_order(hits: DataFrame, rows: DataFrame, key: str, *order: Column) -> DataFrame:
+    """The rows of a short list of hits, all columns and those of the hits, with their ``place`` in the given order; keys without a row are left out."""
+    placed = hits.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # the results of a limit
+    return rows.join(F.broadcast(placed), key)
 
 
 def hybrid(vector_hits: DataFrame, text_hits: DataFrame, key: str) -> DataFrame:
@@ -109,7 +175,7 @@ def hybrid(vector_hits: DataFrame, text_hits: DataFrame, key: str) -> DataFrame:
     lists, the results of a limit.
     """
     hits = vector_hits.select(key, "similarity", F.lit(0).alias("source"), F.col("similarity").alias("rank"))
-    other = text_hits.join(vector_hits.limit(1).select(F.lit(True).alias("any")))  # one row or none
-    other = other.select(key, F.lit(None).cast("double").alias("similarity"), F.lit(1).alias("source"), F.col("score").alias("rank"))
-    both = hits.unionByName(other).groupBy(key).agg(F.min_by(F.struct("similarity", "source", "rank"), "source").alias("h"))
+    other = text_hits.select(key, F.lit(None).cast("double").alias("similarity"), F.lit(1).alias("source"), F.col("score").alias("rank"))
+    every = hits.unionByName(other).withColumn("any", F.min("source").over(Window.partitionBy(F.lit(0))) == 0)  # two short lists
+    both = every.where("any").groupBy(key).agg(F.min_by(F.struct("similarity", "source", "rank"), "source").alias("h"))
     return both.select(key, F.col("h.similarity").alias("similarity"), F.col("h.source").alias("source"), F.col("h.rank").alias("rank"))

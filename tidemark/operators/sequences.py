@@ -9,6 +9,7 @@ before, so one key is one stream; different keys run in parallel.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import numpy as np
 import pyarrow as pa
@@ -17,23 +18,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def throttle(events: DataFrame, key: str, seconds: int) -> DataFrame:
-    """Events of a key that come ``seconds`` or more after the last accepted one; the first is accepted.
+def throttle(events: DataFrame, key: str | None, seconds: int, start: datetime | None = None) -> DataFrame:
+    """Events of a key that come ``seconds`` or more after the last accepted one.
 
-    Greedy, not a session window: an event that is dropped does not move the clock.
+    Greedy, not a session window: an event that is dropped does not move the
+    clock. The first event of a key is accepted, or, with ``start``, the first
+    one ``seconds`` after that. Without a key all events share one clock and so
+    are one stream; that is for short logs.
     """
     gap = seconds * 1_000_000
-    dealt = events.repartition(key).sortWithinPartitions(key, "ts", "event_id")
+    began = None if start is None else int(start.replace(tzinfo=timezone.utc).timestamp() * 1_000_000)
+    dealt = events.repartition(key).sortWithinPartitions(key, "ts", "event_id") if key else events.repartition(1).sortWithinPartitions("ts", "event_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = last = None
+        own, last = None, began
         for batch in batches:
-            keys = batch.column(key).to_pylist()
+            keys = batch.column(key).to_pylist() if key else [None] * batch.num_rows
             times = pc.cast(batch.column("ts"), pa.int64()).to_numpy(zero_copy_only=False)
             keep = np.zeros(len(keys), bool)
             for i, at in enumerate(keys):
-                if at != own or last is None or times[i] - last >= gap:
-                    own, last, keep[i] = at, times[i], True
+                if at != own:
+                    own, last = at, began
+                if last is None or times[i] - last >= gap:
+                    last, keep[i] = times[i], True
             yield batch.filter(pa.array(keep))
 
     return dealt.mapInArrow(run, events.schema)

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 DATA_BLOCK, QUERY_BLOCK = 4096, 256
 
 
-def _blocks(df: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
-    """Rows of about ``size`` vectors: (name, name_ids, name_vectors)."""
-    parts = max(1, -(-df.count() // size))
+def _blocks(df: DataFrame, key: str, vector: str, parts: int, name: str) -> DataFrame:
+    """So many rows of about equally many vectors: (name, name_ids, name_vectors)."""
     block = F.pmod(F.xxhash64(key), F.lit(parts)).alias(name)
     return df.where(F.col(vector).isNotNull()).groupBy(block).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(vector).alias("v"))).alias("rows")).select(name, F.col("rows.id").alias(f"{name}_ids"), F.col("rows.v").alias(f"{name}_vectors"))
 
@@ -31,17 +30,16 @@ def near(data: DataFrame, queries: DataFrame, key: str, vector: str = "embedding
     """(query, id, similarity): for each query its k most similar other rows of at least that cosine.
 
     Data and queries are packed into blocks; every query block meets every
-    data block by an equi-join on the data block's number, which the few, small
-    query blocks are repeated for. A block's best k go on, so what is shuffled
+    data block by an equi-join on the data block's number, for each of which
+    the query blocks are repeated. A block's best k go on, so what is shuffled
     does not depend on the number of data rows a block holds. Zero vectors
     are similar to none. Vectors must have one length.
     """
-    blocks = _blocks(data, key, vector, DATA_BLOCK, "data")
-    numbers = blocks.select("data")
-    asked = _blocks(queries, key, vector, QUERY_BLOCK, "asked")
-    # Query blocks beside each data block's number: blocks of queries times blocks of data, as rows of vectors.
-    parts = numbers.agg(F.collect_set("data").alias("all"))
-    met = asked.join(F.broadcast(parts)).select("asked_ids", "asked_vectors", F.explode("all").alias("data")).join(blocks, "data")
+    parts = max(1, -(-data.count() // DATA_BLOCK))
+    blocks = _blocks(data, key, vector, parts, "data")
+    asked = _blocks(queries, key, vector, max(1, -(-queries.count() // QUERY_BLOCK)), "asked")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("data")
+    met = asked.select("asked_ids", "asked_vectors", every).join(blocks, "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

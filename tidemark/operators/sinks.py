@@ -14,11 +14,16 @@ from ..functions.rendering import file_name, markdown
 
 def memory_files(memories: DataFrame) -> DataFrame:
     """(path, body): one Markdown text for each memory; of equal paths the newest, as a later file replaces an earlier."""
-    body = markdown(F.col("title"), F.col("memory_type"), F.col("importance"), F.col("tags"), F.col("content"))
+    body = markdown(F.col("title"), F.col("memory_type"), F.col("timestamp"), F.col("tags"), F.col("importance"), F.col("content"))
     rows = memories.select(file_name(F.col("timestamp"), F.col("title")).alias("path"), body.alias("body"), "timestamp", "id")
     return rows.groupBy("path").agg(F.max_by("body", F.struct("timestamp", "id")).alias("body"))
 
 
+def project_folder(base: str, project: str) -> str:
+    """Where a project's memory files lie: a folder named after its path, with - for /."""
+    return f"{base.rstrip('/')}/-{project.replace('/', '-').lstrip('-')}/memory"
+
+
 def vault_files(memories: DataFrame) -> DataFrame:
     """The same with a last line of #tags."""
     tagged = F.concat("content", F.lit("\n\n"), F.array_join(F.transform("tags", lambda t: F.concat(F.lit("#"), t)), " "))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import single
@@ -74,8 +74,9 @@ def cleanup(memories: DataFrame, now: datetime, days: int = 30, importance: floa
 
 
 def import_new(incoming: DataFrame, existing: DataFrame, key: str = "id", order: str = "timestamp") -> DataFrame:
-    """Rows to add: the first of each key among the incoming, where the key isn't stored yet."""
-    first = incoming.groupBy(key).agg(F.min_by(F.struct(*incoming.columns), order).alias("_first")).select("_first.*")
+    """Rows to add: the first of each key among the incoming, where the key isn't stored yet; rows without ``order`` come last."""
+    place = F.struct(F.col(order).isNull(), F.col(order))
+    first = incoming.groupBy(key).agg(F.min_by(F.struct(*incoming.columns), place).alias("_first")).select("_first.*")
     return first.join(existing.select(key), key, "left_anti")
 
 
@@ -85,7 +86,34 @@ def with_defaults(incoming: DataFrame) -> DataFrame:
     return incoming.withColumns({c: F.coalesce(F.col(c), d) if c in incoming.columns else d for c, d in defaults.items()})
 
 
+#: The fields of an exported row, in their order.
+EXPORTED = ("id", "timestamp", "title", "content", "memory_type", "tags", "source", "importance", "metadata")
+
+
+def instant(timestamp: Column) -> Column:
+    """A time as text, in UTC with its offset; microseconds where there are any."""
+    rest = F.date_format(timestamp, ".SSSSSS")
+    return F.concat(F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss"), F.when(rest == ".000000", "").otherwise(rest), F.lit("+00:00"))
+
+
 def export(memories: DataFrame) -> DataFrame:
-    """One JSON text for each row, oldest first; tags stay JSON within it."""
-    fields = F.struct("id", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "title", "memory_type", F.to_json("tags").alias("tags"))
+    """(id, json): all fields of each row, oldest first; tags, source and metadata are JSON texts within it."""
+    quoted = F.concat(F.lit('"'), F.col("source"), F.lit('"'))
+    shaped = {"timestamp": instant(F.col("timestamp")), "tags": F.to_json("tags"), "source": quoted, "importance": F.col("importance").cast("double")}
+    fields = F.struct(*(shaped.get(c, F.col(c)).alias(c) for c in EXPORTED))
     return memories.orderBy("timestamp", "id").select("id", F.to_json(fields).alias("json"))
+
+
+def imported(lines: DataFrame) -> DataFrame:
+    """Rows of exported JSON, one text each: the fields of ``EXPORTED`` with tags as an array, source unquoted and the defaults of an import."""
+    schema = "id string, timestamp string, title string, content string, memory_type string, tags string, source string, importance double, metadata string"
+    rows = lines.select(F.from_json("json", schema).alias("r")).select("r.*")
+    tags = F.coalesce(F.from_json("tags", "array<string>"), F.array().cast("array<string>"))
+    return with_defaults(rows.withColumns({"tags": tags, "timestamp": F.to_timestamp_ntz(F.regexp_replace("timestamp", "(Z|[+]00:00)$", "")), "source": F.regexp_replace("source", '^"|"$', ""), "importance": F.col("importance").cast("float")}))
+
+
+def summary(memories: DataFrame, extracted_totals: DataFrame, now: datetime) -> DataFrame:
+    """One row: rows, embedded rows, last activity, silent hours, entities and edges of the graph."""
+    facts = memories.agg(F.count(F.lit(1)).alias("n_total"), F.count("embedding").alias("n_embedded"), F.max("timestamp").alias("last_activity"))
+    silent = F.timestamp_diff("MINUTE", F.col("last_activity"), F.lit(now).cast("timestamp_ntz")) / 60
+    return facts.withColumn("silent_hours", silent).join(F.broadcast(extracted_totals))  # one row each

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,10 @@ from ..functions import rendering, rules
 from ..functions.embedding import with_embedding
 from ..operators import graph, report, scoring, search, sequences, similarity, store
 from ..shared.scratch import Scratch
-from ..sources import adapters
-from ..sources.adapters import COMMITS, FILES, MEMORIES
+from ..sources import adapters, messages
+from ..sources.adapters import COMMITS, FILES, KINDS, MEMORIES
+from ..streaming import ingest
+from . import oracle_values as own
 
 #: Times are compared with this instant, so that every run gives the same rows.
 NOW = datetime(2024, 1, 31)
@@ -43,9 +46,10 @@ def recent_topk(spark, sf_dir):
     return store.recent(adapters.memories(spark, sf_dir), 10).select("id", "title", "memory_type", "timestamp")
 
 
-@query(f"with {MEMORIES} select memory_type, count(*) as n_memories, cast(0 as bigint) as n_embedded, (select count(*) from memories_v) as n_total from memories_v group by 1")
+@query(f"""with {MEMORIES} select memory_type, count(*) as n_memories, count(embedding) as n_embedded, (select count(*) from memories_v) as n_total from memories_v left join embeddings on vec_id = id group by 1""")
 def stats_by_type(spark, sf_dir):
-    return store.stats(adapters.memories(spark, sf_dir))
+    vectors = adapters.vectors(spark, sf_dir).withColumnRenamed("vec_id", "id")
+    return store.stats(adapters.memories(spark, sf_dir).join(vectors, "id", "left"))
 
 
 @query(f"with {MEMORIES} select cast(timestamp as date) as day, count(*) as n_memories from memories_v where timestamp >= date '2024-01-31' - 28 group by 1")
@@ -102,10 +106,20 @@ def import_anti_join(spark, sf_dir):
     return store.import_new(memories, stored).select("id", "title")
 
 
-@query(f"""with {MEMORIES} select id, to_json({{'id': id, 'timestamp': strftime(timestamp, '%Y-%m-%dT%H:%M:%S'), 'memory_type': memory_type, 'tags': cast(to_json(tags) as varchar)}}) as json from memories_v""")
+@query(f"""with {MEMORIES} select id, to_json({{'id': id, 'timestamp': strftime(timestamp, '%Y-%m-%dT%H:%M:%S') || '+00:00', 'title': title, 'content': content, 'memory_type': memory_type,
+    'tags': cast(to_json(tags) as varchar), 'source': '"' || source || '"', 'importance': importance::double, 'metadata': metadata}})::varchar as json from memories_v""")
 def export_rows(spark, sf_dir):
-    rows = adapters.memories(spark, sf_dir)
-    return store.export(rows).select("id", F.to_json(F.from_json("json", "id long, timestamp string, memory_type string, tags string")).alias("json"))
+    return store.export(adapters.memories(spark, sf_dir))
+
+
+@query(f"""with {MEMORIES} select id::varchar as id, timestamp, title, content, memory_type, array_to_string(tags, ',') as tags, source, importance::double as importance, metadata from memories_v
+    where id not in (select doc_id from labels)""")
+def export_import(spark, sf_dir):
+    """All rows exported, read back, and those added that are not stored yet."""
+    rows = store.imported(store.export(adapters.memories(spark, sf_dir)))
+    stored = adapters.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id")).distinct()
+    shaped = {"tags": F.array_join("tags", ","), "importance": F.col("importance").cast("double")}
+    return store.import_new(rows, stored).select(*(shaped.get(c, F.col(c)).alias(c) for c in store.EXPORTED))
 
 
 _DECISION = "(m like 'feat%' or contains(m, 'add ') or contains(m, 'implement'))"
@@ -120,7 +134,7 @@ _TAGS = "list_filter([case prefix when 'feat' then 'feature' when 'fix' then 'bu
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapters.commits(spark, sf_dir)
     memory = rules.classify(F.lit("GitCommit"), F.col("message"), F.col("message"), F.col("files_changed"))
-    return rows.select("event_id", "ts", memory.alias("m")).where("m is not null").select("event_id", "ts", "m.*")
+    return rows.select("event_id", "ts", "user_id", memory.alias("m")).where("m is not null").select("event_id", "ts", "user_id", "m.*")
 
 
 @query(f"with {_COMMIT_MEMORIES} select event_id, title, memory_type, round(case when files_changed > 10 then least(base + 0.2, 1.0) else base end, 6)::double as importance, array_to_string({_TAGS}, ',') as tags from kept")
@@ -149,26 +163,51 @@ def file_events(spark, sf_dir):
     return rows.select("event_id", "kind", memory.alias("m")).where("m is not null").select("event_id", "kind", "m.title", F.round(F.col("m.importance").cast("double"), 6).alias("importance"))
 
 
-def _has(column: str, parts: tuple[str, ...]) -> str:
-    return "(" + " or ".join("contains({}, '{}')".format(column, p.replace("'", "''")) for p in parts) + ")"
+_CORRECTS, _DECIDES = (f"strlen(lower(text)) <= 500 and {own.CORRECTION.format(x='lower(text)')}", own.DECISION.format(x="lower(text)"))
 
 
-@query(f"""select conv_id, turn, case when strlen(lower(text)) <= 500 and {_has("lower(text)", rules.CORRECTIONS)} then 'UserCorrection' else 'conversation_decision' end as kind from conversations
-    where role = 'user' and strlen(text) >= 10 and not contains(text, '<system-reminder>') and ((strlen(lower(text)) <= 500 and {_has("lower(text)", rules.CORRECTIONS)}) or {_has("lower(text)", rules.DECISIONS)})""")
+@query(f"""select conv_id, turn, case when {_CORRECTS} then 'UserCorrection' else 'conversation_decision' end as kind from conversations
+    where role = 'user' and strlen(text) >= 10 and not contains(text, '<system-reminder>') and (({_CORRECTS}) or {_DECIDES})""")
 def corrections(spark, sf_dir):
-    rows = adapters.user_messages(spark, sf_dir).where((F.octet_length("text") >= 10) & ~F.col("text").contains("<system-reminder>"))
+    lines = adapters.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message"))).alias("line"))
+    rows = messages.user_messages(lines)
     return rows.select("conv_id", "turn", rules.message_kind(F.col("text")).alias("kind")).where("kind is not null")
 
 
 _SAID = "case event_type when 'signup' then 'Let''s use Redis for ' || event_id when 'error' then 'нет, лучше используй PostgreSQL' when 'purchase' then 'Переходим на FastAPI' when 'view' then 'покажи мне код' else 'decision: keep it' end"
 
 
-@query(f"with said as (select event_id, {_SAID} as text from events) select case when {_has('lower(text)', rules.CORRECTIONS)} then 'UserCorrection' when {_has('lower(text)', rules.DECISIONS)} then 'conversation_decision' end as kind, count(*) as n from said group by 1")
+@query(f"with said as (select event_id, {_SAID} as text from events) select case when {_CORRECTS} then 'UserCorrection' when {_DECIDES} then 'conversation_decision' end as kind, count(*) as n from said group by 1")
 def decisions(spark, sf_dir):
     rows = adapters.table(spark, sf_dir, "events").select(F.expr(_SAID.replace("''", "\\'")).alias("text"))
     return rows.groupBy(rules.message_kind(F.col("text")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_LONG = f"repeat(({_SAID}) || ' ', (event_id % 23)::int)"
+
+
+@query(f"""with said as (select event_id, {_LONG} as text from events), judged as (select event_id, text, case when {_CORRECTS} then 'UserCorrection' when {_DECIDES} then 'conversation_decision' end as kind from said)
+    select event_id, kind, case when kind = 'UserCorrection' or strlen(text) <= 200 then text else left(text, list_max(list_filter(range(0, 201), lambda k: strlen(left(text, k)) <= 200))::int) end as content from judged where kind is not null""")
+def message_contents(spark, sf_dir):
+    """What is kept of long messages: corrections whole, of decisions as many characters as fit in 200 bytes."""
+    said = F.expr(_SAID.replace("''", "\\'"))
+    rows = adapters.table(spark, sf_dir, "events").select("event_id", F.repeat(F.concat(said, F.lit(" ")), (F.col("event_id") % 23).cast("int")).alias("text"))
+    return rows.select("event_id", rules.message_kind(F.col("text")).alias("kind"), rules.message_content(F.col("text")).alias("content")).where("kind is not null")
+
+
+@query(f"""with {KINDS}, made as (select event_id, kind, case kind when 'DependencyAdded' then 'Dependency change: Cargo.toml' when 'FileCreated' then 'New file: app.ts' when 'FileDeleted' then 'Deleted: a b.md'
+        when 'UserCorrection' then 'User correction' when 'ErrorFixed' then 'Error fixed' when 'SessionStart' then 'Session started' when 'SessionEnd' then 'Session ended' when 'conversation_decision' then 'Conversation decision' end as title,
+        case when kind in ('DependencyAdded', 'conversation_decision') then 'decision' when kind = 'UserCorrection' then 'feedback' when kind in ('SessionStart', 'SessionEnd') then 'session_summary' else 'note' end as memory_type,
+        case kind when 'UserCorrection' then 0.9 when 'conversation_decision' then 0.7 when 'DependencyAdded' then 0.6 when 'ErrorFixed' then 0.6 when 'FileDeleted' then 0.4 else 0.5 end::double as importance,
+        case kind when 'DependencyAdded' then 'dependency' when 'UserCorrection' then 'feedback,correction' when 'ErrorFixed' then 'bugfix' when 'SessionStart' then 'session' when 'SessionEnd' then 'session' when 'conversation_decision' then 'decision,conversation' else '' end as tags from kinds_v)
+    select * from made where title is not null""")
+def classify_kinds(spark, sf_dir):
+    """Every kind of event but commits, which ``classify_commits`` has."""
+    memory = rules.classify(F.col("kind"), F.col("content"), F.lit(None).cast("string"), F.lit(0))
+    rows = adapters.kinds(spark, sf_dir).select("event_id", "kind", memory.alias("m")).where("m is not null")
+    return rows.select("event_id", "kind", "m.title", "m.memory_type", F.round(F.col("m.importance").cast("double"), 6).alias("importance"), F.array_join("m.tags", ",").alias("tags"))
+
+
 @query("""with recursive k as (select user_id, min(ts) as ts from events group by 1
     union all select k.user_id, (select min(e.ts) from events e where e.user_id = k.user_id and e.ts >= k.ts + interval 6 hours) from k where k.ts is not null)
     select user_id, ts from k where ts is not null""")
@@ -177,6 +216,29 @@ def throttle(spark, sf_dir):
     return sequences.throttle(rows, "user_id", 6 * 3600).select("user_id", "ts")
 
 
+@query("""with recursive k as (select min(ts) as ts from events where ts >= timestamp '2024-01-01' + interval 2 hours
+    union all select (select min(e.ts) from events e where e.ts >= k.ts + interval 2 hours) from k where k.ts is not null) select ts from k where ts is not null""")
+def throttle_all(spark, sf_dir):
+    """One clock for all events, which starts before the first of them."""
+    rows = adapters.table(spark, sf_dir, "events").select("event_id", "ts")
+    return sequences.throttle(rows, None, 2 * 3600, datetime(2024, 1, 1)).select("ts")
+
+
+@query(ORACLE_SQL["throttle"])
+def stream_throttle(spark, sf_dir):
+    """The throttle as a stream over the events in four micro-batches: the same rows as the batch."""
+    scratch = Scratch(spark, "stream-throttle")
+    rows = adapters.table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    cuts = rows.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.25, 0.5, 0.75])).first()[0]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows.where((at >= low) if low is not None else F.lit(True)).where((at < high) if high is not None else F.lit(True))
+        part.coalesce(1).write.mode("append").parquet(f"{scratch.path}/events")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch.path}/events")
+    ingest.into_table(ingest.throttled(stream, "user_id", 6 * 3600), f"{scratch.path}/out", f"{scratch.path}/offsets", every=None).awaitTermination()
+    return spark.read.parquet(f"{scratch.path}/out").select("user_id", "ts")
+
+
 @query("""with polled as (select event_id, user_id, event_type, lag(event_type) over w as previous, row_number() over w as n from events window w as (partition by user_id order by ts, event_id))
     select event_id, user_id, event_type, previous from polled where n > 1 and event_type is distinct from previous""")
 def head_changes(spark, sf_dir):
@@ -193,11 +255,11 @@ def upsert_latest(spark, sf_dir):
 _SLUG = "left(regexp_replace(replace(lower(title), ' ', '-'), '[^\\p{L}\\p{N}-]', '_', 'g'), 60)"
 
 
-@query(f"""with {MEMORIES} select id, strftime(timestamp, '%Y-%m-%d') || '-' || {_SLUG} || '.md' as path, '---' || chr(10) || 'title: "' || replace(title, '"', '''') || '"' || chr(10) || 'type: ' || memory_type || chr(10) || 'tags: [' || array_to_string(tags, ', ') || ']' as head from memories_v""")
+@query(f"""with {MEMORIES} select id, strftime(timestamp, '%Y-%m-%d') || '-' || {_SLUG} || '.md' as path, '---' || chr(10) || 'title: "' || replace(title, '"', '''') || '"' || chr(10) || 'type: ' || memory_type || chr(10) || 'date: ' || strftime(timestamp, '%Y-%m-%d')
+    || chr(10) || 'tags: [' || array_to_string(tags, ', ') || ']' || chr(10) || 'importance: ' || format('{{:.1f}}', importance::double) || chr(10) || 'source: tidemark' || chr(10) || '---' || chr(10) || chr(10) || content || chr(10) as body from memories_v""")
 def slug_render(spark, sf_dir):
-    text = rendering.markdown(F.col("title"), F.col("memory_type"), F.col("importance"), F.col("tags"), F.lit(""))
-    head = F.regexp_replace(F.substring_index(text, "\n---", 1), "\nimportance: [0-9.]+", "")
-    return adapters.memories(spark, sf_dir).select("id", rendering.file_name(F.col("timestamp"), F.col("title")).alias("path"), head.alias("head"))
+    text = rendering.markdown(F.col("title"), F.col("memory_type"), F.col("timestamp"), F.col("tags"), F.col("importance"), F.col("content"))
+    return adapters.memories(spark, sf_dir).select("id", rendering.file_name(F.col("timestamp"), F.col("title")).alias("path"), text.alias("body"))
 
 
 @query(f"""with {MEMORIES}, aged as (select *, date_sub('minute', timestamp, {_NOW}) as m from memories_v)
@@ -224,8 +286,20 @@ def similar_pairs(spark, sf_dir):
     return similarity.near(rows, rows.where("vec_id % 50 = 0"), "vec_id", least=0.25).select("query", "id", F.round("similarity", 6).alias("similarity"))
 
 
-_ACCENTS = f"translate(lower(text), '{search.MARKED}', '{search.PLAIN}')"
-_TOKENS = f"list_filter(regexp_split_to_array({_ACCENTS}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+_TOKENS = "list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
+_INDEXES: dict[tuple, str] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the stored index of the memories' contents; built once, and again when the table's files have changed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = (spark.sparkContext.applicationId, sf_dir, files.getFileStatus(path).getModificationTime(), files.getContentSummary(path).getLength())
+    if state not in _INDEXES or not files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{_INDEXES[state]}/facts")):
+        folder = Scratch(spark, "index").path
+        search.write_index(adapters.memories(spark, sf_dir), "id", ("content",), folder)
+        _INDEXES[state] = folder
+    return _INDEXES[state]
 
 
 def _bm25_sql(terms: tuple[str, ...], need: str) -> str:
@@ -239,13 +313,54 @@ def _bm25_sql(terms: tuple[str, ...], need: str) -> str:
 @query(f"with {_bm25_sql(('idiot', 'license'), 'tf0 > 0 or tf1 > 0')} select id, round(score, 6) as score from ranked order by ranked.score desc, id limit 20")
 def bm25_search(spark, sf_dir):
     match = search.Match(any_of=(search.Term("idiot"), search.Term("License")))
-    return search.search(adapters.memories(spark, sf_dir), match, "id", ("content",), 20).select("id", F.round("score", 6).alias("score"))
+    return search.lookup(spark, _index(spark, sf_dir), match, "id", 20).select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"with {_bm25_sql(('licensed', 'under'), 'tf0 > 0 and tf1 > 0')} select id, round(score, 6) as score from ranked order by ranked.score desc, id limit 10")
 def bm25_all_of(spark, sf_dir):
     match = search.Match(all_of=(search.Term("licensed"), search.Term("under")))
-    return search.search(adapters.memories(spark, sf_dir), match, "id", ("content",), 10).select("id", F.round("score", 6).alias("score"))
+    return search.lookup(spark, _index(spark, sf_dir), match, "id", 10).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"with {_bm25_sql(('idiot', 'license'), 'tf0 > 0 or tf1 > 0')} select id, round(score, 6) as score from ranked order by ranked.score desc, id limit 20")
+def bm25_scan(spark, sf_dir):
+    """The same search without an index, by one pass over the texts."""
+    match = search.Match(any_of=(search.Term("idiot"), search.Term("License")))
+    return search.search(adapters.memories(spark, sf_dir), match, "id", ("content",), 20).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"""with {MEMORIES}, {_bm25_sql(('idiot', 'license'), 'tf0 > 0 or tf1 > 0')}, best as (select id, score, row_number() over (order by score desc, id) as place from ranked)
+    select place, id, title, memory_type, round(score, 6) as score from best join memories_v using (id) where place <= 20""")
+def search_rows(spark, sf_dir):
+    """What a search shows: the rows of the best hits, in their order."""
+    match = search.Match(any_of=(search.Term("idiot"), search.Term("License")))
+    hits = search.lookup(spark, _index(spark, sf_dir), match, "id", 20)
+    found = search.in_order(hits, adapters.memories(spark, sf_dir), "id", F.desc("score"), F.col("id"))
+    return found.select("place", "id", "title", "memory_type", F.round("score", 6).alias("score"))
+
+
+@query(f"""with {MEMORIES}, s as (select d.vec_id as id, {_COSINE} as similarity from embeddings q, embeddings d where q.vec_id = 7 and d.vec_id <> 7), best as (select id, similarity, row_number() over (order by round(similarity, 9) desc, id) as place from s)
+    select place, id, title, memory_type, round(similarity, 6) as similarity from best join memories_v using (id) where place <= 10""")
+def similar_rows(spark, sf_dir):
+    """The rows of the nearest vectors, in their order; vectors without a row are left out."""
+    rows = adapters.vectors(spark, sf_dir)
+    hits = similarity.near(rows, rows.where("vec_id = 7"), "vec_id", k=10).select("id", "similarity")
+    found = search.in_order(hits, adapters.memories(spark, sf_dir), "id", F.desc(F.round("similarity", 9)), F.col("id"))
+    return found.select("place", "id", "title", "memory_type", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""with {_bm25_sql(('license',), 'tf0 > 0')}, {MEMORIES}, t as (select id, score from ranked order by ranked.score desc, id limit 10),
+    v as (select d.vec_id as id, {_COSINE} as similarity from embeddings q, embeddings d where q.vec_id = 0 and d.vec_id <> 0 order by round({_COSINE}, 9) desc, d.vec_id limit 10),
+    h as (select id, similarity, 0 as source, similarity as rank from v union all select id, null, 1, score from t where id not in (select id from v)),
+    p as (select *, row_number() over (order by source, round(rank, 9) desc, id) as place from h)
+    select place, id, memory_type, title, similarity is not null as near, round(similarity, 2) as similarity, case when length(split_part(content, chr(10), 1)) > 150 then left(split_part(content, chr(10), 1), 150) || '...' else split_part(content, chr(10), 1) end as line,
+    (date_sub('minute', timestamp, {_NOW}) // 1440) || 'd ago' as age, array_to_string(tags, ', ') as tags from p join memories_v using (id)""")
+def topic_report(spark, sf_dir):
+    """Vector hits first, then text hits, as the lines of a report on a topic."""
+    rows = adapters.vectors(spark, sf_dir)
+    near = similarity.near(rows, rows.where("vec_id = 0"), "vec_id", k=10).select("id", "similarity")
+    texts = search.lookup(spark, _index(spark, sf_dir), search.Match(all_of=(search.Term("license"),)), "id", 10)
+    return report.topic(search.hybrid(near, texts, "id"), adapters.memories(spark, sf_dir), _now())
 
 
 @query(f"""with {_bm25_sql(("license",), "tf0 > 0")}, t as (select id, score from ranked order by ranked.score desc, id limit 10),
@@ -254,13 +369,23 @@ def bm25_all_of(spark, sf_dir):
 def hybrid_merge(spark, sf_dir):
     rows = adapters.vectors(spark, sf_dir)
     vector_hits = similarity.near(rows, rows.where("vec_id = 0"), "vec_id", k=10).select("id", "similarity")
-    text_hits = search.search(adapters.memories(spark, sf_dir), search.Match(all_of=(search.Term("license"),)), "id", ("content",), 10)
+    text_hits = search.lookup(spark, _index(spark, sf_dir), search.Match(all_of=(search.Term("license"),)), "id", 10)
     return search.hybrid(vector_hits, text_hits, "id").select("id", F.round("similarity", 6).alias("similarity"), "source")
 
 
+@query(f"""with w as (select doc_id as id, {_TOKENS} as w from documents), c as (select id, len(w) as length, len(list_filter(range(1, len(w)), lambda i: w[i] = 'licensed' and w[i + 1] = 'under')) as tf0, len(list_filter(w, lambda t: starts_with(t, 'licen'))) as tf1 from w),
+    f as (select count(*) as n, avg(length) as mean, count(*) filter (where tf0 > 0) as n0, count(*) filter (where tf1 > 0) as n1 from c),
+    ranked as (select id, case when tf0 > 0 then greatest(ln((n - n0 + 0.5) / (n0 + 0.5)), 1e-6) * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * length / mean)) else 0 end + case when tf1 > 0 then greatest(ln((n - n1 + 0.5) / (n1 + 0.5)), 1e-6) * tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * length / mean)) else 0 end as score from c, f where tf0 > 0 and tf1 > 0)
+    select id, round(score, 6) as score from ranked order by ranked.score desc, id limit 20""")
+def phrase_search(spark, sf_dir):
+    """A phrase and a prefix from the stored index."""
+    match = search.Match(all_of=(search.Term("Licensed under"), search.Term("licen", prefix=True)))
+    return search.lookup(spark, _index(spark, sf_dir), match, "id", 20).select("id", F.round("score", 6).alias("score"))
+
+
 @query(f"with w as (select unnest({_TOKENS}) as term, doc_id from documents) select term, count(*) as tf, count(distinct doc_id) as df from w group by 1")
 def term_freq(spark, sf_dir):
-    index = search.postings(adapters.memories(spark, sf_dir), "id", ("content",))
+    index = spark.read.parquet(f"{_index(spark, sf_dir)}/postings")
     return index.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
@@ -269,9 +394,8 @@ def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.extract(rows)
 
 
-_NAMES = "'" + "', '".join(graph.STOPWORDS) + "'"
-_TECHS = "['" + "', '".join(graph.TECH) + "']"
-_VALID = f"strlen(x) >= 3 and x not in ({_NAMES}) and not regexp_matches(x, '^[0-9.]+$')"
+_TECHS = f"[{own.TECH}]"
+_VALID = f"strlen(x) >= 3 and x not in ({own.STOPWORDS}) and not regexp_matches(x, '^[0-9.]+$')"
 _GRAPH = f"""{COMMITS}, t as (select event_id, ts, lower(message) as m, nullif(regexp_extract(lower(message), '\\(([^)]*)\\)', 1), '') as scope from commits_v),
     x as (select *, case when scope is null then [] else list_filter(regexp_split_to_array(regexp_replace(m, '^[^:]*:', ''), '[^\\p{{L}}\\p{{N}}_-]+'), lambda x: {_VALID}) end as words,
         list_filter({_TECHS}, lambda x: regexp_matches(m, '(^|[^a-z0-9])' || replace(x, '.', '\\.') || '([^a-z0-9]|$)')) as tech from t),
@@ -320,6 +444,63 @@ def graph_stats(spark, sf_dir):
     return names.join(F.broadcast(graph.totals(found).select("n_edges")))  # one row each
 
 
+@query(f"with {_GRAPH} select source, target, relation, memory_id, weight::double as weight from edge where source = 'redis' or target = 'redis' order by edge.weight desc, source, target, relation, memory_id limit 50")
+def edges_by_weight(spark, sf_dir):
+    """Edges of one name, heaviest first; the order is the feature, and the first 50 show it."""
+    every = graph.edges(_graph(spark, sf_dir), "event_id", "ts", Scratch(spark, "edges"))
+    return graph.touching(every, "redis").limit(50)
+
+
+@query(f"""with {_GRAPH}, near as (select target as name from edge where source = 'auth' union select source from edge where target = 'auth')
+    select 'entity' as part, name, mention_count as n from entity where name = 'auth' union all select 'edges', relation, count(*) from edge where source = 'auth' or target = 'auth' group by 2
+    union all select 'memories', 'newest', event_id from (select event_id from named where list_contains(names, 'auth') order by ts desc, event_id desc limit 20)
+    union all select 'neighbours', name, mention_count from (select name, mention_count from entity where name in (select name from near) and name <> 'auth' order by mention_count desc, name limit 20)""")
+def graph_query(spark, sf_dir):
+    """All that is known of a name, however it is written: entity, edges by relation, newest memories, neighbours."""
+    found = _graph(spark, sf_dir)
+    every = graph.edges(found, "event_id", "ts", Scratch(spark, "edges"))
+    rows = found.select(F.col("event_id").alias("id"), F.col("ts").alias("timestamp"))
+    parts = graph.query("Auth", graph.entities(found, "event_id", "ts"), every, graph.links(found, "event_id"), rows)
+    shaped = {
+        "entity": parts["entity"].select("name", F.col("mention_count").alias("n")),
+        "edges": parts["edges"].groupBy(F.col("relation").alias("name")).agg(F.count(F.lit(1)).alias("n")),
+        "memories": parts["memories"].select(F.lit("newest").alias("name"), F.col("id").alias("n")),
+        "neighbours": parts["neighbours"].select("name", F.col("mention_count").alias("n")),
+    }
+    return reduce(DataFrame.unionByName, (rows.select(F.lit(part).alias("part"), "name", "n") for part, rows in shaped.items()))
+
+
+_TAGGED = f"list_filter(list_transform(tags, lambda x: lower(x)), lambda x: {_VALID} and x not in ({own.GENERIC_TAGS}))"
+
+
+@query(f"""with {MEMORIES}, newest as (select * from memories_v order by timestamp desc, id desc limit 1000), t as (select id, timestamp, lower(title) as m, nullif(regexp_extract(lower(title), '\\(([^)]*)\\)', 1), '') as scope, tags from newest),
+    x as (select *, case when scope is null then [] else list_filter(regexp_split_to_array(regexp_replace(m, '^[^:]*:', ''), '[^\\p{{L}}\\p{{N}}_-]+'), lambda x: {_VALID}) end as words,
+        list_filter({_TECHS}, lambda x: regexp_matches(m, '(^|[^a-z0-9])' || replace(x, '.', '\\.') || '([^a-z0-9]|$)') and not regexp_matches(left(m, instr(m, x) - 1), '[a-z0-9]$') and not regexp_matches(substr(m, instr(m, x) + length(x)), '^[a-z0-9]')) as tech from t),
+    named as (select timestamp, list_distinct(list_concat(list_filter([scope], lambda x: x is not null and {_VALID}), words, tech, {_TAGGED})) as names from x)
+    select name, case when list_contains({_TECHS}, name) then 'tech' else 'concept' end as entity_type, count(*) as mention_count, min(timestamp) as first_seen, max(timestamp) as last_seen from (select unnest(names) as name, timestamp from named) group by 1""")
+def graph_backfill(spark, sf_dir):
+    """Entities of the newest 1000 stored memories, from titles and tags; the limit is the feature."""
+    return graph.entities(graph.backfill(adapters.memories(spark, sf_dir), 1000), "id", "timestamp")
+
+
+@query(f"""with {MEMORIES}, {_GRAPH} select count(*) as n_total, count(embedding) as n_embedded, max(timestamp) as last_activity, date_sub('minute', max(timestamp), {_NOW}) / 60 as silent_hours,
+    (select sum(len(names))::bigint from named) as n_entities, (select count(*) from called) as n_edges from memories_v left join embeddings on vec_id = id""")
+def stats_row(spark, sf_dir):
+    """The counts that a widget polls, as one row."""
+    rows = adapters.memories(spark, sf_dir).join(adapters.vectors(spark, sf_dir).withColumnRenamed("vec_id", "id"), "id", "left")
+    return store.summary(rows, graph.totals(_graph(spark, sf_dir)), NOW)
+
+
+@query(f"""with {MEMORIES}, s as (select id, date_sub('minute', timestamp, {_NOW}) / 60 as h, tags from memories_v)
+    select id, case when h >= 48 then floor(h / 24)::int || 'd' when h >= 1 then floor(h)::int || 'h' else floor(h * 60)::int || 'm' end as silent, array_to_string(tags, ',') as tags, 'm' || (id % 9) as module from s where h >= 0""")
+def small_texts(spark, sf_dir):
+    """Hours as text, tags from a list with blanks, and the module of a path."""
+    rows = adapters.memories(spark, sf_dir).withColumn("h", F.timestamp_diff("MINUTE", F.col("timestamp"), _now()) / 60).where("h >= 0")
+    tags = rendering.tags_of(F.concat(F.lit(" , "), F.array_join("tags", " , ,"), F.lit(",")))
+    path = F.concat(F.lit("a/src/m"), (F.col("id") % 9).cast("string"), F.lit("/src/x.rs"))
+    return rows.select("id", rendering.hours(F.col("h")).alias("silent"), F.array_join(tags, ",").alias("tags"), graph.module_of(path).alias("module"))
+
+
 @query(f"""with {MEMORIES}, newest as (select * from memories_v order by timestamp desc, id desc limit 50), s as (select *, case when memory_type in ('decision', 'feedback') then memory_type else 'other' end as section from newest),
     p as (select *, row_number() over (partition by section order by timestamp desc, id desc) as place, date_sub('minute', timestamp, {_NOW}) as m from s)
     select section, place::int as place, id, case when length(title) > 120 then left(title, 120) || '...' else title end as line, case when m < 60 then m || 'm ago' when m < 1440 then (m // 60) || 'h ago' else (m // 1440) || 'd ago' end as age
@@ -337,21 +518,57 @@ def graph_report(spark, sf_dir):
     return report.graph_summary(graph.entities(found, "event_id", "ts"), found.select(F.explode("edges").alias("e")).select("e.*"))
 
 
-@query()
+_DIGITS = "array_to_string(list_transform(e, lambda x: round(x::float::double * 100000)::bigint), ' ')"
+
+
+@query(f"with {MEMORIES}, texts as (select distinct title || ' ' || content as text from memories_v), {own.embedding('texts')} select id, {_DIGITS} as embedding from memories_v join vec on vec.text = title || ' ' || content")
 def hash_embeddings(spark, sf_dir):
-    return with_embedding(adapters.memories(spark, sf_dir).select("id", F.concat_ws(" ", "title", "content").alias("text")), "text").drop("text")
+    """Embeddings of title and content, each number in units of 1e-5."""
+    rows = with_embedding(adapters.memories(spark, sf_dir).select("id", F.concat_ws(" ", "title", "content").alias("text")), "text")
+    return rows.select("id", F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 100000).cast("long").cast("string")), " ").alias("embedding"))
 
 
-@query()
-def dedup_fold(spark, sf_dir):
+_STRENGTH = "case memory_type when 'feedback' then 1.0 when 'security' then 0.9 when 'decision' then 0.7 when 'session_summary' then 0.5 else 0.4 end::double"
+_DOC_FOLD = f"""{MEMORIES}, texts as (select distinct title || ' ' || content as text from memories_v), {own.embedding('texts')},
+    named as (select tags[1] || '/' || tags[2] as key, id, timestamp as ts, {_STRENGTH} as strength, e from memories_v join vec on vec.text = title || ' ' || content), {own.fold('named')}"""
+
+
+def _memory_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapters.memories(spark, sf_dir)
     strength = scoring.signal(F.lit(None).cast("string"), F.col("memory_type"))
-    rows = rows.select("id", "timestamp", F.get("tags", F.lit(1)).alias("project"), strength.alias("strength"), F.concat_ws(" ", "title", "content").alias("text"))
+    rows = rows.select("id", "timestamp", F.array_join("tags", "/").alias("project"), strength.alias("strength"), F.concat_ws(" ", "title", "content").alias("text"))
     return scoring.fold(with_embedding(rows, "text").drop("text"), "project")
 
 
-@query()
-def commit_fold(spark, sf_dir):
-    rows = _classified(spark, sf_dir).join(adapters.table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
+@query(f"with recursive {_DOC_FOLD} select key as project, id, outcome, round(score, 6) as score from folded")
+def dedup_fold(spark, sf_dir):
+    """Embed, remove near-repeats, score and keep or drop, in order, for each project (language and source)."""
+    return _memory_fold(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@query(f"with recursive {_DOC_FOLD} select id, round(score, 6) as importance from folded where outcome = 'saved'")
+def importance_scores(spark, sf_dir):
+    """The score that replaces the importance of each row that is kept."""
+    return _memory_fold(spark, sf_dir).where("outcome = 'saved'").select("id", F.round("score", 6).alias("importance"))
+
+
+_COMMIT_FOLD = f"""{_COMMIT_MEMORIES}, texts as (select distinct title as text from kept), {own.embedding('texts')},
+    named as (select user_id as key, event_id as id, kept.ts, 0.6::double as strength, e from kept join events using (event_id) join vec on vec.text = title), {own.fold('named')}"""
+
+
+def _commit_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _classified(spark, sf_dir)
     rows = rows.select(F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), "user_id", scoring.signal(F.lit("GitCommit"), F.col("memory_type")).alias("strength"), "title")
     return scoring.fold(with_embedding(rows, "title").drop("title"), "user_id")
+
+
+@query(f"with recursive {_COMMIT_FOLD} select key as user_id, id, outcome, round(score, 6) as score from folded")
+def commit_fold(spark, sf_dir):
+    return _commit_fold(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@query(f"with recursive {_COMMIT_FOLD} select outcome, count(*) as n from folded group by 1 union all select 'skipped', count(*) from commits_v where event_id not in (select event_id from kept)")
+def outcome_counts(spark, sf_dir):
+    """What became of the commits of a batch."""
+    dropped = adapters.commits(spark, sf_dir).join(_classified(spark, sf_dir).select("event_id"), "event_id", "left_anti")
+    return scoring.outcomes(_commit_fold(spark, sf_dir), dropped)

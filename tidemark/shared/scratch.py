@@ -23,12 +23,25 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/tidemark-scratch"
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this session, once nothing returned by an operator is read any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _MADE.get(spark.sparkContext.applicationId):
+        path = jvm.org.apache.hadoop.fs.Path(_MADE[spark.sparkContext.applicationId].pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+#: Folders that each application's operators have made.
+_MADE: dict[str, list[str]] = {}
+
+
 class Scratch:
     """A folder of intermediate tables for one run of an operator."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+        _MADE.setdefault(spark.sparkContext.applicationId, []).append(self.path)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return a DataFrame that reads it back."""

@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MEMORY_TYPES = ("decision", "feedback", "note", "session_summary", "security")
+SOURCES = ("FileWatcher", "GitWatcher", "ConversationWatcher", "Manual", "Socket")
+#: A table of fewer bytes of files is dealt to all cores, so that one row group doesn't keep all work in one task; the shuffle is no larger than this.
+SMALL = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    return rows.repartition(spark.sparkContext.defaultParallelism) if size < SMALL else rows
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +43,8 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, timestamp, title, content, memory_type, tags, importance)."""
-    types = F.array(*(F.lit(t) for t in MEMORY_TYPES))
+    """(id, timestamp, title, content, memory_type, tags, source, importance, metadata)."""
+    types, sources = (F.array(*(F.lit(t) for t in names)) for names in (MEMORY_TYPES, SOURCES))
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
@@ -47,10 +53,21 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("content"),
         F.get(types, (F.col("doc_id") % 5).cast("int")).alias("memory_type"),
         F.array("lang", "source").alias("tags"),
+        F.get(sources, (F.col("doc_id") % 5).cast("int")).alias("source"),
         ((F.col("doc_id") * 37 % 100) / 100).cast("float").alias("importance"),
+        F.concat(F.lit('{"n_chars":'), F.col("n_chars").cast("string"), F.lit("}")).alias("metadata"),
     )
 
 
+_KINDS = (("DependencyAdded", "x/Cargo.toml"), ("FileCreated", "src/app.ts"), ("FileDeleted", "docs/a b.md"), ("FileModified", "src/app.ts"), ("UserCorrection", "wrong, redo it"), ("ErrorFixed", "was null"), ("SessionStart", ""), ("SessionEnd", ""), ("conversation_decision", "let's use Redis"), ("GitBranchCreated", "dev"))
+
+
+def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, kind, content): every kind of event but commits."""
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(c).alias("content")) for k, c in _KINDS))
+    return table(spark, sf_dir, "events").select("event_id", F.get(each, (F.col("event_id") % len(_KINDS)).cast("int")).alias("e")).select("event_id", "e.*")
+
+
 def user_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, text) of the messages of users."""
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
@@ -71,5 +88,6 @@ FILES = """files_v as (select event_id, ts, user_id, case event_type when 'signu
     case event_type when 'view' then 'target/out' else 'src/m' || (user_id % 7) end || '/' ||
     (['main.rs', 'app.ts', 'notes.md', 'Cargo.toml', 'logo.png', 'LICENSE', 'settings.json'])[event_id % 7 + 1] as path from events)"""
 MEMORIES = """memories_v as (select doc_id as id, timestamp '2024-01-01' + to_minutes(doc_id * 37) as timestamp, left(split_part(text, chr(10), 1), 80) as title,
-    text as content, (['decision', 'feedback', 'note', 'session_summary', 'security'])[doc_id % 5 + 1] as memory_type, [lang, source] as tags,
+    text as content, (['decision', 'feedback', 'note', 'session_summary', 'security'])[doc_id % 5 + 1] as memory_type, [lang, source] as tags, (['FileWatcher', 'GitWatcher', 'ConversationWatcher', 'Manual', 'Socket'])[doc_id % 5 + 1] as source, '{"n_chars":' || n_chars || '}' as metadata,
     cast((doc_id * 37 % 100) / 100 as float) as importance from documents)"""
+KINDS = """kinds_v as (select event_id, (['DependencyAdded', 'FileCreated', 'FileDeleted', 'FileModified', 'UserCorrection', 'ErrorFixed', 'SessionStart', 'SessionEnd', 'conversation_decision', 'GitBranchCreated'])[event_id % 10 + 1] as kind from events)"""

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import rules
-from ..operators.scoring import BATCH, HISTORY, History, Policy, judge
+from ..operators.scoring import BATCH, History, Policy, judge
 
 #: Kinds of events that bypass the fold.
 URGENT = ("UserCorrection",)
@@ -33,23 +33,23 @@ def lanes(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 def stateful_fold(rows: DataFrame, key: str, policy: Policy = BATCH) -> DataFrame:
     """The fold of ``scoring.fold`` over a stream of (id, key, timestamp, strength, embedding).
 
-    A key's state is its newest kept vectors and times. Within a micro-batch a
-    key's rows are taken in order of (timestamp, id).
+    A key's state is the vectors and times of its kept rows, all of them or as
+    many as the policy's ``history`` says. Within a micro-batch a key's rows are
+    taken in order of (timestamp, id).
     """
 
     def run(at: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        history = History()
-        if state.exists:
+        history = History(policy.history)
+        if state.exists and state.get[0]:
             n, vectors, times = state.get
-            history.n, history.times = n, np.frombuffer(times, np.int64).copy()
-            if n:
-                history.vectors = np.frombuffer(vectors, np.float32).reshape(HISTORY, -1).copy()
+            history.load(np.frombuffer(vectors, np.float32).reshape(n, -1), np.frombuffer(times, np.int64))
         batch = pd.concat(list(frames)).sort_values(["timestamp", "id"], kind="stable")
         found = []
         for row in batch.itertuples():
             time = row.timestamp.value // 1000
             found.append((row.id, at[0], *judge(history, np.asarray(row.embedding, np.float32), time, row.strength, policy)))
-        state.update((history.n, b"" if history.vectors is None else history.vectors.tobytes(), history.times.tobytes()))
+        vectors, times = history.kept()
+        state.update((len(times), b"" if vectors is None else vectors.tobytes(), times.tobytes()))
         yield pd.DataFrame(found, columns=["id", key, "outcome", "score"])
 
     kind = dict(rows.dtypes)
