@@ -88,7 +88,9 @@ def with_edits(docs: DataFrame, scratch: Scratch) -> DataFrame:
     the edited form the last quarter of the code points (rounded down) is
     replaced by as many from the beginning of the next document by doc_id; after
     the last comes the first, so a lone document follows itself. A null id comes
-    before all others; rows that share an id follow each other by text.
+    before all others; rows that share an id follow each other by text, and lie
+    in one stretch. Very long texts are read whole, and an empty table gives no
+    rows.
 
     Texts are shuffled once, by stretches of ids of about equal numbers of rows,
     four for each shuffle partition. Within a stretch the next row is a window's

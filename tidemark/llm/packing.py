@@ -280,7 +280,7 @@ def pack(docs: DataFrame, scratch: Scratch, path: str | None = None, capacity: i
     than ``capacity`` is cut into pieces of that length of which the first may
     be shorter. Returns doc_id, piece, start, length, ids_crc32, sequence_id,
     offset, and ids where ``keep_ids``. Repeated rows are packed as often as
-    they come. An empty table gives no pieces.
+    they come, very long texts whole. An empty table gives no pieces.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     pieces = docs.select("doc_id", "text").mapInArrow(_pieces(path, capacity, end, keep_ids), schema)

@@ -149,7 +149,8 @@ def write_archives(pages: DataFrame, scratch: Scratch, folder: str | None = None
     Further columns are ignored. A null html is an empty payload, a null url an
     empty URI. Of equal payloads of ``LEAST_REVISIT`` bytes or more the
     smallest page_id is the response, rows with a larger one are revisits; rows
-    with a null id, and repeats of the smallest, are responses. An empty table
+    with a null id, and repeats of the smallest, are responses. A very long
+    payload is held whole while its record is written and read. An empty table
     gives an empty manifest.
     """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
@@ -157,11 +158,13 @@ def write_archives(pages: DataFrame, scratch: Scratch, folder: str | None = None
     large = pages.where(F.octet_length("html") >= LEAST_REVISIT).select("page_id", "digest")
     large = scratch.keep(large, "digests")
     first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
-    revisits = large.join(first.select("digest", "refers_to"), "digest").where("page_id > refers_to").dropDuplicates(["page_id", "digest"])
+    # Written first, so that adaptive execution can split the join where very many pages are copies of one.
+    first = scratch.keep(first.select("digest", "refers_to"), "first")
+    revisits = large.join(first, "digest").where("page_id > refers_to").dropDuplicates(["page_id", "digest"])
     marked = pages.join(scratch.keep(revisits, "revisits"), ["page_id", "digest"], "left")
     manifest = marked.mapInArrow(_write(folder or f"{scratch.path}/archives"), MANIFEST)
     manifest = scratch.keep(manifest, "manifest")
-    scratch.drop("digests", "revisits")
+    scratch.drop("digests", "first", "revisits")
     return manifest
 
 
