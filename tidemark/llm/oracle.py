@@ -1,9 +1,18 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express.
 
 The trained models, the packing and the hash functions of sketches have no SQL;
-their queries are tested against plain versions instead.
+their queries are tested against plain versions instead. License templates and
+kinds of secrets are taken from their modules, as parameters; the search, the
+voting and the linking are written out here.
 """
 
+from __future__ import annotations
+
+import re
+
+from .license_scan import NOTICES, PHRASES, Scan
+from .secrets import KINDS, SCOPE
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 _NEAR_DUP = rf"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
@@ -42,4 +51,51 @@ _WARC = """with p as (select page_id, coalesce(html, '') as html from pages), h
     select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and first < page_id then 'revisit' else 'response' end as record_type,
         case when payload_bytes >= 100 and first < page_id then first end as refers_to from h"""
 
-ORACLE_SQL: dict[str, str] = {"op2_minhash_near_dup": _NEAR_DUP, "op3_quality_rules": _RULES, "op4_source_mix": _MIX, "op8_warc": _WARC}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _secrets() -> str:
+    each = " union all ".join(
+        f"select r, {i} as kind, regexp_extract_all(text, {_quoted(k.pattern)}, 0) as m, regexp_extract_all(text, {_quoted(k.pattern)}, {k.group}) as c, regexp_split_to_array(text, {_quoted(k.pattern)}) as gaps from d where regexp_matches(text, {_quoted(k.pattern)})"
+        for i, k in enumerate(KINDS)
+    )
+    of = lambda f: "[" + ", ".join(map(f, KINDS)) + "]"
+    parts, strong, names = of(lambda k: _quoted(k.part)), of(lambda k: str(k.strong).lower()), of(lambda k: _quoted(k.name))
+    listed = f"coalesce(string_agg(({names})[kind + 1] || ':' || start || ':' || stop, ',' order by start, kind, stop)"
+    return f"""with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents), found as ({each}),
+    places as (select r, kind, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'start': (coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::bigint, 'size': length(m[i]), 'checked': length(c[i])}})) as s from found),
+    kept as (select r, kind, s.start as start, s.start + s.size as stop, ({parts})[kind + 1] as part, ({strong})[kind + 1] as strong from places where s.checked between ({of(lambda k: str(k.least))})[kind + 1] and ({of(lambda k: str(k.most))})[kind + 1]),
+    met as (select w.r, w.kind, w.start, w.stop, w.part, bool_or(o.part = 'secret') as secret, bool_or(o.part = 'identifier') as identifier, bool_or(o.part = 'endpoint') as endpoint
+        from kept w join kept o on o.r = w.r and o.part <> w.part and greatest(o.start - w.stop, w.start - o.stop) <= {SCOPE} where not w.strong group by all),
+    spans as (select r, kind, start, stop from kept where strong union all select r, kind, start, stop from met where case part when 'endpoint' then secret and identifier when 'secret' then identifier or endpoint else secret end)
+    select doc_id, count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access, count(*) filter (where kind = 2) as n_hex, sha256({listed} filter (where kind < 3), '')) as base_sha256, {listed}, '') as spans
+    from d left join spans using (r) group by r, doc_id"""
+
+
+def _licenses(scan: Scan) -> str:
+    texts = [(label, phrase, "true") for phrase, label in PHRASES.items()] + [(label, notice, "false") for label, notice in NOTICES]
+    words = lambda text: "[" + ", ".join(_quoted(w) for w in re.findall("[a-z0-9]+", text.lower())) + "]"
+    rows = ", ".join(f"({i}, {_quoted(label)}, {exact}, {words(text)})" for i, (label, text, exact) in enumerate(texts))
+    gram = lambda at: f"array_to_string(w[{at} + 1:{at} + {scan.k}], ' ')"
+    least = f"case when wanted <= {scan.brief} then {scan.brief_cover} else {scan.cover} end"
+    return rf"""with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+    t as (select * from (values {rows}) v(template, label, exact, w)), told as (select template, label, exact, len(w) - {scan.k - 1} as wanted, unnest(range(0, len(w) - {scan.k - 1})) as t, w from t),
+    known as (select template, label, exact, wanted, t, {gram("t")} as g from told), rolling as (select r, unnest(range(0, greatest(len(w) - {scan.k - 1}, 0))) as p, w from d),
+    hits as (select r, template, label, exact, wanted, p - t as diagonal, count(*) as votes, min(t) as low, max(t) as high, list(t) as covered from (select r, p, {gram("p")} as g from rolling) join known using (g) group by all),
+    jumps as (select *, coalesce((diagonal - lag(diagonal) over (partition by r, template order by diagonal) > {scan.slack})::int, 1) as jump from hits where not exact),
+    runs as (select *, sum(jump) over (partition by r, template order by diagonal) as run from jumps),
+    sized as (select *, diagonal - min(diagonal) over part as beyond, max(diagonal) over part - min(diagonal) over part > wanted + {scan.k} as wide from runs window part as (partition by r, template, run)),
+    cuts as (select *, unnest(case when wide then [0, 1] else [0] end) as cut from sized),
+    merged as (select r, label, wanted, min(diagonal + low) as first, max(diagonal + high) + {scan.k - 1} as last, len(list_distinct(flatten(list(covered)))) / wanted as cover from cuts
+        group by r, template, label, wanted, run, cut, case when wide then floor((beyond + cut * (wanted + {scan.k}) / 2) / (wanted + {scan.k})) end),
+    spans as (select r, label, diagonal as first, 1.0::double as cover, true as base from hits where exact and votes = wanted
+        union all select r, label, first, cover, false from merged where cover >= {least} and last - first + 1 <= 2 * (wanted + {scan.k - 1}))
+    select doc_id, len(any_value(w))::bigint as n_words, count(*) filter (where base) as n_base, min(first) filter (where base) as first_word, max(first) filter (where base) as last_word,
+        coalesce(string_agg(distinct label, ',' order by label) filter (where base), '') as base_labels, coalesce(string_agg(distinct label, ',' order by label), '') as labels, coalesce(max(cover), 0)::double as score
+    from d left join spans using (r) group by r, doc_id"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_minhash_near_dup": _NEAR_DUP, "op3_quality_rules": _RULES, "op4_source_mix": _MIX, "op6_license_scan": _licenses(Scan()), "op8_warc": _WARC, "op10_secret_scan": _secrets()}
