@@ -118,12 +118,12 @@ def _best(counted: DataFrame, match: Match, key: str, n: int, facts: dict) -> Da
 
 
 def postings(rows: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
-    """(term, key, column, length, tf, places): where each term stands in each column of each row; length is that of the row, all columns."""
+    """(term, key, column, length, place): a row for each place of each term; length is that of the row, all columns."""
     words = rows.select(F.col(key), *(tokens(F.col(c)).alias(f"_{c}") for c in columns))
     words = words.withColumn("length", reduce(lambda a, b: a + b, (F.size(f"_{c}") for c in columns)))
-    each = [words.select(F.col(key), "length", F.lit(c).alias("column"), F.posexplode(f"_{c}").alias("place", "term")) for c in columns]
-    found = reduce(DataFrame.unionByName, each).groupBy("term", key, "column", "length").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    return found.select("term", key, "column", "length", F.size("places").cast("long").alias("tf"), "places")
+    # The outer form, as the optimizer else splits each text twice, to leave out empty ones first.
+    each = [words.select(F.col(key), "length", F.lit(c).alias("column"), F.posexplode_outer(f"_{c}").alias("place", "term")) for c in columns]
+    return reduce(DataFrame.unionByName, each).where("term is not null").select("term", key, "column", "length", "place")
 
 
 def write_index(rows: DataFrame, key: str, columns: tuple[str, ...], path: str) -> None:
@@ -133,8 +133,14 @@ def write_index(rows: DataFrame, key: str, columns: tuple[str, ...], path: str)
     """
     found = postings(rows, key, columns)
     found.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
-    length = reduce(lambda a, b: a + b, (F.size(tokens(F.col(c))) for c in columns))
-    rows.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("mean")).write.mode("overwrite").parquet(f"{path}/facts")
+    places = rows.sparkSession.read.parquet(f"{path}/postings").agg(F.count(F.lit(1)).alias("places"))
+    facts = rows.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(places))  # one row each
+    facts.select("n", F.when(F.col("n") > 0, F.col("places") / F.col("n")).alias("mean")).write.mode("overwrite").parquet(f"{path}/facts")
+
+
+def term_frequencies(index: DataFrame, key: str) -> DataFrame:
+    """(term, tf, df): places of each term, and rows that hold it."""
+    return index.groupBy("term").agg(F.count(F.lit(1)).alias("tf"), F.count_distinct(key).alias("df"))
 
 
 def lookup(spark: SparkSession, path: str, match: Match, key: str, n: int) -> DataFrame:
@@ -150,13 +156,13 @@ def lookup(spark: SparkSession, path: str, match: Match, key: str, n: int) -> Da
         own = index.where(F.col("column") == term.column) if term.column else index
         each = [own.where(F.col("term").startswith(p) if term.prefix and j == len(parts) - 1 else F.col("term") == p) for j, p in enumerate(parts)]
         if len(parts) == 1:
-            found = each[0].select(key, "length", "tf")
+            found = each[0].select(key, "length")
         else:
-            starts = [e.select(key, "length", "column", F.explode("places").alias("place"), F.lit(j).alias("part")).withColumn("place", F.col("place") - j) for j, e in enumerate(each)]
+            starts = [e.select(key, "length", "column", (F.col("place") - j).alias("place"), F.lit(j).alias("part")) for j, e in enumerate(each)]
             met = reduce(DataFrame.unionByName, starts).groupBy(key, "length", "column", "place").agg(F.bit_or(F.expr("shiftleft(1L, part)")).alias("parts"))
-            found = met.where(F.col("parts") == (1 << len(parts)) - 1).select(key, "length", F.lit(1).cast("long").alias("tf"))
+            found = met.where(F.col("parts") == (1 << len(parts)) - 1).select(key, "length")
         hits.append(found.withColumn("number", F.lit(i)))
-    tf = [F.coalesce(F.sum(F.when(F.col("number") == i, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i in range(len(terms))]
+    tf = [F.count(F.when(F.col("number") == i, 1)).alias(f"tf{i}") for i in range(len(terms))]
     counted = reduce(DataFrame.unionByName, hits).groupBy(key, "length").agg(*tf)
     facts = spark.read.parquet(f"{path}/facts").first().asDict() | counted.agg(*_frequencies(terms)).first().asDict()
     return _best(counted, match, key, n, facts)

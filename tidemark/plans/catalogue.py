@@ -385,8 +385,7 @@ def phrase_search(spark, sf_dir):
 
 @query(f"with w as (select unnest({_TOKENS}) as term, doc_id from documents) select term, count(*) as tf, count(distinct doc_id) as df from w group by 1")
 def term_freq(spark, sf_dir):
-    index = spark.read.parquet(f"{_index(spark, sf_dir)}/postings")
-    return index.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
+    return search.term_frequencies(spark.read.parquet(f"{_index(spark, sf_dir)}/postings"), "id")
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -418,15 +417,14 @@ def edge_weights(spark, sf_dir):
 
 @query(f"with {_GRAPH} select source, target, count(*) as n from edge where relation = 'co_mentioned' group by 1, 2")
 def co_mentioned(spark, sf_dir):
-    each = _graph(spark, sf_dir).select(F.explode("edges").alias("e")).select("e.*")
+    each = graph.calls(_graph(spark, sf_dir))
     return each.where("relation = 'co_mentioned'").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"with {_GRAPH}, near as (select target as name from edge where source = 'jwt' union select source from edge where target = 'jwt') select name, entity_type, mention_count from entity where name in (select name from near) and name <> 'jwt' order by mention_count desc, name limit 20")
 def graph_neighbors(spark, sf_dir):
     found = _graph(spark, sf_dir)
-    each = found.select(F.explode("edges").alias("e")).select("e.*")
-    return graph.neighbours(each, graph.entities(found, "event_id", "ts"), "jwt").select("name", "entity_type", "mention_count")
+    return graph.neighbours(graph.calls(found), graph.entities(found, "event_id", "ts"), "jwt").select("name", "entity_type", "mention_count")
 
 
 @query(f"with {_GRAPH} select event_id as id, ts as timestamp from named where list_contains(names, 'redis') order by ts desc, event_id desc limit 20")
@@ -440,7 +438,7 @@ def entity_memories(spark, sf_dir):
 @query(f"with {_GRAPH} select (select count(*) from entity) as n_entities, (select count(*) from called) as n_edges")
 def graph_stats(spark, sf_dir):
     found = _graph(spark, sf_dir)
-    names = found.select(F.explode("entities.name").alias("name")).agg(F.countDistinct("name").alias("n_entities"))
+    names = graph.mentions(found).agg(F.countDistinct("name").alias("n_entities"))
     return names.join(F.broadcast(graph.totals(found).select("n_edges")))  # one row each
 
 
@@ -515,7 +513,7 @@ def report_sections(spark, sf_dir):
     select name, entity_type, mention_count, coalesce((select string_agg(other, ',' order by place) from placed where placed.name = top.name and place <= 5), '') as neighbours from top""")
 def graph_report(spark, sf_dir):
     found = _graph(spark, sf_dir)
-    return report.graph_summary(graph.entities(found, "event_id", "ts"), found.select(F.explode("edges").alias("e")).select("e.*"))
+    return report.graph_summary(graph.entities(found, "event_id", "ts"), graph.calls(found))
 
 
 _DIGITS = "array_to_string(list_transform(e, lambda x: round(x::float::double * 100000)::bigint), ' ')"
