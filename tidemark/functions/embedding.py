@@ -105,6 +105,28 @@ def with_embedding(df: DataFrame, text: str, into: str = "embedding") -> DataFra
     return marked.mapInArrow(run, schema)
 
 
+def with_bytes(df: DataFrame, embedding: str, into: str = "bytes") -> DataFrame:
+    """``df`` with an embedding as the bytes that files and other programs exchange: single precision, lowest byte first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [None if v is None else np.array(v, "<f4").tobytes() for v in batch.column(embedding).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, into])
+
+    return df.mapInArrow(run, df.withColumn(into, F.lit(None).cast("binary")).schema)
+
+
+def from_bytes(df: DataFrame, stored: str, into: str = "embedding") -> DataFrame:
+    """``df`` with the embedding of such bytes; up to three bytes at the end that make no number are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [None if v is None else np.frombuffer(v[: len(v) // 4 * 4], "<f4") for v in batch.column(stored).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.float32()))], [*batch.schema.names, into])
+
+    return df.mapInArrow(run, df.withColumn(into, F.lit(None).cast("array<float>")).schema)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 for vectors that are empty, zero or of different lengths."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

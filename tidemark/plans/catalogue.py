@@ -13,7 +13,7 @@ from ..functions import rendering, rules
 from ..functions.embedding import with_embedding
 from ..operators import graph, report, scoring, search, sequences, similarity, store
 from ..shared.scratch import Scratch
-from ..sources import adapters, messages
+from ..sources import adapters, listing, messages
 from ..sources.adapters import COMMITS, FILES, KINDS, MEMORIES
 from ..streaming import ingest
 from . import oracle_values as own
@@ -174,6 +174,19 @@ def corrections(spark, sf_dir):
     return rows.select("conv_id", "turn", rules.message_kind(F.col("text")).alias("kind")).where("kind is not null")
 
 
+_LISTED = "'f' || (user_id % 40) || '/' || (event_id % 60) as path, max(ts) as modified, count(*) as length from events"
+
+
+@query(f"""with before as (select {_LISTED} where ts < timestamp '2024-01-15' group by 1), after as (select {_LISTED} where ts >= timestamp '2024-01-10' group by 1)
+    select path, case when b.path is null then 'create' when a.path is null then 'remove' else 'modify' end as change from before b full join after a using (path) where b.modified is distinct from a.modified or b.length is distinct from a.length""")
+def listing_changes(spark, sf_dir):
+    """What has changed between two listings of files."""
+    path = F.concat(F.lit("f"), (F.col("user_id") % 40).cast("string"), F.lit("/"), (F.col("event_id") % 60).cast("string")).alias("path")
+    listed = lambda rows: rows.groupBy(path).agg(F.max("ts").alias("modified"), F.count(F.lit(1)).alias("length"))
+    events = adapters.table(spark, sf_dir, "events")
+    return listing.changes(listed(events.where("ts < timestamp_ntz '2024-01-15'")), listed(events.where("ts >= timestamp_ntz '2024-01-10'")))
+
+
 _SAID = "case event_type when 'signup' then 'Let''s use Redis for ' || event_id when 'error' then 'нет, лучше используй PostgreSQL' when 'purchase' then 'Переходим на FastAPI' when 'view' then 'покажи мне код' else 'decision: keep it' end"
 
 
@@ -554,10 +567,13 @@ _COMMIT_FOLD = f"""{_COMMIT_MEMORIES}, texts as (select distinct title as text f
     named as (select user_id as key, event_id as id, kept.ts, 0.6::double as strength, e from kept join events using (event_id) join vec on vec.text = title), {own.fold('named')}"""
 
 
+def _commit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strength = scoring.signal(F.lit("GitCommit"), F.col("memory_type"))
+    return _classified(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), "user_id", strength.alias("strength"), "title")
+
+
 def _commit_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _classified(spark, sf_dir)
-    rows = rows.select(F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), "user_id", scoring.signal(F.lit("GitCommit"), F.col("memory_type")).alias("strength"), "title")
-    return scoring.fold(with_embedding(rows, "title").drop("title"), "user_id")
+    return scoring.fold(with_embedding(_commit_rows(spark, sf_dir), "title").drop("title"), "user_id")
 
 
 @query(f"with recursive {_COMMIT_FOLD} select key as user_id, id, outcome, round(score, 6) as score from folded")
@@ -565,6 +581,21 @@ def commit_fold(spark, sf_dir):
     return _commit_fold(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
+@query(ORACLE_SQL["commit_fold"])
+def stream_commit_fold(spark, sf_dir):
+    """The fold as a stream over the commits in three micro-batches, with each user's kept rows as state: the same rows as the batch."""
+    scratch = Scratch(spark, "stream-fold")
+    rows = scratch.keep(with_embedding(_commit_rows(spark, sf_dir), "title").drop("title"), "rows")
+    at = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    cuts = rows.select(F.percentile_approx(at, [0.3, 0.7])).first()[0]
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows.where((at >= low) if low is not None else F.lit(True)).where((at < high) if high is not None else F.lit(True))
+        part.coalesce(1).write.mode("append").parquet(f"{scratch.path}/parts")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch.path}/parts")
+    ingest.into_table(ingest.stateful_fold(stream, "user_id"), f"{scratch.path}/out", f"{scratch.path}/offsets", every=None).awaitTermination()
+    return spark.read.parquet(f"{scratch.path}/out").select("user_id", "id", "outcome", F.round("score", 6).alias("score"))
+
+
 @query(f"with recursive {_COMMIT_FOLD} select outcome, count(*) as n from folded group by 1 union all select 'skipped', count(*) from commits_v where event_id not in (select event_id from kept)")
 def outcome_counts(spark, sf_dir):
     """What became of the commits of a batch."""
