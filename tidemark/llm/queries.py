@@ -8,15 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared.scratch import Scratch
+from ..sources.adapters import table
 from . import fingerprint, license_scan, mixing, packing, quality_model, quality_rules, secrets, toxicity, warc
 from .near_dup import NearDuplicates
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), Scratch(spark, "toxicity")))
