@@ -261,6 +261,28 @@ def test_fold_looks_back_at_all_kept_rows(spark):
     assert counts == {"saved": 300, "deduped": 1, "skipped": 7}
 
 
+def test_dedup_in_rounds(spark, monkeypatch):
+    """Against the greedy pass: chains of neighbours, equal and zero vectors, more rows than a block holds."""
+    monkeypatch.setattr(similarity, "PAIR_BLOCK", 20)
+    rng = np.random.default_rng(9)
+    rows = []
+    for key in range(2):
+        v = rng.normal(size=8)
+        for i in range(60):
+            v = rng.normal(size=8) if rng.random() < 0.1 else v + rng.normal(size=8) * 0.25
+            rows.append((key * 100 + i, key, int(rng.integers(0, 30)), v.astype(np.float32).tolist()))
+        rows += [(key * 100 + 60 + i, key, i, rows[-1 - i][3]) for i in range(5)] + [(key * 100 + 70 + i, key, i, [0.0] * 8) for i in range(2)]
+    df = spark.createDataFrame(rows, "id long, project long, at long, embedding array<float>").withColumn("timestamp", F.timestamp_micros(F.col("at") * 1_000_000).cast("timestamp_ntz")).drop("at")
+    got = {r.id: r.outcome for r in scoring.keep_first(df, Scratch(spark, "t"), "project").collect()}
+    kept, want = {0: [], 1: []}, {}
+    for i, key, _, v in sorted(rows, key=lambda r: (r[2], r[0])):
+        unit = np.array(v) / (np.linalg.norm(v) or 1)
+        near = any(unit @ other >= 0.92 for other in kept[key])
+        want[i] = "deduped" if near else "saved"
+        kept[key] += [] if near else [unit]
+    assert got == want and len(set(want.values())) == 2
+
+
 def test_policies(spark):
     """Corrections pass as they are, saves keep what scores low, and a save by hand has a signal of its own."""
     rows = spark.createDataFrame([(1, 0, 0.4, [1.0, 0.0]), (2, 0, 0.4, [1.0, 0.0])], "id long, project long, strength double, embedding array<float>")

@@ -20,6 +20,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared.scratch import Scratch
+from .similarity import pairs_within
+
 #: Weights, limits and rows looked back at.
 W_FREQUENCY, W_RECENCY, W_SIGNAL = 0.3, 0.3, 0.4
 SIMILAR, FREQUENT, LOOK_FREQUENCY, LOOK_RECENCY, DECAY_HOURS, FLOOR = 0.5, 5.0, 100, 50, 24.0, 0.75
@@ -142,6 +145,42 @@ def fold(rows: DataFrame, key: str, policy: Policy = BATCH) -> DataFrame:
     return dealt.mapInArrow(run, f"id {kind['id']}, {key} {kind[key]}, outcome string, score double")
 
 
+def keep_first(rows: DataFrame, scratch: Scratch, key: str, least: float = Policy.dedup) -> DataFrame:
+    """(id, key, outcome) of rows (id, key, timestamp, embedding): saved, or deduped by an earlier saved row of the key.
+
+    The fold without scores, as sets: a row is decided when all its earlier
+    neighbours are, so rounds of joins decide all rows, and no key is one
+    stream. There are as many rounds as the longest chain of undecided
+    neighbours. A later row of an equal vector shares the fate of a repeat, so
+    only the first of equal vectors take part in the comparison.
+    """
+    at = F.struct("timestamp", "id")
+    rows = scratch.keep(rows.select("id", key, "timestamp", "embedding"), "rows")
+    same = rows.withColumn("_digest", F.xxhash64("embedding"))
+    first = scratch.keep(same.groupBy(key, "_digest", "embedding").agg(F.min(at).alias("at")).select(F.col(key), F.col("at.id").alias("id"), F.col("at.timestamp").alias("timestamp"), "embedding"), "first")
+    when = first.select("id", "timestamp")
+    near = pairs_within(first, scratch, key, "id", least).select("a", "b")
+    near = near.join(when.select(F.col("id").alias("a"), F.col("timestamp").alias("at_a")), "a").join(when.select(F.col("id").alias("b"), F.col("timestamp").alias("at_b")), "b")
+    later = F.struct("at_a", "a") < F.struct("at_b", "b")
+    near = scratch.keep(near.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("id")), "near")
+    decided = scratch.keep(first.select("id").join(near.select("id").distinct(), "id", "left_anti").withColumn("kept", F.lit(True)), "round0")
+    step = 0
+    while True:
+        open_ = near.join(decided.select("id"), "id", "left_anti")
+        seen = open_.join(decided.withColumnRenamed("id", "earlier"), "earlier", "left").groupBy("id").agg(F.max(F.coalesce("kept", F.lit(False))).alias("hit"), F.count(F.when(F.col("kept").isNull(), 1)).alias("unknown"))
+        step += 1
+        new = scratch.keep(seen.where("hit or unknown = 0").select("id", (~F.col("hit")).alias("kept")), f"new{step}")
+        if new.isEmpty():
+            break
+        decided = scratch.keep(decided.unionByName(new), f"round{step}")
+        scratch.drop(f"round{step - 1}", f"new{step}")
+    zero = F.exists("embedding", lambda x: x != 0)
+    kept = decided.where("kept").select("id", F.lit(True).alias("_kept"))
+    out = rows.join(kept, "id", "left")
+    # A zero vector is never a repeat, not of itself either.
+    return out.select("id", key, F.when(F.col("_kept") | ~zero, "saved").otherwise("deduped").alias("outcome"))
+
+
 def outcomes(folded: DataFrame, dropped: DataFrame | None = None) -> DataFrame:
     """(outcome, n): rows saved, deduped and of low importance, and rows of ``dropped`` as skipped."""
     each = folded.select("outcome")

@@ -9,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared.scratch import Scratch
+
 #: Vectors of a data block and of a query block.
 DATA_BLOCK, QUERY_BLOCK = 4096, 256
+#: Vectors of a block where a group's rows are compared with each other.
+PAIR_BLOCK = 1024
 
 
 def _blocks(df: DataFrame, key: str, vector: str, parts: int, name: str) -> DataFrame:
@@ -66,6 +70,38 @@ def near(data: DataFrame, queries: DataFrame, key: str, vector: str = "embedding
     return found.withColumn("place", best).where(F.col("place") <= k)
 
 
+def pairs_within(rows: DataFrame, scratch: Scratch, group: str, key: str, least: float, vector: str = "embedding") -> DataFrame:
+    """(group, a, b, similarity): the pairs of rows of one group of at least that cosine, a < b by ``key``.
+
+    A group is dealt to blocks of about ``PAIR_BLOCK`` vectors, and each pair of
+    its blocks is a row of its own, so a large group is spread over many tasks
+    and no task holds more than two blocks. All pairs are compared, as an exact
+    join of dense vectors has to; zero vectors are similar to none.
+    """
+    known = rows.where(F.col(group).isNotNull() & F.col(vector).isNotNull()).select(F.col(group).alias("group"), F.col(key).alias("id"), F.col(vector).alias("v"))
+    cells = scratch.keep(known.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).alias("cells")), "cells")
+    cell = F.pmod(F.xxhash64("id"), F.col("cells")).alias("cell")
+    blocks = known.join(cells, "group").select("group", "cells", cell, "id", "v").groupBy("group", "cells", "cell")
+    blocks = scratch.keep(blocks.agg(F.collect_list(F.struct("id", "v")).alias("rows")), "blocks")
+    x = blocks.select("group", F.col("rows.id").alias("x_ids"), F.col("rows.v").alias("x"), F.col("cell").alias("from"), F.explode(F.sequence("cell", F.col("cells") - 1)).alias("cell"))
+    met = x.join(blocks.select("group", "cell", F.col("rows.id").alias("y_ids"), F.col("rows.v").alias("y")), ["group", "cell"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x_ids, x, y_ids, y = (batch.column(c)[row].values for c in ("x_ids", "x", "y_ids", "y"))
+                a, b = _unit(x), _unit(y)
+                x_ids, y_ids = (i.to_numpy(zero_copy_only=False) for i in (x_ids, y_ids))
+                s = a @ b.T
+                once = (x_ids[:, None] < y_ids[None, :]) if batch.column("from")[row] == batch.column("cell")[row] else (x_ids[:, None] != y_ids[None, :])
+                i, j = np.nonzero((s >= least) & once & a.any(1)[:, None] & b.any(1)[None, :])
+                low, high = np.minimum(x_ids[i], y_ids[j]), np.maximum(x_ids[i], y_ids[j])
+                yield pa.RecordBatch.from_arrays([batch.column("group").take(pa.array(np.full(len(i), row, np.int64))), pa.array(low), pa.array(high), pa.array(s[i, j])], ["group", "a", "b", "similarity"])
+
+    kind = dict(known.dtypes)
+    return met.select("group", "from", "cell", "x_ids", "x", "y_ids", "y").mapInArrow(run, f"group {kind['group']}, a {kind['id']}, b {kind['id']}, similarity double")
+
+
 def similar_to(rows: DataFrame, vector: list[float], k: int, column: str = "embedding") -> DataFrame:
     """The k rows most similar to one vector, as a literal: a projection and a top-k."""
     from ..functions.embedding import cosine

@@ -544,11 +544,13 @@ _DOC_FOLD = f"""{MEMORIES}, texts as (select distinct title || ' ' || content as
     named as (select tags[1] || '/' || tags[2] as key, id, timestamp as ts, {_STRENGTH} as strength, e from memories_v join vec on vec.text = title || ' ' || content), {own.fold('named')}"""
 
 
-def _memory_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adapters.memories(spark, sf_dir)
+def _memory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     strength = scoring.signal(F.lit(None).cast("string"), F.col("memory_type"))
-    rows = rows.select("id", "timestamp", F.array_join("tags", "/").alias("project"), strength.alias("strength"), F.concat_ws(" ", "title", "content").alias("text"))
-    return scoring.fold(with_embedding(rows, "text").drop("text"), "project")
+    return adapters.memories(spark, sf_dir).select("id", "timestamp", F.array_join("tags", "/").alias("project"), strength.alias("strength"), F.concat_ws(" ", "title", "content").alias("text"))
+
+
+def _memory_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.fold(with_embedding(_memory_rows(spark, sf_dir), "text").drop("text"), "project")
 
 
 @query(f"with recursive {_DOC_FOLD} select key as project, id, outcome, round(score, 6) as score from folded")
@@ -563,6 +565,15 @@ def importance_scores(spark, sf_dir):
     return _memory_fold(spark, sf_dir).where("outcome = 'saved'").select("id", F.round("score", 6).alias("importance"))
 
 
+_DOC_FIRST = _DOC_FOLD[: _DOC_FOLD.index("r as (select *, row_number()")] + own.kept_first("named")
+
+
+@query(f"with recursive {_DOC_FIRST} select key as project, id, outcome from folded")
+def dedup_rounds(spark, sf_dir):
+    """Near-repeats of each project without scores, in rounds of joins instead of one stream a project."""
+    return scoring.keep_first(with_embedding(_memory_rows(spark, sf_dir), "text").drop("text"), Scratch(spark, "rounds"), "project")
+
+
 _COMMIT_FOLD = f"""{_COMMIT_MEMORIES}, texts as (select distinct title as text from kept), {own.embedding('texts')},
     named as (select user_id as key, event_id as id, kept.ts, 0.6::double as strength, e from kept join events using (event_id) join vec on vec.text = title), {own.fold('named')}"""
 

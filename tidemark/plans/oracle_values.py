@@ -70,6 +70,16 @@ def embedding(texts: str) -> str:
     vec as (select t.text, list_transform(range(0, 256), lambda d: coalesce(m[d::int], 0.0::double)) as e from {texts} t left join placed using (text))"""
 
 
+def kept_first(rows: str) -> str:
+    """CTE ``folded`` (key, id, outcome) of ``rows`` (key, id, ts, e): each key's rows in order, a row near a kept one dropped."""
+    return f"""r as (select *, row_number() over (partition by key order by ts, id) as n from {rows}),
+    met as (select b.key, b.n, list(a.n) as l from r a join r b on a.key = b.key and a.n < b.n where list_dot_product(a.e, b.e) >= 0.92 group by 1, 2),
+    x as (select r.key, r.n, r.id, coalesce(l, []) as l from r left join met using (key, n)),
+    f as (select key, 0::bigint as n, []::bigint[] as kept, null::bigint as id, '' as outcome from (select distinct key from r) union all
+        select f.key, x.n, case when list_has_any(x.l, f.kept) then f.kept else list_append(f.kept, x.n) end, x.id, case when list_has_any(x.l, f.kept) then 'deduped' else 'saved' end from f join x on x.key = f.key and x.n = f.n + 1),
+    folded as (select key, id, outcome from f where n > 0)"""
+
+
 def fold(rows: str) -> str:
     """CTE ``folded`` (key, id, outcome, score) of ``rows`` (key, id, ts, strength, e): each key's rows in order, the kept ones remembered."""
     return f"""r as (select *, row_number() over (partition by key order by ts, id) as n from {rows}),
