@@ -455,6 +455,50 @@ def test_quality_classifier(spark, docs, none):
         assert quality_model.score(docs, model).count() == len(ROWS) and quality_model.score(none, model).count() == 0
 
 
+def test_quality_features():
+    """Features of any text, text by text and word by word."""
+    rng = np.random.default_rng(12)
+    texts = ["", None, " \n ", "One two, two THREE!\nOne two, two THREE!\n#tags 42 é", " ".join(rng.choice(["a", "bbbb", "c" * 15, "Dé,", "7", "$x"], 90))]
+    for text, row in zip(texts, quality_model.features(pa.array(texts)), strict=True):
+        n, chars, symbols, dup, repeated, _ = rules_of(text)
+        words, lines = WORD.findall(text or ""), [x for x in (text or "").split("\n") if WORD.search(x)]
+        size, raw, per = [len(w.lower().encode()) for w in words], (text or "").encode(), 1 / max(n, 1)
+        share = lambda of: np.sqrt(sum(of(b) for b in raw) / max(chars, 1))  # noqa: B023, E731
+        want = [np.log1p(n), n < 20, n < 5, np.mean(size) if size else 0, np.std(size) if size else 0, sum(x > 14 for x in size) * per, sum(x <= 2 for x in size) * per]
+        want += [share(lambda b: 65 <= b <= 90), share(lambda b: 48 <= b <= 57), share(lambda b: b in b".,;:'\"()"), share(lambda b: b in b"!?"), share(lambda b: b in b"#*$%&|<>@^~_=+[]{}\\/"), share(lambda b: b >= 0xC0), np.sqrt(symbols / max(chars, 1))]
+        want += [dup / max(len(lines), 1), repeated * per, len({lower(w) for w in words}) * per, np.log1p(n / max(len(lines), 1)), (len(raw) - chars) / max(chars, 1)]
+        assert row == pytest.approx([float(x) for x in want], abs=1e-9)
+
+
+def test_preferences():
+    """The weights are where the logistic loss of feature differences, written out, is least; the threshold keeps the good."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(80, 3))
+    good = x[:, 0] + 0.3 * rng.normal(size=80) > 0
+    model = quality_model.fit_pairs(x, good, pairs=300)
+    draw = np.random.Generator(np.random.PCG64(7))
+    best, worst = (draw.choice(np.flatnonzero(side), 300) for side in (good, ~good))
+
+    def loss(weights):
+        worth = quality_model._expand((x - model.center) / model.scale) @ weights
+        return sum(np.log1p(np.exp(worth[b] - worth[a])) for a, b in zip(best, worst, strict=True)) / 300 + 1e-3 * (weights**2).sum() / 2
+
+    assert all(loss(model.weights + d) >= loss(model.weights) for d in [*np.eye(6) * 0.01, *-np.eye(6) * 0.01])
+    assert np.mean((model.scores(x) >= quality_model.CUT) == good) > 0.85
+
+
+def test_quality_of_held_out_rows(spark):
+    """Held-out labels are met in every language."""
+    sf = "/root/testdata/sf0.1"
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    right = defaultdict(list)
+    for r in QUERIES["op7_quality_classifier"](spark, sf).where("held_out").collect():
+        if r.doc_id in labels:
+            right[lang[r.doc_id]].append(r.predicted == labels[r.doc_id])
+    assert len(right) >= 4 and all(np.mean(x) > 0.95 for x in right.values())
+
+
 def test_toxicity(spark, docs, none):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
