@@ -383,23 +383,6 @@ def test_tail_of_growing_files(spark, tmp_path):
     assert [x for b in seen for x in b] == [1, 2, 3, 4]
 
 
-def test_tail_takes_so_many_bytes(spark, tmp_path):
-    spark.dataSource.register(JsonlTail)
-    (tmp_path / "in" / "p").mkdir(parents=True)
-    (tmp_path / "in" / "p" / "a.jsonl").write_text("".join(f'{{"n": {i + 100}}}\n' for i in range(20)) + '{"n": "' + "x" * 100 + '"}\n{"n": 1}\n')
-    seen = []
-    rows = spark.readStream.format("jsonl_tail").option("from_start", "true").option("max_bytes", "64").load(str(tmp_path / "in"))
-    query = rows.writeStream.foreachBatch(lambda b, _: seen.append([r.line for r in b.collect()])).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="0 seconds").start()
-    query.awaitTermination(1)
-    for _ in range(60):
-        if sum(map(len, seen)) >= 22:
-            break
-        query.awaitTermination(1)
-    query.stop()
-    assert len([x for b in seen for x in b]) == 22
-    assert max(map(len, seen)) <= 6 and len(set(x for b in seen for x in b)) == 22
-
-
 def test_search_terms(spark):
     rows = spark.createDataFrame([(1, "Café ÜBER snake_case", "x"), (2, "cafe latte uber", "y cafe"), (3, "other", "z")], "id long, a string, b string")
     ids = lambda m: [r.id for r in search.search(rows, m, "id", ("a", "b"), 10).orderBy("id").collect()]

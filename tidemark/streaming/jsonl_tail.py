@@ -26,8 +26,9 @@ class JsonlTail(DataSource):
     With the option ``from_start`` set to true the lines already there are read
     too; otherwise reading starts at the end of the files that exist. A file
     that appears later is read from its beginning, so none of its lines is lost.
-    With ``max_bytes`` a batch takes about so many bytes of each file at most,
-    whole lines; the first batch after a restart takes all that has come since.
+    A source in Python has no say in how much a batch takes; where batches must
+    be bounded, land the lines as files and read these with
+    ``maxFilesPerTrigger``.
     """
 
     @classmethod
@@ -38,16 +39,13 @@ class JsonlTail(DataSource):
         return "path string, line string"
 
     def streamReader(self, schema) -> TailReader:
-        return TailReader(self.options["path"], self.options.get("from_start", "false").lower() == "true", int(self.options.get("max_bytes", "0")))
+        return TailReader(self.options["path"], self.options.get("from_start", "false").lower() == "true")
 
 
 class TailReader(DataSourceStreamReader):
-    def __init__(self, folder: str, from_start: bool, max_bytes: int = 0):
+    def __init__(self, folder: str, from_start: bool):
         self.folder, self.from_start = folder if "://" in folder else f"file://{folder}", from_start
-        self.max_bytes = max_bytes
         self.known: dict[str, int] = {}
-        #: Bytes of each file that earlier batches of this run have taken, once they are known.
-        self.taken: dict[str, int] | None = None
 
     def _ends(self) -> dict[str, int]:
         """Each file's bytes up to its last line break."""
@@ -74,31 +72,10 @@ class TailReader(DataSourceStreamReader):
         return least
 
     def initialOffset(self) -> dict:
-        self.taken = {} if self.from_start else self._ends()
-        return dict(self.taken)
+        return {} if self.from_start else self._ends()
 
     def latestOffset(self) -> dict:
-        ends = self._ends()
-        if self.max_bytes and self.taken is not None:
-            store, _ = fs.FileSystem.from_uri(self.folder)
-            ends = {path: self._next(store, path, self.taken.get(path, 0), end) for path, end in ends.items()}
-        self.taken = dict(ends)
-        return ends
-
-    def _next(self, store: fs.FileSystem, path: str, start: int, end: int) -> int:
-        """The end of the lines after ``start`` that ``max_bytes`` allow, of one line at least."""
-        if end - start <= self.max_bytes:
-            return end
-        with store.open_input_file(path) as file:
-            file.seek(start)
-            at, size = start, self.max_bytes
-            while at < end:
-                piece = file.read(min(size, end - at))
-                place = piece.rfind(b"\n") if at == start else piece.find(b"\n")
-                if place >= 0:
-                    return at + place + 1
-                at, size = at + len(piece), _BACK
-        return end
+        return self._ends()
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         return [Range(path, start.get(path, 0), to) for path, to in sorted(end.items()) if to > start.get(path, 0)]
