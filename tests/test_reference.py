@@ -24,6 +24,7 @@ def one(spark, column, **values):
     return spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items())).select(column.alias("x")).first()["x"]
 
 
+# The messages, events, titles and texts of known cases below are given, with their results.
 @pytest.mark.parametrize(
     ("message", "files", "want"),
     [

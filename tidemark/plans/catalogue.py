@@ -401,9 +401,11 @@ def term_freq(spark, sf_dir):
     return search.term_frequencies(spark.read.parquet(f"{_index(spark, sf_dir)}/postings"), "id")
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _graph(spark: SparkSession, sf_dir: str, kept: bool = False) -> DataFrame:
+    """Extraction over the commits; ``kept`` where a query reads it more than once."""
     rows = adapters.commits(spark, sf_dir).select("event_id", "ts", F.col("message").alias("title"), F.array().cast("array<string>").alias("tags"))
-    return graph.extract(rows)
+    found = graph.extract(rows)
+    return Scratch(spark, "graph").keep(found, "found") if kept else found
 
 
 _TECHS = f"[{own.TECH}]"
@@ -436,13 +438,13 @@ def co_mentioned(spark, sf_dir):
 
 @query(f"with {_GRAPH}, near as (select target as name from edge where source = 'jwt' union select source from edge where target = 'jwt') select name, entity_type, mention_count from entity where name in (select name from near) and name <> 'jwt' order by mention_count desc, name limit 20")
 def graph_neighbors(spark, sf_dir):
-    found = _graph(spark, sf_dir)
+    found = _graph(spark, sf_dir, kept=True)
     return graph.neighbours(graph.calls(found), graph.entities(found, "event_id", "ts"), "jwt").select("name", "entity_type", "mention_count")
 
 
 @query(f"with {_GRAPH} select event_id as id, ts as timestamp from named where list_contains(names, 'redis') order by ts desc, event_id desc limit 20")
 def entity_memories(spark, sf_dir):
-    found = _graph(spark, sf_dir)
+    found = _graph(spark, sf_dir, kept=True)
     linked = graph.links(found, "event_id").where("name = 'redis'").select(F.col("memory_id").alias("id"))
     rows = found.select(F.col("event_id").alias("id"), F.col("ts").alias("timestamp"))
     return rows.join(linked, "id", "left_semi").orderBy(F.desc("timestamp"), F.desc("id")).limit(20)
@@ -450,7 +452,7 @@ def entity_memories(spark, sf_dir):
 
 @query(f"with {_GRAPH} select (select count(*) from entity) as n_entities, (select count(*) from called) as n_edges")
 def graph_stats(spark, sf_dir):
-    found = _graph(spark, sf_dir)
+    found = _graph(spark, sf_dir, kept=True)
     names = graph.mentions(found).agg(F.countDistinct("name").alias("n_entities"))
     return names.join(F.broadcast(graph.totals(found).select("n_edges")))  # one row each
 
@@ -468,7 +470,7 @@ def edges_by_weight(spark, sf_dir):
     union all select 'neighbours', name, mention_count from (select name, mention_count from entity where name in (select name from near) and name <> 'auth' order by mention_count desc, name limit 20)""")
 def graph_query(spark, sf_dir):
     """All that is known of a name, however it is written: entity, edges by relation, newest memories, neighbours."""
-    found = _graph(spark, sf_dir)
+    found = _graph(spark, sf_dir, kept=True)
     every = graph.edges(found, "event_id", "ts", Scratch(spark, "edges"))
     rows = found.select(F.col("event_id").alias("id"), F.col("ts").alias("timestamp"))
     parts = graph.query("Auth", graph.entities(found, "event_id", "ts"), every, graph.links(found, "event_id"), rows)
@@ -525,7 +527,7 @@ def report_sections(spark, sf_dir):
     placed as (select p.name, p.other, row_number() over (partition by p.name order by e.mention_count desc, p.other) as place from pair p join entity e on e.name = p.other where p.name in (select name from top))
     select name, entity_type, mention_count, coalesce((select string_agg(other, ',' order by place) from placed where placed.name = top.name and place <= 5), '') as neighbours from top""")
 def graph_report(spark, sf_dir):
-    found = _graph(spark, sf_dir)
+    found = _graph(spark, sf_dir, kept=True)
     return report.graph_summary(graph.entities(found, "event_id", "ts"), graph.calls(found))
 
 
