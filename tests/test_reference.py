@@ -143,7 +143,7 @@ def test_embeddings(spark):
         ("Using PostgreSQL with Redis for caching", [], {"postgresql", "redis"}, ("postgresql", "redis", "co_mentioned")),
         ("Some change", ["auth", "security", "feature"], {"auth", "security"}, None),
         ("Fix scoring floor for new topics\n\n- falling through to Note=0.4 redis", [], set(), None),
-        ("AgentCRM migration", [], {"agentcrm"}, None),
+        ("GardenBook migration", [], {"gardenbook"}, None),
         ("chore(deps): bump version of local branch commit", [], {"deps"}, None),
         ("use mongodb go and next.js, not gonext.js", [], {"mongodb", "next.js"}, ("next.js", "mongodb", "co_mentioned")),
         ("change", ["Redis", "API", "api", "Release", "v=1"], {"redis", "api"}, None),
@@ -152,16 +152,16 @@ def test_embeddings(spark):
 )
 def test_entities(spark, title, tags, names, edge):
     rows = spark.createDataFrame([(title, tags)], "title string, tags array<string>")
-    got = graph.extract(rows, graph.Vocabulary(projects=("agentcrm",))).first()
+    got = graph.extract(rows, graph.Vocabulary(projects=("gardenbook",))).first()
     assert names <= {e.name for e in got.entities} if edge and edge[2] == "added_to" else names == {e.name for e in got.entities}
     assert edge is None or edge in {tuple(e) for e in got.edges}
 
 
 def test_entity_types(spark):
     """A tag's type goes by how it is written, a module's name must be valid, a null title names nothing."""
-    rows = spark.createDataFrame([("redis AgentCRM", ["Docker", "docker", "Elsewhere"], "a/src/storage/x.rs"), ("x", ["redis"], "src/lib/y.rs"), (None, None, None)], "title string, tags array<string>, path string")
-    got = graph.extract(rows, graph.Vocabulary(projects=("agentcrm",)), "path").collect()
-    assert [tuple(e) for e in got[0].entities] == [("redis", "tech"), ("agentcrm", "project"), ("storage", "module"), ("docker", "concept"), ("elsewhere", "concept")]
+    rows = spark.createDataFrame([("redis GardenBook", ["Docker", "docker", "Elsewhere"], "a/src/storage/x.rs"), ("x", ["redis"], "src/lib/y.rs"), (None, None, None)], "title string, tags array<string>, path string")
+    got = graph.extract(rows, graph.Vocabulary(projects=("gardenbook",)), "path").collect()
+    assert [tuple(e) for e in got[0].entities] == [("redis", "tech"), ("gardenbook", "project"), ("storage", "module"), ("docker", "concept"), ("elsewhere", "concept")]
     assert [tuple(e) for e in got[1].entities] == [("redis", "tech")] and got[2].entities == [] == got[2].edges
 
 
