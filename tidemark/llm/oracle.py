@@ -51,6 +51,18 @@ _WARC = """with p as (select page_id, coalesce(html, '') as html from pages), h
     select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and first < page_id then 'revisit' else 'response' end as record_type,
         case when payload_bytes >= 100 and first < page_id then first end as refers_to from h"""
 
+_HARD_NEGATIVES = """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
+        where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    scored as (select a.vec_id as anchor_id, a.label = c.label as same, c.vec_id, list_sum(list_transform(list_zip(a.q, c.q), lambda p: p[1] * p[2]))::bigint as score
+        from v a join v c on a.vec_id % 50 = 0 and (a.vec_id <> c.vec_id or a.label <> c.label)),
+    positive as (select anchor_id, vec_id as positive_id, score as positive_score from scored where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+    select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id)::int as rank, vec_id as negative_id, positive_score, score as negative_score
+    from positive p join scored s on s.anchor_id = p.anchor_id and not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score qualify rank <= 3"""
+
+_LINE_DEDUP = r"""with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents), place as (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from l),
+    k as (select doc_id, i, lines[i] as line, translate(regexp_replace(lines[i], '^[ 	-]+|[ 	-]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from place),
+    j as (select *, length(key) >= 10 and min(doc_id) over (partition by key) < doc_id as gone from k)
+    select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256 from j group by 1"""
 
 
 def _quoted(text: str) -> str:
@@ -98,4 +110,4 @@ def _licenses(scan: Scan) -> str:
     from d left join spans using (r) group by r, doc_id"""
 
 
-ORACLE_SQL: dict[str, str] = {"op2_minhash_near_dup": _NEAR_DUP, "op3_quality_rules": _RULES, "op4_source_mix": _MIX, "op6_license_scan": _licenses(Scan()), "op8_warc": _WARC, "op10_secret_scan": _secrets()}
+ORACLE_SQL: dict[str, str] = {"op2_minhash_near_dup": _NEAR_DUP, "op3_quality_rules": _RULES, "op4_source_mix": _MIX, "op6_license_scan": _licenses(Scan()), "op8_warc": _WARC, "op10_secret_scan": _secrets(), "op12_hard_negatives": _HARD_NEGATIVES, "op13_line_dedup": _LINE_DEDUP}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..shared.scratch import Scratch
 from ..sources.adapters import table
-from . import fingerprint, license_scan, mixing, packing, quality_model, quality_rules, secrets, toxicity, warc
+from . import fingerprint, hard_negatives, license_scan, line_dedup, mixing, packing, quality_model, quality_rules, secrets, toxicity, warc, whitening
 from .near_dup import NearDuplicates
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
@@ -73,7 +73,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), digest, secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), Scratch(spark, "whitening"))
+    each = found.select("id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("place", "value"))
+    component = (F.col("place") + 1).alias("component")
+    return each.select(F.col("id").alias("vec_id"), component, "n", "deviation", F.col("value").alias("whitened"), F.get("explained", F.col("place")).alias("explained"), "identity_error")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0, Scratch(spark, "hard-negatives"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_repeated(table(spark, sf_dir, "documents"), Scratch(spark, "line-dedup"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_minhash_near_dup, op3_quality_rules, op4_source_mix, op5_best_fit_packing, op6_license_scan, op7_quality_classifier, op8_warc, op9_fingerprints, op10_secret_scan)
+    for f in (op1_toxicity, op2_minhash_near_dup, op3_quality_rules, op4_source_mix, op5_best_fit_packing, op6_license_scan, op7_quality_classifier, op8_warc, op9_fingerprints, op10_secret_scan, op11_whitening, op12_hard_negatives, op13_line_dedup)
 }
