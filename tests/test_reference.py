@@ -302,17 +302,17 @@ def test_lanes(spark):
 
 
 def test_export_and_import(spark, sf, tmp_path):
-    """All nine fields survive; rows without a time are kept, and an earlier row of an id wins."""
+    """All nine fields survive; rows without a time are kept, and the first row of an id in the file wins."""
     from tidemark.operators import store
     from tidemark.sources import adapters
 
     rows = adapters.memories(spark, sf).withColumn("id", F.col("id").cast("string"))
-    back = store.imported(store.export(rows))
+    back = store.imported(store.export(rows).withColumn("place", F.lit(0)))
     key = lambda df: sorted((tuple(str(r[c]) for c in store.EXPORTED) for r in df.select(*store.EXPORTED).collect()))
     assert key(back) == key(rows) and back.count() == 200
     lines = ['{"id": "a", "title": "t", "tags": "[\\"x\\"]"}', '{"id": "a", "title": "u", "timestamp": "2024-01-02T00:00:00+00:00"}', '{"id": "b", "content": "c"}', "{}"]
-    got = store.import_new(store.imported(spark.createDataFrame([(x,) for x in lines], "json string")), spark.createDataFrame([("c",)], "id string"))
-    assert {(r.id, r.title, r.content, r.memory_type, tuple(r.tags), r.source) for r in got.collect()} == {("a", "u", None, "note", (), "manual"), ("b", None, "c", "note", (), "manual"), ("", None, None, "note", (), "manual")}
+    got = store.import_new(store.imported(spark.createDataFrame([(x, i) for i, x in enumerate(lines)], "json string, place int")), spark.createDataFrame([("c",)], "id string"))
+    assert {(r.id, r.title, r.content, r.memory_type, tuple(r.tags), r.source) for r in got.collect()} == {("a", "t", None, "note", ("x",), "manual"), ("b", None, "c", "note", (), "manual"), ("", None, None, "note", (), "manual")}
 
 
 def test_stored_index_equals_scan(spark, tmp_path):

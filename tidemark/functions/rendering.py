@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rules import first_line, stripped
+
 
 def age(then: Column, now: Column) -> Column:
+    """Whole minutes, hours or days; of a time yet to come the minutes, negative."""
     minutes = F.timestamp_diff("MINUTE", then, now)
     return F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m ago"))).when(minutes < 1440, F.concat(F.floor(minutes / 60).cast("string"), F.lit("h ago"))).otherwise(F.concat(F.floor(minutes / 1440).cast("string"), F.lit("d ago")))
 
 
-def first_line(text: Column) -> Column:
-    return F.substring_index(text, "\n", 1)
-
-
 def cut(text: Column, most: int, mark: str = "...") -> Column:
     """The first line, cut to so many characters."""
     line = first_line(text)
@@ -38,11 +37,13 @@ def file_name(timestamp: Column, title: Column) -> Column:
 
 def tags_of(text: Column) -> Column:
     """Comma-separated tags, trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t != "")
+    return F.filter(F.transform(F.split(text, ","), stripped), lambda t: t != "")
 
 
 def hours(silent: Column) -> Column:
-    return F.when(silent >= 48, F.concat(F.floor(silent / 24).cast("string"), F.lit("d"))).when(silent >= 1, F.concat(F.floor(silent).cast("string"), F.lit("h"))).otherwise(F.concat(F.floor(silent * 60).cast("string"), F.lit("m")))
+    """Days from 48 hours on, hours from one on, else minutes; what is behind the point is cut off, of negative hours too."""
+    whole = lambda x, unit: F.concat(x.cast("long").cast("string"), F.lit(unit))
+    return F.when(silent >= 48, whole(silent / 24, "d")).when(silent >= 1, whole(silent, "h")).otherwise(whole(silent * 60, "m"))
 
 
 def short_title(title: Column) -> Column:
@@ -58,4 +59,4 @@ def importance_bar(importance: Column) -> tuple[Column, Column]:
 
 
 def commit_content(message: Column, insertions: Column, deletions: Column, files: Column) -> Column:
-    return F.format_string("Git commit: %s (+%d -%d in %d files)", message, insertions, deletions, files)
+    return F.format_string("Git commit: %s (+%d -%d in %d files)", stripped(message), insertions, deletions, files)

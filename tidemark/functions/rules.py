@@ -49,6 +49,20 @@ def single(x: float | Column) -> Column:
     return (x if isinstance(x, Column) else F.lit(x)).cast("float")
 
 
+#: The white space of Unicode.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.trim(text, F.lit(WHITE))
+
+
+def first_line(text: Column) -> Column:
+    """Up to the first line break, which may be one of two characters."""
+    return F.when(text.contains("\n"), F.regexp_replace(F.substring_index(text, "\n", 1), r"\r\z", "")).otherwise(text)
+
+
 def any_of(text: Column, parts: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, (text.contains(p) for p in parts))
 
@@ -70,9 +84,9 @@ def scope(title: Column) -> Column:
 
 
 def commit_tags(message: Column) -> Column:
-    prefix = F.trim(F.substring_index(F.substring_index(F.lower(message), ":", 1), "(", 1))
-    known = F.create_map(*(F.lit(x) for pair in COMMIT_TAGS.items() for x in pair))
-    return F.array_compact(F.array(F.get(F.map_values(F.map_filter(known, lambda k, _: k == prefix)), F.lit(0)), scope(F.lower(message))))
+    prefix = stripped(F.substring_index(F.substring_index(F.lower(message), ":", 1), "(", 1))
+    known = reduce(lambda found, pair: found.when(prefix == pair[0], pair[1]), COMMIT_TAGS.items(), F.when(F.lit(False), ""))
+    return F.array_compact(F.array(known, scope(F.lower(message))))
 
 
 def _memory(title: Column, kind: str | Column, importance: float | Column, tags: Column) -> Column:
@@ -93,7 +107,7 @@ def commit_memory(message: Column, files_changed: Column, threshold: float = THR
     docs = text.startswith("docs") | text.startswith("test")
     importance = F.when(decision, single(0.7)).when(fix, single(0.6)).when(chore, single(0.3)).when(docs, single(0.2)).otherwise(single(0.4))
     raised = F.when(files_changed > 10, F.least(importance + single(0.2), single(1.0))).otherwise(importance)
-    memory = _memory(F.trim(message), F.when(decision, "decision").otherwise("note"), raised, commit_tags(message))
+    memory = _memory(stripped(message), F.when(decision, "decision").otherwise("note"), raised, commit_tags(message))
     return F.when(importance >= single(threshold), memory)
 
 
@@ -104,10 +118,10 @@ def file_memory(path: Column, threshold: float = THRESHOLD) -> Column:
 
 
 def classify(kind: Column, content: Column, message: Column, files_changed: Column, threshold: float = THRESHOLD) -> Column:
-    """The memory of an event, or null: unknown kinds and modified files are dropped."""
+    """The memory of an event, or null: unknown kinds and modified files are dropped. A commit without a message has its content for one."""
     title = {k: F.lit(t) for k, t in TITLES.items()}
     return (
-        F.when(kind == "GitCommit", commit_memory(message, files_changed, threshold))
+        F.when(kind == "GitCommit", commit_memory(F.coalesce(message, content), files_changed, threshold))
         .when(kind == "DependencyAdded", _memory(F.concat(F.lit("Dependency change: "), basename(content)), "decision", 0.6, _tags("dependency")))
         .when(kind == "FileCreated", file_memory(content, threshold))
         .when(kind == "FileDeleted", _memory(F.concat(F.lit("Deleted: "), basename(content)), "note", 0.4, _tags()))
@@ -154,7 +168,7 @@ def message_kind(text: Column) -> Column:
 
 def decision_content(text: Column) -> Column:
     """The first line, cut to ``DECISION_BYTES`` before a character that would not fit."""
-    line = F.rtrim(F.substring_index(text, "\n", 1), F.lit("\r"))
+    line = first_line(text)
     raw = line.cast("binary")
     # A byte 10xxxxxx goes on with a character that began before it.
     begins = lambda at: ~F.hex(F.substring(raw, F.lit(at), F.lit(1))).rlike("^[89AB]")

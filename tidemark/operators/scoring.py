@@ -20,12 +20,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared.prefix import prefix_sums
 from ..shared.scratch import Scratch
 from .similarity import pairs_within
 
 #: Weights, limits and rows looked back at.
 W_FREQUENCY, W_RECENCY, W_SIGNAL = 0.3, 0.3, 0.4
 SIMILAR, FREQUENT, LOOK_FREQUENCY, LOOK_RECENCY, DECAY_HOURS, FLOOR = 0.5, 5.0, 100, 50, 24.0, 0.75
+#: Rows of a block where a key's rows are compared by many tasks.
+FOLD_BLOCK = 1024
 #: Signal by kind of event, else by type of memory.
 SIGNAL_OF_KIND = {"UserCorrection": 1.0, "ErrorFixed": 0.8, "manual": 0.8, "GitCommit": 0.6}
 SIGNAL_OF_TYPE = {"feedback": 1.0, "security": 0.9, "decision": 0.7, "session_summary": 0.5, "note": 0.4}
@@ -39,6 +42,9 @@ class Policy:
     threshold: float | None = 0.4
     history: int | None = None
 
+    def drops(self, score: float) -> bool:
+        return self.threshold is not None and bool(np.float32(score) < np.float32(self.threshold))
+
 
 #: Batches of events; corrections, which pass at once; single saves, by hand or by a tool, which keep what scores low; rebuilding.
 BATCH, URGENT, SAVE, BACKFILL = Policy(), Policy(None, False, None), Policy(threshold=None), Policy(None, False, None)
@@ -103,19 +109,24 @@ def judge(history: History, vector: np.ndarray, time: int, strength: float, poli
         return "deduped", None
     score = None
     if policy.score:
-        frequency = min(1.0, float((near[:LOOK_FREQUENCY] >= SIMILAR).sum()) / FREQUENT)
         recent = times[:LOOK_RECENCY][near[:LOOK_RECENCY] >= SIMILAR]
-        recency = max((math.exp(-((time - int(t)) // 60_000_000 / 60) / DECAY_HOURS) for t in recent), default=0.0)
-        score = W_FREQUENCY * frequency + W_RECENCY * recency + W_SIGNAL * strength
-        if frequency == 0 and recency == 0:
-            score = max(score, FLOOR * strength)
-        score = min(1.0, max(0.0, score))
-        if policy.threshold is not None and np.float32(score) < np.float32(policy.threshold):
+        score = weigh(int((near[:LOOK_FREQUENCY] >= SIMILAR).sum()), int(recent.max()) if len(recent) else None, time, strength)
+        if policy.drops(score):
             return "low_importance", score
     history.add(vector, time)
     return "saved", score
 
 
+def weigh(often: int, newest: int | None, time: int, strength: float) -> float:
+    """The score of a row with so many similar ones among the kept rows looked back at, the newest at that time (microseconds)."""
+    frequency = min(1.0, often / FREQUENT)
+    recency = 0.0 if newest is None else math.exp(-((time - newest) // 60_000_000 / 60) / DECAY_HOURS)
+    score = W_FREQUENCY * frequency + W_RECENCY * recency + W_SIGNAL * strength
+    if frequency == 0 and recency == 0:
+        score = max(score, FLOOR * strength)
+    return min(1.0, max(0.0, score))
+
+
 def fold(rows: DataFrame, key: str, policy: Policy = BATCH) -> DataFrame:
     """(id, key, outcome, score) of each row of (id, key, timestamp, strength, embedding), in order of (timestamp, id).
 
@@ -145,6 +156,118 @@ def fold(rows: DataFrame, key: str, policy: Policy = BATCH) -> DataFrame:
     return dealt.mapInArrow(run, f"id {kind['id']}, {key} {kind[key]}, outcome string, score double")
 
 
+def _looks(policy: Policy):
+    """What each row of a block has in an earlier block: (group, n, block, similar, repeats), a bit for each earlier row and the places of near-repeats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                later, earlier, x, y = (batch.column(c)[row] for c in ("block", "earlier", "x", "y"))
+                mine, other = (v.values.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(v.values), -1) for v in (x, y))
+                s = mine @ other.T
+                before = np.ones(s.shape, bool) if later.as_py() != earlier.as_py() else np.tri(len(mine), k=-1, dtype=bool)
+                similar = (s >= SIMILAR) & before if policy.score else np.zeros(s.shape, bool)
+                repeat = (s >= policy.dedup) & before if policy.dedup is not None else np.zeros(s.shape, bool)
+                at = np.flatnonzero(similar.any(1) | repeat.any(1))
+                i, j = np.nonzero(repeat[at])
+                ends = np.searchsorted(i, np.arange(len(at) + 1)).astype(np.int32)
+                bits = np.packbits(similar[at], axis=1)
+                columns = [
+                    batch.column("group").take(pa.array(np.full(len(at), row, np.int64))),
+                    pa.array(later.as_py() * FOLD_BLOCK + at),
+                    pa.array(np.full(len(at), earlier.as_py(), np.int64)),
+                    pa.array([b.tobytes() for b in bits], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(earlier.as_py() * FOLD_BLOCK + j)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["group", "n", "seen", "similar", "repeats"])
+
+    return run
+
+
+class _Kept:
+    """Which rows of a key are kept, without their vectors: the kept ones' places and times, and each row's number among them."""
+
+    def __init__(self):
+        self.n, self.places, self.times, self.number, self.rows = 0, np.zeros(64, np.int64), np.zeros(64, np.int64), np.full(64, -1, np.int64), 0
+
+    def add(self, time: int | None) -> None:
+        """The next row, with its time if it is kept."""
+        if self.rows == len(self.number):
+            self.places, self.times, self.number = (np.concatenate([x, np.full_like(x, -1)]) for x in (self.places, self.times, self.number))
+        if time is not None:
+            self.number[self.rows], self.places[self.n], self.times[self.n] = self.n, self.rows, time
+            self.n += 1
+        self.rows += 1
+
+    def similar(self, looks: list, back: int) -> np.ndarray:
+        """Numbers, from the oldest, of the similar ones among the newest ``back`` kept rows."""
+        first = max(0, self.n - back)
+        if first == self.n:
+            return np.zeros(0, np.int64)
+        oldest, found = int(self.places[first]), [np.zeros(0, np.int64)]
+        for block, bits in sorted(looks, reverse=True):
+            base = block * FOLD_BLOCK
+            if base + FOLD_BLOCK <= oldest:
+                break
+            own = self.number[base + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))[: self.rows - base])]
+            found.append(own[own >= first])
+        return np.sort(np.concatenate(found))
+
+
+def fold_in_blocks(rows: DataFrame, key: str, scratch: Scratch, policy: Policy = BATCH) -> DataFrame:
+    """The same rows as ``fold``, with the vectors of a key compared by many tasks.
+
+    Rows are numbered within their key (prefix sums over ranges) and packed
+    into blocks of ``FOLD_BLOCK`` in their order. Every block meets itself and
+    all earlier ones of its key, a row for each pair of blocks, and leaves for
+    each of its rows a bit for every similar earlier row and the places of
+    near-repeats. What goes through each key in order is these bits, the times
+    and nothing else: no vectors. A row's bits are as many as its earlier rows
+    at most, and the pass reads those of the newest kept rows only.
+    """
+    named = rows.select("id", key, "timestamp", "strength", F.coalesce("embedding", F.array().cast("array<float>")).alias("embedding"), F.to_json(F.struct(F.col(key))).alias("group"))
+    numbered = scratch.keep(prefix_sums(scratch, named, ["group"], [F.col("timestamp"), F.col("id")], F.lit(1).cast("long"), "ranged", "n"), "numbered")
+    scratch.drop("ranged")
+    block = F.floor(F.col("n") / FOLD_BLOCK).alias("block")
+    told = F.col("embedding") if policy.dedup is not None or policy.score else F.array().cast("array<float>")
+    blocks = numbered.groupBy("group", block).agg(F.sort_array(F.collect_list(F.struct("n", told.alias("v")))).alias("rows")).select("group", "block", F.col("rows.v").alias("v"))
+    blocks = scratch.keep(blocks, "blocks")
+    later = blocks.select("group", "block", F.col("v").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("earlier"))
+    met = later.join(blocks.select("group", F.col("block").alias("earlier"), F.col("v").alias("y")), ["group", "earlier"])
+    looks = met.select("group", "block", "earlier", "x", "y").mapInArrow(_looks(policy), "group string, n long, seen long, similar binary, repeats array<long>")
+    looks = scratch.keep(looks, "looks").groupBy("group", "n").agg(F.collect_list(F.struct("seen", "similar")).alias("looks"), F.flatten(F.collect_list("repeats")).alias("repeats"))
+    told = numbered.select("id", key, "timestamp", "strength", "group", "n").join(looks, ["group", "n"], "left")
+    dealt = told.select("group", "n", "id", key, "timestamp", "strength", "looks", "repeats").repartition("group").sortWithinPartitions("group", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, kept = object(), _Kept()
+        for batch in batches:
+            times = pc.cast(batch.column("timestamp"), pa.int64()).to_pylist()
+            groups, strengths = batch.column("group").to_pylist(), batch.column("strength").to_pylist()
+            outcomes, scores = [], []
+            for i, group in enumerate(groups):
+                if group != own:
+                    own, kept = group, _Kept()
+                repeats = np.array(batch.column("repeats")[i].as_py() or (), np.int64)
+                least = 0 if policy.history is None else max(0, kept.n - policy.history)
+                outcome, score = "saved", None
+                if (kept.number[repeats] >= least).any():
+                    outcome = "deduped"
+                elif policy.score:
+                    looked = [(x["seen"], x["similar"]) for x in batch.column("looks")[i].as_py() or ()]
+                    near = kept.similar(looked, LOOK_FREQUENCY if policy.history is None else min(LOOK_FREQUENCY, policy.history))
+                    newest = int(kept.times[near[-1]]) if len(near) and near[-1] >= kept.n - LOOK_RECENCY else None
+                    score = weigh(len(near), newest, times[i], strengths[i])
+                    outcome = "low_importance" if policy.drops(score) else "saved"
+                kept.add(times[i] if outcome == "saved" else None)
+                outcomes.append(outcome)
+                scores.append(score)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column(key), pa.array(outcomes, pa.string()), pa.array(scores, pa.float64())], ["id", key, "outcome", "score"])
+
+    kind = dict(rows.dtypes)
+    return dealt.mapInArrow(run, f"id {kind['id']}, {key} {kind[key]}, outcome string, score double")
+
+
 def keep_first(rows: DataFrame, scratch: Scratch, key: str, least: float = Policy.dedup) -> DataFrame:
     """(id, key, outcome) of rows (id, key, timestamp, embedding): saved, or deduped by an earlier saved row of the key.
 

@@ -1,4 +1,8 @@
-"""Nearest vectors of a set of queries, exactly, in blocks."""
+"""Nearest vectors of a set of queries, exactly.
+
+Few queries go to the data: each task holds them and keeps its best, so no data
+vector is shuffled. Many queries meet the data in blocks.
+"""
 
 from __future__ import annotations
 
@@ -13,61 +17,142 @@ from ..shared.scratch import Scratch
 
 #: Vectors of a data block and of a query block.
 DATA_BLOCK, QUERY_BLOCK = 4096, 256
+#: Queries that are sent to all tasks, at most.
+FEW = 2048
 #: Vectors of a block where a group's rows are compared with each other.
 PAIR_BLOCK = 1024
 
 
-def _blocks(df: DataFrame, key: str, vector: str, parts: int, name: str) -> DataFrame:
-    """So many rows of about equally many vectors: (name, name_ids, name_vectors)."""
-    block = F.pmod(F.xxhash64(key), F.lit(parts)).alias(name)
-    return df.where(F.col(vector).isNotNull()).groupBy(block).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(vector).alias("v"))).alias("rows")).select(name, F.col("rows.id").alias(f"{name}_ids"), F.col("rows.v").alias(f"{name}_vectors"))
-
-
-def _unit(lists: pa.Array) -> np.ndarray:
+def unit(lists: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of length 1; zero vectors stay zero."""
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     out = flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 1))
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
 
+def _cosines(a: np.ndarray, a_ids: np.ndarray, b: np.ndarray, b_ids: np.ndarray) -> np.ndarray:
+    """Cosines of rows; -3 for zero vectors and rows of one id."""
+    s = a @ b.T
+    s[~a.any(1)] = -3
+    s[:, ~b.any(1)] = -3
+    s[a_ids[:, None] == b_ids[None, :]] = -3
+    return s
+
+
+def _kept(s: np.ndarray, k: int | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k best of each row, ties with the last of them too, of at least that cosine."""
+    if k is not None and k < s.shape[1]:
+        cut = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        return np.nonzero((s >= np.maximum(cut - 1e-9, least)[:, None]) & (s > -3))
+    return np.nonzero((s >= least) & (s > -3))
+
+
+def _placed(found: DataFrame, k: int | None) -> DataFrame:
+    if k is None:
+        return found
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), "id"))
+    return found.withColumn("place", best).where(F.col("place") <= k)
+
+
+_FOUND = "query long, id long, similarity double"
+
+
 def near(data: DataFrame, queries: DataFrame, key: str, vector: str = "embedding", k: int | None = None, least: float = -2.0) -> DataFrame:
     """(query, id, similarity): for each query its k most similar other rows of at least that cosine.
 
-    Data and queries are packed into blocks; every query block meets every
-    data block by an equi-join on the data block's number, for each of which
-    the query blocks are repeated. A block's best k go on, so what is shuffled
-    does not depend on the number of data rows a block holds. Zero vectors
-    are similar to none. Vectors must have one length.
+    Zero vectors are similar to none. Vectors must have one length. Up to
+    ``FEW`` queries, after a count, are held by every task; more of them are
+    packed into blocks that meet all blocks of the data. What is shuffled then
+    is the best k of each task or block.
     """
-    parts = max(1, -(-data.count() // DATA_BLOCK))
-    blocks = _blocks(data, key, vector, parts, "data")
-    asked = _blocks(queries, key, vector, max(1, -(-queries.count() // QUERY_BLOCK)), "asked")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("data")
-    met = asked.select("asked_ids", "asked_vectors", every).join(blocks, "data")
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
+    found = asked.limit(FEW + 1).toArrow()
+    if found.num_rows > FEW:
+        return _placed(_in_blocks(data, asked, key, vector, k, least), k)
+    ids, vectors = found.column("id").to_numpy(), unit(found.column("vector").combine_chunks())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # places of queries, ids, cosines
+        for batch in batches:
+            for at in range(0, batch.num_rows, DATA_BLOCK):
+                part = batch.slice(at, DATA_BLOCK)
+                own = part.column("id").to_numpy(zero_copy_only=False)
+                s = _cosines(vectors, ids, unit(part.column("vector")), own)
+                i, j = _kept(s, k, least)
+                fresh = [i, own[j], s[i, j]]
+                if k is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(fresh[1]), pa.array(fresh[2])], ["query", "id", "similarity"])
+                    continue
+                best = [np.concatenate(x) for x in zip(best, fresh, strict=True)]
+                order = np.lexsort((best[1], -np.round(best[2], 9), best[0]))
+                best = [x[order] for x in best]
+                first = np.searchsorted(best[0], best[0])
+                best = [x[np.arange(len(first)) - first < k] for x in best]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query", "id", "similarity"])
+
+    rows = data.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
+    return _placed(rows.mapInArrow(run, _FOUND), k) if len(ids) else _placed(data.sparkSession.createDataFrame([], _FOUND), k)
+
+
+def _blocks(df: DataFrame, key: str, vector: str, parts: int, name: str) -> DataFrame:
+    """So many rows of about equally many vectors: (name, name_ids, name_vectors)."""
+    block = F.pmod(F.xxhash64(key), F.lit(parts)).alias(name)
+    return df.where(F.col(vector).isNotNull()).groupBy(block).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(vector).alias("v"))).alias("rows")).select(name, F.col("rows.id").alias(f"{name}_ids"), F.col("rows.v").alias(f"{name}_vectors"))
+
+
+def _meet(k: int | None, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, mine, q_ids, q = (batch.column(c)[row].values for c in ("data_ids", "data_vectors", "asked_ids", "asked_vectors"))
                 ids, q_ids = (x.to_numpy(zero_copy_only=False) for x in (ids, q_ids))
-                a, b = _unit(q), _unit(mine)
-                s = a @ b.T
-                s[~a.any(1)] = -3
-                s[:, ~b.any(1)] = -3
-                s[q_ids[:, None] == ids[None, :]] = -3
-                if k is not None and k < s.shape[1]:
-                    cut = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                    keep = (s >= np.maximum(cut, least)[:, None]) & (s > -3)
-                else:
-                    keep = (s >= least) & (s > -3)
-                i, j = np.nonzero(keep)
+                s = _cosines(unit(q), q_ids, unit(mine), ids)
+                i, j = _kept(s, k, least)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(ids[j]), pa.array(s[i, j])], ["query", "id", "similarity"])
 
-    found = met.mapInArrow(run, "query long, id long, similarity double")
-    if k is None:
-        return found
-    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), "id"))
-    return found.withColumn("place", best).where(F.col("place") <= k)
+    return run
+
+
+def _in_blocks(data: DataFrame, asked: DataFrame, key: str, vector: str, k: int | None, least: float) -> DataFrame:
+    """Every query block meets every data block by an equi-join on the data block's number, for each of which the query blocks are repeated."""
+    parts = max(1, -(-data.count() // DATA_BLOCK))
+    blocks = _blocks(data.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector")), "id", "vector", parts, "data")
+    asked = _blocks(asked, "id", "vector", max(1, -(-asked.count() // QUERY_BLOCK)), "asked")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("data")
+    met = asked.select("asked_ids", "asked_vectors", every).join(blocks, "data")
+    return met.select("data_ids", "data_vectors", "asked_ids", "asked_vectors").mapInArrow(_meet(k, least), _FOUND)
+
+
+def in_lists(stored: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query, id, similarity, place): the k best of the lists that each query asks for, from (list, id, vector) of both.
+
+    Up to ``FEW`` rows of ``asked`` (a row for each query and list) are held by
+    every task, and only folders of their lists are read. More of them are
+    joined to the lists, both sides in blocks.
+    """
+    found = asked.limit(FEW + 1).toArrow()
+    if found.num_rows > FEW:
+        lists = lambda rows, size, name: rows.groupBy("list", F.pmod(F.xxhash64("id"), F.lit(size)).alias("cell")).agg(F.collect_list(F.struct("id", "vector")).alias("rows")).select("list", F.col("rows.id").alias(f"{name}_ids"), F.col("rows.vector").alias(f"{name}_vectors"))
+        largest = lambda rows: rows.groupBy("list").count().agg(F.max("count")).first()[0] or 1
+        data, queries = lists(stored, -(-largest(stored) // DATA_BLOCK), "data"), lists(asked, -(-largest(asked) // QUERY_BLOCK), "asked")
+        met = data.join(queries, "list").select("data_ids", "data_vectors", "asked_ids", "asked_vectors")
+        return _placed(met.mapInArrow(_meet(k, -2.0), _FOUND), k)
+    number = found.column("list").to_numpy()
+    ids, vectors = found.column("id").to_numpy(), unit(found.column("vector").combine_chunks())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = batch.column("list").to_numpy(zero_copy_only=False)
+            for one in np.unique(of):
+                part, own = batch.filter(pa.array(of == one)), np.flatnonzero(number == one)
+                here = part.column("id").to_numpy(zero_copy_only=False)
+                s = _cosines(vectors[own], ids[own], unit(part.column("vector")), here)
+                i, j = _kept(s, k, -2.0)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own][i]), pa.array(here[j]), pa.array(s[i, j])], ["query", "id", "similarity"])
+
+    wanted = stored.where(F.col("list").isin(sorted({int(x) for x in number})))
+    return _placed(wanted.select("list", F.col("id").cast("long").alias("id"), "vector").mapInArrow(run, _FOUND), k)
 
 
 def pairs_within(rows: DataFrame, scratch: Scratch, group: str, key: str, least: float, vector: str = "embedding") -> DataFrame:
@@ -90,7 +175,7 @@ def pairs_within(rows: DataFrame, scratch: Scratch, group: str, key: str, least:
         for batch in batches:
             for row in range(batch.num_rows):
                 x_ids, x, y_ids, y = (batch.column(c)[row].values for c in ("x_ids", "x", "y_ids", "y"))
-                a, b = _unit(x), _unit(y)
+                a, b = unit(x), unit(y)
                 x_ids, y_ids = (i.to_numpy(zero_copy_only=False) for i in (x_ids, y_ids))
                 s = a @ b.T
                 once = (x_ids[:, None] < y_ids[None, :]) if batch.column("from")[row] == batch.column("cell")[row] else (x_ids[:, None] != y_ids[None, :])
@@ -100,11 +185,3 @@ def pairs_within(rows: DataFrame, scratch: Scratch, group: str, key: str, least:
 
     kind = dict(known.dtypes)
     return met.select("group", "from", "cell", "x_ids", "x", "y_ids", "y").mapInArrow(run, f"group {kind['group']}, a {kind['id']}, b {kind['id']}, similarity double")
-
-
-def similar_to(rows: DataFrame, vector: list[float], k: int, column: str = "embedding") -> DataFrame:
-    """The k rows most similar to one vector, as a literal: a projection and a top-k."""
-    from ..functions.embedding import cosine
-
-    given = F.array(*(F.lit(float(x)) for x in vector))
-    return rows.withColumn("similarity", cosine(F.col(column), given)).orderBy(F.desc("similarity"), "id").limit(k)

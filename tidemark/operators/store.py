@@ -73,11 +73,18 @@ def cleanup(memories: DataFrame, now: datetime, days: int = 30, importance: floa
     return memories.where(~stale), memories.where(stale)
 
 
-def import_new(incoming: DataFrame, existing: DataFrame, key: str = "id", order: str = "timestamp") -> DataFrame:
-    """Rows to add: the first of each key among the incoming, where the key isn't stored yet; rows without ``order`` come last."""
-    place = F.struct(F.col(order).isNull(), F.col(order))
+def import_new(incoming: DataFrame, existing: DataFrame, key: str = "id", place: str = "place") -> DataFrame:
+    """Rows to add: of each key the one that comes first in the file, by its ``place``, where the key isn't stored yet."""
     first = incoming.groupBy(key).agg(F.min_by(F.struct(*incoming.columns), place).alias("_first")).select("_first.*")
-    return first.join(existing.select(key), key, "left_anti")
+    return first.join(existing.select(key), key, "left_anti").drop(place)
+
+
+def import_result(incoming: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
+    """One row (imported, skipped): keys that are added, and all other rows, stored ones and repeats within the file."""
+    rows = incoming.groupBy(key).agg(F.count(F.lit(1)).alias("n")).join(existing.select(key).distinct().withColumn("_stored", F.lit(True)), key, "left")
+    fresh = F.col("_stored").isNull()
+    imported = F.count(F.when(fresh, 1))
+    return rows.agg(imported.alias("imported"), (F.coalesce(F.sum("n"), F.lit(0)) - imported).alias("skipped"))
 
 
 def with_defaults(incoming: DataFrame) -> DataFrame:
@@ -105,9 +112,9 @@ def export(memories: DataFrame) -> DataFrame:
 
 
 def imported(lines: DataFrame) -> DataFrame:
-    """Rows of exported JSON, one text each: the fields of ``EXPORTED`` with tags as an array, source unquoted and the defaults of an import."""
+    """Rows of exported JSON, one text each: the fields of ``EXPORTED`` with tags as an array, source unquoted and the defaults of an import, and the ``place`` of the lines."""
     schema = "id string, timestamp string, title string, content string, memory_type string, tags string, source string, importance double, metadata string"
-    rows = lines.select(F.from_json("json", schema).alias("r")).select("r.*")
+    rows = lines.select(F.from_json("json", schema).alias("r"), "place").select("r.*", "place")
     tags = F.coalesce(F.from_json("tags", "array<string>"), F.array().cast("array<string>"))
     return with_defaults(rows.withColumns({"tags": tags, "timestamp": F.to_timestamp_ntz(F.regexp_replace("timestamp", "(Z|[+]00:00)$", "")), "source": F.regexp_replace("source", '^"|"$', ""), "importance": F.col("importance").cast("float")}))
 

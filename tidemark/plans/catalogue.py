@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rendering, rules
 from ..functions.embedding import with_embedding
-from ..operators import graph, report, scoring, search, sequences, similarity, store
+from ..operators import graph, report, scoring, search, sequences, similarity, store, vector_index
 from ..shared.scratch import Scratch
 from ..sources import adapters, listing, messages
 from ..sources.adapters import COMMITS, FILES, KINDS, MEMORIES
@@ -103,7 +103,7 @@ def cleanup_deleted(spark, sf_dir):
 def import_anti_join(spark, sf_dir):
     memories = adapters.memories(spark, sf_dir)
     stored = adapters.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
-    return store.import_new(memories, stored).select("id", "title")
+    return store.import_new(memories.withColumn("place", F.col("id")), stored).select("id", "title")
 
 
 @query(f"""with {MEMORIES} select id, to_json({{'id': id, 'timestamp': strftime(timestamp, '%Y-%m-%dT%H:%M:%S') || '+00:00', 'title': title, 'content': content, 'memory_type': memory_type,
@@ -116,12 +116,32 @@ def export_rows(spark, sf_dir):
     where id not in (select doc_id from labels)""")
 def export_import(spark, sf_dir):
     """All rows exported, read back, and those added that are not stored yet."""
-    rows = store.imported(store.export(adapters.memories(spark, sf_dir)))
+    rows = store.imported(store.export(adapters.memories(spark, sf_dir)).withColumn("place", F.monotonically_increasing_id()))
     stored = adapters.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id")).distinct()
     shaped = {"tags": F.array_join("tags", ","), "importance": F.col("importance").cast("double")}
     return store.import_new(rows, stored).select(*(shaped.get(c, F.col(c)).alias(c) for c in store.EXPORTED))
 
 
+def _twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each memory twice in a file: first as it is, then with an earlier time and another title."""
+    rows = store.export(adapters.memories(spark, sf_dir))
+    earlier = F.regexp_replace(F.regexp_replace("json", '"timestamp":"2024', '"timestamp":"1999'), '"title":"', '"title":"again ')
+    return rows.select("json", (2 * F.col("id")).alias("place")).unionByName(rows.select(earlier.alias("json"), (2 * F.col("id") + 1).alias("place")))
+
+
+@query(f"with {MEMORIES} select id::varchar as id, title, timestamp from memories_v where id not in (select doc_id from labels)")
+def import_first(spark, sf_dir):
+    """Of two rows of one id in a file the first is imported, not the one of the earlier time."""
+    stored = adapters.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"))
+    return store.import_new(store.imported(_twice(spark, sf_dir)), stored).select("id", "title", "timestamp")
+
+
+@query(f"with {MEMORIES} select count(*) filter (where id not in (select doc_id from labels)) as imported, 2 * count(*) - count(*) filter (where id not in (select doc_id from labels)) as skipped from memories_v")
+def import_result(spark, sf_dir):
+    stored = adapters.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"))
+    return store.import_result(store.imported(_twice(spark, sf_dir)), stored)
+
+
 _DECISION = "(m like 'feat%' or contains(m, 'add ') or contains(m, 'implement'))"
 _COMMIT_BASE = f"case when {_DECISION} then 0.7 when m like 'fix%' or contains(m, 'bug') then 0.6 when m like 'refactor%' or m like 'chore%' then 0.3 when m like 'docs%' or m like 'test%' then 0.2 else 0.4 end"
 _COMMIT_MEMORIES = f"""{COMMITS}, judged as (select *, lower(message) as m from commits_v),
@@ -147,6 +167,34 @@ def commit_tags(spark, sf_dir):
     return _classified(spark, sf_dir).select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
+_RAGGED = """case event_id % 5 when 0 then null when 1 then message || chr(10) when 2 then chr(160) || chr(9) || message || chr(13) || chr(10) when 3 then message || chr(8195) || chr(12) else message || chr(10) || chr(10) || 'more (text) ' end"""
+_STRIP = "regexp_replace({x}, '^[\\x09-\\x0D\\x20\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+|[\\x09-\\x0D\\x20\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+$', '', 'g')"
+
+
+@query(f"""with {COMMITS}, ragged as (select event_id, files_changed, coalesce({_RAGGED}, 'content: ' || message || chr(10)) as message, {_RAGGED} as told from commits_v), judged as (select *, lower(message) as m from ragged), rated as (select *, {_COMMIT_BASE} as base from judged)
+    select event_id, {_STRIP.format(x='message')} as title, case when {_DECISION} then 'decision' else 'note' end as memory_type, round(case when files_changed > 10 then least(base + 0.2, 1.0) else base end, 6)::double as importance,
+    'Git commit: ' || {_STRIP.format(x='told')} || ' (+1 -2 in 3 files)' as content from rated where base >= 0.4""")
+def ragged_commits(spark, sf_dir):
+    """Messages that are missing, end with line breaks or lie between white space of all kinds; a missing one is stood for by the content."""
+    rows = adapters.commits(spark, sf_dir)
+    told = F.expr(_RAGGED.replace("chr(8195)", "'\u2003'").replace("chr(160)", "'\u00a0'"))
+    memory = rules.classify(F.lit("GitCommit"), F.concat(F.lit("content: "), F.col("message"), F.lit("\n")), F.col("told"), F.col("files_changed"))
+    found = rows.withColumn("told", told).withColumn("m", memory).where("m is not null")
+    content = rendering.commit_content(F.col("told"), F.lit(1), F.lit(2), F.lit(3))
+    return found.select("event_id", "m.title", "m.memory_type", F.round(F.col("m.importance").cast("double"), 6).alias("importance"), F.when(F.col("told").isNotNull(), content).alias("content"))
+
+
+@query(f"""with {MEMORIES}, s as (select id, title, id % 4 as k from memories_v)
+    select id, case k when 0 then left(title, 9) || case when length(title) > 9 then '...' else '' end when 1 then left(title, 9) || case when length(title) > 9 then '...' else '' end when 2 then case when length(title) > 8 then left(title || chr(13), 9) || '...' else title || chr(13) end else '' end as line,
+        'a' || case when k = 0 then '' else ',b' || k end as tags from s""")
+def ragged_texts(spark, sf_dir):
+    """First lines that end with one or two characters or not at all, and tags between tabs, line breaks and wide blanks."""
+    rows = adapters.memories(spark, sf_dir).withColumn("k", F.col("id") % 4)
+    text = F.when(F.col("k") == 0, F.concat("title", F.lit("\r\nmore"))).when(F.col("k") == 1, F.concat("title", F.lit("\nmore\r"))).when(F.col("k") == 2, F.concat("title", F.lit("\r"))).otherwise(F.lit("\r\n\r\nmore"))
+    tags = F.concat(F.lit("\ta \u3000,"), F.when(F.col("k") == 0, F.lit(" \n,\u00a0")).otherwise(F.concat(F.lit("\r\n\u2003b"), F.col("k").cast("string"), F.lit("\x0b\u0085,,")))) 
+    return rows.select("id", rendering.cut(text, 9).alias("line"), F.array_join(rendering.tags_of(tags), ",").alias("tags"))
+
+
 _KIND = "case when change in ('create', 'modify') and regexp_matches(path, '(Cargo.toml|package.json|requirements.txt)$') then 'DependencyAdded' when change = 'create' then 'FileCreated' when change = 'modify' then 'FileModified' else 'FileDeleted' end"
 _EXT = "case when contains(name, '.') then regexp_extract(name, '[^.]*$') else '' end"
 
@@ -276,10 +324,10 @@ def slug_render(spark, sf_dir):
 
 
 @query(f"""with {MEMORIES}, aged as (select *, date_sub('minute', timestamp, {_NOW}) as m from memories_v)
-    select id, case when m < 60 then m || 'm ago' when m < 1440 then (m // 60) || 'h ago' else (m // 1440) || 'd ago' end as age, case when length(split_part(content, chr(10), 1)) > 120 then left(split_part(content, chr(10), 1), 120) || '...' else split_part(content, chr(10), 1) end as line from aged where m >= 0""")
+    select id, case when m < 60 then m || 'm ago' when m < 1440 then (m // 60) || 'h ago' else (m // 1440) || 'd ago' end as age, case when length(split_part(content, chr(10), 1)) > 120 then left(split_part(content, chr(10), 1), 120) || '...' else split_part(content, chr(10), 1) end as line from aged""")
 def age_truncate(spark, sf_dir):
-    rows = adapters.memories(spark, sf_dir).where(F.col("timestamp") <= _now())
-    return rows.select("id", rendering.age(F.col("timestamp"), _now()).alias("age"), rendering.cut(F.col("content"), 120).alias("line"))
+    """Ages and first lines of all memories, of those yet to come too."""
+    return adapters.memories(spark, sf_dir).select("id", rendering.age(F.col("timestamp"), _now()).alias("age"), rendering.cut(F.col("content"), 120).alias("line"))
 
 
 _COSINE = "list_cosine_similarity(cast(q.embedding as double[]), cast(d.embedding as double[]))"
@@ -299,6 +347,27 @@ def similar_pairs(spark, sf_dir):
     return similarity.near(rows, rows.where("vec_id % 50 = 0"), "vec_id", least=0.25).select("query", "id", F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"""with s as (select q.vec_id as query, d.vec_id as id, {_COSINE} as similarity from embeddings q, embeddings d where q.vec_id % 50 = 0 and q.vec_id <> d.vec_id),
+    e as (select query from s qualify row_number() over (partition by query order by round(similarity, 9) desc, id) <= 10) select count(*) as n_exact, true as recall_reached from e""")
+def knn_recall(spark, sf_dir):
+    """How many of the exact ten nearest the stored index finds: at least nine in ten, reading some of its lists."""
+    rows = adapters.vectors(spark, sf_dir)
+    asked = rows.where("vec_id % 50 = 0")
+    index = vector_index.build(rows, Scratch(spark, "vector-index").path)
+    found = vector_index.search(index, asked, 10).select("query", "id", F.lit(1).alias("hit"))
+    exact = similarity.near(rows, asked, "vec_id", k=10).select("query", "id").join(found, ["query", "id"], "left")
+    return exact.agg(F.count(F.lit(1)).alias("n_exact"), (F.coalesce(F.sum("hit"), F.lit(0)) >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
+
+
+@query()
+def knn_index(spark, sf_dir):
+    """Nearest vectors from the stored index, which reads the lists near to each query only."""
+    rows = adapters.vectors(spark, sf_dir)
+    index = vector_index.build(rows, Scratch(spark, "vector-index").path)
+    found = vector_index.search(index, rows.where("vec_id % 50 = 0"), 5)
+    return found.select("query", "id", F.round("similarity", 6).alias("similarity"), F.col("place").cast("long").alias("place"))
+
+
 _TOKENS = "list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
 _INDEXES: dict[tuple, str] = {}
 
@@ -457,11 +526,11 @@ def graph_stats(spark, sf_dir):
     return names.join(F.broadcast(graph.totals(found).select("n_edges")))  # one row each
 
 
-@query(f"with {_GRAPH} select source, target, relation, memory_id, weight::double as weight from edge where source = 'redis' or target = 'redis' order by edge.weight desc, source, target, relation, memory_id limit 50")
+@query(f"with {_GRAPH} select source, target, relation, memory_id, weight::double as weight from edge where source = 'redis' or target = 'redis' order by edge.weight desc, source, target, relation, memory_id")
 def edges_by_weight(spark, sf_dir):
-    """Edges of one name, heaviest first; the order is the feature, and the first 50 show it."""
+    """All edges of one name, heaviest first."""
     every = graph.edges(_graph(spark, sf_dir), "event_id", "ts", Scratch(spark, "edges"))
-    return graph.touching(every, "redis").limit(50)
+    return graph.touching(every, "redis")
 
 
 @query(f"""with {_GRAPH}, near as (select target as name from edge where source = 'auth' union select source from edge where target = 'auth')
@@ -505,10 +574,10 @@ def stats_row(spark, sf_dir):
 
 
 @query(f"""with {MEMORIES}, s as (select id, date_sub('minute', timestamp, {_NOW}) / 60 as h, tags from memories_v)
-    select id, case when h >= 48 then floor(h / 24)::int || 'd' when h >= 1 then floor(h)::int || 'h' else floor(h * 60)::int || 'm' end as silent, array_to_string(tags, ',') as tags, 'm' || (id % 9) as module from s where h >= 0""")
+    select id, case when h >= 48 then trunc(h / 24)::int || 'd' when h >= 1 then trunc(h)::int || 'h' else trunc(h * 60)::int || 'm' end as silent, array_to_string(tags, ',') as tags, 'm' || (id % 9) as module from s""")
 def small_texts(spark, sf_dir):
     """Hours as text, tags from a list with blanks, and the module of a path."""
-    rows = adapters.memories(spark, sf_dir).withColumn("h", F.timestamp_diff("MINUTE", F.col("timestamp"), _now()) / 60).where("h >= 0")
+    rows = adapters.memories(spark, sf_dir).withColumn("h", F.timestamp_diff("MINUTE", F.col("timestamp"), _now()) / 60)
     tags = rendering.tags_of(F.concat(F.lit(" , "), F.array_join("tags", " , ,"), F.lit(",")))
     path = F.concat(F.lit("a/src/m"), (F.col("id") % 9).cast("string"), F.lit("/src/x.rs"))
     return rows.select("id", rendering.hours(F.col("h")).alias("silent"), F.array_join(tags, ",").alias("tags"), graph.module_of(path).alias("module"))
@@ -561,6 +630,13 @@ def dedup_fold(spark, sf_dir):
     return _memory_fold(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
+@query(ORACLE_SQL["dedup_fold"])
+def dedup_fold_blocks(spark, sf_dir):
+    """The same fold with the vectors of a project compared by many tasks, and only their bits gone through in order."""
+    rows = with_embedding(_memory_rows(spark, sf_dir), "text").drop("text")
+    return scoring.fold_in_blocks(rows, "project", Scratch(spark, "fold")).withColumn("score", F.round("score", 6))
+
+
 @query(f"with recursive {_DOC_FOLD} select id, round(score, 6) as importance from folded where outcome = 'saved'")
 def importance_scores(spark, sf_dir):
     """The score that replaces the importance of each row that is kept."""
@@ -609,6 +685,12 @@ def stream_commit_fold(spark, sf_dir):
     return spark.read.parquet(f"{scratch.path}/out").select("user_id", "id", "outcome", F.round("score", 6).alias("score"))
 
 
+@query(ORACLE_SQL["commit_fold"])
+def commit_fold_blocks(spark, sf_dir):
+    rows = with_embedding(_commit_rows(spark, sf_dir), "title").drop("title")
+    return scoring.fold_in_blocks(rows, "user_id", Scratch(spark, "fold")).withColumn("score", F.round("score", 6))
+
+
 @query(f"with recursive {_COMMIT_FOLD} select outcome, count(*) as n from folded group by 1 union all select 'skipped', count(*) from commits_v where event_id not in (select event_id from kept)")
 def outcome_counts(spark, sf_dir):
     """What became of the commits of a batch."""

@@ -38,8 +38,8 @@ def doctor(spark: SparkSession, folder: str, tables: tuple[str, ...]) -> dict[st
 
 
 def read_import(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of an exported JSON array; tags may be an array or JSON text."""
-    rows = spark.read.json(path, multiLine=True)
+    """Rows of an exported JSON array with their ``place`` in it, which one task reads in its order; tags may be an array or JSON text."""
+    rows = spark.read.json(path, multiLine=True).withColumn("place", F.monotonically_increasing_id())
     if dict(rows.dtypes).get("tags") == "string":
         rows = rows.withColumn("tags", F.coalesce(F.from_json("tags", "array<string>"), F.array().cast("array<string>")))
     return rows
