@@ -115,12 +115,16 @@ def _packed(rows: DataFrame, size: int, scale: float) -> DataFrame:
 
 
 def _met(chunks: DataFrame, blocks: DataFrame, groups: int) -> DataFrame:
-    """Each chunk of anchors beside each block of vectors of its length, by an equi-join on groups of blocks."""
+    """Each chunk of anchors beside each block of vectors of its length, by an equi-join on groups of blocks.
+
+    A merge join at every size: what the repeated chunks hold is more than the
+    optimizer knows, so it might take them for small enough to be broadcast.
+    """
     group = F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group")
     sent = chunks.withColumnRenamed("block", "chunk").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
     for c in ("ids", "labels", "wide", "components"):
         sent = sent.withColumnRenamed(c, f"anchor_{c}")
-    return sent.join(blocks.select(group, "length", "ids", "labels", "wide", "components"), ["group", "length"])
+    return sent.join(blocks.select(group, "length", "ids", "labels", "wide", "components").hint("merge"), ["group", "length"])
 
 
 def _row(batch: pa.RecordBatch, at: int, prefix: str = "") -> tuple[pa.Array, np.ndarray, np.ndarray]:
