@@ -16,7 +16,7 @@ from tidemark.plans import catalogue
 from tidemark.shared.scratch import Scratch
 from tidemark.sources import messages
 from tidemark.streaming import ingest
-from tidemark.streaming.jsonl_tail import JsonlTail
+from tidemark.streaming.jsonl_tail import JsonlTail, Range, TailReader
 
 
 def one(spark, column, **values):
@@ -384,6 +384,47 @@ def test_tail_of_growing_files(spark, tmp_path):
     assert [x for b in seen for x in b] == [1, 2, 3, 4]
 
 
+def _tail(spark, tmp_path, seen, **options):
+    """One batch of the tail's stream, by a query that starts anew; options are the source's."""
+    rows = spark.readStream.format("jsonl_tail").options(from_start="true", **options).load(str(tmp_path / "in"))
+    query = rows.writeStream.foreachBatch(lambda b, _: seen.append([json.loads(r.line)["n"] for r in b.collect()])).option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start()
+    query.awaitTermination(120)
+    query.stop()
+
+
+def test_tail_takes_bounded_batches(spark, tmp_path):
+    """A backlog in batches within the bound, a longer line by itself, no line lost or read twice, each batch by a restarted query."""
+    spark.dataSource.register(JsonlTail)
+    for name in "ab":
+        (tmp_path / "in" / name).mkdir(parents=True)
+    lines = [json.dumps({"n": n, "pad": "x" * (900 if n == 7 else n % 5)}) for n in range(40)]
+    (tmp_path / "in" / "a" / "a.jsonl").write_text("\n".join(lines[:25]) + "\n")
+    (tmp_path / "in" / "b" / "b.jsonl").write_text("\n".join(lines[25:]) + "\n" + '{"n": 40')
+    seen, most = [], 400
+    for _ in range(7):
+        _tail(spark, tmp_path, seen, max_bytes=str(most), checkpoint=str(tmp_path / "c"))
+    assert sorted(n for b in seen for n in b) == list(range(40)) and len(seen) > 3
+    assert all(sum(len(lines[n]) + 1 for n in b) <= most or b == [7] for b in seen) and [7] in seen
+    with pytest.raises(Exception, match="checkpoint"):
+        _tail(spark, tmp_path, seen, max_bytes="9")
+
+
+def test_tail_of_shortened_files(spark, tmp_path):
+    """A file that was begun anew is read again; a planned range that is gone ends with an error or is left out."""
+    spark.dataSource.register(JsonlTail)
+    (tmp_path / "in" / "p").mkdir(parents=True)
+    file, seen = tmp_path / "in" / "p" / "a.jsonl", []
+    for text in ('{"n": 1}\n{"n": 2}\n', '{"n": 3}\n', '{"n": 3}\n{"n": 4}\n{"n": 5}\n'):
+        file.write_text(text)
+        _tail(spark, tmp_path, seen, checkpoint=str(tmp_path / "c"))
+    assert [n for b in seen for n in b] == [1, 2, 3, 4, 5]
+    gone = Range(str(file), 10, 500)
+    assert [json.loads(line)["n"] for _, line in TailReader(str(tmp_path / "in"), True, strict=False).read(Range(str(file), 9, 500))] == [4, 5]
+    with pytest.raises(OSError, match="shorter"):
+        list(TailReader(str(tmp_path / "in"), True).read(gone))
+    assert list(TailReader(str(tmp_path / "in"), True, strict=False).read(Range(str(file), 400, 500))) == []
+
+
 def test_search_terms(spark):
     rows = spark.createDataFrame([(1, "Café ÜBER snake_case", "x"), (2, "cafe latte uber", "y cafe"), (3, "other", "z")], "id long, a string, b string")
     ids = lambda m: [r.id for r in search.search(rows, m, "id", ("a", "b"), 10).orderBy("id").collect()]

@@ -156,7 +156,7 @@ def fold(rows: DataFrame, key: str, policy: Policy = BATCH) -> DataFrame:
     return dealt.mapInArrow(run, f"id {kind['id']}, {key} {kind[key]}, outcome string, score double")
 
 
-def _looks(policy: Policy):
+def _looks(policy: Policy, size: int):
     """What each row of a block has in an earlier block: (group, n, block, similar, repeats), a bit for each earlier row and the places of near-repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,10 +174,10 @@ def _looks(policy: Policy):
                 bits = np.packbits(similar[at], axis=1)
                 columns = [
                     batch.column("group").take(pa.array(np.full(len(at), row, np.int64))),
-                    pa.array(later.as_py() * FOLD_BLOCK + at),
+                    pa.array(later.as_py() * size + at),
                     pa.array(np.full(len(at), earlier.as_py(), np.int64)),
                     pa.array([b.tobytes() for b in bits], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(earlier.as_py() * FOLD_BLOCK + j)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(earlier.as_py() * size + j)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["group", "n", "seen", "similar", "repeats"])
 
@@ -187,7 +187,8 @@ def _looks(policy: Policy):
 class _Kept:
     """Which rows of a key are kept, without their vectors: the kept ones' places and times, and each row's number among them."""
 
-    def __init__(self):
+    def __init__(self, size: int):
+        self.size = size
         self.n, self.places, self.times, self.number, self.rows = 0, np.zeros(64, np.int64), np.zeros(64, np.int64), np.full(64, -1, np.int64), 0
 
     def add(self, time: int | None) -> None:
@@ -206,19 +207,19 @@ class _Kept:
             return np.zeros(0, np.int64)
         oldest, found = int(self.places[first]), [np.zeros(0, np.int64)]
         for block, bits in sorted(looks, reverse=True):
-            base = block * FOLD_BLOCK
-            if base + FOLD_BLOCK <= oldest:
+            base = block * self.size
+            if base + self.size <= oldest:
                 break
             own = self.number[base + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))[: self.rows - base])]
             found.append(own[own >= first])
         return np.sort(np.concatenate(found))
 
 
-def fold_in_blocks(rows: DataFrame, key: str, scratch: Scratch, policy: Policy = BATCH) -> DataFrame:
+def fold_in_blocks(rows: DataFrame, key: str, scratch: Scratch, policy: Policy = BATCH, size: int = FOLD_BLOCK) -> DataFrame:
     """The same rows as ``fold``, with the vectors of a key compared by many tasks.
 
     Rows are numbered within their key (prefix sums over ranges) and packed
-    into blocks of ``FOLD_BLOCK`` in their order. Every block meets itself and
+    into blocks of ``size`` in their order. Every block meets itself and
     all earlier ones of its key, a row for each pair of blocks, and leaves for
     each of its rows a bit for every similar earlier row and the places of
     near-repeats. What goes through each key in order is these bits, the times
@@ -228,26 +229,26 @@ def fold_in_blocks(rows: DataFrame, key: str, scratch: Scratch, policy: Policy =
     named = rows.select("id", key, "timestamp", "strength", F.coalesce("embedding", F.array().cast("array<float>")).alias("embedding"), F.to_json(F.struct(F.col(key))).alias("group"))
     numbered = scratch.keep(prefix_sums(scratch, named, ["group"], [F.col("timestamp"), F.col("id")], F.lit(1).cast("long"), "ranged", "n"), "numbered")
     scratch.drop("ranged")
-    block = F.floor(F.col("n") / FOLD_BLOCK).alias("block")
+    block = F.floor(F.col("n") / size).alias("block")
     told = F.col("embedding") if policy.dedup is not None or policy.score else F.array().cast("array<float>")
     blocks = numbered.groupBy("group", block).agg(F.sort_array(F.collect_list(F.struct("n", told.alias("v")))).alias("rows")).select("group", "block", F.col("rows.v").alias("v"))
     blocks = scratch.keep(blocks, "blocks")
     later = blocks.select("group", "block", F.col("v").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("earlier"))
     met = later.join(blocks.select("group", F.col("block").alias("earlier"), F.col("v").alias("y")), ["group", "earlier"])
-    looks = met.select("group", "block", "earlier", "x", "y").mapInArrow(_looks(policy), "group string, n long, seen long, similar binary, repeats array<long>")
+    looks = met.select("group", "block", "earlier", "x", "y").mapInArrow(_looks(policy, size), "group string, n long, seen long, similar binary, repeats array<long>")
     looks = scratch.keep(looks, "looks").groupBy("group", "n").agg(F.collect_list(F.struct("seen", "similar")).alias("looks"), F.flatten(F.collect_list("repeats")).alias("repeats"))
     told = numbered.select("id", key, "timestamp", "strength", "group", "n").join(looks, ["group", "n"], "left")
     dealt = told.select("group", "n", "id", key, "timestamp", "strength", "looks", "repeats").repartition("group").sortWithinPartitions("group", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, kept = object(), _Kept()
+        own, kept = object(), _Kept(size)
         for batch in batches:
             times = pc.cast(batch.column("timestamp"), pa.int64()).to_pylist()
             groups, strengths = batch.column("group").to_pylist(), batch.column("strength").to_pylist()
             outcomes, scores = [], []
             for i, group in enumerate(groups):
                 if group != own:
-                    own, kept = group, _Kept()
+                    own, kept = group, _Kept(size)
                 repeats = np.array(batch.column("repeats")[i].as_py() or (), np.int64)
                 least = 0 if policy.history is None else max(0, kept.n - policy.history)
                 outcome, score = "saved", None

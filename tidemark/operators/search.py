@@ -149,7 +149,13 @@ def lookup(spark: SparkSession, path: str, match: Match, key: str, n: int) -> Da
     Reads the rows of the terms only. A phrase is where its words' places,
     shifted by their position in the phrase, agree.
     """
-    index, terms = spark.read.parquet(f"{path}/postings"), match.all_of + match.any_of + match.none_of
+    facts = spark.read.parquet(f"{path}/facts").first().asDict()
+    return lookup_in(spark.read.parquet(f"{path}/postings"), facts, match, key, n)
+
+
+def lookup_in(index: DataFrame, facts: dict, match: Match, key: str, n: int) -> DataFrame:
+    """The n best rows by their postings, with the numbers of rows (n) and their mean length at hand."""
+    terms = match.all_of + match.any_of + match.none_of
     hits = []
     for i, term in enumerate(terms):
         parts = _parts(term)
@@ -164,7 +170,7 @@ def lookup(spark: SparkSession, path: str, match: Match, key: str, n: int) -> Da
         hits.append(found.withColumn("number", F.lit(i)))
     tf = [F.count(F.when(F.col("number") == i, 1)).alias(f"tf{i}") for i in range(len(terms))]
     counted = reduce(DataFrame.unionByName, hits).groupBy(key, "length").agg(*tf)
-    facts = spark.read.parquet(f"{path}/facts").first().asDict() | counted.agg(*_frequencies(terms)).first().asDict()
+    facts = facts | counted.agg(*_frequencies(terms)).first().asDict()
     return _best(counted, match, key, n, facts)
 
 

@@ -90,7 +90,7 @@ def _filed(rows: DataFrame, key: str, vector: str, centroids: np.ndarray) -> Dat
 
 
 def build(rows: DataFrame, path: str, key: str = "vec_id", vector: str = "embedding", lists: int | None = None) -> VectorIndex:
-    """Fit, file every row, and store below ``path``; rows without a vector are left out, zero vectors are filed but similar to none.
+    """Fit, file every row, and store below ``path``; rows without a vector are left out, zero vectors are filed but similar to none. An index of no rows finds nothing.
 
     The driver sees ``SAMPLE`` vectors at most, chosen by a hash of their keys,
     and ``MOST_LISTS`` centroids; there are about as many lists as the square
@@ -100,10 +100,10 @@ def build(rows: DataFrame, path: str, key: str = "vec_id", vector: str = "embedd
     known = rows.where(F.col(vector).isNotNull())
     n = known.count()
     sample = known.orderBy(F.xxhash64(key), key).limit(SAMPLE).select(F.col(vector).cast("array<float>").alias("v"))
-    found = _matrix(sample.toArrow().column("v")) if n else np.zeros((0, 1))
-    found = found[found.any(1)] if len(found) else found
+    found = _matrix(sample.toArrow().column("v")) if n else np.zeros((0, 0))
+    length, found = found.shape[1], found[found.any(1)]
     count = max(1, min(lists or int(n**0.5), MOST_LISTS, len(found)))
-    centroids = fit_centroids(found, count) if len(found) else np.zeros((1, found.shape[1]))
+    centroids = fit_centroids(found, count) if len(found) else np.zeros((min(n, 1), length))
     probes = probes_for(found, centroids) if len(found) > 1 else 1
     filed = _filed(rows, key, vector, centroids).repartitionByRange("list", "id").sortWithinPartitions("list")
     filed.write.mode("overwrite").partitionBy("list").parquet(f"{path}/lists")
@@ -115,6 +115,8 @@ def build(rows: DataFrame, path: str, key: str = "vec_id", vector: str = "embedd
 
 def append(index: VectorIndex, rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> None:
     """File further rows under the centroids there are."""
+    if not len(index.centroids):
+        raise ValueError("an index of no rows has no centroids; build it of the rows")
     filed = _filed(rows, key, vector, index.centroids).repartitionByRange("list", "id").sortWithinPartitions("list")
     filed.write.mode("append").partitionBy("list").parquet(f"{index.path}/lists")
 
@@ -127,6 +129,8 @@ def load(spark: SparkSession, path: str) -> VectorIndex:
 def search(index: VectorIndex, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", probes: int | None = None) -> DataFrame:
     """(query, id, similarity, place): for each query the k most similar other rows of the lists nearest to it."""
     spark = queries.sparkSession
+    if not len(index.centroids):
+        return spark.createDataFrame([], "query long, id long, similarity double, place int")
     kind = dict(queries.dtypes)[key]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

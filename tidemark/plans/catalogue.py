@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rendering, rules
 from ..functions.embedding import with_embedding
-from ..operators import graph, report, scoring, search, sequences, similarity, store, vector_index
+from ..operators import graph, graph_state, report, scoring, search, sequences, similarity, store, stored, vector_index
 from ..shared.scratch import Scratch
 from ..sources import adapters, listing, messages
 from ..sources.adapters import COMMITS, FILES, KINDS, MEMORIES
@@ -313,6 +313,34 @@ def upsert_latest(spark, sf_dir):
     return store.upsert_latest(rows, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
 
 
+def _thirds(rows: DataFrame, time: str) -> list[DataFrame]:
+    """Rows in three parts by a time, as batches that follow each other."""
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    cuts = rows.select(F.percentile_approx(at, [0.3, 0.7])).first()[0] or [0, 0]
+    return [rows.where(at < cuts[0]), rows.where((at >= cuts[0]) & (at < cuts[1])), rows.where(at >= cuts[1])]
+
+
+@query(ORACLE_SQL["upsert_latest"])
+def stored_upserts(spark, sf_dir):
+    """A stored table after three batches, of which the second came again after the third: the last row of each key."""
+    rows = adapters.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "ts")
+    kept = stored.StoredTable(spark, Scratch(spark, "stored-upserts").path + "/rows", rows.schema, "user_id", 8)
+    batches = _thirds(rows, "ts")
+    for number in (0, 1, 1, 2, 1):
+        kept.upsert(batches[number], number, ["ts", "event_id"])
+    return kept.read().select("user_id", "event_id", "event_type", "value")
+
+
+@query(ORACLE_SQL["cleanup_survivors"])
+def stored_cleanup(spark, sf_dir):
+    """Memories in a stored table after a clean-up in place."""
+    rows = adapters.memories(spark, sf_dir)
+    kept = stored.StoredTable(spark, Scratch(spark, "stored-cleanup").path + "/rows", rows.schema, "id", 8)
+    kept.upsert(rows, 0)
+    kept.clean(NOW, 1, 10)
+    return kept.read().select("id", "memory_type", "timestamp")
+
+
 _SLUG = "left(regexp_replace(replace(lower(title), ' ', '-'), '[^\\p{L}\\p{N}-]', '_', 'g'), 60)"
 
 
@@ -465,6 +493,24 @@ def phrase_search(spark, sf_dir):
     return search.lookup(spark, _index(spark, sf_dir), match, "id", 20).select("id", F.round("score", 6).alias("score"))
 
 
+_CHANGED = "(select doc_id, case when doc_id % 5 = 0 then text || ' license idiot license' else text end as text from documents where doc_id % 7 <> 0)"
+
+
+@query(f"with {_bm25_sql(('idiot', 'license'), 'tf0 > 0 or tf1 > 0').replace('from documents', f'from {_CHANGED}', 1)} select id, round(score, 6) as score from ranked order by ranked.score desc, id limit 20")
+def bm25_upkeep(spark, sf_dir):
+    """A search after rows were added, replaced and deleted in batches, one of them repeated: the scores of a rebuilt index."""
+    rows = adapters.memories(spark, sf_dir).select("id", "content")
+    kept = stored.LiveIndex(spark, Scratch(spark, "live-index").path, rows.schema, "id", ("content",), 8)
+    longer = rows.where("id % 5 = 0").withColumn("content", F.concat("content", F.lit(" license idiot license")))
+    kept.upsert(rows.where("id % 3 = 0"), 0)
+    kept.upsert(rows.where("id % 3 <> 0"), 1)
+    kept.upsert(longer, 2)
+    kept.delete(rows.where("id % 7 = 0"), 3)
+    kept.upsert(rows.where("id % 3 <> 0"), 1)
+    match = search.Match(any_of=(search.Term("idiot"), search.Term("License")))
+    return kept.search(match, 20).select("id", F.round("score", 6).alias("score"))
+
+
 @query(f"with w as (select unnest({_TOKENS}) as term, doc_id from documents) select term, count(*) as tf, count(distinct doc_id) as df from w group by 1")
 def term_freq(spark, sf_dir):
     return search.term_frequencies(spark.read.parquet(f"{_index(spark, sf_dir)}/postings"), "id")
@@ -542,7 +588,11 @@ def graph_query(spark, sf_dir):
     found = _graph(spark, sf_dir, kept=True)
     every = graph.edges(found, "event_id", "ts", Scratch(spark, "edges"))
     rows = found.select(F.col("event_id").alias("id"), F.col("ts").alias("timestamp"))
-    parts = graph.query("Auth", graph.entities(found, "event_id", "ts"), every, graph.links(found, "event_id"), rows)
+    return _shown(graph.query("Auth", graph.entities(found, "event_id", "ts"), every, graph.links(found, "event_id"), rows))
+
+
+def _shown(parts: dict[str, DataFrame]) -> DataFrame:
+    """What is known of a name, as rows of one shape."""
     shaped = {
         "entity": parts["entity"].select("name", F.col("mention_count").alias("n")),
         "edges": parts["edges"].groupBy(F.col("relation").alias("name")).agg(F.count(F.lit(1)).alias("n")),
@@ -552,6 +602,49 @@ def graph_query(spark, sf_dir):
     return reduce(DataFrame.unionByName, (rows.select(F.lit(part).alias("part"), "name", "n") for part, rows in shaped.items()))
 
 
+def _streamed_graph(spark: SparkSession, sf_dir: str) -> graph_state.GraphState:
+    """Counters of a stream of commits in three micro-batches."""
+    scratch = Scratch(spark, "graph-stream")
+    rows = adapters.commits(spark, sf_dir).select("event_id", "ts", F.col("message").alias("title"), F.array().cast("array<string>").alias("tags"))
+    for part in _thirds(rows, "ts"):
+        part.repartition(4).write.mode("append").parquet(f"{scratch.path}/commits")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{scratch.path}/commits")
+    state = graph_state.GraphState(spark, f"{scratch.path}/state", "event_id", "ts")
+    writer = graph.extract(stream).writeStream.foreachBatch(state.sink).option("checkpointLocation", f"{scratch.path}/offsets")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return state
+
+
+@query(f"with {_GRAPH} select * from entity")
+def stream_entities(spark, sf_dir):
+    """Counters of entities that a stream keeps in partial states: those of one pass over everything."""
+    return _streamed_graph(spark, sf_dir).entities()
+
+
+@query(ORACLE_SQL["edge_weights"])
+def stream_edge_weights(spark, sf_dir):
+    return _streamed_graph(spark, sf_dir).edges()
+
+
+def _adjacency(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the stored graph of the commits."""
+    found, path = _graph(spark, sf_dir, kept=True), Scratch(spark, "adjacency").path
+    linked = graph.links(found, "event_id").join(found.select(F.col("event_id").alias("memory_id"), F.col("ts").alias("timestamp")), "memory_id")
+    graph_state.write_adjacency(path, graph.entities(found, "event_id", "ts"), graph.edges(found, "event_id", "ts", Scratch(spark, "edges")), linked)
+    return path
+
+
+@query(ORACLE_SQL["graph_neighbors"])
+def graph_neighbors_stored(spark, sf_dir):
+    """Neighbours of a name from the stored graph, of which the name's files are read."""
+    return graph_state.neighbours(spark, _adjacency(spark, sf_dir), "jwt")
+
+
+@query(ORACLE_SQL["graph_query"])
+def graph_query_stored(spark, sf_dir):
+    return _shown(graph_state.query(spark, _adjacency(spark, sf_dir), "Auth"))
+
+
 _TAGGED = f"list_filter(list_transform(tags, lambda x: lower(x)), lambda x: {_VALID} and x not in ({own.GENERIC_TAGS}))"
 
 
