@@ -338,10 +338,14 @@ def test_one_clock(spark):
 def test_report_file(spark, sf, tmp_path):
     from tidemark.operators import report, sinks
 
-    lines = catalogue.report_sections(spark, sf)
-    report.write(lines, str(tmp_path / "r"))
+    entries = catalogue.context_report(spark, sf)
+    report.write(entries, str(tmp_path / "r"))
     text = "".join(open(f).read() for f in glob.glob(str(tmp_path / "r" / "*.txt")))
-    assert len(text.splitlines()) == lines.count() > 0 and "d ago)" in text
+    assert text == "\n".join(r.text for r in sorted(entries.collect(), key=lambda r: (r.part, r.place))) + "\n"
+    assert text.startswith("# Tidemark Context\n\n_Auto-generated: 2024-01-31 00:00 UTC_\n\n## Key Decisions\n\n- **")
+    assert "\n\n## User Feedback (DO NOT repeat these mistakes)\n\n- **" in text and "\n\n## Recent Activity\n\n- [" in text and text.endswith("edges_\n\n---\n_Total memories: 200 | Generated by tidemark_\n")
+    none = report.context(spark.createDataFrame([], "id long, timestamp timestamp_ntz, title string, content string, memory_type string, tags array<string>, importance float"), spark.createDataFrame([], "name string, entity_type string, mention_count long, neighbours string"), spark.createDataFrame([(0, 0)], "n_entities long, n_edges long"), catalogue._now())
+    assert [r.text.strip().split("\n")[0] for r in none.orderBy("part", "place").collect()] == ["# Tidemark Context", "---"]
     assert sinks.project_folder("/base/", "/home/me/x") == "/base/-home-me-x/memory"
 
 

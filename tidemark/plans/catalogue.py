@@ -693,6 +693,30 @@ def graph_report(spark, sf_dir):
     return report.graph_summary(graph.entities(found, "event_id", "ts"), graph.calls(found))
 
 
+_CUT = "case when length(split_part(content, chr(10), 1)) > 120 then left(split_part(content, chr(10), 1), 120) || '...' else split_part(content, chr(10), 1) end"
+
+
+@query(f"""with {MEMORIES}, {_GRAPH}, newest as (select * from memories_v order by timestamp desc, id desc limit 50), s as (select *, case memory_type when 'decision' then 1 when 'feedback' then 2 else 3 end as part, date_sub('minute', timestamp, {_NOW}) as m from newest),
+    p as (select *, row_number() over (partition by part order by timestamp desc, id desc)::int as place, case when m < 60 then m || 'm ago' when m < 1440 then (m // 60) || 'h ago' else (m // 1440) || 'd ago' end as age from s),
+    entries as (select part, place, case part when 1 then '- **' || title || '** (' || age || ') — ' || {_CUT} || chr(10) || '  _tags: ' || array_to_string(tags, ', ') || '_' when 2 then '- **' || title || '** (' || age || ') — ' || {_CUT}
+        else '- [' || memory_type || '] **' || title || '** (' || age || ', importance: ' || format('{{:.1f}}', importance::double) || ')' end as text from p where place <= case part when 2 then 5 else 10 end),
+    top as (select *, row_number() over (order by mention_count desc, name)::int as place from (select * from entity where mention_count >= 2 order by mention_count desc, name limit 10)),
+    pair as (select source as name, target as other from edge where source <> target union select target, source from edge where source <> target),
+    placed as (select p.name, p.other, row_number() over (partition by p.name order by e.mention_count desc, p.other) as place from pair p join entity e on e.name = p.other where p.name in (select name from top)),
+    shown as (select top.place, '- **' || name || '** (' || entity_type || ', ' || mention_count || ' mentions)' || coalesce((select chr(10) || '  → connected to: ' || string_agg(other, ', ' order by place) from placed where placed.name = top.name and placed.place <= 5), '') as text from top)
+    select 0 as part, 0 as place, '# Tidemark Context' || chr(10) || chr(10) || '_Auto-generated: 2024-01-31 00:00 UTC_' || chr(10) as text union all select * from entries
+    union all select part, h.place, h.text from (select distinct part from entries) e, lateral (select 0 as place, case part when 1 then '## Key Decisions' when 2 then '## User Feedback (DO NOT repeat these mistakes)' else '## Recent Activity' end || chr(10) as text union all select 1000000, '') h
+    union all select 4, place, text from shown union all select 4, 0, '## Knowledge Graph' || chr(10) union all select 4, 1000000, chr(10) || '_Graph: ' || (select count(*) from entity) || ' entities, ' || (select count(*) from called) || ' edges_' || chr(10)
+    union all select 5, 0, '---' || chr(10) || '_Total memories: ' || (select count(*) from memories_v) || ' | Generated by tidemark_'""")
+def context_report(spark, sf_dir):
+    """The whole report, entry by entry: memories with their ages, the graph's entities with neighbours, counts."""
+    found = _graph(spark, sf_dir, kept=True)
+    names = graph.mentions(found).agg(F.countDistinct("name").alias("n_entities"))
+    totals = names.join(F.broadcast(graph.totals(found).select("n_edges")))  # one row each
+    summary = report.graph_summary(graph.entities(found, "event_id", "ts"), graph.calls(found))
+    return report.context(adapters.memories(spark, sf_dir), summary, totals, _now())
+
+
 _DIGITS = "array_to_string(list_transform(e, lambda x: round(x::float::double * 100000)::bigint), ' ')"
 
 
