@@ -1,23 +1,26 @@
-"""Toxicity by cumulative-link ordinal regression on sparse word features.
+"""Toxicity by cumulative-link ordinal regression on sparse features: words and parts of words.
 
 Severity grades are ordered: 0 is clean, 1 to ``GRADES`` - 1 rising severity.
 One weight vector is shared by all thresholds: P(grade >= k) is the logistic
 function of (features . weights - threshold k), with rising thresholds. The
 result is the expected severity, the sum of those probabilities.
 
-Features are the words that stand in more toxic rows than chance explains. Each
-word of the sample is tested for itself (hypergeometric tail), and as many are
-taken as keep the expected share of chance finds below ``FALSE_SHARE``
-(Benjamini and Hochberg): no word needs a share of the toxic rows, so the words
-of a small language count as those of a large one.
+Features are the words, and the pieces of ``PIECES`` bytes of words with their
+borders, that stand in more toxic rows than chance explains. Each is tested for
+itself (hypergeometric tail), and as many are taken as keep the expected share
+of chance finds below ``FALSE_SHARE`` (Benjamini and Hochberg): none needs a
+share of the toxic rows, so what a small language has counts as what a large
+one has. Forms of one stem share pieces, so forms that no labelled row has, or
+too few, are known by them.
 
-Labels say only toxic or not. Toxic rows are graded by how many of those words
+Labels say only toxic or not. Toxic rows are graded by how many of those features
 they hold. The grades are therefore no judgement independent of the features:
 they tell the thresholds to rise with the amount of toxic wording, no more.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,29 +34,69 @@ from .labelled import FIT_ROWS, labelled_sample
 from .textkit import LETTER_OR_DIGIT, LOWER, Text, mix, signed, slices
 
 GRADES = 4
-#: Share of the chosen words that chance may have put there.
+#: Bytes of the pieces of words, of which each word's first and last border are one.
+PIECES = (4, 5, 6)
+#: Share of the chosen features that chance may have put there.
 FALSE_SHARE = 0.05
-#: Standard deviation of the weights' prior: a word of one toxic row in a thousand can outweigh the first threshold, one of two or three rows can't.
+#: Standard deviation of the weights' prior.
 PRIOR = 4.0
 #: Probability from which a text counts as toxic.
-TOXIC = 0.3
+TOXIC = 0.5
 
 
-def word_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of each text: (text, word hash, count), and all words of each text."""
-    words = Text(texts, LOWER).runs(LETTER_OR_DIGIT)
-    hashes = signed(words.hashes())
-    order = np.lexsort((hashes, words.doc))
-    d, h = words.doc[order], hashes[order]
-    first = np.ones(len(d), bool)
-    first[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
-    at = np.flatnonzero(first)
-    return d[at], h[at], np.diff(np.append(at, len(d))), words.counts()
+_SALT = np.random.Generator(np.random.PCG64(20240301)).integers(1, 1 << 63, (max(PIECES) + 1, 257), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BORDER = 256
+
+
+def word_pieces(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words and pieces of words of each text: (text, hash, count), by text and hash, and all words of each text.
+
+    A piece counts as often as the words that hold it. With ``known``, sorted
+    hashes, only these are looked for. Pieces are cut from the distinct words
+    of all the texts.
+    """
+    spans = Text(texts, LOWER).runs(LETTER_OR_DIGIT)
+    hashes = signed(spans.hashes())
+    word, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    size = spans.ends[first] - spans.starts[first]
+    ends = np.cumsum(size + 2)
+    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - 2, size + 2)
+    letters = np.full(len(at), _BORDER)
+    inside = (at > 0) & (at <= np.repeat(size, size + 2))
+    letters[inside] = spans.text.data[(np.repeat(spans.starts[first], size + 2) + at - 1)[inside]]
+    owner = np.repeat(np.arange(len(word)), size + 2)
+    owners, found = [np.arange(len(word))], [word]
+    for n in PIECES:
+        begin = np.flatnonzero(at + n <= np.repeat(size, size + 2) + 2)
+        piece = np.full(len(begin), n, np.uint64)
+        for i in range(n):
+            piece = (piece + _SALT[i, letters[begin + i]]) * _SALT[n, i]
+        owners.append(owner[begin])
+        found.append(signed(mix(piece)))
+    owners, found = np.concatenate(owners), np.concatenate(found)
+    if known is not None:
+        place = np.minimum(np.searchsorted(known, found), max(len(known) - 1, 0))
+        hit = known[place] == found if len(known) else np.zeros(len(found), bool)
+        owners, found = owners[hit], found[hit]
+    order = np.lexsort((found, owners))
+    owners, found = owners[order], found[order]
+    fresh = np.append(True, (owners[1:] != owners[:-1]) | (found[1:] != found[:-1]))[: len(found)]
+    owners, found = owners[fresh], found[fresh]
+    # Words of each text, then the features of each of its words.
+    pair, times = np.unique(spans.doc * max(len(word), 1) + which, return_counts=True)
+    doc, own = pair // max(len(word), 1), pair % max(len(word), 1)
+    start, many = np.searchsorted(owners, own), np.bincount(owners, minlength=len(word))[own]
+    each = np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())
+    doc, feature, count = np.repeat(doc, many), found[each], np.repeat(times, many)
+    order = np.lexsort((feature, doc))
+    doc, feature, count = doc[order], feature[order], count[order]
+    cuts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (feature[1:] != feature[:-1]))[: len(doc)])
+    return doc[cuts], feature[cuts], np.add.reduceat(count, cuts) if len(cuts) else count[:0], spans.counts()
 
 
 @dataclass
 class Ordinal:
-    """Words (sorted hashes), their weights, and the rising thresholds."""
+    """Features (sorted hashes of words and pieces), their weights, and the rising thresholds."""
 
     words: np.ndarray
     weights: np.ndarray
@@ -61,12 +104,8 @@ class Ordinal:
 
     def reaches(self, texts: pa.Array) -> np.ndarray:
         """P(grade >= k) of each text, a row for each text and a column for each k."""
-        doc, word, count, total = word_counts(texts)
-        z = np.zeros(len(total))
-        if len(self.words):
-            place = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
-            known = self.words[place] == word
-            np.add.at(z, doc[known], self.weights[place[known]] * np.log1p(count[known]))
+        doc, feature, count, total = word_pieces(texts, self.words)
+        z = np.bincount(doc, self.weights[np.searchsorted(self.words, feature)] * np.log1p(count), len(total))
         return _logistic(z[:, None] - self.thresholds)
 
 
@@ -118,15 +157,16 @@ def loss_slope(theta: np.ndarray, row: np.ndarray, column: np.ndarray, value: np
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and counts of each row, and the least three of its words' mixed hashes, which copies mostly share."""
+    """Features and counts of each row, and one hash of the least three of their mixed hashes, which copies mostly share."""
     for batch in batches:
         for part in slices(batch, "text"):
-            doc, word, count, _ = word_counts(part.column("text"))
+            doc, word, count, _ = word_pieces(part.column("text"))
             ends = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
             mixed = mix(word.view(np.uint64))
-            least = [np.sort(mixed[a:b])[:3].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            columns = [part.column("doc_id"), part.column("label"), pa.array(least, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(word)), pa.ListArray.from_arrays(pa.array(ends), pa.array(count.astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "least", "words", "counts"])
+            least = [np.sort(np.partition(mixed[a:b], 2)[:3] if b - a > 3 else mixed[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            alike = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in least]
+            columns = [part.column("label"), pa.array(alike, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(word)), pa.ListArray.from_arrays(pa.array(ends), pa.array(count.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "alike", "words", "counts"])
 
 
 def tail(found: np.ndarray, rows: np.ndarray, toxic: int, total: int) -> np.ndarray:
@@ -150,26 +190,29 @@ def significant(chance: np.ndarray, words: np.ndarray, share: float = FALSE_SHAR
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = FIT_ROWS) -> Ordinal:
     """Fit on up to ``rows`` labelled rows; without toxic rows no text is toxic.
 
-    Of rows whose three least word hashes agree, as copies' mostly do, the one
-    of the smallest doc_id teaches, so that the words of one text with many
-    copies don't look telling. Words are counted and chosen by Spark. The
-    driver gets a row for each pair of (toxic rows, rows) that words have, and
-    the chosen words' places in the sample.
+    All of them teach. Rows whose three least hashes agree, as copies' mostly
+    do, weigh one together, and a feature counts once for all of them, so that
+    the words of one text with many copies don't look telling. Features are
+    counted and chosen by Spark. The driver gets a row for each pair of (toxic
+    rows, rows) that features have, and the chosen features' places in the
+    sample.
     """
-    found = labelled_sample(docs, labels, "toxic", rows).mapInArrow(_sparse, "doc_id long, label int, least binary, words array<long>, counts array<int>")
-    first = found.groupBy("least").agg(F.min(F.struct("doc_id", "label", "words", "counts")).alias("r")).select(F.monotonically_increasing_id().alias("row"), "r.*")
-    return fit(scratch.keep(first, "sample"), scratch)
+    found = labelled_sample(docs, labels, "toxic", rows).mapInArrow(_sparse, "label int, alike long, words array<long>, counts array<int>")
+    return fit(scratch.keep(found.withColumn("row", F.monotonically_increasing_id()), "sample"), scratch)
 
 
 def fit(sample: DataFrame, scratch: Scratch) -> Ordinal:
-    """Choose the words, grade the toxic rows, and fit: from (row, label, words, counts) of each row."""
+    """Choose the features, grade the toxic rows, and fit: from (row, label, alike, words, counts) of each row; rows of one ``alike`` and label weigh one."""
+    toxic_row = (F.col("label") == 1).alias("toxic")
+    copies = sample.groupBy("alike", toxic_row).agg(F.count(F.lit(1)).alias("copies"))
     sizes = np.zeros(2, np.int64)
-    for r in sample.groupBy((F.col("label") == 1).alias("toxic")).count().collect():
+    for r in copies.groupBy("toxic").count().collect():
         sizes[int(r["toxic"])] = r["count"]
     total, toxic = int(sizes.sum()), int(sizes[1])
     if not toxic or toxic == total:
         return Ordinal(np.zeros(0, np.int64), np.zeros(0), np.array([10.0 - 20 * bool(toxic) + k for k in range(GRADES - 1)]))
-    words = sample.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum((F.col("label") == 1).cast("long")).alias("bad"), F.count(F.lit(1)).alias("in_rows"))
+    once = sample.select("alike", toxic_row, F.explode("words").alias("word")).distinct()
+    words = once.groupBy("word").agg(F.sum(F.col("toxic").cast("long")).alias("bad"), F.count(F.lit(1)).alias("in_rows"))
     words = scratch.keep(words, "words")
     pairs = words.groupBy("bad", "in_rows").count().toArrow()
     bad, in_rows, n_words = (pairs.column(c).to_numpy() for c in ("bad", "in_rows", "count"))
@@ -177,7 +220,8 @@ def fit(sample: DataFrame, scratch: Scratch) -> Ordinal:
     spark = sample.sparkSession
     chosen = spark.createDataFrame([(int(b), int(r)) for b, r in zip(bad[telling], in_rows[telling], strict=True)], "bad long, in_rows long")
     chosen = words.join(F.broadcast(chosen), ["bad", "in_rows"], "left_semi").select("word")
-    each = sample.select("row", "label", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", "label", F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
+    weighed = sample.join(copies, (sample["alike"] == copies["alike"]) & (toxic_row == copies["toxic"])).select("row", "label", "copies", "words", "counts")
+    each = weighed.select("row", "label", "copies", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", "label", "copies", F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
     places = each.join(chosen, "word", "left_semi").toArrow().sort_by([("row", "ascending"), ("word", "ascending")])
     scratch.drop("sample", "words")
     at, row = np.unique(places.column("row").to_numpy(), return_inverse=True)
@@ -185,12 +229,14 @@ def fit(sample: DataFrame, scratch: Scratch) -> Ordinal:
     count = places.column("count").to_numpy().astype(float)
     is_toxic = np.zeros(len(at), bool)
     is_toxic[row] = places.column("label").to_numpy() == 1
+    share = np.ones(len(at))
+    share[row] = 1 / places.column("copies").to_numpy()
     hits = np.bincount(row, count, len(at))
     cuts = np.quantile(hits[is_toxic], [i / (GRADES - 1) for i in range(1, GRADES - 1)]) if is_toxic.any() else np.zeros(GRADES - 2)
     grade = np.where(is_toxic, 1 + np.searchsorted(cuts, hits), 0)
     # Rows without a chosen word are alike but for their grade: one row for the clean ones, one for the toxic.
-    rest = np.array([total - toxic - (~is_toxic).sum(), toxic - is_toxic.sum()])
-    weights, thresholds = fit_ordinal(row, column, np.log1p(count), len(known), np.append(grade, [0, 1]), np.append(np.ones(len(at)), rest))
+    rest = np.maximum([total - toxic - share[~is_toxic].sum(), toxic - share[is_toxic].sum()], 0)
+    weights, thresholds = fit_ordinal(row, column, np.log1p(count), len(known), np.append(grade, [0, 1]), np.append(share, rest))
     return Ordinal(known, weights, thresholds)
 
 
