@@ -375,6 +375,22 @@ def packing_tokenizer(found=[]):  # noqa: B006
 
 
 @settings(max_examples=100, deadline=None)
+def test_sums():
+    """The tables give every pair and triple of a sum once, longest first, while its lengths are left."""
+    left = np.zeros(41, np.int64)
+    left[[1, 2, 3, 5, 8, 13, 21, 34, 40]] = 1
+    sums = packing.Sums(left, 40)
+    for used in ((), (13, 2)):
+        left[list(used)] = 0
+        have = np.flatnonzero(left).tolist()
+        for total in range(42):
+            for most in (3, 13, 40):
+                pairs = [(a, b) for a in have[::-1] for b in have if a >= b and a + b == total <= 40 and a <= most]
+                assert list(sums.pair(total, most)) == pairs
+                triples = [(a, b, c) for a in have[::-1] for b in have[::-1] for c in have if a >= b >= c and a + b + c == total <= 40 and a <= most]
+                assert list(sums.triple(total, most)) == triples
+
+
 @given(st.lists(st.integers(1, 40), max_size=200))
 def test_plan(lengths):
     counts = np.bincount(lengths, minlength=41)

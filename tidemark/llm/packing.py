@@ -164,15 +164,58 @@ def _pieces(path: str | None, capacity: int, end: int, keep_ids: bool):
     return run
 
 
+class Sums:
+    """Hash tables from each sum up to the capacity to the pairs and the triples of lengths that make it, longest first.
+
+    A triple is its longest length and a pair of the rest's sum, so the table of
+    triples holds the longest lengths alone. The tables are made of the lengths
+    that there are; what has been used up meanwhile is passed over.
+    """
+
+    def __init__(self, left: np.ndarray, capacity: int):
+        self.left = left
+        have = np.flatnonzero(left)
+        long, short = (x.ravel() for x in np.meshgrid(have, have, indexing="ij"))
+        fit = (short <= long) & (long + short <= capacity)
+        long, short = long[fit], short[fit]
+        self.pairs = self._table(long + short, long)
+        # The least longer length among a sum's pairs says which third lengths are the longest with one of them.
+        least = {total: int(found[-1]) for total, found in self.pairs.items()}
+        sums = np.array(sorted(least), np.int64)
+        first, rest = (x.ravel() for x in np.meshgrid(have, sums, indexing="ij"))
+        fit = (first + rest <= capacity) & (np.array([least[s] for s in sums.tolist()], np.int64)[np.searchsorted(sums, rest)] <= first)
+        self.triples = self._table((first + rest)[fit], first[fit])
+
+    @staticmethod
+    def _table(total: np.ndarray, longest: np.ndarray) -> dict[int, np.ndarray]:
+        order = np.lexsort((-longest, total))
+        total, longest = total[order], longest[order]
+        sums, at = np.unique(total, return_index=True)
+        return dict(zip(sums.tolist(), np.split(longest, at[1:]), strict=True))
+
+    def pair(self, total: int, most: int) -> Iterator[tuple[int, int]]:
+        """Pairs of that sum of which both lengths are left, the longer one at most ``most``."""
+        long = self.pairs.get(total, np.zeros(0, np.int64))
+        for a in long[(long <= most) & (self.left[long] > 0) & (self.left[total - long] > 0)].tolist():
+            yield a, total - a
+
+    def triple(self, total: int, most: int) -> Iterator[tuple[int, int, int]]:
+        long = self.triples.get(total, np.zeros(0, np.int64))
+        for a in long[(long <= most) & (self.left[long] > 0)].tolist():
+            for b, c in self.pair(total - a, a):
+                yield a, b, c
+
+
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Sequences for so many pieces of each length: (lengths, how often).
 
     From the longest length down, the gap that a piece leaves is looked up
-    among single lengths, pair sums and triple sums, and a combination that
-    fills it exactly is consumed as often as its counts allow. What finds no
-    exact combination is placed by best fit, longest first.
+    among single lengths and in the tables of pair and triple sums, and a
+    combination that fills it exactly is consumed as often as its counts allow.
+    What finds no exact combination is placed by best fit, longest first.
     """
     left = np.asarray(counts, np.int64).copy()
+    sums = Sums(left, capacity)
     done: list[tuple[tuple[int, ...], int]] = []
 
     def take(lengths: tuple[int, ...]) -> bool:
@@ -184,28 +227,13 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int,
             done.append((lengths, times))
         return bool(times)
 
-    def pairs(total: int, first: int) -> Iterator[tuple[int, int]]:
-        """Available pairs of that sum, the longer one at most ``first``."""
-        if total < 2:
-            return
-        high = np.arange(min(first, total - 1), (total + 1) // 2 - 1, -1)
-        for a in high[(left[high] > 0) & (left[total - high] > 0)].tolist():
-            yield a, total - a
-
     def fills(length: int) -> bool:
         gap = capacity - length
         if gap == 0:
             return take((length,))
         if left[gap] and take((length, gap)):
             return True
-        for a, b in pairs(gap, length):
-            if take((length, a, b)):
-                return True
-        for a in np.flatnonzero(left[: min(gap, length) + 1])[::-1].tolist():
-            for b, c in pairs(gap - a, a):
-                if take((length, a, b, c)):
-                    return True
-        return False
+        return any(take((length, *rest)) for rest in sums.pair(gap, length)) or any(take((length, *rest)) for rest in sums.triple(gap, length))
 
     for length in range(capacity, 0, -1):
         while left[length] and fills(length):
