@@ -191,7 +191,7 @@ class Sums:
         order = np.lexsort((-longest, total))
         total, longest = total[order], longest[order]
         sums, at = np.unique(total, return_index=True)
-        return dict(zip(sums.tolist(), np.split(longest, at[1:]), strict=True))
+        return dict(zip(sums.tolist(), np.split(longest, at[1:]), strict=True)) if len(sums) else {}
 
     def pair(self, total: int, most: int) -> Iterator[tuple[int, int]]:
         """Pairs of that sum of which both lengths are left, the longer one at most ``most``."""

@@ -156,17 +156,45 @@ def loss_slope(theta: np.ndarray, row: np.ndarray, column: np.ndarray, value: np
     return -(times * np.log(p)).sum() / total + (theta[:width] ** 2).sum() / (2 * prior**2 * total), g
 
 
-def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features and counts of each row, and one hash of the least three of their mixed hashes, which copies mostly share."""
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, alike, text): with one hash of the least three of a row's words' hashes, which copies mostly share."""
     for batch in batches:
         for part in slices(batch, "text"):
-            doc, word, count, _ = word_pieces(part.column("text"))
-            ends = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
-            mixed = mix(word.view(np.uint64))
-            least = [np.sort(np.partition(mixed[a:b], 2)[:3] if b - a > 3 else mixed[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            words = Text(part.column("text"), LOWER).runs(LETTER_OR_DIGIT)
+            hashes, firsts = mix(words.hashes()), words.firsts()
+            least = [np.unique(hashes[a:b])[:3] for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
             alike = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in least]
-            columns = [part.column("label"), pa.array(alike, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(word)), pa.ListArray.from_arrays(pa.array(ends), pa.array(count.astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays(columns, ["label", "alike", "words", "counts"])
+            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(alike, pa.int64()), part.column("text")], ["label", "alike", "text"])
+
+
+def _held(known: np.ndarray | None):
+    """(feature, n): in how many of the texts of a slice each feature is; of the ``known`` ones, or of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                feature, n = np.unique(word_pieces(part.column("text"), known)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(feature), pa.array(n)], ["feature", "n"])
+
+    return run
+
+
+def _in_texts(rows: DataFrame, known: np.ndarray | None = None) -> DataFrame:
+    found = rows.select("text").mapInArrow(_held(known), "feature long, n long")
+    return found.groupBy("feature").agg(F.sum("n").alias("n"))
+
+
+def _places(known: np.ndarray):
+    """(row, label, copies, feature, count) of the known features in each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                doc, feature, count, _ = word_pieces(part.column("text"), known)
+                own = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(own) for c in ("row", "label", "copies")), pa.array(feature), pa.array(count.astype(np.int64))], ["row", "label", "copies", "feature", "count"])
+
+    return run
 
 
 def tail(found: np.ndarray, rows: np.ndarray, toxic: int, total: int) -> np.ndarray:
@@ -190,42 +218,44 @@ def significant(chance: np.ndarray, words: np.ndarray, share: float = FALSE_SHAR
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = FIT_ROWS) -> Ordinal:
     """Fit on up to ``rows`` labelled rows; without toxic rows no text is toxic.
 
-    All of them teach. Rows whose three least hashes agree, as copies' mostly
-    do, weigh one together, and a feature counts once for all of them, so that
-    the words of one text with many copies don't look telling. Features are
-    counted and chosen by Spark. The driver gets a row for each pair of (toxic
-    rows, rows) that features have, and the chosen features' places in the
-    sample.
+    All of them teach. Rows whose three least word hashes agree, as copies'
+    mostly do, weigh one together, and features are counted in the first of
+    them, so that the words of one text with many copies don't look telling.
+    The driver gets the features that two toxic rows or more have, and the
+    places of the chosen ones in the sample.
     """
-    found = labelled_sample(docs, labels, "toxic", rows).mapInArrow(_sparse, "label int, alike long, words array<long>, counts array<int>")
+    found = labelled_sample(docs, labels, "toxic", rows).mapInArrow(_alike, "label int, alike long, text string")
     return fit(scratch.keep(found.withColumn("row", F.monotonically_increasing_id()), "sample"), scratch)
 
 
 def fit(sample: DataFrame, scratch: Scratch) -> Ordinal:
-    """Choose the features, grade the toxic rows, and fit: from (row, label, alike, words, counts) of each row; rows of one ``alike`` and label weigh one."""
-    toxic_row = (F.col("label") == 1).alias("toxic")
-    copies = sample.groupBy("alike", toxic_row).agg(F.count(F.lit(1)).alias("copies"))
+    """Choose the features, grade the toxic rows, and fit: from (row, label, alike, text); rows of one ``alike`` and label weigh one."""
+    same = ["alike", "toxic"]
+    sample = sample.withColumn("toxic", F.col("label") == 1)
+    copies = scratch.keep(sample.groupBy(*same).agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row")), "copies")
     sizes = np.zeros(2, np.int64)
     for r in copies.groupBy("toxic").count().collect():
         sizes[int(r["toxic"])] = r["count"]
     total, toxic = int(sizes.sum()), int(sizes[1])
     if not toxic or toxic == total:
         return Ordinal(np.zeros(0, np.int64), np.zeros(0), np.array([10.0 - 20 * bool(toxic) + k for k in range(GRADES - 1)]))
-    once = sample.select("alike", toxic_row, F.explode("words").alias("word")).distinct()
-    words = once.groupBy("word").agg(F.sum(F.col("toxic").cast("long")).alias("bad"), F.count(F.lit(1)).alias("in_rows"))
-    words = scratch.keep(words, "words")
-    pairs = words.groupBy("bad", "in_rows").count().toArrow()
-    bad, in_rows, n_words = (pairs.column(c).to_numpy() for c in ("bad", "in_rows", "count"))
-    telling = significant(tail(bad, in_rows, toxic, total), n_words)
-    spark = sample.sparkSession
-    chosen = spark.createDataFrame([(int(b), int(r)) for b, r in zip(bad[telling], in_rows[telling], strict=True)], "bad long, in_rows long")
-    chosen = words.join(F.broadcast(chosen), ["bad", "in_rows"], "left_semi").select("word")
-    weighed = sample.join(copies, (sample["alike"] == copies["alike"]) & (toxic_row == copies["toxic"])).select("row", "label", "copies", "words", "counts")
-    each = weighed.select("row", "label", "copies", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", "label", "copies", F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
-    places = each.join(chosen, "word", "left_semi").toArrow().sort_by([("row", "ascending"), ("word", "ascending")])
-    scratch.drop("sample", "words")
+    firsts = sample.join(copies.select("row"), "row", "left_semi")
+    bad = _in_texts(firsts.where("toxic")).where("n >= 2").toArrow().sort_by("feature")
+    candidates, bad = bad.column("feature").to_numpy(), bad.column("n").to_numpy()
+    clean = _in_texts(firsts.where("not toxic"), candidates).toArrow()
+    in_rows = bad.copy()
+    in_rows[np.searchsorted(candidates, clean.column("feature").to_numpy())] += clean.column("n").to_numpy()
+    # How many features there are in all is needed for the share of chance finds only, and so estimated.
+    every = firsts.select("text").mapInArrow(_held(None), "feature long, n long").agg(F.approx_count_distinct("feature", 0.02)).first()[0]
+    cases, which, many = np.unique(np.stack([bad, in_rows]), axis=1, return_inverse=True, return_counts=True)
+    chance = np.append(tail(*cases, toxic, total), 1.0)
+    telling = significant(chance, np.append(many, max(0, every - len(candidates))))[:-1]
+    chosen = candidates[telling[which.ravel()]]
+    weighed = sample.join(copies.drop("row"), same).select("row", "label", "copies", "text")
+    places = weighed.mapInArrow(_places(chosen), "row long, label int, copies long, feature long, count long").toArrow().sort_by([("row", "ascending"), ("feature", "ascending")])
+    scratch.drop("sample", "copies")
     at, row = np.unique(places.column("row").to_numpy(), return_inverse=True)
-    known, column = np.unique(places.column("word").to_numpy(), return_inverse=True)
+    known, column = np.unique(places.column("feature").to_numpy(), return_inverse=True)
     count = places.column("count").to_numpy().astype(float)
     is_toxic = np.zeros(len(at), bool)
     is_toxic[row] = places.column("label").to_numpy() == 1
