@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import graph, graph_state, scoring, search, sequences, similarity, stored, vector_index
+from tidemark.operators import graph, graph_state, scoring, search, sequences, similarity, stored, top_search, vector_index
 from tidemark.shared.scratch import Scratch
 
 ROW = "id long, content string, rank int"
@@ -77,6 +77,30 @@ def test_live_index_equals_a_rebuilt_one(spark, tmp_path):
     check()
 
 
+def test_top_search_reads_few_bands(spark, tmp_path):
+    """The rows of a search through everything, from a part of the bands."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(200)])
+    share = 1 / np.arange(1, 201)
+    texts = [" ".join(rng.choice(words, rng.integers(0, 120), p=share / share.sum())) for _ in range(1500)]
+    rows = spark.createDataFrame([(i, t, "w7 extra" if i % 50 == 0 else None) for i, t in enumerate(texts)], "id long, a string, b string")
+    top_search.write_bands(rows, "id", ("a", "b"), str(tmp_path / "i"), 24)
+    T, M = search.Term, search.Match
+    read = []
+    for match in (M(any_of=(T("w3"), T("W40"))), M(all_of=(T("w1"), T("w9"))), M(all_of=(T("w20"),), any_of=(T("w2"), T("w90")), none_of=(T("w1"),)), M(any_of=(T("nothing"), T("extra"))), M(all_of=(T("nothing"),))):
+        for n in (1, 10, 2000):
+            found = top_search.TopSearch(spark, str(tmp_path / "i"), match, "id", n)
+            got = [(r.id, round(r.score, 9)) for r in found.run().collect()]
+            assert got == [(r.id, round(r.score, 9)) for r in search.search(rows, match, "id", ("a", "b"), n).collect()]
+            if n == 10 and len(got) == n:
+                read.append(len(found.read) / len(found.bands()))
+    assert min(read) < 0.5
+    plan = found.rows.where(F.col("band").isin(1, 2))._jdf.queryExecution().executedPlan().toString()
+    assert "In(band, [1,2])" in plan and "term" in plan.split("PushedFilters")[1].split("ReadSchema")[0]
+    with pytest.raises(ValueError):
+        top_search.TopSearch(spark, str(tmp_path / "i"), M(all_of=(T("two words"),)), "id", 3)
+
+
 def test_graph_state_repeats_and_interleaves(spark, tmp_path):
     titles = ["feat(auth): Add JWT session", "fix(auth): Resolve Redis race in session", "feat(cache): Redis and JWT and Docker", "docs: nothing", None]
     start = datetime(2024, 1, 1)
@@ -142,6 +166,27 @@ def test_few_and_many_queries_agree(spark, monkeypatch, k, tmp_path):
     assert shown(vector_index.search(index, asked, 4, probes=3)) == listed and listed
 
 
+def test_pivots_leave_out_blocks_and_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "PAIR_BLOCK", 20)
+    rng = np.random.default_rng(11)
+    centers = rng.normal(0, 1, (10, 24))
+    made = centers[rng.integers(0, 10, 500)] + rng.normal(0, 0.1, (500, 24))
+    made[::100] = 0
+    groups = [None if i % 90 == 0 else "large" if i % 5 else f"g{i % 3}" for i in range(500)]
+    rows = spark.createDataFrame([(i, groups[i], [float(x) for x in made[i]]) for i in range(500)] + [(900, "large", None)], "id long, project string, embedding array<float>")
+    size = np.linalg.norm(made.astype(np.float32).astype(float), axis=1)
+    cosine = (made @ made.T) / np.maximum(np.outer(size, size), 1e-12)
+    for least in (0.97, 0.5):
+        got = {(r.group, r.a, r.b) for r in similarity.pairs_within(rows, Scratch(spark, "pairs"), "project", "id", least).collect()}
+        want = {(groups[a], a, b) for a in range(500) for b in range(a + 1, 500) if groups[a] and groups[a] == groups[b] and cosine[a, b] >= least}
+        assert got == want
+    numbers = similarity.pair_blocks(rows, Scratch(spark, "pairs"), "project", "id", "embedding").select("group", "cell", "low", "high")
+    every, left = (similarity.block_pairs(numbers, least).where("group = 'large'").count() for least in (-1.0, 0.97))
+    assert left < 0.5 * every
+    none = rows.where("false")
+    assert similarity.pairs_within(none, Scratch(spark, "pairs"), "project", "id", 0.9).count() == 0
+
+
 @pytest.mark.parametrize("policy", [scoring.BATCH, scoring.SAVE, scoring.URGENT, scoring.Policy(0.8, history=5), scoring.Policy(None), scoring.Policy(0.9, score=False, threshold=None)])
 def test_fold_in_blocks_equals_the_fold(spark, policy):
     rng = np.random.default_rng(7)
@@ -186,3 +231,39 @@ def test_one_clock_in_ranges(spark, gap, start):
     for k in (None, "k"):
         own = [int(s) for i, s in enumerate(seconds) if (i % 3 > 0) == (k == "k")]
         assert sorted(int((r.ts - zero).total_seconds()) for r in by_key if r.key == k) == greedy(own, gap)
+
+
+def test_whole_intake(spark, sf, tmp_path):
+    """Urgent events pass, a failing sink is noted and holds up nothing, a restarted query adds nothing, a repeated batch replaces itself."""
+    from tidemark.functions.embedding import with_embedding
+    from tidemark.streaming import intake
+    from tidemark.streaming.ingest import classified
+
+    start = datetime(2024, 1, 1)
+    texts = ["feat(auth): Add JWT session", "fix(auth): Resolve Redis race", "docs: nothing", "feat(auth): Add JWT session again", "perf(db): Tune Redis cache"]
+    rows = [(i, i % 2, start + timedelta(minutes=i), "UserCorrection" if i % 7 == 0 else "GitCommit", texts[i % 5], texts[i % 5], i % 15) for i in range(60)]
+    events = spark.createDataFrame(rows, "id long, user_id int, timestamp timestamp_ntz, kind string, content string, message string, files_changed int")
+    for low in (0, 30):
+        events.where((F.col("id") >= low) & (F.col("id") < low + 30)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = []
+
+    def fails(batch, number):
+        raise OSError(f"not number {number}")
+
+    taken = intake.Intake(spark, str(tmp_path / "kept"), "user_id", "int", {"fails": fails, "counts": lambda batch, number: got.append((number, batch.count()))}, 4)
+    source = lambda: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = taken.start(source(), str(tmp_path / "offsets"), every=None)
+    query.awaitTermination()
+    observed = [p["observedMetrics"]["intake"]["saved"] for p in query.recentProgress if p["numInputRows"]]
+    told = classified(events).withColumn("strength", scoring.signal(F.col("kind"), F.col("memory_type")))
+    folded = scoring.fold(with_embedding(told.where("kind <> 'UserCorrection'").withColumn("t", F.concat_ws(" ", "title", "content")), "t"), "user_id")
+    want = {(r.id, r.outcome) for r in folded.collect()} | {(r[0], "saved") for r in rows if r[3] == "UserCorrection"}
+    assert {(r.id, r.outcome) for r in taken.judged().collect()} == want
+    saved = {i for i, outcome in want if outcome == "saved"}
+    assert {r.id for r in taken.table.read().collect()} == saved and {round(r.importance, 6) for r in taken.table.read().where("kind = 'UserCorrection'").collect()} == {0.9}
+    assert sorted(r.batch for r in taken.failures().collect()) == [0, 1] and [n for _, n in sorted(got)] == observed and sum(observed) == len(saved)
+    table, counts = rows_of(taken.table.read()), rows_of(taken.graph.entities())
+    assert counts == rows_of(graph.entities(graph.extract(taken.table.read()), "id", "timestamp"))
+    taken.start(source(), str(tmp_path / "offsets"), every=None).awaitTermination()
+    taken.take(spark.createDataFrame(taken.judged().where("id < 30").collect(), taken.schema), 0)
+    assert rows_of(taken.table.read()) == table and rows_of(taken.graph.entities()) == counts and len(got) == 3

@@ -57,7 +57,7 @@ class Match:
             raise ValueError("a search needs a term to look for")
 
 
-def _parts(term: Term) -> list[str]:
+def parts_of(term: Term) -> list[str]:
     parts = term.text.lower().translate(str.maketrans(MARKED, PLAIN)).split()
     if not parts:
         raise ValueError("an empty term")
@@ -65,7 +65,7 @@ def _parts(term: Term) -> list[str]:
 
 
 def _occurrences(words: Column, term: Term) -> Column:
-    parts = _parts(term)
+    parts = parts_of(term)
     if len(parts) == 1:
         hit = lambda w: w.startswith(parts[0]) if term.prefix else w == parts[0]
         return F.size(F.filter(words, hit))
@@ -93,14 +93,14 @@ def search(rows: DataFrame, match: Match, key: str, columns: tuple[str, ...], n:
     length = reduce(lambda a, b: a + b, (F.size(f"_{c}") for c in columns))
     counted = words.select(key, length.alias("length"), *(count(t).alias(f"tf{i}") for i, t in enumerate(terms)))
     facts = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *_frequencies(terms)).first().asDict()
-    return _best(counted, match, key, n, facts)
+    return best(counted, match, key, n, facts)
 
 
 def _frequencies(terms: tuple[Term, ...]) -> list[Column]:
     return [F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"n{i}") for i in range(len(terms))]
 
 
-def _best(counted: DataFrame, match: Match, key: str, n: int, facts: dict) -> DataFrame:
+def best(counted: DataFrame, match: Match, key: str, n: int, facts: dict) -> DataFrame:
     """The n best of the rows (key, length, tf0, tf1, ...), with the numbers and the mean length of all rows at hand."""
     terms = match.all_of + match.any_of + match.none_of
     score = F.lit(0.0)
@@ -158,7 +158,7 @@ def lookup_in(index: DataFrame, facts: dict, match: Match, key: str, n: int) ->
     terms = match.all_of + match.any_of + match.none_of
     hits = []
     for i, term in enumerate(terms):
-        parts = _parts(term)
+        parts = parts_of(term)
         own = index.where(F.col("column") == term.column) if term.column else index
         each = [own.where(F.col("term").startswith(p) if term.prefix and j == len(parts) - 1 else F.col("term") == p) for j, p in enumerate(parts)]
         if len(parts) == 1:
@@ -171,7 +171,7 @@ def lookup_in(index: DataFrame, facts: dict, match: Match, key: str, n: int) ->
     tf = [F.count(F.when(F.col("number") == i, 1)).alias(f"tf{i}") for i in range(len(terms))]
     counted = reduce(DataFrame.unionByName, hits).groupBy(key, "length").agg(*tf)
     facts = facts | counted.agg(*_frequencies(terms)).first().asDict()
-    return _best(counted, match, key, n, facts)
+    return best(counted, match, key, n, facts)
 
 
 def in_order(hits: DataFrame, rows: DataFrame, key: str, *order: Column) -> DataFrame:

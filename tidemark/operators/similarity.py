@@ -19,8 +19,10 @@ from ..shared.scratch import Scratch
 DATA_BLOCK, QUERY_BLOCK = 4096, 256
 #: Queries that are sent to all tasks, at most.
 FEW = 2048
-#: Vectors of a block where a group's rows are compared with each other.
-PAIR_BLOCK = 1024
+#: Vectors of a block where a group's rows are compared with each other, and pivots that blocks are told apart by.
+PAIR_BLOCK, PIVOTS = 1024, 16
+#: Slack of angles, for rounding.
+_SLACK = 1e-6
 
 
 def unit(lists: pa.Array) -> np.ndarray:
@@ -158,18 +160,20 @@ def in_lists(stored: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 def pairs_within(rows: DataFrame, scratch: Scratch, group: str, key: str, least: float, vector: str = "embedding") -> DataFrame:
     """(group, a, b, similarity): the pairs of rows of one group of at least that cosine, a < b by ``key``.
 
-    A group is dealt to blocks of about ``PAIR_BLOCK`` vectors, and each pair of
-    its blocks is a row of its own, so a large group is spread over many tasks
-    and no task holds more than two blocks. All pairs are compared, as an exact
-    join of dense vectors has to; zero vectors are similar to none.
+    Rows of a group that are nearest to one of a few pivots, which the table's
+    own vectors are, go to blocks of about ``PAIR_BLOCK`` vectors; a small group
+    is one block. Each pair of blocks is a row of its own, so a large group is
+    spread over many tasks and no task holds more than two blocks. A block
+    knows its least and largest angle to every pivot, and by the triangle
+    inequality two blocks whose angles to any pivot lie further apart than the
+    threshold's can't hold a pair: they are not compared. All other pairs of
+    blocks are, so the result is exact; zero vectors are similar to none.
     """
-    known = rows.where(F.col(group).isNotNull() & F.col(vector).isNotNull()).select(F.col(group).alias("group"), F.col(key).alias("id"), F.col(vector).alias("v"))
-    cells = scratch.keep(known.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).alias("cells")), "cells")
-    cell = F.pmod(F.xxhash64("id"), F.col("cells")).alias("cell")
-    blocks = known.join(cells, "group").select("group", "cells", cell, "id", "v").groupBy("group", "cells", "cell")
-    blocks = scratch.keep(blocks.agg(F.collect_list(F.struct("id", "v")).alias("rows")), "blocks")
-    x = blocks.select("group", F.col("rows.id").alias("x_ids"), F.col("rows.v").alias("x"), F.col("cell").alias("from"), F.explode(F.sequence("cell", F.col("cells") - 1)).alias("cell"))
-    met = x.join(blocks.select("group", "cell", F.col("rows.id").alias("y_ids"), F.col("rows.v").alias("y")), ["group", "cell"])
+    blocks = pair_blocks(rows, scratch, group, key, vector)
+    numbers = blocks.select("group", "cell", "low", "high")
+    pairs = scratch.keep(block_pairs(numbers, least), "pairs")
+    told = lambda side, name: blocks.select("group", F.col("cell").alias(side), F.col("rows.id").alias(f"{name}_ids"), F.col("rows.v").alias(name))
+    met = pairs.join(told("from", "x"), ["group", "from"]).join(told("cell", "y"), ["group", "cell"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,5 +187,42 @@ def pairs_within(rows: DataFrame, scratch: Scratch, group: str, key: str, least:
                 low, high = np.minimum(x_ids[i], y_ids[j]), np.maximum(x_ids[i], y_ids[j])
                 yield pa.RecordBatch.from_arrays([batch.column("group").take(pa.array(np.full(len(i), row, np.int64))), pa.array(low), pa.array(high), pa.array(s[i, j])], ["group", "a", "b", "similarity"])
 
-    kind = dict(known.dtypes)
-    return met.select("group", "from", "cell", "x_ids", "x", "y_ids", "y").mapInArrow(run, f"group {kind['group']}, a {kind['id']}, b {kind['id']}, similarity double")
+    kind = dict(rows.dtypes)
+    return met.select("group", "from", "cell", "x_ids", "x", "y_ids", "y").mapInArrow(run, f"group {kind[group]}, a {kind[key]}, b {kind[key]}, similarity double")
+
+
+def pair_blocks(rows: DataFrame, scratch: Scratch, group: str, key: str, vector: str) -> DataFrame:
+    """(group, cell, rows, low, high): the blocks of each group, with their angles to the pivots."""
+    known = rows.where(F.col(group).isNotNull() & F.col(vector).isNotNull()).select(F.col(group).alias("group"), F.col(key).alias("id"), F.col(vector).alias("v"))
+    found = known.select("v").orderBy(F.xxhash64("v")).limit(PIVOTS).toArrow()
+    pivots = unit(found.column("v").combine_chunks()) if found.num_rows else np.zeros((0, 1))
+
+    def aim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            angles = np.arccos(np.clip(unit(batch.column("v")) @ pivots.T, -1, 1))
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * angles.shape[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(angles.argmin(1).astype(np.int64)), pa.ListArray.from_arrays(ends, pa.array(angles.ravel()))], [*batch.schema.names, "pivot", "angles"])
+
+    aimed = scratch.keep(known.mapInArrow(aim, f"{', '.join(f'{n} {t}' for n, t in known.dtypes)}, pivot long, angles array<double>".replace("group ", "`group` ")), "aimed")
+    counts = aimed.groupBy("group", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    # A row for each group and pivot.
+    of_group = Window.partitionBy("group")
+    before = F.sum("cells").over(of_group.orderBy("pivot").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("cells")
+    small = F.sum("n").over(of_group) <= PAIR_BLOCK
+    cells = counts.withColumn("small", small).withColumn("cells", F.ceil(F.col("n") / PAIR_BLOCK)).withColumn("first", before)
+    cells = scratch.keep(cells.select("group", "pivot", "small", "cells", "first"), "cells")
+    cell = F.when(F.col("small"), F.lit(0)).otherwise(F.col("first") + F.pmod(F.xxhash64("id"), F.col("cells"))).cast("long").alias("cell")
+    dealt = aimed.join(cells, ["group", "pivot"]).select("group", cell, "id", "v", "angles")
+    edges = [(F.min if low else F.max)(F.get("angles", F.lit(i))) for low in (True, False) for i in range(len(pivots))]
+    blocks = dealt.groupBy("group", "cell").agg(F.collect_list(F.struct("id", "v")).alias("rows"), *(e.alias(f"e{i}") for i, e in enumerate(edges)))
+    side = lambda at: F.array(*(F.col(f"e{at + i}") for i in range(len(pivots)))).cast("array<double>")
+    return scratch.keep(blocks.select("group", "cell", "rows", side(0).alias("low"), side(len(pivots)).alias("high")), "blocks")
+
+
+def block_pairs(numbers: DataFrame, least: float) -> DataFrame:
+    """(group, from, cell): the pairs of blocks, each with itself too, that may hold a pair of at least that cosine; ``from`` is at most ``cell``."""
+    y = numbers.select("group", F.col("cell"), F.col("low").alias("y_low"), F.col("high").alias("y_high"))
+    x = numbers.select("group", F.col("cell").alias("from"), "low", "high")
+    gap = F.coalesce(F.array_max(F.zip_with(F.zip_with("low", "y_high", lambda a, b: a - b), F.zip_with("y_low", "high", lambda a, b: a - b), lambda a, b: F.greatest(a, b))), F.lit(0.0))
+    near = gap <= float(np.arccos(np.clip(least, -1, 1))) + _SLACK
+    return x.join(y, "group").where((F.col("from") <= F.col("cell")) & near).select("group", "from", "cell")

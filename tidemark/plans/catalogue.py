@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import rendering, rules
 from ..functions.embedding import with_embedding
-from ..operators import graph, graph_state, report, scoring, search, sequences, similarity, store, stored, vector_index
+from ..operators import graph, graph_state, report, scoring, search, sequences, similarity, store, stored, top_search, vector_index
 from ..shared.scratch import Scratch
 from ..sources import adapters, listing, messages
 from ..sources.adapters import COMMITS, FILES, KINDS, MEMORIES
-from ..streaming import ingest
+from ..streaming import ingest, intake
 from . import oracle_values as own
 
 #: Times are compared with this instant, so that every run gives the same rows.
@@ -294,8 +294,8 @@ def stream_throttle(spark, sf_dir):
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = rows.where((at >= low) if low is not None else F.lit(True)).where((at < high) if high is not None else F.lit(True))
-        part.coalesce(1).write.mode("append").parquet(f"{scratch.path}/events")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch.path}/events")
+        part.repartition(4).write.mode("append").parquet(f"{scratch.path}/events")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{scratch.path}/events")
     ingest.into_table(ingest.throttled(stream, "user_id", 6 * 3600), f"{scratch.path}/out", f"{scratch.path}/offsets", every=None).awaitTermination()
     return spark.read.parquet(f"{scratch.path}/out").select("user_id", "ts")
 
@@ -307,6 +307,18 @@ def head_changes(spark, sf_dir):
     return sequences.head_changes(rows, "user_id", "event_type", ["ts", "event_id"]).select("event_id", "user_id", "event_type", "previous")
 
 
+@query(ORACLE_SQL["head_changes"])
+def stream_head_changes(spark, sf_dir):
+    """The same as a stream of polls in three micro-batches, with each user's last value as state."""
+    scratch = Scratch(spark, "stream-heads")
+    rows = adapters.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    for part in _thirds(rows, "ts"):
+        part.repartition(4).write.mode("append").parquet(f"{scratch.path}/polls")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{scratch.path}/polls")
+    ingest.into_table(ingest.head_changed(stream, "user_id", "event_type", ["ts", "event_id"]), f"{scratch.path}/out", f"{scratch.path}/offsets", every=None).awaitTermination()
+    return spark.read.parquet(f"{scratch.path}/out").select("event_id", "user_id", "event_type", "previous")
+
+
 @query("select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1")
 def upsert_latest(spark, sf_dir):
     rows = adapters.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "ts")
@@ -432,6 +444,15 @@ def bm25_all_of(spark, sf_dir):
     return search.lookup(spark, _index(spark, sf_dir), match, "id", 10).select("id", F.round("score", 6).alias("score"))
 
 
+@query(f"with {_bm25_sql(('idiot', 'license'), 'tf0 > 0 or tf1 > 0')} select id, round(score, 6) as score from ranked order by ranked.score desc, id limit 20")
+def bm25_top(spark, sf_dir):
+    """The same search from an index of bands with bounds, of which it reads those that can hold one of the best rows."""
+    path = Scratch(spark, "bands").path
+    top_search.write_bands(adapters.memories(spark, sf_dir), "id", ("content",), path)
+    match = search.Match(any_of=(search.Term("idiot"), search.Term("License")))
+    return top_search.TopSearch(spark, path, match, "id", 20).run().select("id", F.round("score", 6).alias("score"))
+
+
 @query(f"with {_bm25_sql(('idiot', 'license'), 'tf0 > 0 or tf1 > 0')} select id, round(score, 6) as score from ranked order by ranked.score desc, id limit 20")
 def bm25_scan(spark, sf_dir):
     """The same search without an index, by one pass over the texts."""
@@ -796,12 +817,46 @@ def stream_commit_fold(spark, sf_dir):
     cuts = rows.select(F.percentile_approx(at, [0.3, 0.7])).first()[0]
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = rows.where((at >= low) if low is not None else F.lit(True)).where((at < high) if high is not None else F.lit(True))
-        part.coalesce(1).write.mode("append").parquet(f"{scratch.path}/parts")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch.path}/parts")
+        part.repartition(4).write.mode("append").parquet(f"{scratch.path}/parts")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{scratch.path}/parts")
     ingest.into_table(ingest.stateful_fold(stream, "user_id"), f"{scratch.path}/out", f"{scratch.path}/offsets", every=None).awaitTermination()
     return spark.read.parquet(f"{scratch.path}/out").select("user_id", "id", "outcome", F.round("score", 6).alias("score"))
 
 
+_EVENTS = f"""{COMMITS}, told as (select event_id as id, ts, user_id, message, files_changed, event_id % 11 = 0 as urgent from commits_v), judged as (select *, lower(message) as m from told),
+    made as (select id, ts, user_id, urgent, case when urgent then 'User correction' else trim(message) end as title, message as content from judged where urgent or {_COMMIT_BASE} >= 0.4), texts as (select distinct title || ' ' || content as text from made where not urgent), {own.embedding('texts')},
+    named as (select user_id as key, id, ts, 0.6::double as strength, e from made join vec on vec.text = title || ' ' || content where not urgent), {own.fold('named')}"""
+
+
+def _intake(spark: SparkSession, sf_dir: str) -> intake.Intake:
+    """Commits and, for every eleventh, a correction, through the whole intake in three micro-batches; one of its sinks fails each time."""
+    scratch = Scratch(spark, "intake")
+    urgent = F.col("event_id") % 11 == 0
+    rows = adapters.commits(spark, sf_dir).select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("timestamp"), F.when(urgent, "UserCorrection").otherwise("GitCommit").alias("kind"), F.col("message").alias("content"), "message", "files_changed")
+    for part in _thirds(rows, "timestamp"):
+        part.repartition(4).write.mode("append").parquet(f"{scratch.path}/events")
+
+    def fails(batch: DataFrame, number: int) -> None:
+        raise OSError("no such place")
+
+    taken = intake.Intake(spark, f"{scratch.path}/kept", "user_id", dict(rows.dtypes)["user_id"], {"fails": fails}, 8)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{scratch.path}/events")
+    taken.start(stream, f"{scratch.path}/offsets", every=None).awaitTermination()
+    return taken
+
+
+@query(f"with recursive {_EVENTS} select id, outcome, round(score, 6) as score from folded union all select id, 'saved', null from made where urgent")
+def stream_intake(spark, sf_dir):
+    """What became of each event of a stream with an urgent lane, a fold, a stored table, a graph and a sink that fails."""
+    return _intake(spark, sf_dir).judged().select("id", "outcome", F.round("score", 6).alias("score"))
+
+
+@query(f"with recursive {_EVENTS} select id, title, round(coalesce(score::float, 0.9::float)::double, 6) as importance from made left join folded using (id) where urgent or outcome = 'saved'")
+def stream_intake_table(spark, sf_dir):
+    """The stored table after that stream: what was saved, with its score for importance."""
+    return _intake(spark, sf_dir).table.read().select("id", "title", F.round(F.col("importance").cast("double"), 6).alias("importance"))
+
+
 @query(ORACLE_SQL["commit_fold"])
 def commit_fold_blocks(spark, sf_dir):
     rows = with_embedding(_commit_rows(spark, sf_dir), "title").drop("title")

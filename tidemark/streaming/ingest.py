@@ -30,8 +30,8 @@ def lanes(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events.where(urgent), events.where(~urgent)
 
 
-def stateful_fold(rows: DataFrame, key: str, policy: Policy = BATCH) -> DataFrame:
-    """The fold of ``scoring.fold`` over a stream of (id, key, timestamp, strength, embedding).
+def stateful_fold(rows: DataFrame, key: str, policy: Policy = BATCH, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The fold of ``scoring.fold`` over a stream of (id, key, timestamp, strength, embedding): also the columns ``carried``, and then the time.
 
     A key's state is the vectors and times of its kept rows, all of them or as
     many as the policy's ``history`` says. Within a micro-batch a key's rows are
@@ -50,11 +50,14 @@ def stateful_fold(rows: DataFrame, key: str, policy: Policy = BATCH) -> DataFram
             found.append((row.id, at[0], *judge(history, np.asarray(row.embedding, np.float32), time, row.strength, policy)))
         vectors, times = history.kept()
         state.update((len(times), b"" if vectors is None else vectors.tobytes(), times.tobytes()))
-        yield pd.DataFrame(found, columns=["id", key, "outcome", "score"])
+        out = pd.DataFrame(found, columns=["id", key, "outcome", "score"])
+        for name in ("timestamp", *carried) if carried else ():
+            out[name] = batch[name].to_numpy()
+        yield out
 
     kind = dict(rows.dtypes)
-    out = f"id {kind['id']}, {key} {kind[key]}, outcome string, score double"
-    narrow = rows.select("id", key, "timestamp", "strength", "embedding")
+    out = ", ".join([f"id {kind['id']}, {key} {kind[key]}, outcome string, score double", *(f"{c} {kind[c]}" for c in (("timestamp", *carried) if carried else ()))])
+    narrow = rows.select("id", key, "timestamp", "strength", "embedding", *carried)
     return narrow.groupBy(key).applyInPandasWithState(run, out, "n long, vectors binary, times binary", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -76,6 +79,28 @@ def throttled(events: DataFrame, key: str, seconds: int) -> DataFrame:
     return events.select("event_id", key, "ts").groupBy(key).applyInPandasWithState(run, out, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def head_changed(polls: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """Over a stream of polls (key, value, order columns): those whose value differs from the one before, with ``previous``; a key's first poll only sets the value.
+
+    A key's state is its last value. Within a micro-batch a key's polls are
+    taken in their order, across batches as these come.
+    """
+
+    def run(at: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(frames)).sort_values(order, kind="stable")
+        known, last = (True, state.get[0]) if state.exists else (False, None)
+        before = np.array([last, *batch[value].to_numpy()[:-1]], object)
+        changed = np.array([(a is None) != (b is None) or (a is not None and a != b) for a, b in zip(before, batch[value], strict=True)])
+        changed[0] &= known
+        state.update((batch[value].iloc[-1],))
+        yield batch.assign(previous=before)[changed]
+
+    kind = dict(polls.dtypes)
+    columns = [key, *(c for c in order if c != key), value]
+    out = ", ".join(f"{c} {kind[c]}" for c in columns) + f", previous {kind[value]}"
+    return polls.select(*columns).groupBy(key).applyInPandasWithState(run, out, f"last {kind[value]}", "append", GroupStateTimeout.NoTimeout)
+
+
 def into_table(rows: DataFrame, path: str, checkpoint: str, sinks: tuple[Callable[[DataFrame], None], ...] = (), every: str | None = "5 seconds") -> StreamingQuery:
     """Append each micro-batch to a Parquet table and hand it to further sinks; a sink's failure only warns.
 
@@ -85,9 +110,11 @@ def into_table(rows: DataFrame, path: str, checkpoint: str, sinks: tuple[Callabl
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        # Sinks get the rows as they were written, so that none of them computes the batch again.
+        written = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/batch={number}")
         for sink in sinks:
             try:
-                sink(batch)
+                sink(written)
             except Exception as error:
                 print(f"a sink failed on batch {number}: {error}")
 
