@@ -66,8 +66,10 @@ def mix(docs: DataFrame, scratch: Scratch) -> DataFrame:
     order (size, doc_id), so that a sample of any rate holds short and long
     documents in proportion; one offset, drawn from the source's name, is added
     to the sums; a copy is taken for each whole number that a document crosses.
-    Rows that equal each other in id and size are interchangeable. A source
-    whose texts are all empty has target 0 and no copies.
+    Rows that equal each other in id and size are interchangeable, and repeated
+    rows are mixed each for itself. The words of a very long text all count. A
+    source whose texts are all empty has target 0 and no copies, and an empty
+    table gives no rows.
     """
     return _taken(docs.select(F.lit(None).cast("long").alias("row"), "doc_id", "source", "text"), scratch).drop("row")
 

@@ -94,8 +94,9 @@ def ledger(docs: DataFrame) -> DataFrame:
     """(doc_id, measures, failed_bits): a row for each row of ``docs``.
 
     Reads (doc_id, text); further columns are ignored. A null or empty text has
-    zero for every measure and fails ``few_words`` alone. Repeated rows are
-    judged each for itself. An empty table gives an empty ledger.
+    zero for every measure and fails ``few_words`` alone. Very long texts are
+    measured whole, repeated rows each for itself. An empty table gives an empty
+    ledger.
     """
     found = docs.select("doc_id", "text").mapInArrow(_measured, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
     bits = None

@@ -110,8 +110,8 @@ def scan_secrets(docs: DataFrame, scratch: Scratch) -> DataFrame:
     Reads (doc_id, text); further columns are ignored. ``spans`` are structs
     (start, kind, stop), in code points with the end exclusive, by start and
     then by the kind's place in ``KINDS``: strong matches, and weak ones that
-    are part of a credential. A null or empty text has none. Repeated rows are
-    scanned each for itself.
+    are part of a credential. A null or empty text has none, a very long one is
+    scanned whole, repeated rows each for itself. An empty table gives no rows.
     """
     found = scratch.keep(find(docs, scratch), "found")
     scratch.drop("matches")
@@ -139,8 +139,8 @@ def redact(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     Only ``text`` changes. Spans that overlap are replaced as one, named after
     the first. Texts are joined to their spans by id and hash; a text without
-    spans stays as it is, null included. Repeated rows are cleaned alike, and
-    an empty table stays empty.
+    spans stays as it is, null included. Very long texts are cleaned whole,
+    repeated rows alike, and an empty table stays empty.
     """
     spans = scan_secrets(docs, scratch).where(F.size("spans") > 0)
     spans = spans.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.first("spans").alias("_spans"))

@@ -169,6 +169,10 @@ def write_archives(pages: DataFrame, scratch: Scratch, folder: str | None = None
 
 
 def read_archives(manifest: DataFrame, keep_html: bool = True) -> DataFrame:
-    """The records of the manifest's archives, one task for each archive."""
+    """The records of the manifest's archives, one task for each archive; an empty manifest has none.
+
+    A task reads its archive record by record, so it holds one payload at a
+    time, however long, and repeated payloads are records each for itself.
+    """
     parts = max(1, manifest.count())
     return manifest.select("archive").repartition(parts).mapInArrow(_read(keep_html), RECORD)
