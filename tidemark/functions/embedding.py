@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,13 +106,21 @@ def with_embedding(df: DataFrame, text: str, into: str = "embedding") -> DataFra
     return marked.mapInArrow(run, schema)
 
 
+def _valid(values: pa.Array) -> pa.Buffer:
+    """The bits that say which values are there."""
+    return pa.array(values.is_valid().to_numpy(zero_copy_only=False)).buffers()[1]
+
+
 def with_bytes(df: DataFrame, embedding: str, into: str = "bytes") -> DataFrame:
     """``df`` with an embedding as the bytes that files and other programs exchange: single precision, lowest byte first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [None if v is None else np.array(v, "<f4").tobytes() for v in batch.column(embedding).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, into])
+            lists = batch.column(embedding)
+            ends = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) * 4)).astype(np.int32)
+            values = lists.flatten().to_numpy(zero_copy_only=False).astype("<f4")
+            made = pa.Array.from_buffers(pa.binary(), len(lists), [_valid(lists), pa.py_buffer(ends), pa.py_buffer(values)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, into])
 
     return df.mapInArrow(run, df.withColumn(into, F.lit(None).cast("binary")).schema)
 
@@ -121,8 +130,12 @@ def from_bytes(df: DataFrame, stored: str, into: str = "embedding") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [None if v is None else np.frombuffer(v[: len(v) // 4 * 4], "<f4") for v in batch.column(stored).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.float32()))], [*batch.schema.names, into])
+            raw = batch.column(stored)
+            size = pc.binary_length(raw).fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.append(0, np.cumsum(size // 4)).astype(np.int32)
+            numbers = b"".join(v[: n // 4 * 4] for v, n in zip(raw.fill_null(b"").to_pylist(), size.tolist(), strict=True))
+            made = pa.Array.from_buffers(pa.list_(pa.float32()), len(raw), [_valid(raw), pa.py_buffer(ends)], children=[pa.array(np.frombuffer(numbers, "<f4"))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, into])
 
     return df.mapInArrow(run, df.withColumn(into, F.lit(None).cast("array<float>")).schema)
 

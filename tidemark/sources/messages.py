@@ -16,10 +16,10 @@ def read_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def user_messages(lines: DataFrame, line: str = "line") -> DataFrame:
     """The lines that are messages of users, with ``text`` and ``said_at``; other lines, broken ones included, are dropped."""
-    get = lambda path: F.get_json_object(line, path)
-    text = get("$.message.content")
-    # A content that isn't a string comes back as JSON text, so its kind is asked for as well.
-    kind = F.from_json(line, "message struct<content: variant>")["message"]["content"]
-    whole = F.octet_length(text) >= LEAST_BYTES
-    rows = lines.withColumn("text", text).withColumn("said_at", F.coalesce(get("$.timestamp"), get("$.message.timestamp"), F.lit("")))
-    return rows.where((get("$.type") == "user") & (F.schema_of_variant(kind) == "STRING") & whole & ~F.col("text").contains(NOT_USER))
+    told = lines.withColumn("_told", F.from_json(line, "type string, timestamp string, message struct<timestamp: string, content: variant>"))
+    content = F.col("_told.message.content")
+    # A content of another kind would be turned into text, so its kind is asked for as well.
+    text = F.when(F.schema_of_variant(content) == "STRING", F.variant_get(content, "$", "string"))
+    rows = told.withColumn("text", text).withColumn("said_at", F.coalesce("_told.timestamp", "_told.message.timestamp", F.lit("")))
+    kept = (F.col("_told.type") == "user") & (F.octet_length("text") >= LEAST_BYTES) & ~F.col("text").contains(NOT_USER)
+    return rows.where(kept).drop("_told")
