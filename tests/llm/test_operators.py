@@ -778,7 +778,7 @@ def test_texts_beyond_a_slice(spark):
     assert quality_model.score(docs, ranking).count() == 4
 
 
-@pytest.mark.parametrize("name", ["op2_minhash_near_dup", "op3_quality_rules", "op4_source_mix", "op6_license_scan", "op8_warc", "op10_secret_scan"])
+@pytest.mark.parametrize("name", ["op2_minhash_near_dup", "op3_quality_rules", "op4_source_mix", "op6_license_scan", "op8_warc", "op10_secret_scan", "op12_hard_negatives", "op13_line_dedup"])
 def test_sql_gives_the_same_rows(spark, sf, name):
     import glob
     import os
