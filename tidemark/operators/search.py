@@ -12,9 +12,11 @@ import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared.scratch import Scratch
+
 #: Fixed values of the ranking.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -82,18 +84,20 @@ def _occurrences(words: Column, term: Term) -> Column:
 def search(rows: DataFrame, match: Match, key: str, columns: tuple[str, ...], n: int) -> DataFrame:
     """The n best rows: (key, score), higher is better.
 
-    One pass counts, for each row, its tokens and the occurrences of each term;
-    a row without any term contributes only to the number of rows and the
-    average length, which one aggregation gives together with each term's
-    frequency. Only rows that match reach the sort.
+    One pass counts, for each row, its tokens and the occurrences of each term.
+    Rows with a term are written, and what is observed on the way, over all
+    rows, are their number, their average length and each term's frequency.
     """
     terms = match.all_of + match.any_of + match.none_of
     words = rows.select(F.col(key), *(tokens(F.col(c)).alias(f"_{c}") for c in columns))
     count = lambda t: reduce(lambda a, b: a + b, (_occurrences(F.col(f"_{c}"), t) for c in columns if t.column in (None, c)))
     length = reduce(lambda a, b: a + b, (F.size(f"_{c}") for c in columns))
     counted = words.select(key, length.alias("length"), *(count(t).alias(f"tf{i}") for i, t in enumerate(terms)))
-    facts = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *_frequencies(terms)).first().asDict()
-    return best(counted, match, key, n, facts)
+    seen = Observation()
+    counted = counted.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *_frequencies(terms))
+    held = reduce(lambda a, b: a | b, (F.col(f"tf{i}") > 0 for i in range(len(terms))))
+    counted = Scratch(rows.sparkSession, "search").keep(counted.where(held), "counted")
+    return best(counted, match, key, n, seen.get)
 
 
 def _frequencies(terms: tuple[Term, ...]) -> list[Column]:
@@ -169,7 +173,7 @@ def lookup_in(index: DataFrame, facts: dict, match: Match, key: str, n: int) ->
             found = met.where(F.col("parts") == (1 << len(parts)) - 1).select(key, "length")
         hits.append(found.withColumn("number", F.lit(i)))
     tf = [F.count(F.when(F.col("number") == i, 1)).alias(f"tf{i}") for i in range(len(terms))]
-    counted = reduce(DataFrame.unionByName, hits).groupBy(key, "length").agg(*tf)
+    counted = Scratch(index.sparkSession, "lookup").keep(reduce(DataFrame.unionByName, hits).groupBy(key, "length").agg(*tf), "counted")
     facts = facts | counted.agg(*_frequencies(terms)).first().asDict()
     return best(counted, match, key, n, facts)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import rendering, rules
 from ..functions.embedding import with_embedding
 from ..operators import graph, graph_state, report, scoring, search, sequences, similarity, store, stored, top_search, vector_index
-from ..shared.scratch import Scratch
+from ..shared.scratch import Scratch, shared_root
 from ..sources import adapters, listing, messages
 from ..sources.adapters import COMMITS, FILES, KINDS, MEMORIES
 from ..streaming import ingest, intake
@@ -409,19 +409,17 @@ def knn_index(spark, sf_dir):
 
 
 _TOKENS = "list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
-_INDEXES: dict[tuple, str] = {}
 
 
 def _index(spark: SparkSession, sf_dir: str) -> str:
-    """Folder of the stored index of the memories' contents; built once, and again when the table's files have changed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    state = (spark.sparkContext.applicationId, sf_dir, files.getFileStatus(path).getModificationTime(), files.getContentSummary(path).getLength())
-    if state not in _INDEXES or not files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{_INDEXES[state]}/facts")):
-        folder = Scratch(spark, "index").path
-        search.write_index(adapters.memories(spark, sf_dir), "id", ("content",), folder)
-        _INDEXES[state] = folder
-    return _INDEXES[state]
+    """Folder of the stored index of the memories' contents, named after the files it was built from: built once, and again when one of these has changed."""
+    files = listing.listing(spark, f"{sf_dir}/documents.parquet")
+    state = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"), F.bit_xor(F.xxhash64("path", "modified", "length")).alias("hash")).first()
+    folder = f"{shared_root(spark)}/index-{spark.sparkContext.applicationId}-{state['n']}-{state['bytes']}-{state['hash'] & ((1 << 64) - 1):016x}"
+    facts = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/facts/_SUCCESS")
+    if not facts.getFileSystem(spark._jsc.hadoopConfiguration()).exists(facts):
+        search.write_index(adapters.memories(spark, sf_dir), "id", ("content",), Scratch(spark, "index", folder).path)
+    return folder
 
 
 def _bm25_sql(terms: tuple[str, ...], need: str) -> str:

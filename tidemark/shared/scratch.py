@@ -36,11 +36,11 @@ _MADE: dict[str, list[str]] = {}
 
 
 class Scratch:
-    """A folder of intermediate tables for one run of an operator."""
+    """A folder of intermediate tables for one run of an operator, or a given folder that goes with the session's others."""
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, path: str | None = None):
         self.spark = spark
-        self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+        self.path = path or f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         _MADE.setdefault(spark.sparkContext.applicationId, []).append(self.path)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
