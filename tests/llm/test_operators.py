@@ -425,6 +425,15 @@ def test_licenses(spark, sf, docs, none):
     assert license_scan.scan_licenses(none, scratch(spark)).count() == 0
 
 
+def test_license_query(spark, tmp_path):
+    """The phrases of the contract: all four words of the first one, and starts at its first word."""
+    texts = [None, "", "The MIT License", "not under a mit license, the mit license", "It is under The MIT-License; under the mit license.", "Under the the mit license", "Apache License, Version 2.0", "apache license version", "CC BY-NC 4.0"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in QUERIES["op6_license_scan"](spark, str(tmp_path)).collect()}
+    none = (0, None, None, "")
+    assert got == {0: (0, *none), 1: (0, *none), 2: (3, *none), 3: (8, *none), 4: (10, 2, 2, 6, "mit"), 5: (5, *none), 6: (5, 1, 0, 0, "apache-2"), 7: (3, *none), 8: (5, 1, 0, 0, "cc-by-nc")}
+
+
 def plain_spans(text, scan):
     """Labels and spans of a text by its words, one template after the other."""
     words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text))
