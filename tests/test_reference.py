@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import embedding, rendering, rules
-from tidemark.operators import graph, scoring, search, similarity
+from tidemark.operators import graph, scoring, search, similarity, store
 from tidemark.plans import catalogue
 from tidemark.shared.scratch import Scratch
 from tidemark.sources import messages
@@ -470,6 +470,14 @@ def test_sql_gives_the_same_rows(spark, sf, name):
     assert a == b and (a or name == "corrections")
 
 
+def test_import_of_bad_times(spark):
+    """A line whose time doesn't exist is imported like any other, with no time, and the first line of an id is."""
+    lines = [(f'{{"id": "{i}", "timestamp": "{t}", "title": "{p}", "tags": "[]"}}', p) for p, (i, t) in enumerate([("a", "2024-02-29T00:29:00+00:00"), ("a", "1999-02-29T00:29:00+00:00"), ("b", "1999-02-29T00:29:00+00:00"), ("c", "soon"), ("d", "1999-02-28T00:29:00.5Z")])]
+    rows = store.imported(spark.createDataFrame(lines, "json string, place long"))
+    got = {r.id: (r.title, str(r.timestamp)) for r in store.import_new(rows, spark.createDataFrame([], "id string")).collect()}
+    assert got == {"a": ("0", "2024-02-29 00:29:00"), "b": ("2", "None"), "c": ("3", "None"), "d": ("4", "1999-02-28 00:29:00.500000")}
+
+
 def test_files_config_and_listings(spark, sf, tmp_path):
     from tidemark import config
     from tidemark.operators import sinks

@@ -112,11 +112,14 @@ def export(memories: DataFrame) -> DataFrame:
 
 
 def imported(lines: DataFrame) -> DataFrame:
-    """Rows of exported JSON, one text each: the fields of ``EXPORTED`` with tags as an array, source unquoted and the defaults of an import, and the ``place`` of the lines."""
+    """Rows of exported JSON, one text each: the fields of ``EXPORTED`` with tags as an array, source unquoted and the defaults of an import, and the ``place`` of the lines.
+
+    A time that can't be read is null, so that one such line doesn't stop the import.
+    """
     schema = "id string, timestamp string, title string, content string, memory_type string, tags string, source string, importance double, metadata string"
     rows = lines.select(F.from_json("json", schema).alias("r"), "place").select("r.*", "place")
     tags = F.coalesce(F.from_json("tags", "array<string>"), F.array().cast("array<string>"))
-    return with_defaults(rows.withColumns({"tags": tags, "timestamp": F.to_timestamp_ntz(F.regexp_replace("timestamp", "(Z|[+]00:00)$", "")), "source": F.regexp_replace("source", '^"|"$', ""), "importance": F.col("importance").cast("float")}))
+    return with_defaults(rows.withColumns({"tags": tags, "timestamp": F.regexp_replace("timestamp", "(Z|[+]00:00)$", "").try_cast("timestamp_ntz"), "source": F.regexp_replace("source", '^"|"$', ""), "importance": F.col("importance").cast("float")}))
 
 
 def summary(memories: DataFrame, extracted_totals: DataFrame, now: datetime) -> DataFrame:
