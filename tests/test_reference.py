@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import embedding, rendering, rules
-from tidemark.operators import graph, scoring, search, similarity, store
+from tidemark.operators import graph, report, scoring, search, similarity, store
 from tidemark.plans import catalogue
 from tidemark.shared.scratch import Scratch
 from tidemark.sources import messages
@@ -478,6 +478,17 @@ def test_import_of_bad_times(spark):
     assert got == {"a": ("0", "2024-02-29 00:29:00"), "b": ("2", "None"), "c": ("3", "None"), "d": ("4", "1999-02-28 00:29:00.500000")}
 
 
+def test_topic_ages(spark):
+    """Whole days, of memories younger than a day and of times yet to come too, as the SQL of ``topic_report`` has them."""
+    now = F.lit(catalogue.NOW).cast("timestamp_ntz")
+    minutes = [0, 59, 61, 1439, 1440, 2879, -1, -1348, -1440, -229046]
+    rows = spark.createDataFrame(list(enumerate(minutes)), "id long, m long").select("id", F.timestamp_add("MINUTE", -F.col("m"), now).alias("timestamp"), F.lit("note").alias("memory_type"), F.lit("t").alias("title"), F.lit("c").alias("content"), F.array(F.lit("x")).alias("tags"))
+    found = rows.select("id", F.lit(0.5).alias("similarity"), F.lit(0).alias("source"), F.lit(0.5).alias("rank"))
+    told = [r[0] for r in duckdb.sql(f"select (m // 1440) || 'd ago' from (select unnest({minutes})::bigint as m, unnest(range({len(minutes)})) as i) order by i").fetchall()]
+    assert [r.age for r in report.topic(found, rows, now, rendering.days).orderBy("id").collect()] == told
+    assert [r.age for r in report.topic(found, rows, now).orderBy("id").collect()][:3] == ["0m ago", "59m ago", "1h ago"]
+
+
 def test_files_config_and_listings(spark, sf, tmp_path):
     from tidemark import config
     from tidemark.operators import sinks

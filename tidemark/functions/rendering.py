@@ -14,6 +14,11 @@ def age(then: Column, now: Column) -> Column:
     return F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m ago"))).when(minutes < 1440, F.concat(F.floor(minutes / 60).cast("string"), F.lit("h ago"))).otherwise(F.concat(F.floor(minutes / 1440).cast("string"), F.lit("d ago")))
 
 
+def days(then: Column, now: Column) -> Column:
+    """Whole days, cut off towards zero, whether less than one or of a time yet to come."""
+    return F.concat((F.timestamp_diff("MINUTE", then, now) / 1440).cast("long").cast("string"), F.lit("d ago"))
+
+
 def cut(text: Column, most: int, mark: str = "...") -> Column:
     """The first line, cut to so many characters."""
     line = first_line(text)

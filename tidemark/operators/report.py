@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,11 +43,11 @@ def graph_summary(all_entities: DataFrame, all_edges: DataFrame, entities: int =
     return top.join(names, "name", "left").select("name", "entity_type", "mention_count", F.coalesce("neighbours", F.lit("")).alias("neighbours"))
 
 
-def topic(found: DataFrame, memories: DataFrame, now: Column) -> DataFrame:
-    """The rows of a merged list of hits (id, similarity, source, rank): vector hits first, each kind by its rank, as lines with what they are and how near."""
+def topic(found: DataFrame, memories: DataFrame, now: Column, old: Callable[[Column, Column], Column] = age) -> DataFrame:
+    """The rows of a merged list of hits (id, similarity, source, rank): vector hits first, each kind by its rank, as lines with what they are, how near and how ``old``."""
     rows = in_order(found, memories, "id", F.col("source"), F.desc(F.round("rank", 9)), F.col("id"))
     near, line = F.col("similarity").isNotNull().alias("near"), cut(F.col("content"), 150).alias("line")
-    return rows.select("place", "id", "memory_type", "title", near, F.round("similarity", 2).alias("similarity"), line, age(F.col("timestamp"), now).alias("age"), F.array_join("tags", ", ").alias("tags"))
+    return rows.select("place", "id", "memory_type", "title", near, F.round("similarity", 2).alias("similarity"), line, old(F.col("timestamp"), now).alias("age"), F.array_join("tags", ", ").alias("tags"))
 
 
 #: Headings of the sections, in the report's order, and where the graph and the end stand.
