@@ -204,6 +204,22 @@ def test_fold_in_blocks_equals_the_fold(spark, policy):
     assert scoring.fold_in_blocks(df.where("false"), "user_id", Scratch(spark, "fold")).count() == 0
 
 
+def test_fold_in_blocks_compares_a_vector_once(spark):
+    """However often a vector comes, a row holds a bit for each different one; rows between two of a vector's are seen by the second."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(0, 1, (40, 16)) + 0.6
+    base = base / np.linalg.norm(base, axis=1, keepdims=True)
+    start = datetime(2024, 1, 1)
+    rows = [(i, "k", start + timedelta(minutes=i * 7), 0.4 if i % 2 else 0.6, [float(x) for x in base[rng.integers(0, min(40, 1 + i // 20))]]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, user_id string, timestamp timestamp_ntz, strength double, embedding array<float>")
+    for policy in (scoring.BATCH, scoring.Policy(0.95, threshold=0.6, history=7), scoring.Policy(None, threshold=0.5)):
+        scratch = Scratch(spark, "fold")
+        want = {r.id: (r.outcome, r.score and round(r.score, 9)) for r in scoring.fold(df, "user_id", policy).collect()}
+        assert {r.id: (r.outcome, r.score and round(r.score, 9)) for r in scoring.fold_in_blocks(df, "user_id", scratch, policy, 16).collect()} == want
+        looks = spark.read.parquet(f"{scratch.path}/looks")
+        assert looks.count() <= 40 * 3 and looks.agg(F.max(F.octet_length("similar") + F.octet_length("repeats"))).first()[0] <= 4
+
+
 def greedy(times, gap, last=None):
     out = []
     for t in sorted(times):

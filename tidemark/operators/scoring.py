@@ -157,115 +157,144 @@ def fold(rows: DataFrame, key: str, policy: Policy = BATCH) -> DataFrame:
 
 
 def _looks(policy: Policy, size: int):
-    """What each row of a block has in an earlier block: (group, n, block, similar, repeats), a bit for each earlier row and the places of near-repeats."""
+    """What each vector of a block has in another: (group, w, seen, similar, repeats), a bit for each vector of the block seen, of that cosine and of near-repeats.
+
+    Vectors look at blocks before their own and at their own block; those of
+    several rows look at later blocks too, as rows may lie between theirs.
+    """
+
+    def seen(batch: pa.RecordBatch, row: int, s: np.ndarray, mine: int, other: int, wanted: np.ndarray) -> pa.RecordBatch:
+        similar = s >= SIMILAR if policy.score else np.zeros(s.shape, bool)
+        repeat = s >= policy.dedup if policy.dedup is not None else np.zeros(s.shape, bool)
+        at = np.flatnonzero((similar.any(1) | repeat.any(1)) & wanted)
+        bits = lambda x: pa.array([b.tobytes() for b in np.packbits(x[at], axis=1)], pa.binary())
+        columns = [batch.column("group").take(pa.array(np.full(len(at), row, np.int64))), pa.array(mine * size + at), pa.array(np.full(len(at), other, np.int64)), bits(similar), bits(repeat)]
+        return pa.RecordBatch.from_arrays(columns, ["group", "w", "seen", "similar", "repeats"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                later, earlier, x, y = (batch.column(c)[row] for c in ("block", "earlier", "x", "y"))
-                mine, other = (v.values.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(v.values), -1) for v in (x, y))
+                later, earlier = (batch.column(c)[row].as_py() for c in ("block", "earlier"))
+                mine, other = (v.values.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(v.values), -1) for v in (batch.column(c)[row] for c in ("x", "y")))
                 s = mine @ other.T
-                before = np.ones(s.shape, bool) if later.as_py() != earlier.as_py() else np.tri(len(mine), k=-1, dtype=bool)
-                similar = (s >= SIMILAR) & before if policy.score else np.zeros(s.shape, bool)
-                repeat = (s >= policy.dedup) & before if policy.dedup is not None else np.zeros(s.shape, bool)
-                at = np.flatnonzero(similar.any(1) | repeat.any(1))
-                i, j = np.nonzero(repeat[at])
-                ends = np.searchsorted(i, np.arange(len(at) + 1)).astype(np.int32)
-                bits = np.packbits(similar[at], axis=1)
-                columns = [
-                    batch.column("group").take(pa.array(np.full(len(at), row, np.int64))),
-                    pa.array(later.as_py() * size + at),
-                    pa.array(np.full(len(at), earlier.as_py(), np.int64)),
-                    pa.array([b.tobytes() for b in bits], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(earlier.as_py() * size + j)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["group", "n", "seen", "similar", "repeats"])
+                yield seen(batch, row, s, later, earlier, np.ones(len(mine), bool))
+                if later != earlier:
+                    yield seen(batch, row, s.T, earlier, later, batch.column("y_many")[row].values.to_numpy(zero_copy_only=False))
 
     return run
 
 
 class _Kept:
-    """Which rows of a key are kept, without their vectors: the kept ones' places and times, and each row's number among them."""
+    """The kept rows of a key without their vectors: the number of each one's vector, its time, and the newest kept row of each vector."""
 
     def __init__(self, size: int):
         self.size = size
-        self.n, self.places, self.times, self.number, self.rows = 0, np.zeros(64, np.int64), np.zeros(64, np.int64), np.full(64, -1, np.int64), 0
-
-    def add(self, time: int | None) -> None:
-        """The next row, with its time if it is kept."""
-        if self.rows == len(self.number):
-            self.places, self.times, self.number = (np.concatenate([x, np.full_like(x, -1)]) for x in (self.places, self.times, self.number))
-        if time is not None:
-            self.number[self.rows], self.places[self.n], self.times[self.n] = self.n, self.rows, time
-            self.n += 1
-        self.rows += 1
-
-    def similar(self, looks: list, back: int) -> np.ndarray:
+        self.n, self.of, self.times, self.newest = 0, np.zeros(64, np.int64), np.zeros(64, np.int64), np.full(64, -1, np.int64)
+
+    def add(self, w: int, time: int) -> None:
+        if self.n == len(self.of):
+            self.of, self.times = (np.concatenate([x, np.zeros_like(x)]) for x in (self.of, self.times))
+        if w >= len(self.newest):
+            self.newest = np.concatenate([self.newest, np.full(max(len(self.newest), w + 1 - len(self.newest)), -1, np.int64)])
+        self.of[self.n], self.times[self.n], self.newest[w] = w, time, self.n
+        self.n += 1
+
+    def repeated(self, looks: dict, history: int | None) -> bool:
+        """Whether a near-repeat is among the kept rows, the newest ``history`` of them."""
+        least = 0 if history is None else max(0, self.n - history)
+        for block, (_, bits) in looks.items():
+            own = self.newest[block * self.size : (block + 1) * self.size]
+            if (own[np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))[: len(own)])] >= least).any():
+                return True
+        return False
+
+    def similar(self, looks: dict, back: int) -> np.ndarray:
         """Numbers, from the oldest, of the similar ones among the newest ``back`` kept rows."""
         first = max(0, self.n - back)
-        if first == self.n:
-            return np.zeros(0, np.int64)
-        oldest, found = int(self.places[first]), [np.zeros(0, np.int64)]
-        for block, bits in sorted(looks, reverse=True):
-            base = block * self.size
-            if base + self.size <= oldest:
-                break
-            own = self.number[base + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))[: self.rows - base])]
-            found.append(own[own >= first])
-        return np.sort(np.concatenate(found))
+        block, within = np.divmod(self.of[first : self.n], self.size)
+        found = np.zeros(len(block), bool)
+        for one in set(block.tolist()) & looks.keys():
+            here = np.flatnonzero(block == one)
+            bits = np.frombuffer(looks[one][0], np.uint8)
+            found[here] = bits[within[here] >> 3] >> (7 - (within[here] & 7)) & 1
+        return first + np.flatnonzero(found)
 
 
 def fold_in_blocks(rows: DataFrame, key: str, scratch: Scratch, policy: Policy = BATCH, size: int = FOLD_BLOCK) -> DataFrame:
     """The same rows as ``fold``, with the vectors of a key compared by many tasks.
 
-    Rows are numbered within their key (prefix sums over ranges) and packed
-    into blocks of ``size`` in their order. Every block meets itself and
-    all earlier ones of its key, a row for each pair of blocks, and leaves for
-    each of its rows a bit for every similar earlier row and the places of
-    near-repeats. What goes through each key in order is these bits, the times
-    and nothing else: no vectors. A row's bits are as many as its earlier rows
-    at most, and the pass reads those of the newest kept rows only.
+    Rows are numbered within their key (prefix sums over ranges), and so are
+    the key's different vectors, in the order of their first rows; however
+    often a vector comes, it is compared once. Vectors are packed into blocks
+    of ``size``. Every block meets itself and all earlier ones of its key, a row
+    for each pair of blocks, and leaves for each of its vectors a bit for every
+    similar one of the other block and one for every near-repeat. What goes
+    through each key in order is these bits, a row for each block seen, the
+    times and nothing else: no vectors, and no lists.
     """
-    named = rows.select("id", key, "timestamp", "strength", F.coalesce("embedding", F.array().cast("array<float>")).alias("embedding"), F.to_json(F.struct(F.col(key))).alias("group"))
+    told = F.coalesce("embedding", F.array().cast("array<float>")) if policy.dedup is not None or policy.score else F.array().cast("array<float>")
+    named = rows.select("id", key, "timestamp", "strength", told.alias("embedding"), F.to_json(F.struct(F.col(key))).alias("group"))
+    named = named.withColumns({"d1": F.xxhash64("embedding"), "d2": F.xxhash64(F.lit(1), "embedding")})  # 128 bits tell a vector
     numbered = scratch.keep(prefix_sums(scratch, named, ["group"], [F.col("timestamp"), F.col("id")], F.lit(1).cast("long"), "ranged", "n"), "numbered")
     scratch.drop("ranged")
-    block = F.floor(F.col("n") / size).alias("block")
-    told = F.col("embedding") if policy.dedup is not None or policy.score else F.array().cast("array<float>")
-    blocks = numbered.groupBy("group", block).agg(F.sort_array(F.collect_list(F.struct("n", told.alias("v")))).alias("rows")).select("group", "block", F.col("rows.v").alias("v"))
+    vectors = numbered.groupBy("group", "d1", "d2", "embedding").agg(F.min("n").alias("first"), (F.count(F.lit(1)) > 1).alias("many"))
+    vectors = scratch.keep(prefix_sums(scratch, vectors, ["group"], [F.col("first")], F.lit(1).cast("long"), "firsts", "w"), "vectors")
+    scratch.drop("firsts")
+    block = F.floor(F.col("w") / size).alias("block")
+    blocks = vectors.groupBy("group", block).agg(F.sort_array(F.collect_list(F.struct("w", "many", F.col("embedding").alias("v")))).alias("rows")).select("group", "block", F.col("rows.v").alias("v"), F.col("rows.many").alias("many"))
     blocks = scratch.keep(blocks, "blocks")
     later = blocks.select("group", "block", F.col("v").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("earlier"))
-    met = later.join(blocks.select("group", F.col("block").alias("earlier"), F.col("v").alias("y")), ["group", "earlier"])
-    looks = met.select("group", "block", "earlier", "x", "y").mapInArrow(_looks(policy, size), "group string, n long, seen long, similar binary, repeats array<long>")
-    looks = scratch.keep(looks, "looks").groupBy("group", "n").agg(F.collect_list(F.struct("seen", "similar")).alias("looks"), F.flatten(F.collect_list("repeats")).alias("repeats"))
-    told = numbered.select("id", key, "timestamp", "strength", "group", "n").join(looks, ["group", "n"], "left")
-    dealt = told.select("group", "n", "id", key, "timestamp", "strength", "looks", "repeats").repartition("group").sortWithinPartitions("group", "n")
+    met = later.join(blocks.select("group", F.col("block").alias("earlier"), F.col("v").alias("y"), F.col("many").alias("y_many")), ["group", "earlier"])
+    looks = met.select("group", "block", "earlier", "x", "y", "y_many").mapInArrow(_looks(policy, size), "group string, w long, seen long, similar binary, repeats binary")
+    looks = scratch.keep(looks, "looks")
+    placed = numbered.select("id", key, "timestamp", "strength", "group", "n", "d1", "d2").join(vectors.select("group", "d1", "d2", "w"), ["group", "d1", "d2"])
+    told = placed.select("group", "n", "id", key, "timestamp", "strength", "w").join(looks, ["group", "w"], "left")
+    dealt = told.select("group", "n", "id", key, "timestamp", "strength", "w", "seen", "similar", "repeats").repartition("group").sortWithinPartitions("group", "n", "seen")
+    kind = dict(rows.dtypes)
+    back = LOOK_FREQUENCY if policy.history is None else min(LOOK_FREQUENCY, policy.history)
+
+    def decide(kept: _Kept, w: int, time: int, strength: float, looks: dict) -> tuple[str, float | None]:
+        if kept.repeated(looks, policy.history):
+            return "deduped", None
+        score = None
+        if policy.score:
+            near = kept.similar(looks, back)
+            newest = int(kept.times[near[-1]]) if len(near) and near[-1] >= kept.n - LOOK_RECENCY else None
+            score = weigh(len(near), newest, time, strength)
+            if policy.drops(score):
+                return "low_importance", score
+        kept.add(w, time)
+        return "saved", score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, kept = object(), _Kept(size)
+        """A row's looks follow each other, maybe into the next batch; it is decided when the next row begins."""
+        own, kept, row, looks = object(), _Kept(size), None, {}
         for batch in batches:
+            ids, keys, outcomes, scores = [], [], [], []
+            place = list(zip(batch.column("group").to_pylist(), batch.column("n").to_pylist(), strict=True))
+            seen, similar, repeats = (batch.column(c).to_pylist() for c in ("seen", "similar", "repeats"))
+            told = {c: batch.column(c).to_pylist() for c in ("id", key, "strength", "w")}
             times = pc.cast(batch.column("timestamp"), pa.int64()).to_pylist()
-            groups, strengths = batch.column("group").to_pylist(), batch.column("strength").to_pylist()
-            outcomes, scores = [], []
-            for i, group in enumerate(groups):
-                if group != own:
-                    own, kept = group, _Kept(size)
-                repeats = np.array(batch.column("repeats")[i].as_py() or (), np.int64)
-                least = 0 if policy.history is None else max(0, kept.n - policy.history)
-                outcome, score = "saved", None
-                if (kept.number[repeats] >= least).any():
-                    outcome = "deduped"
-                elif policy.score:
-                    looked = [(x["seen"], x["similar"]) for x in batch.column("looks")[i].as_py() or ()]
-                    near = kept.similar(looked, LOOK_FREQUENCY if policy.history is None else min(LOOK_FREQUENCY, policy.history))
-                    newest = int(kept.times[near[-1]]) if len(near) and near[-1] >= kept.n - LOOK_RECENCY else None
-                    score = weigh(len(near), newest, times[i], strengths[i])
-                    outcome = "low_importance" if policy.drops(score) else "saved"
-                kept.add(times[i] if outcome == "saved" else None)
-                outcomes.append(outcome)
-                scores.append(score)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column(key), pa.array(outcomes, pa.string()), pa.array(scores, pa.float64())], ["id", key, "outcome", "score"])
+            for i in range(len(place)):
+                if row is None or place[i] != row["place"]:
+                    if row:
+                        outcome, score = decide(kept, row["w"], row["time"], row["strength"], looks)
+                        for to, value in zip((ids, keys, outcomes, scores), (row["id"], row[key], outcome, score), strict=True):
+                            to.append(value)
+                    if place[i][0] != own:
+                        own, kept = place[i][0], _Kept(size)
+                    row, looks = {c: v[i] for c, v in told.items()} | {"place": place[i], "time": times[i]}, {}
+                if seen[i] is not None:
+                    looks[seen[i]] = similar[i], repeats[i]
+            yield made(batch, ids, keys, outcomes, scores)
+            shape = batch
+        if row:
+            outcome, score = decide(kept, row["w"], row["time"], row["strength"], looks)
+            yield made(shape, [row["id"]], [row[key]], [outcome], [score])
+
+    def made(batch: pa.RecordBatch, ids: list, keys: list, outcomes: list, scores: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, batch.column("id").type), pa.array(keys, batch.column(key).type), pa.array(outcomes, pa.string()), pa.array(scores, pa.float64())], ["id", key, "outcome", "score"])
 
-    kind = dict(rows.dtypes)
     return dealt.mapInArrow(run, f"id {kind['id']}, {key} {kind[key]}, outcome string, score double")
 
 
