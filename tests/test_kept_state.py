@@ -166,6 +166,17 @@ def test_few_and_many_queries_agree(spark, monkeypatch, k, tmp_path):
     assert shown(vector_index.search(index, asked, 4, probes=3)) == listed and listed
 
 
+def test_blocks_are_not_broadcast(spark, monkeypatch, tmp_path):
+    """Many queries meet the data by a merge join, however small the sides look."""
+    monkeypatch.setattr(similarity, "FEW", 0)
+    rows = vectors(spark, 300)
+    index = vector_index.build(rows, str(tmp_path / "v"), lists=9)
+    for found in (similarity.near(rows, rows.where("vec_id % 7 = 0"), "vec_id", k=4), vector_index.search(index, rows.where("vec_id % 7 = 0"), 4)):
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_pivots_leave_out_blocks_and_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(similarity, "PAIR_BLOCK", 20)
     rng = np.random.default_rng(11)

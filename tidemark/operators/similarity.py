@@ -21,6 +21,7 @@ DATA_BLOCK, QUERY_BLOCK = 4096, 256
 FEW = 2048
 #: Vectors of a block where a group's rows are compared with each other, and pivots that blocks are told apart by.
 PAIR_BLOCK, PIVOTS = 1024, 16
+# Blocks are joined by merging, as a side that looks small when compressed would else be broadcast, through the driver.
 #: Slack of angles, for rounding.
 _SLACK = 1e-6
 
@@ -122,7 +123,7 @@ def _in_blocks(data: DataFrame, asked: DataFrame, key: str, vector: str, k: int
     blocks = _blocks(data.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector")), "id", "vector", parts, "data")
     asked = _blocks(asked, "id", "vector", max(1, -(-asked.count() // QUERY_BLOCK)), "asked")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("data")
-    met = asked.select("asked_ids", "asked_vectors", every).join(blocks, "data")
+    met = asked.select("asked_ids", "asked_vectors", every).join(blocks.hint("merge"), "data")
     return met.select("data_ids", "data_vectors", "asked_ids", "asked_vectors").mapInArrow(_meet(k, least), _FOUND)
 
 
@@ -138,7 +139,7 @@ def in_lists(stored: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         lists = lambda rows, size, name: rows.groupBy("list", F.pmod(F.xxhash64("id"), F.lit(size)).alias("cell")).agg(F.collect_list(F.struct("id", "vector")).alias("rows")).select("list", F.col("rows.id").alias(f"{name}_ids"), F.col("rows.vector").alias(f"{name}_vectors"))
         largest = lambda rows: rows.groupBy("list").count().agg(F.max("count")).first()[0] or 1
         data, queries = lists(stored, -(-largest(stored) // DATA_BLOCK), "data"), lists(asked, -(-largest(asked) // QUERY_BLOCK), "asked")
-        met = data.join(queries, "list").select("data_ids", "data_vectors", "asked_ids", "asked_vectors")
+        met = data.join(queries.hint("merge"), "list").select("data_ids", "data_vectors", "asked_ids", "asked_vectors")
         return _placed(met.mapInArrow(_meet(k, -2.0), _FOUND), k)
     number = found.column("list").to_numpy()
     ids, vectors = found.column("id").to_numpy(), unit(found.column("vector").combine_chunks())
