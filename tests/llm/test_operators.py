@@ -520,6 +520,23 @@ def test_quality_features():
         assert row == pytest.approx([float(x) for x in want], abs=1e-9)
 
 
+def test_quality_learns_from_all_labels(spark, monkeypatch):
+    """Centers, weights and threshold of all rows, in one cell and in many; no labelled row is left out."""
+    rng = np.random.default_rng(14)
+    width = quality_model.features(pa.array([], pa.string())).shape[1]
+    x = rng.normal(size=(12_000, width))
+    good = x[:, 0] + 0.5 * x[:, 1] + 0.3 * rng.normal(size=len(x)) > 0.8
+    rows = spark.createDataFrame([(i, int(g), v.tolist()) for i, (g, v) in enumerate(zip(good, x, strict=True))], "doc_id long, label int, x array<double>").repartition(3)
+    for cell in (1 << 20, 2_048):
+        monkeypatch.setattr(quality_model, "CELL", cell)
+        model = quality_model.fit(rows, scratch(spark))
+        assert np.allclose(model.center, x.mean(0)) and np.allclose(model.scale, x.std(0))
+        assert np.mean((model.scores(x) >= quality_model.CUT) == good) > 0.9
+        worth = model.worth(x)
+        apart = lambda t: (worth[good] >= t).mean() + (worth[~good] < t).mean()  # noqa: B023, E731
+        assert apart(model.threshold) >= max(map(apart, np.quantile(worth, np.linspace(0, 1, 401)))) - 0.002
+
+
 def test_preferences():
     """The weights are where the logistic loss of feature differences, written out, is least; the threshold keeps the good."""
     rng = np.random.default_rng(13)

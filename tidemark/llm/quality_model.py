@@ -1,30 +1,33 @@
 """Quality scores learned from preference pairs by a Bradley-Terry model.
 
 A text's worth is a weighted sum of its features; the chance that one text is
-preferred to another is the logistic function of the difference. Pairs of a
-good and a bad text of the sample teach the weights. The threshold is a
-quantile of the sample's worths, and the score is scaled so that the threshold
-lies at ``CUT``.
+preferred to another is the logistic function of the difference. Every labelled
+text outside the held-out fold is in pairs of a good and a bad one, which teach
+the weights (``fit``). The threshold is the level that separates all of them
+best, and the score is scaled so that it lies at ``CUT``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import FIT_ROWS, labelled_sample
+from ..shared.scratch import Scratch
 from .quality_rules import measure
 from .textkit import LOWER, NOT_SPACE, Text, byte_set, slices
 
 #: Score from which a text is predicted to be good, and the folds by crc32 of the id of which 0 is held out.
 CUT, FOLDS = 0.3, 5
-#: Preference pairs drawn from the sample.
+#: Preference pairs drawn from rows at hand.
 PAIRS = 40_000
+#: Rows of a cell in which pairs are made, rows of the other label that each meets, and levels that a threshold is sought among.
+CELL, MEET, LEVELS = 2_048, 8, 4_096
 
 _UPPER, _DIGIT = byte_set((0x41, 0x5A)), byte_set((0x30, 0x39))
 _POINT = byte_set(*((ord(c), ord(c)) for c in ".,;:'\"()"))
@@ -85,7 +88,7 @@ def _expand(z: np.ndarray) -> np.ndarray:
 
 
 def fit_pairs(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3, rounds: int = 25) -> Ranking:
-    """Weights by Newton's method on the logistic loss of feature differences."""
+    """Weights by Newton's method on the logistic loss of feature differences, for few rows at hand; ``fit`` takes a table of them."""
     center, scale = (x.mean(0), np.maximum(x.std(0), 1e-6)) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     z = _expand((x - center) / scale)
     weights = np.zeros(z.shape[1])
@@ -111,20 +114,119 @@ def fit_pairs(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, ridge: float
     return Ranking(center, scale, weights, float(levels[np.argmax(kept + dropped)]))
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             x = features(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ranking:
-    """Fit on up to ``rows`` labelled rows outside the held-out fold."""
+def _matrix(lists: pa.Array, width: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _sums(rows: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """The sum of an array of numbers over all record batches: one row leaves each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for batch in batches:
+            if batch.num_rows:
+                total = total + of(batch)
+        if np.ndim(total):
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["s"])
+
+    at = F.posexplode("s").alias("i", "v")
+    found = rows.mapInArrow(run, "s array<double>").select(at).groupBy("i").agg(F.sum("v").alias("v")).toArrow().sort_by("i")
+    return found.column("v").to_numpy()
+
+
+def fit(rows: DataFrame, scratch: Scratch, ridge: float = 1e-3, rounds: int = 25) -> Ranking:
+    """The ranking of all rows (doc_id, label, x): centers, scales, weights and threshold are sums over every one of them.
+
+    Rows are dealt to cells by a hash of their ids, of about ``CELL`` rows where
+    both labels are common enough. In a cell every row of the commoner label
+    is held against ``MEET`` of the other, taken in turn, so each row is in some
+    pair. Each round of Newton's method is one pass, of which the slope and the
+    curvature come back. The threshold separates all rows best, good and bad
+    weighing alike, among levels across the range of worths, the lowest of
+    equals.
+    """
+    width = features(pa.array([], pa.string())).shape[1]
+    rows = scratch.keep(rows.withColumn("good", F.col("label") == 1), "measured")
+    moments = _sums(rows, lambda b: np.concatenate([[b.num_rows, pc.sum(b.column("good")).as_py()], _matrix(b.column("x"), width).sum(0)]))
+    n, n_good = (int(v) for v in moments[:2]) if len(moments) else (0, 0)
+    if not n:
+        return fit_pairs(np.zeros((0, width)), np.zeros(0, bool))
+    center = moments[2:] / n
+    scale = np.maximum(np.sqrt(_sums(rows, lambda b: ((_matrix(b.column("x"), width) - center) ** 2).sum(0)) / n), 1e-6)
+    weights = np.zeros(2 * width)
+    if n_good in (0, n):
+        return Ranking(center, scale, weights, 0.0 if n_good == 0 else -1.0)
+    # Some 32 rows of the rarer label a cell, so that a cell without one is not to be expected.
+    cells = max(1, min(n // CELL, min(n_good, n - n_good) // 32))
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(cells)).alias("cell")
+    dealt = rows.groupBy(cell).agg(F.sort_array(F.collect_list(F.struct("doc_id", "good", "x"))).alias("r")).select("cell", F.col("r.good").alias("good"), F.col("r.x").alias("x"))
+    dealt = scratch.keep(dealt, "cells")
+
+    def slope(at: np.ndarray) -> Callable[[pa.RecordBatch], np.ndarray]:
+        def of(batch: pa.RecordBatch) -> np.ndarray:
+            total = np.zeros(1 + len(at) + len(at) ** 2)
+            for row in range(batch.num_rows):
+                z = _expand((_matrix(batch.column("x")[row].values, width) - center) / scale)
+                good = batch.column("good")[row].values.to_numpy(zero_copy_only=False).astype(bool)
+                best, worst = np.flatnonzero(good), np.flatnonzero(~good)
+                most = max(len(best), len(worst))
+                for turn in range(MEET) if len(best) and len(worst) else ():
+                    # The longer side in its order, the other in turn; nothing but the places differs between the two.
+                    moved = [turn, 0] if len(best) < len(worst) else [0, turn]
+                    i, j = (side[(np.arange(most) + by) % len(side)] for side, by in zip((best, worst), moved, strict=True))
+                    d = z[i] - z[j]
+                    p = 1 / (1 + np.exp(-np.clip(d @ at, -40, 40)))
+                    total += np.concatenate([[most], d.T @ (1 - p), ((d * (p * (1 - p))[:, None]).T @ d).ravel()])
+            return total
+
+        return of
+
+    for _ in range(rounds):
+        sums = _sums(dealt, slope(weights))
+        pairs, first, second = sums[0], sums[1 : 1 + 2 * width], sums[1 + 2 * width :].reshape(2 * width, -1)
+        if not pairs:
+            break
+        step = np.linalg.solve(second / pairs + ridge * np.eye(2 * width), first / pairs - ridge * weights)
+        weights = weights + step
+        if np.abs(step).max() < 1e-6:
+            break
+    model = Ranking(center, scale, weights, 0.0)
+    # No worth lies beyond the clipped features' reach, so levels need no pass of their own.
+    low, high = (float((np.minimum if least else np.maximum)(weights[:width] * -5, weights[:width] * 5).sum() + (np.minimum if least else np.maximum)(weights[width:] * 25, 0).sum()) for least in (True, False))
+    for narrow in (False, True):
+        levels = np.linspace(low, high, LEVELS + 1)
+
+        def counts(batch: pa.RecordBatch, levels: np.ndarray = levels) -> np.ndarray:
+            place = np.searchsorted(levels, model.worth(_matrix(batch.column("x"), width)), "right")
+            good = batch.column("good").to_numpy(zero_copy_only=False).astype(bool)
+            return np.concatenate([np.bincount(place[side], minlength=LEVELS + 2).astype(float) for side in (good, ~good)])
+
+        found = _sums(rows, counts).reshape(2, -1)
+        below = np.cumsum(found, 1)[:, :-1] / [[n_good], [n - n_good]]
+        if not narrow:  # first the stretch that worths lie in, then levels within it
+            held = np.flatnonzero(found.sum(0))
+            low, high = float(levels[max(held[0] - 1, 0)]), float(levels[min(held[-1], LEVELS)])
+    return Ranking(center, scale, weights, float(levels[np.argmax(below[1] - below[0])]))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Ranking:
+    """Fit on all labelled rows outside the held-out fold; of several labels of an id the larger counts.
+
+    Texts are measured where they lie, and only features meet the labels, by a
+    merge join at every size, so no text is shuffled.
+    """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
-    sample = labelled_sample(docs, labels, "quality", rows, fold != 0)
-    found = sample.mapInArrow(_sampled, "doc_id long, label int, x array<double>").toArrow().sort_by("doc_id")
-    x = np.stack(found.column("x").to_numpy()) if found.num_rows else features(pa.array([], pa.string()))
-    return fit_pairs(x, found.column("label").to_numpy() == 1)
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold != 0))
+    known = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
+    measured = docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(_measured, "doc_id long, x array<double>")
+    return fit(measured.join(known.hint("merge"), "doc_id"), Scratch(docs.sparkSession, "quality"))
 
 
 def _scored(model: Ranking):
