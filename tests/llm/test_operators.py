@@ -537,6 +537,17 @@ def test_quality_learns_from_all_labels(spark, monkeypatch):
         assert apart(model.threshold) >= max(map(apart, np.quantile(worth, np.linspace(0, 1, 401)))) - 0.002
 
 
+def test_quality_sums_stay_whole_arrays(spark, monkeypatch):
+    plans, collect = [], type(spark.range(1)).toArrow
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", lambda df: (plans.append(df._jdf.queryExecution().toString()), collect(df))[1])
+    of = lambda b: np.outer(np.array(b.column("x")), [1.0, 0.1, 1e-9]).sum(0)
+    found = [quality_model._sums(spark.range(1000, numPartitions=n).select(F.col("id").cast("double").alias("x")), of) for n in (1, 40)]
+    assert all(np.allclose(f, [499500, 49950, 499500e-9], rtol=1e-12) for f in found)
+    assert quality_model._sums(spark.range(0).select(F.col("id").alias("x")), of).shape == (0,)
+    # No number of an array has a row of its own, which would be many times the rows of the tasks.
+    assert plans and not any("Generate" in p for p in plans)
+
+
 def test_preferences():
     """The weights are where the logistic loss of feature differences, written out, is least; the threshold keeps the good."""
     rng = np.random.default_rng(13)

@@ -28,6 +28,8 @@ CUT, FOLDS = 0.3, 5
 PAIRS = 40_000
 #: Rows of a cell in which pairs are made, rows of the other label that each meets, and levels that a threshold is sought among.
 CELL, MEET, LEVELS = 2_048, 8, 4_096
+#: Tasks that add up the sums of all others.
+ADDERS = 8
 
 _UPPER, _DIGIT = byte_set((0x41, 0x5A)), byte_set((0x30, 0x39))
 _POINT = byte_set(*((ord(c), ord(c)) for c in ".,;:'\"()"))
@@ -126,7 +128,10 @@ def _matrix(lists: pa.Array, width: int) -> np.ndarray:
 
 
 def _sums(rows: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
-    """The sum of an array of numbers over all record batches: one row leaves each task."""
+    """The sum of an array of numbers over all record batches: one row leaves each task, and ``ADDERS`` tasks add these up whole.
+
+    Numbers are added in their order, so that it doesn't matter which row comes first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0.0
@@ -136,9 +141,17 @@ def _sums(rows: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray]) -> np.nda
         if np.ndim(total):
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["s"])
 
-    at = F.posexplode("s").alias("i", "v")
-    found = rows.mapInArrow(run, "s array<double>").select(at).groupBy("i").agg(F.sum("v").alias("v")).toArrow().sort_by("i")
-    return found.column("v").to_numpy()
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([_added(batch.column("s")).tolist()], pa.list_(pa.float64()))], ["s"])
+
+    found = rows.mapInArrow(run, "s array<double>").repartition(ADDERS).mapInArrow(added, "s array<double>").toArrow()
+    return _added(found.column("s").combine_chunks()) if found.num_rows else np.zeros(0)
+
+
+def _added(lists: pa.Array) -> np.ndarray:
+    return np.sort(_matrix(lists, len(lists[0])), 0).sum(0)
 
 
 def fit(rows: DataFrame, scratch: Scratch, ridge: float = 1e-3, rounds: int = 25) -> Ranking:
