@@ -852,3 +852,21 @@ def test_whole_rows(spark, docs, none):
     assert good.schema.names == docs.schema.names and Counter(r.doc_id for r in good.collect()) == kept
     for empty in (NearDuplicates(scratch(spark)).representatives(none), mixing.resample(none, scratch(spark)), secrets.redact(none, scratch(spark)), quality_model.keep_good(none, model)):
         assert empty.count() == 0 and empty.schema.names == none.schema.names
+
+
+def test_pairs_that_sizes_rule_out_never_meet_sketches(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    rows = spark.createDataFrame([(i, " ".join(words[: 40 + 60 * (i % 6)] + [f"x{i}"])) for i in range(24)], "doc_id long, text string")
+    near, given, plain = NearDuplicates(scratch(spark), width=2), [], NearDuplicates._estimated
+
+    def seen(self, pairs, sketch, percent):
+        size = {r.id: r.n for r in sketch.collect()}
+        given.extend((size[r.a], size[r.b], percent) for r in pairs.collect())
+        return plain(self, pairs, sketch, percent)
+
+    monkeypatch.setattr(NearDuplicates, "_estimated", seen)
+    found = {r.doc_id: r.component_id for r in near.groups(rows).collect()}
+    assert given and all(100 * min(a, b) >= percent * max(a, b) for a, b, percent in given)
+    size = lambda i: 40 + 60 * (i % 6)
+    # 220 and 280 words share 78 %, 280 and 340 share 82 %.
+    assert all((found[i] == found[j]) == (size(i) == size(j) or min(size(i), size(j)) >= 280) for i in found for j in found)
