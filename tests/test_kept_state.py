@@ -294,3 +294,18 @@ def test_whole_intake(spark, sf, tmp_path):
     taken.start(source(), str(tmp_path / "offsets"), every=None).awaitTermination()
     taken.take(spark.createDataFrame(taken.judged().where("id < 30").collect(), taken.schema), 0)
     assert rows_of(taken.table.read()) == table and rows_of(taken.graph.entities()) == counts and len(got) == 3
+
+
+def test_postings_have_a_row_for_each_term_of_a_row(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a b a", "b"), (2, None, ""), (3, "b", None), (3, "b c", None)], "id long, x string, y string")
+    found = search.postings(rows, "id", ("x", "y"))
+    got = sorted((r.term, r.id, r.length, r["at"].x, r["at"].y) for r in found.collect())
+    assert got == [("a", 1, 4, [0, 2], []), ("b", 1, 4, [1], [0]), ("b", 3, 1, [0], []), ("b", 3, 2, [0], []), ("c", 3, 2, [1], [])]
+    # Dealing needs no sample, for which all texts would be split once more.
+    assert "rangepartitioning" not in search.dealt(found, "id")._jdf.queryExecution().toString().lower()
+    search.write_index(rows, "id", ("x", "y"), str(tmp_path / "i"))
+    assert spark.read.parquet(str(tmp_path / "i" / "facts")).first().asDict() == {"n": 4, "mean": 1.75, "keyed": False}
+    index = spark.read.parquet(str(tmp_path / "i" / "postings"))
+    assert sorted(map(tuple, search.term_frequencies(index, "id").collect())) == [("a", 2, 1), ("b", 4, 2), ("c", 1, 1)]
+    # Rows with keys of their own are counted without remembering keys.
+    assert "distinct" not in search.term_frequencies(index, "id", True)._jdf.queryExecution().toString().lower()

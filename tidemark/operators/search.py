@@ -7,11 +7,16 @@ Both give the same scores.
 
 from __future__ import annotations
 
+import itertools
 import math
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +24,8 @@ from ..shared.scratch import Scratch
 
 #: Fixed values of the ranking.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Words that a task gathers at once, about, and tasks that the rows of one term are dealt to.
+WORDS, SHARES = 1 << 19, 8
 
 
 def _unaccented() -> dict[str, str]:
@@ -122,29 +129,88 @@ def best(counted: DataFrame, match: Match, key: str, n: int, facts: dict) -> Dat
 
 
 def postings(rows: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
-    """(term, key, column, length, place): a row for each place of each term; length is that of the row, all columns."""
-    words = rows.select(F.col(key), *(tokens(F.col(c)).alias(f"_{c}") for c in columns))
-    words = words.withColumn("length", reduce(lambda a, b: a + b, (F.size(f"_{c}") for c in columns)))
-    # The outer form, as the optimizer else splits each text twice, to leave out empty ones first.
-    each = [words.select(F.col(key), "length", F.lit(c).alias("column"), F.posexplode_outer(f"_{c}").alias("place", "term")) for c in columns]
-    return reduce(DataFrame.unionByName, each).where("term is not null").select("term", key, "column", "length", "place")
+    """(term, key, length, at): a row for each term of each row; length is that of the row, all columns, and ``at`` has the term's places in each column."""
+    words = rows.select(F.col(key), *(tokens(F.col(c)).alias(c) for c in columns if c != key))
+    places = ", ".join(f"`{c}`: array<int>" for c in columns)
+    return words.mapInArrow(_gathered(key, columns), f"term string, `{key}` {dict(rows.dtypes)[key]}, length int, at struct<{places}>")
+
+
+def _gathered(key: str, columns: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length = sum(pc.list_value_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+            # Some rows at a time, as what a task holds follows their words.
+            bounds = np.unique(np.concatenate([[0], 1 + np.flatnonzero(np.diff(np.cumsum(length) // WORDS)), [batch.num_rows]]))
+            for start, end in itertools.pairwise(bounds.tolist()):
+                yield _places(batch.slice(start, end - start), length[start:end], key, columns)
+
+    return run
+
+
+def _places(batch: pa.RecordBatch, length: np.ndarray, key: str, columns: tuple[str, ...]) -> pa.RecordBatch:
+    """A row for each term of each row of the batch."""
+    flat, row, place, column = [], [], [], []
+    for i, c in enumerate(columns):
+        sizes = pc.list_value_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat.append(pc.list_flatten(batch.column(c)))
+        row.append(np.repeat(np.arange(len(sizes)), sizes))
+        place.append(np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+        column.append(np.full(sizes.sum(), i))
+    terms = pa.concat_arrays(flat).dictionary_encode()
+    row, place, column = (np.concatenate(x) for x in (row, place, column))
+    one = row * max(len(terms.dictionary), 1) + terms.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(one, kind="stable")  # places of a column stay in their order
+    one, place, column = one[order], place[order], column[order]
+    first = np.ones(len(one), bool)
+    first[1:] = one[1:] != one[:-1]
+    group, own = np.cumsum(first) - 1, one[first]
+    at = []
+    for i in range(len(columns)):
+        ends = np.cumsum(np.bincount(group[column == i], minlength=len(own)))
+        at.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(place[column == i].astype(np.int32))))
+    held = own // max(len(terms.dictionary), 1)
+    return pa.RecordBatch.from_arrays(
+        [terms.dictionary.take(pa.array(own % max(len(terms.dictionary), 1))), batch.column(key).take(pa.array(held)), pa.array(length[held].astype(np.int32)), pa.StructArray.from_arrays(at, list(columns))],
+        ["term", key, "length", "at"],
+    )
+
+
+def columns_of(index: DataFrame) -> list[str]:
+    """Columns that an index has places of."""
+    return index.schema["at"].dataType.names
+
+
+def times(index: DataFrame, column: str | None = None) -> Column:
+    """How often a term stands in a row, or in one column of it."""
+    names = columns_of(index) if column is None else [c for c in columns_of(index) if c == column]
+    return reduce(lambda a, b: a + b, (F.size(F.col("at")[c]) for c in names), F.lit(0))
+
+
+def dealt(found: DataFrame, key: str, *order: str) -> DataFrame:
+    """Postings dealt to tasks by term and sorted by it, a term of very many rows to ``SHARES`` tasks.
+
+    Dealing by hash needs no sample of the terms, for which each text would be split once more.
+    """
+    return found.repartition("term", F.pmod(F.xxhash64(key), F.lit(SHARES))).sortWithinPartitions("term", *order)
 
 
 def write_index(rows: DataFrame, key: str, columns: tuple[str, ...], path: str) -> None:
-    """Store the postings below ``path``, sorted by term so that a search reads few row groups, and a row of facts.
+    """Store the postings below ``path``, sorted by term so that a search reads few row groups, and a row of facts: n, mean, and whether each row has a key of its own."""
+    dealt(postings(rows, key, columns), key).write.mode("overwrite").parquet(f"{path}/postings")
+    index = rows.sparkSession.read.parquet(f"{path}/postings")
+    places = index.agg(F.coalesce(F.sum(times(index)), F.lit(0)).alias("places"))
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("keys")).join(F.broadcast(places))  # one row each
+    facts = facts.select("n", F.when(F.col("n") > 0, F.col("places") / F.col("n")).alias("mean"), (F.col("n") == F.col("keys")).alias("keyed"))
+    facts.write.mode("overwrite").parquet(f"{path}/facts")
 
-    Ranges are of (term, key), so a term of very many rows has several files.
-    """
-    found = postings(rows, key, columns)
-    found.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
-    places = rows.sparkSession.read.parquet(f"{path}/postings").agg(F.count(F.lit(1)).alias("places"))
-    facts = rows.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(places))  # one row each
-    facts.select("n", F.when(F.col("n") > 0, F.col("places") / F.col("n")).alias("mean")).write.mode("overwrite").parquet(f"{path}/facts")
 
+def term_frequencies(index: DataFrame, key: str, keyed: bool = False) -> DataFrame:
+    """(term, tf, df): places of each term, and keys of rows that hold it.
 
-def term_frequencies(index: DataFrame, key: str) -> DataFrame:
-    """(term, tf, df): places of each term, and rows that hold it."""
-    return index.groupBy("term").agg(F.count(F.lit(1)).alias("tf"), F.count_distinct(key).alias("df"))
+    Where each row has a key of its own (``keyed``), these are counted as rows,
+    and what a task remembers are terms; else keys are told apart.
+    """
+    return index.groupBy("term").agg(F.sum(times(index)).alias("tf"), (F.count(F.lit(1)) if keyed else F.count_distinct(key)).alias("df"))
 
 
 def lookup(spark: SparkSession, path: str, match: Match, key: str, n: int) -> DataFrame:
@@ -163,16 +229,19 @@ def lookup_in(index: DataFrame, facts: dict, match: Match, key: str, n: int) ->
     hits = []
     for i, term in enumerate(terms):
         parts = parts_of(term)
-        own = index.where(F.col("column") == term.column) if term.column else index
-        each = [own.where(F.col("term").startswith(p) if term.prefix and j == len(parts) - 1 else F.col("term") == p) for j, p in enumerate(parts)]
+        each = [index.where(F.col("term").startswith(p) if term.prefix and j == len(parts) - 1 else F.col("term") == p) for j, p in enumerate(parts)]
         if len(parts) == 1:
-            found = each[0].select(key, "length")
+            found = each[0].select(key, "length", times(index, term.column).alias("times")).where("times > 0")
         else:
-            starts = [e.select(key, "length", "column", (F.col("place") - j).alias("place"), F.lit(j).alias("part")) for j, e in enumerate(each)]
+            inside = [c for c in columns_of(index) if term.column in (None, c)]
+            starts = [e.select(key, "length", F.lit(c).alias("column"), F.explode(F.col("at")[c]).alias("place"), F.lit(j).alias("part")) for j, e in enumerate(each) for c in inside]
+            starts = [x.withColumn("place", F.col("place") - F.col("part")) for x in starts]
+            if not starts:
+                starts = [index.where("false").select(key, "length", F.lit("").alias("column"), F.lit(0).alias("place"), F.lit(0).alias("part"))]
             met = reduce(DataFrame.unionByName, starts).groupBy(key, "length", "column", "place").agg(F.bit_or(F.expr("shiftleft(1L, part)")).alias("parts"))
-            found = met.where(F.col("parts") == (1 << len(parts)) - 1).select(key, "length")
+            found = met.where(F.col("parts") == (1 << len(parts)) - 1).select(key, "length", F.lit(1).alias("times"))
         hits.append(found.withColumn("number", F.lit(i)))
-    tf = [F.count(F.when(F.col("number") == i, 1)).alias(f"tf{i}") for i in range(len(terms))]
+    tf = [F.coalesce(F.sum(F.when(F.col("number") == i, F.col("times"))), F.lit(0)).alias(f"tf{i}") for i in range(len(terms))]
     counted = Scratch(index.sparkSession, "lookup").keep(reduce(DataFrame.unionByName, hits).groupBy(key, "length").agg(*tf), "counted")
     facts = facts | counted.agg(*_frequencies(terms)).first().asDict()
     return best(counted, match, key, n, facts)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..shared.scratch import Scratch
-from .search import Match, lookup_in, postings, tokens
+from .search import Match, dealt, lookup_in, postings, tokens
 from .store import cleanup, upsert_latest
 
 #: Parts of a table; take so many that a part is a few files.
@@ -110,7 +110,7 @@ class LiveIndex:
         rows = self.table.scratch.keep(rows, f"latest-{uuid.uuid4().hex}")
         length = reduce(lambda a, b: a + b, (F.size(tokens(F.col(c))) for c in self.columns))
         found = postings(rows, self.key, self.columns).withColumn(_BATCH, F.lit(number).cast("long"))
-        found.repartitionByRange("term", self.key).sortWithinPartitions("term", self.key).write.mode("overwrite").parquet(f"{self.path}/postings/run={number}")
+        dealt(found, self.key).write.mode("overwrite").parquet(f"{self.path}/postings/run={number}")
         self.table.upsert(rows.withColumn(self.LENGTH, length), number)
 
     def delete(self, keys: DataFrame, number: int) -> None:
@@ -132,7 +132,7 @@ class LiveIndex:
     def merge(self, number: int) -> None:
         """Rewrite the postings that count into one folder, sorted by term; not while a search runs."""
         name = f"merged-{uuid.uuid4().hex}"
-        kept = self.table.scratch.keep(self.live().repartitionByRange("term", self.key).sortWithinPartitions("term", self.key), name)
+        kept = self.table.scratch.keep(dealt(self.live(), self.key), name)
         kept.write.mode("overwrite").parquet(f"{self.path}/postings-new")
         jvm = self.spark._jvm
         old, new = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{p}") for p in ("postings", "postings-new"))

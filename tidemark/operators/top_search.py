@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..shared.ranges import stretches
 from ..shared.scratch import Scratch
-from .search import K1, LEAST_IDF, B, Match, best, parts_of, postings, tokens
+from .search import K1, LEAST_IDF, B, Match, best, dealt, parts_of, postings, times, tokens
 
 #: Bands of rows of about the same length, and bytes of a row group, so that a band of a term is few of them.
 BANDS, GROUP_BYTES = 64, 1 << 20
@@ -27,17 +27,17 @@ BANDS, GROUP_BYTES = 64, 1 << 20
 def write_bands(rows: DataFrame, key: str, columns: tuple[str, ...], path: str, bands: int = BANDS) -> None:
     """Store each term's rows by band, sorted, and each band's bounds.
 
-    Terms are dealt by ranges of (term, band, key), so a term of very many rows
-    has several files, of which a band is found by its place.
+    A term of very many rows has several files, in each of which a band is found
+    by its place.
     """
     scratch = Scratch(rows.sparkSession, "bands")
     length = reduce(lambda a, b: a + b, (F.size(tokens(F.col(c))) for c in columns))
     sizes = scratch.keep(rows.select(length.alias("length")), "sizes")
     facts = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
     band = stretches(sizes, "length", bands).cast("int").alias("band")
-    counted = postings(rows, key, columns).groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("tf")).select("term", band, key, "length", "tf")
-    dealt = counted.repartitionByRange("term", "band", key).sortWithinPartitions("term", "band", key)
-    dealt.write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/rows")
+    found = postings(rows, key, columns)
+    counted = found.select("term", band, key, "length", times(found).cast("long").alias("tf"))
+    dealt(counted, key, "band").write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/rows")
     tf, part = F.col("tf"), K1 * (1 - B + B * F.col("length") / F.lit(float(facts["mean"] or 1.0)))
     bounds = rows.sparkSession.read.parquet(f"{path}/rows").groupBy("term", "band").agg(F.count(F.lit(1)).alias("rows"), F.max(tf * (K1 + 1) / (tf + part)).alias("most"))
     bounds.repartitionByRange("term", "band").sortWithinPartitions("term", "band").write.mode("overwrite").parquet(f"{path}/bounds")
