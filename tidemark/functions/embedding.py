@@ -85,27 +85,70 @@ def embed_words(lists: pa.ListArray) -> np.ndarray:
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
 
-def with_embedding(df: DataFrame, text: str, into: str = "embedding") -> DataFrame:
+def with_embedding(df: DataFrame, text: str, into: str = "embedding", packed: bool = False) -> DataFrame:
     """``df`` with the embedding (array of float) of a column of texts.
 
-    Words are split by the JVM; hashing is vectorized over the distinct words
-    of each Arrow batch.
+    Words are split by the JVM; the different texts of each Arrow batch are
+    embedded once, and hashing is vectorized over their distinct words.
+    ``packed`` embeddings are binary (see ``pack``).
     """
     marked = df.withColumn("_words", words(F.col(text)))
-    schema = marked.drop("_words").withColumn(into, F.lit(None).cast("array<float>")).schema
+    schema = marked.drop("_words").withColumn(into, F.lit(None).cast("binary" if packed else "array<float>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            code = batch.column(text).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            _, first, which = np.unique(code, return_index=True, return_inverse=True)
+            lists = batch.column("_words").take(pa.array(first))
+            vectors = np.concatenate([np.zeros((0, DIM), np.float32), *(embed_words(lists.slice(at, 256)).astype(np.float32) for at in range(0, len(lists), 256))])
+            plain = batch.drop_columns(["_words"])
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                vectors = embed_words(part.column("_words")).astype(np.float32)
-                columns = [part.column(c) for c in part.schema.names if c != "_words"]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, vectors.size + 1, DIM), pa.int32()), pa.array(vectors.ravel()))
-                yield pa.RecordBatch.from_arrays([*columns, lists], [*(c for c in part.schema.names if c != "_words"), into])
+                mine = vectors[which[at : at + 256]]
+                made = pack(mine) if packed else pa.ListArray.from_arrays(pa.array(np.arange(0, mine.size + 1, DIM), pa.int32()), pa.array(mine.ravel()))
+                yield pa.RecordBatch.from_arrays([*plain.slice(at, 256).columns, made], [*plain.schema.names, into])
 
     return marked.mapInArrow(run, schema)
 
 
+def pack(vectors: np.ndarray) -> pa.Array:
+    """Rows of single precision as bytes: the length, places and values of what isn't zero. A short text's vector is mostly zeros."""
+    n, length = vectors.shape
+    row, at = np.nonzero(vectors)
+    head, cell = 4, np.dtype([("at", "<u4"), ("value", "<f4")]).itemsize
+    ends = np.append(0, np.cumsum(head + cell * np.bincount(row, minlength=n)))
+    out = np.empty(int(ends[-1]), np.uint8)
+    out[(ends[:-1, None] + np.arange(head)).ravel()] = np.full(n, length, "<u4").view(np.uint8)
+    cells = np.empty((len(row), 2), "<u4")
+    cells[:, 0], cells[:, 1] = at, vectors[row, at].astype("<f4").view("<u4")
+    inside = np.ones(len(out), bool)
+    inside[(ends[:-1, None] + np.arange(head)).ravel()] = False
+    out[inside] = cells.view(np.uint8).ravel()
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out)])
+
+
+def unpack(packed: list[bytes]) -> np.ndarray:
+    """The rows that were packed; shorter ones end with zeros."""
+    size = np.array([len(b) // 8 for b in packed], np.int64)
+    cells = np.frombuffer(b"".join(b[4:] for b in packed), "<u4").reshape(-1, 2)
+    out = np.zeros((len(packed), max((int.from_bytes(b[:4], "little") for b in packed), default=0)), np.float32)
+    out[np.repeat(np.arange(len(packed)), size), cells[:, 0]] = np.ascontiguousarray(cells[:, 1]).view("<f4")
+    return out
+
+
+def with_packed(df: DataFrame, embedding: str = "embedding") -> DataFrame:
+    """``df`` with its embeddings packed, if they aren't."""
+    if dict(df.dtypes)[embedding] == "binary":
+        return df
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(embedding)
+            made = pack(lists.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(lists), -1)) if len(lists) else pa.array([], pa.binary())
+            yield batch.set_column(batch.schema.names.index(embedding), embedding, made)
+
+    return df.mapInArrow(run, df.withColumn(embedding, F.lit(None).cast("binary")).schema)
+
+
 def _valid(values: pa.Array) -> pa.Buffer:
     """The bits that say which values are there."""
     return pa.array(values.is_valid().to_numpy(zero_copy_only=False)).buffers()[1]

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.embedding import unpack, with_packed
 from ..shared.prefix import prefix_sums
 from ..shared.scratch import Scratch
 from .similarity import pairs_within
@@ -133,21 +134,21 @@ def fold(rows: DataFrame, key: str, policy: Policy = BATCH) -> DataFrame:
     Rows are dealt by key and sorted; a task streams them and holds one key's
     history. Keys run in parallel, and no key's rows are gathered. A key is one
     stream, as the fate of a row depends on that of all before it, so keys
-    should be fine enough.
+    should be fine enough. Embeddings are sorted packed, so that a task's rows
+    take no more memory than they take bytes in the shuffle.
     """
-    dealt = rows.select("id", key, "timestamp", "strength", "embedding").repartition(key).sortWithinPartitions(key, "timestamp", "id")
+    dealt = with_packed(rows.select("id", key, "timestamp", "strength", "embedding")).repartition(key).sortWithinPartitions(key, "timestamp", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, history = object(), History(policy.history)
         for batch in batches:
             times = pc.cast(batch.column("timestamp"), pa.int64()).to_pylist()
             keys, strengths = batch.column(key).to_pylist(), batch.column("strength").to_pylist()
-            outcomes, scores = [], []
+            outcomes, scores, vectors = [], [], unpack(batch.column("embedding").to_pylist())
             for i, at in enumerate(keys):
                 if at != own:
                     own, history = at, History(policy.history)
-                vector = batch.column("embedding")[i].values.to_numpy(zero_copy_only=False).astype(np.float32)
-                outcome, score = judge(history, vector, times[i], strengths[i], policy)
+                outcome, score = judge(history, vectors[i], times[i], strengths[i], policy)
                 outcomes.append(outcome)
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column(key), pa.array(outcomes, pa.string()), pa.array(scores, pa.float64())], ["id", key, "outcome", "score"])
