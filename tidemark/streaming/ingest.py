@@ -6,14 +6,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import rules
+from ..functions.embedding import pack, unpack, with_packed
 from ..operators.scoring import BATCH, History, Policy, judge
+from ..operators.sequences import accepted
+from ..shared.names import unused
 
+#: Keys are dealt to so many cells, each with a table of its keys as state, as a group of its own for each key costs milliseconds a batch. Not to be changed while a checkpoint is in use.
+CELLS = 1024
+_STATE = "kept binary"
 #: Kinds of events that bypass the fold.
 URGENT = ("UserCorrection",)
 
@@ -30,75 +37,122 @@ def lanes(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events.where(urgent), events.where(~urgent)
 
 
+def _in_cells(rows: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """``rows`` with the cell of their key, and that column's name: nulls have one of their own."""
+    cell = unused(rows, "cell")
+    return rows.withColumn(cell, F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(CELLS)))), cell
+
+
+def _same(value: object) -> object:
+    """A key as it is looked up: null, and what isn't equal to itself, as None (a cell never holds both)."""
+    return None if value is None or value != value else value
+
+
+def _by_key(batch: pd.DataFrame, key: str) -> tuple[list, list[np.ndarray]]:
+    """The keys of a batch and the places of their rows, in the batch's order."""
+    codes, names = pd.factorize(batch[key], use_na_sentinel=False)
+    at = np.argsort(codes, kind="stable")
+    return [_same(v) for v in names.tolist()], np.split(at, np.searchsorted(codes[at], np.arange(1, len(names))))
+
+
+def _load(state: GroupState) -> list[list]:
+    """The columns of a cell's table."""
+    return [c.to_pylist() for c in pa.ipc.open_stream(state.get[0]).read_all().columns] if state.exists else []
+
+
+def _save(state: GroupState, *columns: list) -> None:
+    table = pa.table([pa.array(c) for c in columns], [f"c{i}" for i in range(len(columns))])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    state.update((out.getvalue().to_pybytes(),))
+
+
 def stateful_fold(rows: DataFrame, key: str, policy: Policy = BATCH, carried: tuple[str, ...] = ()) -> DataFrame:
     """The fold of ``scoring.fold`` over a stream of (id, key, timestamp, strength, embedding): also the columns ``carried``, and then the time.
 
-    A key's state is the vectors and times of its kept rows, all of them or as
-    many as the policy's ``history`` says. Within a micro-batch a key's rows are
-    taken in order of (timestamp, id).
+    A cell's state is the packed vectors and the times of its keys' kept rows,
+    all of them or as many as the policy's ``history`` says. Within a
+    micro-batch a key's rows are taken in order of (timestamp, id).
     """
 
     def run(at: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        history = History(policy.history)
-        if state.exists and state.get[0]:
-            n, vectors, times = state.get
-            history.load(np.frombuffer(vectors, np.float32).reshape(n, -1), np.frombuffer(times, np.int64))
+        kept: dict[object, list[tuple[int, bytes]]] = {}
+        for name, time, vector in zip(*_load(state), strict=True):
+            kept.setdefault(name, []).append((time, vector))
         batch = pd.concat(list(frames)).sort_values(["timestamp", "id"], kind="stable")
-        found = []
-        for row in batch.itertuples():
-            time = row.timestamp.value // 1000
-            found.append((row.id, at[0], *judge(history, np.asarray(row.embedding, np.float32), time, row.strength, policy)))
-        vectors, times = history.kept()
-        state.update((len(times), b"" if vectors is None else vectors.tobytes(), times.tobytes()))
-        out = pd.DataFrame(found, columns=["id", key, "outcome", "score"])
-        for name in ("timestamp", *carried) if carried else ():
-            out[name] = batch[name].to_numpy()
-        yield out
+        times, strengths = batch["timestamp"].astype("datetime64[us]").astype("int64").tolist(), batch["strength"].tolist()
+        vectors = unpack(batch["embedding"].tolist())
+        outcomes, scores, changed = np.empty(len(batch), object), np.empty(len(batch), object), not state.exists
+        for name, places in zip(*_by_key(batch, key), strict=True):
+            history, mine = History(policy.history), kept.get(name)
+            if mine:
+                history.load(unpack([v for _, v in mine]), np.array([t for t, _ in mine], np.int64))
+            saved = False
+            for i in places.tolist():
+                outcomes[i], scores[i] = judge(history, vectors[i], times[i], strengths[i], policy)
+                saved |= outcomes[i] == "saved"
+            if saved:
+                own, when = history.kept()
+                kept[name], changed = list(zip(when.tolist(), pack(own).to_pylist(), strict=True)), True
+        if changed:
+            _save(state, [name for name, mine in kept.items() for _ in mine], *([x[i] for mine in kept.values() for x in mine] for i in (0, 1)))
+        out = batch[["id", key]].assign(outcome=outcomes, score=pd.Series(scores, batch.index, float))
+        yield out.assign(**{name: batch[name] for name in ("timestamp", *carried)}) if carried else out
 
     kind = dict(rows.dtypes)
     out = ", ".join([f"id {kind['id']}, {key} {kind[key]}, outcome string, score double", *(f"{c} {kind[c]}" for c in (("timestamp", *carried) if carried else ()))])
-    narrow = rows.select("id", key, "timestamp", "strength", "embedding", *carried)
-    return narrow.groupBy(key).applyInPandasWithState(run, out, "n long, vectors binary, times binary", "append", GroupStateTimeout.NoTimeout)
+    dealt, cell = _in_cells(with_packed(rows.select("id", key, "timestamp", "strength", "embedding", *carried)), key)
+    return dealt.groupBy(cell).applyInPandasWithState(run, out, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def throttled(events: DataFrame, key: str, seconds: int) -> DataFrame:
-    """The throttle over a stream of (event_id, key, ts): (event_id, key, ts) of the accepted ones."""
+    """The throttle over a stream of (event_id, key, ts): (event_id, key, ts) of the accepted ones; those without a time are left out."""
 
     def run(at: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        last = dict(zip(*_load(state), strict=True)) if state.exists else {}
         batch = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
         times, keep = batch["ts"].astype("datetime64[us]").astype("int64").to_numpy(), np.zeros(len(batch), bool)
-        for i, time in enumerate(times.tolist()):
-            if last is None or time - last >= seconds * 1_000_000:
-                last, keep[i] = time, True
-        state.update((last,))
-        yield batch[keep]
+        for name, places in zip(*_by_key(batch, key), strict=True):
+            found, last[name] = accepted(times[places], last.get(name), seconds * 1_000_000)
+            keep[places[found]] = True
+        _save(state, list(last), list(last.values()))
+        yield batch.loc[keep, ["event_id", key, "ts"]]
 
     kind = dict(events.dtypes)
     out = f"event_id {kind['event_id']}, {key} {kind[key]}, ts {kind['ts']}"
-    return events.select("event_id", key, "ts").groupBy(key).applyInPandasWithState(run, out, "last long", "append", GroupStateTimeout.NoTimeout)
+    dealt, cell = _in_cells(events.where("ts is not null").select("event_id", key, "ts"), key)
+    return dealt.groupBy(cell).applyInPandasWithState(run, out, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def head_changed(polls: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
     """Over a stream of polls (key, value, order columns): those whose value differs from the one before, with ``previous``; a key's first poll only sets the value.
 
-    A key's state is its last value. Within a micro-batch a key's polls are
-    taken in their order, across batches as these come.
+    A cell's state is the last value of each key. Within a micro-batch a key's
+    polls are taken in their order, across batches as these come.
     """
 
     def run(at: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = dict(zip(*_load(state), strict=True)) if state.exists else {}
         batch = pd.concat(list(frames)).sort_values(order, kind="stable")
-        known, last = (True, state.get[0]) if state.exists else (False, None)
-        before = np.array([last, *batch[value].to_numpy()[:-1]], object)
-        changed = np.array([(a is None) != (b is None) or (a is not None and a != b) for a, b in zip(before, batch[value], strict=True)])
-        changed[0] &= known
-        state.update((batch[value].iloc[-1],))
-        yield batch.assign(previous=before)[changed]
+        names, places = _by_key(batch, key)
+        batch = batch.iloc[np.concatenate(places)]
+        own = batch[value].to_numpy(object)
+        first = np.cumsum([0, *map(len, places)])[:-1]
+        before = np.append(None, own[:-1])
+        before[first] = [last.get(name) for name in names]
+        a, b = pd.isna(before), pd.isna(own)
+        changed = (a != b) | (~a & ~b & (before != own))
+        changed[first] &= [name in last for name in names]
+        last |= dict(zip(names, own[np.append(first[1:], len(own)) - 1].tolist(), strict=True))
+        _save(state, list(last), [_same(v) for v in last.values()])
+        yield batch.assign(previous=before).loc[changed, [*columns, "previous"]]
 
     kind = dict(polls.dtypes)
     columns = [key, *(c for c in order if c != key), value]
     out = ", ".join(f"{c} {kind[c]}" for c in columns) + f", previous {kind[value]}"
-    return polls.select(*columns).groupBy(key).applyInPandasWithState(run, out, f"last {kind[value]}", "append", GroupStateTimeout.NoTimeout)
+    dealt, cell = _in_cells(polls.select(*columns), key)
+    return dealt.groupBy(cell).applyInPandasWithState(run, out, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def into_table(rows: DataFrame, path: str, checkpoint: str, sinks: tuple[Callable[[DataFrame], None], ...] = (), every: str | None = "5 seconds") -> StreamingQuery:

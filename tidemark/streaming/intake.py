@@ -38,7 +38,7 @@ def judged(events: DataFrame, key: str, policy: Policy = BATCH) -> DataFrame:
     """
     told = classified(events).withColumn("strength", scoring.signal(F.col("kind"), F.col("memory_type")))
     urgent, other = lanes(told)
-    rows = with_embedding(other.withColumn("_text", F.concat_ws(" ", "title", "content")), "_text").drop("_text")
+    rows = with_embedding(other.withColumn("_text", F.concat_ws(" ", "title", "content")), "_text", packed=True).drop("_text")
     folded = stateful_fold(rows, key, policy, CARRIED)
     saved = urgent.select("id", key, F.lit("saved").alias("outcome"), F.lit(None).cast("double").alias("score"), "timestamp", *CARRIED)
     both = folded.select(*saved.columns).unionByName(saved)
