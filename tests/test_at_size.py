@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions.embedding import DIM, pack, unpack, with_embedding, with_packed
-from tidemark.operators import graph, sequences
+from tidemark.operators import graph, sequences, stored
 from tidemark.shared.scratch import Scratch
 from tidemark.sources import adapters
 from tidemark.streaming import ingest
@@ -57,3 +57,19 @@ def test_tables_of_little_for_each_core_are_dealt(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(adapters, "SMALL", size // 2)
     parts = adapters.table(spark, str(tmp_path), "t").rdd.glom().map(len).collect()
     assert len(parts) == spark.sparkContext.defaultParallelism and min(parts) > 0
+
+
+def test_a_stored_table_is_dealt_once_a_batch(spark, tmp_path):
+    rows = spark.range(100).select("id", F.lit("x").alias("content"))
+    table = stored.StoredTable(spark, str(tmp_path / "t"), rows.schema, "id", 4)
+    kept, keep = [], table.scratch.keep
+
+    def told(df, name):
+        kept.append((name.split("-")[0], df._jdf.queryExecution().executedPlan().toString().count("Exchange ")))
+        return keep(df, name)
+
+    table.scratch.keep = told
+    table.upsert(rows, 0)
+    assert [name for name, _ in kept] == ["batch"]  # nothing is overwritten, so nothing is written aside
+    table.delete(rows.where("id < 10"), 1)
+    assert kept[-1] == ("parts", 1) and table.read().count() == 90

@@ -13,7 +13,7 @@ import uuid
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -39,11 +39,14 @@ class StoredTable:
     def versions(self) -> DataFrame:
         """All rows and marks, with the number of their batch."""
         schema = StructType(list(self.schema.fields)).add(_BATCH, "long").add(_GONE, "boolean").add(_PART, "integer")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+        if not self._stored():
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.path)
 
+    def _stored(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def read(self) -> DataFrame:
         """The rows there are now."""
         return self.versions().where(~F.col(_GONE)).select(*self.schema.names)
@@ -75,10 +78,15 @@ class StoredTable:
         mine = self.scratch.keep(mine, f"batch-{fresh}")
         touched = [r[0] for r in mine.select(_PART).distinct().collect()]  # at most ``parts`` numbers
         if touched:
-            both = self.versions().where(F.col(_PART).isin(touched)).unionByName(mine)
-            last = both.groupBy(self.key).agg(F.max_by(F.struct(*both.columns), _BATCH).alias("_last")).select("_last.*")
-            # What is overwritten is read, so the new parts are written aside first.
-            last = self.scratch.keep(last.repartitionByRange(_PART, self.key).sortWithinPartitions(_PART, self.key), f"parts-{fresh}")
+            stored = self._stored()
+            both = self.versions().where(F.col(_PART).isin(touched)).unionByName(mine) if stored else mine
+            last = both.repartitionByRange(_PART, self.key).sortWithinPartitions(_PART, self.key)
+            if stored:
+                # Rows of one key lie in one range, so they meet without a further shuffle.
+                newest = Window.partitionBy(_PART, self.key).orderBy(F.desc(_BATCH))
+                last = last.withColumn("_newest", F.row_number().over(newest)).where("_newest = 1").drop("_newest")
+                # What is overwritten is read, so the new parts are written aside first.
+                last = self.scratch.keep(last, f"parts-{fresh}")
             last.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_PART).parquet(self.path)
         self.scratch.drop(f"batch-{fresh}", f"parts-{fresh}")
 
