@@ -3,10 +3,12 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.embedding import DIM, pack, unpack, with_embedding, with_packed
-from tidemark.operators import graph, sequences, stored
+from tidemark.operators import graph, scoring, sequences, similarity, stored
 from tidemark.shared.scratch import Scratch
 from tidemark.sources import adapters
 from tidemark.streaming import ingest
@@ -73,3 +75,71 @@ def test_a_stored_table_is_dealt_once_a_batch(spark, tmp_path):
     assert [name for name, _ in kept] == ["batch"]  # nothing is overwritten, so nothing is written aside
     table.delete(rows.where("id < 10"), 1)
     assert kept[-1] == ("parts", 1) and table.read().count() == 90
+
+
+def walk(spark, n, keys=1, dims=16):
+    """Rows of keys whose vectors wander, so near-repeats lie near and far; some vectors come again, some are zero."""
+    rng = np.random.default_rng(17)
+    start, rows, at = datetime(2024, 1, 1), [], rng.normal(size=dims)
+    for i in range(n):
+        at = rng.normal(size=dims) + 0.5 if rng.random() < 0.05 else at + rng.normal(size=dims) * 0.12
+        rows.append((i, f"k{i % keys}", start + timedelta(minutes=i * 7), float(rng.choice([0.4, 0.6, 1.0])), ([0.0] * dims if i % 90 == 0 else rows[int(rng.integers(0, i))][4] if i % 11 == 5 else (at / np.linalg.norm(at)).tolist())))
+    return spark.createDataFrame(rows, "id long, project string, timestamp timestamp_ntz, strength double, embedding array<float>")
+
+
+@pytest.mark.parametrize("policy", [scoring.BATCH, scoring.Policy(0.95, threshold=0.6, history=7), scoring.Policy(None, threshold=0.5)])
+def test_rows_of_large_keys_have_looks_only_for_repeats(spark, policy):
+    """A key of many blocks: rows bring their vectors and have bits of blocks with near-repeats only, not of every block."""
+    rows, scratch = walk(spark, 600), Scratch(spark, "fold")
+    told = lambda df: {r.id: (r.outcome, r.score and round(r.score, 6)) for r in df.collect()}
+    assert told(scoring.fold_in_blocks(rows, "project", scratch, policy, 8)) == told(scoring.fold(rows, "project", policy))
+    looks = spark.read.schema("w long, seen long, similar binary, repeats binary").parquet(f"{scratch.path}/looks")
+    assert looks.where((F.octet_length("similar") > 0) | (F.octet_length("repeats") == 0)).isEmpty()
+    if policy.dedup is None:
+        assert looks.isEmpty()
+    else:
+        assert 0 < looks.count() < 600 * (600 // 8) / 20
+
+
+def test_a_fold_in_blocks_embeds_each_row_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def embedded(v):
+        seen.add(1)
+        return v
+
+    scoring.fold_in_blocks(walk(spark, 100).withColumn("embedding", embedded("embedding")), "project", Scratch(spark, "fold")).collect()
+    assert seen.value == 100
+
+
+def test_blocks_are_sent_to_tiles_and_not_to_pairs(spark, monkeypatch):
+    """Every pair of blocks is met, and a block is sent once to a tile, not to each other block."""
+    numbers = spark.range(40).select(F.lit("g").alias("group"), F.col("id").alias("cell"))
+    pairs = numbers.select("group", F.explode(F.sequence(F.lit(0).cast("long"), "cell")).alias("from"), "cell")
+    monkeypatch.setattr(similarity, "TILE", 10)
+    sent = similarity.in_tiles(pairs, numbers)
+    assert sent.count() == 4 * 10 + 6 * 20  # of 4 tiles with one side and 6 with two; 820 pairs
+
+    def block(batch, row):
+        return batch.column("cell")[row].as_py()
+
+    def meet(batch, row, x, y, same):
+        assert same == (x == y)
+        yield pa.RecordBatch.from_arrays([pa.array([x]), pa.array([y])], ["x", "y"])
+
+    met = sorted((r.x, r.y) for r in sent.mapInArrow(similarity.meet_in_tiles(block, meet), "x long, y long").collect())
+    assert met == [(x, y) for x in range(40) for y in range(x, 40)]
+
+
+def test_pairs_in_tiles(spark, monkeypatch):
+    """Pairs of blocks that share tiles, found in single precision and told in double: the same as all against all."""
+    monkeypatch.setattr(similarity, "TILE", 3)
+    monkeypatch.setattr(similarity, "PAIR_BLOCK", 16)
+    rows = walk(spark, 400, 2)
+    vectors = {r.id: (r.project, np.array(r.embedding)) for r in rows.collect()}
+    for least in (0.92, 0.2):
+        got = {(r.a, r.b): r.similarity for r in similarity.pairs_within(rows, Scratch(spark, "pairs"), "project", "id", least).collect()}
+        unit = {i: (key, v / (np.linalg.norm(v) or 1)) for i, (key, v) in vectors.items()}
+        want = {(a, b): float(unit[a][1] @ unit[b][1]) for a in unit for b in unit if a < b and unit[a][0] == unit[b][0] and unit[a][1] @ unit[b][1] >= least}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want) and want

@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 from ..functions.embedding import unpack, with_packed
 from ..shared.prefix import prefix_sums
 from ..shared.scratch import Scratch
-from .similarity import pairs_within
+from .similarity import in_tiles, meet_in_tiles, pairs_within
 
 #: Weights, limits and rows looked back at.
 W_FREQUENCY, W_RECENCY, W_SIGNAL = 0.3, 0.3, 0.4
 SIMILAR, FREQUENT, LOOK_FREQUENCY, LOOK_RECENCY, DECAY_HOURS, FLOOR = 0.5, 5.0, 100, 50, 24.0, 0.75
 #: Rows of a block where a key's rows are compared by many tasks.
 FOLD_BLOCK = 1024
+#: Blocks of a key whose bits of similar rows take less than a row's vector does, about; keys of more blocks are large.
+BITS = 8
 #: Signal by kind of event, else by type of memory.
 SIGNAL_OF_KIND = {"UserCorrection": 1.0, "ErrorFixed": 0.8, "manual": 0.8, "GitCommit": 0.6}
 SIGNAL_OF_TYPE = {"feedback": 1.0, "security": 0.9, "decision": 0.7, "session_summary": 0.5, "note": 0.4}
@@ -161,28 +163,31 @@ def _looks(policy: Policy, size: int):
     """What each vector of a block has in another: (group, w, seen, similar, repeats), a bit for each vector of the block seen, of that cosine and of near-repeats.
 
     Vectors look at blocks before their own and at their own block; those of
-    several rows look at later blocks too, as rows may lie between theirs.
+    several rows look at later blocks too, as rows may lie between theirs. A
+    large key's rows bring their vectors, so it has no bits of that cosine.
     """
 
     def seen(batch: pa.RecordBatch, row: int, s: np.ndarray, mine: int, other: int, wanted: np.ndarray) -> pa.RecordBatch:
-        similar = s >= SIMILAR if policy.score else np.zeros(s.shape, bool)
+        brief = policy.score and not batch.column("large")[row].as_py()
+        similar = s >= SIMILAR if brief else np.zeros((len(s), 0), bool)
         repeat = s >= policy.dedup if policy.dedup is not None else np.zeros(s.shape, bool)
         at = np.flatnonzero((similar.any(1) | repeat.any(1)) & wanted)
         bits = lambda x: pa.array([b.tobytes() for b in np.packbits(x[at], axis=1)], pa.binary())
         columns = [batch.column("group").take(pa.array(np.full(len(at), row, np.int64))), pa.array(mine * size + at), pa.array(np.full(len(at), other, np.int64)), bits(similar), bits(repeat)]
         return pa.RecordBatch.from_arrays(columns, ["group", "w", "seen", "similar", "repeats"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                later, earlier = (batch.column(c)[row].as_py() for c in ("block", "earlier"))
-                mine, other = (v.values.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(v.values), -1) for v in (batch.column(c)[row] for c in ("x", "y")))
-                s = mine @ other.T
-                yield seen(batch, row, s, later, earlier, np.ones(len(mine), bool))
-                if later != earlier:
-                    yield seen(batch, row, s.T, earlier, later, batch.column("y_many")[row].values.to_numpy(zero_copy_only=False))
+    def block(batch: pa.RecordBatch, row: int) -> tuple[int, np.ndarray, np.ndarray]:
+        v = batch.column("v")[row].values
+        return batch.column("cell")[row].as_py(), v.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(v), -1), batch.column("many")[row].values.to_numpy(zero_copy_only=False)
 
-    return run
+    def meet(batch: pa.RecordBatch, row: int, x: tuple, y: tuple, same: bool) -> Iterator[pa.RecordBatch]:
+        (earlier, other, many), (later, mine, _) = x, y
+        s = mine @ other.T
+        yield seen(batch, row, s, later, earlier, np.ones(len(mine), bool))
+        if not same:
+            yield seen(batch, row, s.T, earlier, later, many)
+
+    return meet_in_tiles(block, meet)
 
 
 class _Kept:
@@ -227,70 +232,94 @@ def fold_in_blocks(rows: DataFrame, key: str, scratch: Scratch, policy: Policy =
     Rows are numbered within their key (prefix sums over ranges), and so are
     the key's different vectors, in the order of their first rows; however
     often a vector comes, it is compared once. Vectors are packed into blocks
-    of ``size``. Every block meets itself and all earlier ones of its key, a row
-    for each pair of blocks, and leaves for each of its vectors a bit for every
-    similar one of the other block and one for every near-repeat. What goes
-    through each key in order is these bits, a row for each block seen, the
-    times and nothing else: no vectors, and no lists.
+    of ``size``. Every block meets itself and all earlier ones of its key, in
+    tiles (``in_tiles``), and leaves for each of its vectors that has one a bit
+    for every near-repeat in the other block. Through each key in order go
+    these bits, the times, and what finds similar rows among the newest kept
+    ones: bits too for a key of up to ``BITS`` blocks, and for a larger one the
+    row's vector, which costs the same however large the key is. What is held is the
+    vectors of the newest kept rows that are looked back at, and no lists.
     """
     told = F.coalesce("embedding", F.array().cast("array<float>")) if policy.dedup is not None or policy.score else F.array().cast("array<float>")
     named = rows.select("id", key, "timestamp", "strength", told.alias("embedding"), F.to_json(F.struct(F.col(key))).alias("group"))
-    named = named.withColumns({"d1": F.xxhash64("embedding"), "d2": F.xxhash64(F.lit(1), "embedding")})  # 128 bits tell a vector
+    # Written first, as dealing by ranges goes through its rows twice. 128 bits tell a vector.
+    named = scratch.keep(named.withColumns({"d1": F.xxhash64("embedding"), "d2": F.xxhash64(F.lit(1), "embedding")}), "named")
     numbered = scratch.keep(prefix_sums(scratch, named, ["group"], [F.col("timestamp"), F.col("id")], F.lit(1).cast("long"), "ranged", "n"), "numbered")
-    scratch.drop("ranged")
+    scratch.drop("named", "ranged")
     vectors = numbered.groupBy("group", "d1", "d2", "embedding").agg(F.min("n").alias("first"), (F.count(F.lit(1)) > 1).alias("many"))
     vectors = scratch.keep(prefix_sums(scratch, vectors, ["group"], [F.col("first")], F.lit(1).cast("long"), "firsts", "w"), "vectors")
     scratch.drop("firsts")
-    block = F.floor(F.col("w") / size).alias("block")
-    blocks = vectors.groupBy("group", block).agg(F.sort_array(F.collect_list(F.struct("w", "many", F.col("embedding").alias("v")))).alias("rows")).select("group", "block", F.col("rows.v").alias("v"), F.col("rows.many").alias("many"))
-    blocks = scratch.keep(blocks, "blocks")
-    later = blocks.select("group", "block", F.col("v").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("earlier"))
-    met = later.join(blocks.select("group", F.col("block").alias("earlier"), F.col("v").alias("y"), F.col("many").alias("y_many")), ["group", "earlier"])
-    looks = met.select("group", "block", "earlier", "x", "y", "y_many").mapInArrow(_looks(policy, size), "group string, w long, seen long, similar binary, repeats binary")
+    large = scratch.keep(vectors.where(F.col("w") == BITS * size).select("group"), "large")
+    block = F.floor(F.col("w") / size).alias("cell")
+    blocks = vectors.groupBy("group", block).agg(F.sort_array(F.collect_list(F.struct("w", "many", F.col("embedding").alias("v")))).alias("rows")).select("group", "cell", F.col("rows.v").alias("v"), F.col("rows.many").alias("many"))
+    blocks = scratch.keep(blocks.join(large.withColumn("large", F.lit(True)), "group", "left").withColumn("large", F.coalesce("large", F.lit(False))), "blocks")
+    numbers = blocks.select("group", "cell", "large")
+    numbers = numbers if policy.dedup is not None else numbers.where(~F.col("large"))
+    pairs = numbers.select("group", F.explode(F.sequence(F.lit(0).cast("long"), "cell")).alias("from"), "cell")
+    looks = in_tiles(pairs, blocks).mapInArrow(_looks(policy, size), "group string, w long, seen long, similar binary, repeats binary")
     looks = scratch.keep(looks, "looks")
-    placed = numbered.select("id", key, "timestamp", "strength", "group", "n", "d1", "d2").join(vectors.select("group", "d1", "d2", "w"), ["group", "d1", "d2"])
-    told = placed.select("group", "n", "id", key, "timestamp", "strength", "w").join(looks, ["group", "w"], "left")
-    dealt = told.select("group", "n", "id", key, "timestamp", "strength", "w", "seen", "similar", "repeats").repartition("group").sortWithinPartitions("group", "n", "seen")
+    facts = ["group", "n", "id", key, "timestamp", "strength"]
+    placed = numbered.select(*facts, "d1", "d2").join(vectors.select("group", "d1", "d2", "w"), ["group", "d1", "d2"])
+    told = placed.select(*facts, "w").join(looks, ["group", "w"], "left")
+    if policy.score:
+        # A row for each row of a large key, beside those with its bits.
+        told = told.unionByName(numbered.join(large, "group", "left_semi").select(*facts, "embedding"), allowMissingColumns=True)
+    else:
+        told = told.withColumn("embedding", F.lit(None).cast("array<float>"))
+    dealt = told.select(*facts, "w", "seen", "similar", "repeats", "embedding").repartition("group").sortWithinPartitions("group", "n", "seen")
     kind = dict(rows.dtypes)
     back = LOOK_FREQUENCY if policy.history is None else min(LOOK_FREQUENCY, policy.history)
 
-    def decide(kept: _Kept, w: int, time: int, strength: float, looks: dict) -> tuple[str, float | None]:
+    def decide(kept: _Kept, newest: History, row: dict, looks: dict) -> tuple[str, float | None]:
         if kept.repeated(looks, policy.history):
             return "deduped", None
-        score = None
+        score, vector = None, row["embedding"]
         if policy.score:
-            near = kept.similar(looks, back)
-            newest = int(kept.times[near[-1]]) if len(near) and near[-1] >= kept.n - LOOK_RECENCY else None
-            score = weigh(len(near), newest, time, strength)
+            if vector is None:
+                near = kept.similar(looks, back)
+                often, last = len(near), int(kept.times[near[-1]]) if len(near) and near[-1] >= kept.n - LOOK_RECENCY else None
+            else:
+                cosines, times = newest.similar(vector)
+                recent = times[:LOOK_RECENCY][cosines[:LOOK_RECENCY] >= SIMILAR]
+                often, last = int((cosines >= SIMILAR).sum()), int(recent.max()) if len(recent) else None
+            score = weigh(often, last, row["time"], row["strength"])
             if policy.drops(score):
                 return "low_importance", score
-        kept.add(w, time)
+        kept.add(row["w"], row["time"])
+        if vector is not None:
+            newest.add(vector, row["time"])
         return "saved", score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row's looks follow each other, maybe into the next batch; it is decided when the next row begins."""
-        own, kept, row, looks = object(), _Kept(size), None, {}
+        """What is told of a row follows each other, maybe into the next batch; it is decided when the next row begins."""
+        own, kept, newest, row, looks = object(), _Kept(size), History(back), None, {}
         for batch in batches:
             ids, keys, outcomes, scores = [], [], [], []
             place = list(zip(batch.column("group").to_pylist(), batch.column("n").to_pylist(), strict=True))
-            seen, similar, repeats = (batch.column(c).to_pylist() for c in ("seen", "similar", "repeats"))
-            told = {c: batch.column(c).to_pylist() for c in ("id", key, "strength", "w")}
+            seen, similar, repeats, numbers = (batch.column(c).to_pylist() for c in ("seen", "similar", "repeats", "w"))
+            told = {c: batch.column(c).to_pylist() for c in ("id", key, "strength")}
             times = pc.cast(batch.column("timestamp"), pa.int64()).to_pylist()
+            lists = batch.column("embedding")
+            vectors, ends, there = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist(), lists.is_valid().to_pylist()
             for i in range(len(place)):
                 if row is None or place[i] != row["place"]:
                     if row:
-                        outcome, score = decide(kept, row["w"], row["time"], row["strength"], looks)
+                        outcome, score = decide(kept, newest, row, looks)
                         for to, value in zip((ids, keys, outcomes, scores), (row["id"], row[key], outcome, score), strict=True):
                             to.append(value)
                     if place[i][0] != own:
-                        own, kept = place[i][0], _Kept(size)
-                    row, looks = {c: v[i] for c, v in told.items()} | {"place": place[i], "time": times[i]}, {}
+                        own, kept, newest = place[i][0], _Kept(size), History(back)
+                    row, looks = {c: v[i] for c, v in told.items()} | {"place": place[i], "time": times[i], "w": None, "embedding": None}, {}
+                if there[i]:
+                    row["embedding"] = vectors[ends[i] : ends[i + 1]].copy()
+                if numbers[i] is not None:
+                    row["w"] = numbers[i]
                 if seen[i] is not None:
                     looks[seen[i]] = similar[i], repeats[i]
             yield made(batch, ids, keys, outcomes, scores)
             shape = batch
         if row:
-            outcome, score = decide(kept, row["w"], row["time"], row["strength"], looks)
+            outcome, score = decide(kept, newest, row, looks)
             yield made(shape, [row["id"]], [row[key]], [outcome], [score])
 
     def made(batch: pa.RecordBatch, ids: list, keys: list, outcomes: list, scores: list) -> pa.RecordBatch:

@@ -21,6 +21,8 @@ DATA_BLOCK, QUERY_BLOCK = 4096, 256
 FEW = 2048
 #: Vectors of a block where a group's rows are compared with each other, and pivots that blocks are told apart by.
 PAIR_BLOCK, PIVOTS = 1024, 16
+#: Blocks on a side of a tile of pairs of blocks.
+TILE = 32
 # Blocks are joined by merging, as a side that looks small when compressed would else be broadcast, through the driver.
 #: Slack of angles, for rounding.
 _SLACK = 1e-6
@@ -163,33 +165,82 @@ def pairs_within(rows: DataFrame, scratch: Scratch, group: str, key: str, least:
 
     Rows of a group that are nearest to one of a few pivots, which the table's
     own vectors are, go to blocks of about ``PAIR_BLOCK`` vectors; a small group
-    is one block. Each pair of blocks is a row of its own, so a large group is
-    spread over many tasks and no task holds more than two blocks. A block
-    knows its least and largest angle to every pivot, and by the triangle
-    inequality two blocks whose angles to any pivot lie further apart than the
-    threshold's can't hold a pair: they are not compared. All other pairs of
-    blocks are, so the result is exact; zero vectors are similar to none.
+    is one block. A block knows its least and largest angle to every pivot, and
+    by the triangle inequality two blocks whose angles to any pivot lie further
+    apart than the threshold's can't hold a pair: they are not compared. All
+    other pairs of blocks are, in tiles that are dealt to many tasks, so the
+    result is exact; zero vectors are similar to none.
     """
     blocks = pair_blocks(rows, scratch, group, key, vector)
     numbers = blocks.select("group", "cell", "low", "high")
     pairs = scratch.keep(block_pairs(numbers, least), "pairs")
-    told = lambda side, name: blocks.select("group", F.col("cell").alias(side), F.col("rows.id").alias(f"{name}_ids"), F.col("rows.v").alias(name))
-    met = pairs.join(told("from", "x"), ["group", "from"]).join(told("cell", "y"), ["group", "cell"])
+
+    def block(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
+        one = batch.column("rows")[row].values
+        return one.field("id").to_numpy(zero_copy_only=False), unit(one.field("v"))
+
+    def meet(batch: pa.RecordBatch, row: int, x: tuple, y: tuple, same: bool) -> pa.RecordBatch:
+        (x_ids, a), (y_ids, b) = x, y
+        i, j, s = _at_least(a, b, least)
+        once = (x_ids[i] < y_ids[j] if same else x_ids[i] != y_ids[j]) & a.any(1)[i] & b.any(1)[j]
+        i, j, s = i[once], j[once], s[once]
+        low, high = np.minimum(x_ids[i], y_ids[j]), np.maximum(x_ids[i], y_ids[j])
+        return pa.RecordBatch.from_arrays([batch.column("group").take(pa.array(np.full(len(i), row, np.int64))), pa.array(low), pa.array(high), pa.array(s)], ["group", "a", "b", "similarity"])
+
+    kind = dict(rows.dtypes)
+    dealt = in_tiles(pairs, blocks.select("group", "cell", "rows"))
+    return dealt.mapInArrow(meet_in_tiles(block, lambda *met: [meet(*met)]), f"group {kind[group]}, a {kind[key]}, b {kind[key]}, similarity double")
+
+
+def _at_least(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and cosines of the pairs of unit vectors of at least that cosine: single precision, with room for its rounding, finds those to be looked at."""
+    room = (a.shape[1] + 4) * float(np.finfo(np.float32).eps)
+    maybe = a.astype(np.float32) @ b.astype(np.float32).T >= least - room
+    if np.count_nonzero(maybe) > maybe.size // 64:
+        s = a @ b.T
+        i, j = np.nonzero(s >= least)
+        return i, j, s[i, j]
+    i, j = np.nonzero(maybe)
+    s = np.einsum("ij,ij->i", a[i], b[j])
+    return i[s >= least], j[s >= least], s[s >= least]
+
+
+def in_tiles(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(group, left, right, cell, asks, ...): the blocks (group, cell, ...) that tasks need for the pairs (group, from, cell), ``from`` at most ``cell``.
+
+    The pairs of a group's blocks make a square that is cut into tiles of
+    ``TILE`` by ``TILE`` blocks. A tile is one task's, in which a block goes once
+    and meets up to ``TILE`` others, so blocks are sent that much less often
+    than pairs are compared. ``asks`` names the earlier blocks that it meets.
+    """
+    tile = [F.floor(F.col(c) / TILE).alias(side) for c, side in (("from", "left"), ("cell", "right"))]
+    placed = pairs.select("group", "from", "cell", *tile)
+    meets = placed.select("group", "left", "right", "cell", F.col("from").alias("ask"))
+    held = placed.where("left < right").select("group", "left", "right", F.col("from").alias("cell"), F.lit(None).cast("long").alias("ask"))
+    wanted = meets.unionByName(held).groupBy("group", "left", "right", "cell").agg(F.collect_list("ask").alias("asks"))
+    sent = blocks.hint("merge").join(wanted, ["group", "cell"])
+    names = [c for c in blocks.columns if c not in ("group", "cell")]
+    return sent.select("group", "left", "right", "cell", "asks", *names).repartition("group", "left", "right").sortWithinPartitions("group", "left", "right", "cell")
+
+
+def meet_in_tiles(block, meet):
+    """A task's work on ``in_tiles``: ``block(batch, row)`` reads a block and ``meet(batch, row, earlier, own, same)`` gives the batches of two. What is held is a tile's left side."""
+    size = TILE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, {}
         for batch in batches:
             for row in range(batch.num_rows):
-                x_ids, x, y_ids, y = (batch.column(c)[row].values for c in ("x_ids", "x", "y_ids", "y"))
-                a, b = unit(x), unit(y)
-                x_ids, y_ids = (i.to_numpy(zero_copy_only=False) for i in (x_ids, y_ids))
-                s = a @ b.T
-                once = (x_ids[:, None] < y_ids[None, :]) if batch.column("from")[row] == batch.column("cell")[row] else (x_ids[:, None] != y_ids[None, :])
-                i, j = np.nonzero((s >= least) & once & a.any(1)[:, None] & b.any(1)[None, :])
-                low, high = np.minimum(x_ids[i], y_ids[j]), np.maximum(x_ids[i], y_ids[j])
-                yield pa.RecordBatch.from_arrays([batch.column("group").take(pa.array(np.full(len(i), row, np.int64))), pa.array(low), pa.array(high), pa.array(s[i, j])], ["group", "a", "b", "similarity"])
+                group, left, right, cell, asks = (batch.column(c)[row].as_py() for c in ("group", "left", "right", "cell", "asks"))
+                if (group, left, right) != tile:
+                    tile, held = (group, left, right), {}
+                own = block(batch, row)
+                if cell // size == left:
+                    held[cell] = own
+                for other in asks:
+                    yield from (b for b in meet(batch, row, held[other], own, other == cell) if b.num_rows)
 
-    kind = dict(rows.dtypes)
-    return met.select("group", "from", "cell", "x_ids", "x", "y_ids", "y").mapInArrow(run, f"group {kind[group]}, a {kind[key]}, b {kind[key]}, similarity double")
+    return run
 
 
 def pair_blocks(rows: DataFrame, scratch: Scratch, group: str, key: str, vector: str) -> DataFrame:
