@@ -1,6 +1,7 @@
 """What keeps work in proportion at size: states in cells, packed vectors, one pass of extraction, tables dealt to all cores."""
 
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -143,3 +144,26 @@ def test_pairs_in_tiles(spark, monkeypatch):
         unit = {i: (key, v / (np.linalg.norm(v) or 1)) for i, (key, v) in vectors.items()}
         want = {(a, b): float(unit[a][1] @ unit[b][1]) for a in unit for b in unit if a < b and unit[a][0] == unit[b][0] and unit[a][1] @ unit[b][1] >= least}
         assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want) and want
+
+
+def test_rounds_list_no_pairs(spark, monkeypatch):
+    """Groups of near rows are decided in rounds and at last in order; what is written of them follows the rows and not their pairs."""
+    monkeypatch.setattr(similarity, "PAIR_BLOCK", 16)
+    monkeypatch.setattr(similarity, "TILE", 3)
+    monkeypatch.setattr(scoring, "FINISH", 3)
+    rows = walk(spark, 600, 2).withColumn("project", F.when(F.col("id") % 50 > 0, F.col("project"))).withColumn("timestamp", F.date_trunc("day", "timestamp").cast("timestamp_ntz"))
+    scratch = Scratch(spark, "rounds")
+    got = {r.id: r.outcome for r in scoring.keep_first(rows, scratch, "project", 0.8).collect()}
+    want, kept = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: (r.timestamp, r.id)):
+        v, own = np.array(r.embedding), kept.setdefault(r.project, [])
+        v = v / (np.linalg.norm(v) or 1)
+        want[r.id] = "deduped" if r.project and any(v @ o >= 0.8 for o in own) else "saved"
+        own += [v] if want[r.id] == "saved" else []
+    # Of equal vectors without a key the first is saved, as before.
+    keyed = {r.id for r in rows.where("project is not null").select("id").collect()}
+    assert {i: o for i, o in got.items() if i in keyed} == {i: o for i, o in want.items() if i in keyed}
+    folders = {f.name: f for f in Path(scratch.path.removeprefix("file://")).iterdir()}
+    assert "late1" in folders and "near" not in folders
+    told = spark.read.parquet(f"{scratch.path}/late0")
+    assert told.agg(F.sum(F.size("places"))).first()[0] < 600

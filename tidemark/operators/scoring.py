@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.embedding import unpack, with_packed
 from ..shared.prefix import prefix_sums
 from ..shared.scratch import Scratch
-from .similarity import in_tiles, meet_in_tiles, pairs_within
+from .similarity import block_pairs, in_tiles, meet_in_tiles, pair_blocks, preceded, unit
 
 #: Weights, limits and rows looked back at.
 W_FREQUENCY, W_RECENCY, W_SIGNAL = 0.3, 0.3, 0.4
@@ -32,6 +33,8 @@ SIMILAR, FREQUENT, LOOK_FREQUENCY, LOOK_RECENCY, DECAY_HOURS, FLOOR = 0.5, 5.0,
 FOLD_BLOCK = 1024
 #: Blocks of a key whose bits of similar rows take less than a row's vector does, about; keys of more blocks are large.
 BITS = 8
+#: Undecided rows of a key that one task decides in order, at most.
+FINISH = 4096
 #: Signal by kind of event, else by type of memory.
 SIGNAL_OF_KIND = {"UserCorrection": 1.0, "ErrorFixed": 0.8, "manual": 0.8, "GitCommit": 0.6}
 SIGNAL_OF_TYPE = {"feedback": 1.0, "security": 0.9, "decision": 0.7, "session_summary": 0.5, "note": 0.4}
@@ -331,39 +334,67 @@ def fold_in_blocks(rows: DataFrame, key: str, scratch: Scratch, policy: Policy =
 def keep_first(rows: DataFrame, scratch: Scratch, key: str, least: float = Policy.dedup) -> DataFrame:
     """(id, key, outcome) of rows (id, key, timestamp, embedding): saved, or deduped by an earlier saved row of the key.
 
-    The fold without scores, as sets: a row is decided when all its earlier
-    neighbours are, so rounds of joins decide all rows, and no key is one
-    stream. There are as many rounds as the longest chain of undecided
-    neighbours. A later row of an equal vector shares the fate of a repeat, so
-    only the first of equal vectors take part in the comparison.
+    The fold without scores, as sets, so no large key is one stream. Of a key's
+    undecided rows those without an earlier neighbour among them are saved, and
+    later neighbours of these are not; each is a join of blocks (``preceded``)
+    that tells a row once and lists no pairs, whose number grows with the
+    square of a group of near rows. The rest goes to the next round, until up
+    to ``FINISH`` rows of a key are left, which one task decides in order. A
+    later row of an equal vector shares the fate of a repeat, so only the first
+    of equal vectors take part in the comparison.
     """
     at = F.struct("timestamp", "id")
+    zero = F.exists("embedding", lambda x: x != 0)
     rows = scratch.keep(rows.select("id", key, "timestamp", "embedding"), "rows")
     same = rows.withColumn("_digest", F.xxhash64("embedding"))
-    first = scratch.keep(same.groupBy(key, "_digest", "embedding").agg(F.min(at).alias("at")).select(F.col(key), F.col("at.id").alias("id"), F.col("at.timestamp").alias("timestamp"), "embedding"), "first")
-    when = first.select("id", "timestamp")
-    near = pairs_within(first, scratch, key, "id", least).select("a", "b")
-    near = near.join(when.select(F.col("id").alias("a"), F.col("timestamp").alias("at_a")), "a").join(when.select(F.col("id").alias("b"), F.col("timestamp").alias("at_b")), "b")
-    later = F.struct("at_a", "a") < F.struct("at_b", "b")
-    near = scratch.keep(near.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("id")), "near")
-    decided = scratch.keep(first.select("id").join(near.select("id").distinct(), "id", "left_anti").withColumn("kept", F.lit(True)), "round0")
-    step = 0
+    first = same.groupBy(key, "_digest", "embedding").agg(F.min(at).alias("at")).select(F.col(key).alias("group"), "at", F.col("embedding").alias("v"))
+    first = scratch.keep(first, "first")
+    # Rows that take no part: without a key or a vector, or of zeros.
+    apart = F.col("group").isNull() | F.col("v").isNull() | ~F.exists("v", lambda x: x != 0)
+    kept, step, left = [first.where(apart).select("at.id")], 0, first.where(~apart)
     while True:
-        open_ = near.join(decided.select("id"), "id", "left_anti")
-        seen = open_.join(decided.withColumnRenamed("id", "earlier"), "earlier", "left").groupBy("id").agg(F.max(F.coalesce("kept", F.lit(False))).alias("hit"), F.count(F.when(F.col("kept").isNull(), 1)).alias("unknown"))
-        step += 1
-        new = scratch.keep(seen.where("hit or unknown = 0").select("id", (~F.col("hit")).alias("kept")), f"new{step}")
-        if new.isEmpty():
+        large = scratch.keep(left.groupBy("group").count().where(F.col("count") > FINISH).select("group"), f"large{step}")
+        kept.append(scratch.keep(_first_in_order(left.join(large, "group", "left_anti"), least), f"last{step}"))
+        if large.isEmpty():
             break
-        decided = scratch.keep(decided.unionByName(new), f"round{step}")
-        scratch.drop(f"round{step - 1}", f"new{step}")
-    zero = F.exists("embedding", lambda x: x != 0)
-    kept = decided.where("kept").select("id", F.lit(True).alias("_kept"))
-    out = rows.join(kept, "id", "left")
+        # Blocks are made anew of what is left; a row is known by its block and its place there.
+        blocks = pair_blocks(left.join(large, "group", "left_semi"), Scratch(scratch.spark, "round", f"{scratch.path}/round{step}"), "group", "at", "v")
+        pairs = scratch.keep(block_pairs(blocks.select("group", "cell", "low", "high"), least), f"pairs{step}")
+        late = scratch.keep(preceded(blocks, pairs, least), f"late{step}")
+        gone = scratch.keep(preceded(blocks, pairs, least, late), f"gone{step}")
+        each = blocks.join(late, ["group", "cell"], "left").join(gone.withColumnRenamed("places", "gone"), ["group", "cell"], "left").select("group", "places", "gone", F.posexplode("rows").alias("place", "row"))
+        among = lambda c: F.coalesce(F.array_contains(c, F.col("place").cast("long")), F.lit(False))
+        kept.append(scratch.keep(each.where(~among("places")).select("row.id.id"), f"kept{step}"))
+        left = scratch.keep(each.where(among("places") & ~among("gone")).select("group", F.col("row.id").alias("at"), "row.v"), f"left{step}")
+        scratch.drop(f"round{step}", *([f"left{step - 1}"] if step else []))
+        step += 1
+    saved = reduce(DataFrame.unionByName, kept).withColumn("_kept", F.lit(True))
+    out = rows.join(saved, "id", "left")
     # A zero vector is never a repeat, not of itself either.
     return out.select("id", key, F.when(F.col("_kept") | ~zero, "saved").otherwise("deduped").alias("outcome"))
 
 
+def _first_in_order(rows: DataFrame, least: float) -> DataFrame:
+    """(id) of the rows (group, at, v) without an earlier such row that is near; a task holds one group's vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held, n = object(), np.zeros((0, 0)), 0
+        for batch in batches:
+            groups, vectors, saved = batch.column("group").to_pylist(), unit(batch.column("v")), []
+            for i, at in enumerate(groups):
+                if at != own:
+                    own, held, n = at, np.zeros((64, vectors.shape[1])), 0
+                if not n or (held[:n] @ vectors[i]).max() < least:
+                    if n == len(held):
+                        held = np.concatenate([held, np.zeros_like(held)])
+                    held[n], n = vectors[i], n + 1
+                    saved.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(saved, pa.int64()))], ["id"])
+
+    told = rows.select("group", "at.timestamp", "at.id", "v").repartition("group").sortWithinPartitions("group", "timestamp", "id")
+    return told.mapInArrow(run, f"id {dict(told.dtypes)['id']}")
+
+
 def outcomes(folded: DataFrame, dropped: DataFrame | None = None) -> DataFrame:
     """(outcome, n): rows saved, deduped and of low importance, and rows of ``dropped`` as skipped."""
     each = folded.select("outcome")

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -205,6 +206,62 @@ def _at_least(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, n
     return i[s >= least], j[s >= least], s[s >= least]
 
 
+class _Places:
+    """A block's vectors, the order of their rows, which of them are roots if that is told, and which have an earlier neighbour."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int, told: bool):
+        one = batch.column("rows")[row].values
+        at = one.field("id")
+        self.told, self.group, self.cell = told, batch.column("group").slice(row, 1), batch.column("cell").slice(row, 1)
+        self.time = pc.fill_null(pc.cast(at.field("timestamp"), pa.int64()), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        self.id, self.v = at.field("id").to_numpy(zero_copy_only=False), unit(one.field("v"))
+        self.hit, self.root = np.zeros(len(self.v), bool), np.ones(len(self.v), bool)
+        if told:
+            self.root[batch.column("places")[row].values.to_numpy(zero_copy_only=False)] = False
+
+    def look(self, other: _Places, mine: np.ndarray, its: np.ndarray, least: float) -> None:
+        """Marks those of ``mine`` that one of the other's ``its`` is near to and comes before."""
+        if len(mine) and len(its):
+            i, j, _ = _at_least(self.v[mine], other.v[its], least)
+            i, j = mine[i], its[j]
+            first = (other.time[j] < self.time[i]) | ((other.time[j] == self.time[i]) & (other.id[j] < self.id[i]))
+            self.hit[i[first]] = True
+
+    def found(self) -> list[pa.RecordBatch]:
+        at = np.flatnonzero(self.hit)
+        again = pa.array(np.zeros(len(at), np.int64))
+        return [pa.RecordBatch.from_arrays([self.group.take(again), self.cell.take(again), pa.array(at)], ["group", "cell", "place"])] if len(at) else []
+
+
+def preceded(blocks: DataFrame, pairs: DataFrame, least: float, told: DataFrame | None = None) -> DataFrame:
+    """(group, cell, places): the places in their blocks of rows with an earlier near row, from ``pair_blocks`` whose ``id`` is (timestamp, id).
+
+    With ``told``, such places themselves, it is those of them that have an
+    earlier near row that is not of them. However many near rows a row has, a
+    tile tells it once.
+    """
+    rows = blocks.select("group", "cell", "rows")
+    if told is not None:
+        rows = rows.join(told, ["group", "cell"], "left").withColumn("places", F.coalesce("places", F.array().cast("array<long>")))
+    known = told is not None
+
+    def meet(batch: pa.RecordBatch, row: int, x: _Places, y: _Places, same: bool) -> tuple:
+        if known:
+            for a, b in ((x, y),) if same else ((x, y), (y, x)):
+                a.look(b, np.flatnonzero(~a.root), np.flatnonzero(b.root), least)
+            return ()
+        i, j, _ = _at_least(x.v, y.v, least)
+        y_first = (y.time[j] < x.time[i]) | ((y.time[j] == x.time[i]) & (y.id[j] < x.id[i]))
+        x.hit[i[y_first]] = True
+        x_first = (x.time[i] < y.time[j]) | ((x.time[i] == y.time[j]) & (x.id[i] < y.id[j]))
+        y.hit[j[x_first]] = True
+        return ()
+
+    kind = dict(blocks.dtypes)
+    found = in_tiles(pairs, rows).mapInArrow(meet_in_tiles(lambda batch, row: _Places(batch, row, known), meet, _Places.found), f"`group` {kind['group']}, cell long, place long")
+    return found.groupBy("group", "cell").agg(F.collect_set("place").alias("places"))
+
+
 def in_tiles(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     """(group, left, right, cell, asks, ...): the blocks (group, cell, ...) that tasks need for the pairs (group, from, cell), ``from`` at most ``cell``.
 
@@ -223,8 +280,8 @@ def in_tiles(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     return sent.select("group", "left", "right", "cell", "asks", *names).repartition("group", "left", "right").sortWithinPartitions("group", "left", "right", "cell")
 
 
-def meet_in_tiles(block, meet):
-    """A task's work on ``in_tiles``: ``block(batch, row)`` reads a block and ``meet(batch, row, earlier, own, same)`` gives the batches of two. What is held is a tile's left side."""
+def meet_in_tiles(block, meet, done=lambda own: ()):
+    """A task's work on ``in_tiles``: ``block(batch, row)`` reads a block, ``meet(batch, row, earlier, own, same)`` gives the batches of two, and ``done(own)`` those of a block after all it meets in a tile. What is held is a tile's left side."""
     size = TILE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,12 +290,18 @@ def meet_in_tiles(block, meet):
             for row in range(batch.num_rows):
                 group, left, right, cell, asks = (batch.column(c)[row].as_py() for c in ("group", "left", "right", "cell", "asks"))
                 if (group, left, right) != tile:
+                    for one in held.values():
+                        yield from done(one)
                     tile, held = (group, left, right), {}
                 own = block(batch, row)
                 if cell // size == left:
                     held[cell] = own
                 for other in asks:
                     yield from (b for b in meet(batch, row, held[other], own, other == cell) if b.num_rows)
+                if cell // size != left:
+                    yield from done(own)
+        for one in held.values():
+            yield from done(one)
 
     return run
 
