@@ -167,3 +167,14 @@ def test_rounds_list_no_pairs(spark, monkeypatch):
     assert "late1" in folders and "near" not in folders
     told = spark.read.parquet(f"{scratch.path}/late0")
     assert told.agg(F.sum(F.size("places"))).first()[0] < 600
+
+
+def test_near_places_need_no_cosines_but_doubtful_ones():
+    """The same places as by double precision, also for a pair at the threshold itself."""
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(6, 32))[rng.integers(0, 6, 300)] + rng.normal(size=(300, 32)) * 0.25
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    cosines = v[:150] @ v[150:].T
+    for least in (0.92, float(cosines[3, 4]) - 1e-9, float(cosines[3, 4]) + 1e-9):
+        i, j = similarity._near(v[:150], v[150:], least)
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(cosines >= least)), strict=True))

@@ -222,7 +222,7 @@ class _Places:
     def look(self, other: _Places, mine: np.ndarray, its: np.ndarray, least: float) -> None:
         """Marks those of ``mine`` that one of the other's ``its`` is near to and comes before."""
         if len(mine) and len(its):
-            i, j, _ = _at_least(self.v[mine], other.v[its], least)
+            i, j = _near(self.v[mine], other.v[its], least)
             i, j = mine[i], its[j]
             first = (other.time[j] < self.time[i]) | ((other.time[j] == self.time[i]) & (other.id[j] < self.id[i]))
             self.hit[i[first]] = True
@@ -250,7 +250,7 @@ def preceded(blocks: DataFrame, pairs: DataFrame, least: float, told: DataFrame
             for a, b in ((x, y),) if same else ((x, y), (y, x)):
                 a.look(b, np.flatnonzero(~a.root), np.flatnonzero(b.root), least)
             return ()
-        i, j, _ = _at_least(x.v, y.v, least)
+        i, j = _near(x.v, y.v, least)
         y_first = (y.time[j] < x.time[i]) | ((y.time[j] == x.time[i]) & (y.id[j] < x.id[i]))
         x.hit[i[y_first]] = True
         x_first = (x.time[i] < y.time[j]) | ((x.time[i] == y.time[j]) & (x.id[i] < y.id[j]))
@@ -262,6 +262,19 @@ def preceded(blocks: DataFrame, pairs: DataFrame, least: float, told: DataFrame
     return found.groupBy("group", "cell").agg(F.collect_set("place").alias("places"))
 
 
+def _near(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The places of ``_at_least`` without cosines: only those that rounding may change are told in double precision."""
+    room = (a.shape[1] + 4) * float(np.finfo(np.float32).eps)
+    s = a.astype(np.float32) @ b.astype(np.float32).T
+    i, j = np.nonzero(s >= least - room)
+    near = s[i, j] >= least + room
+    doubt = np.flatnonzero(~near)
+    for at in range(0, len(doubt), 4096):
+        some = doubt[at : at + 4096]
+        near[some] = np.einsum("ij,ij->i", a[i[some]], b[j[some]]) >= least
+    return i[near], j[near]
+
+
 def in_tiles(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     """(group, left, right, cell, asks, ...): the blocks (group, cell, ...) that tasks need for the pairs (group, from, cell), ``from`` at most ``cell``.
 
