@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprint, license_scan, mixing, packing, quality_model, quality_rules, secrets, toxicity, warc
+from tidemark.llm import fingerprint, license_scan, mixing, near_dup, packing, quality_model, quality_rules, secrets, toxicity, warc
 from tidemark.llm.near_dup import NearDuplicates
 from tidemark.llm.queries import QUERIES
 from tidemark.llm.textkit import NOT_SPACE, Text
@@ -870,3 +870,61 @@ def test_pairs_that_sizes_rule_out_never_meet_sketches(spark, monkeypatch):
     size = lambda i: 40 + 60 * (i % 6)
     # 220 and 280 words share 78 %, 280 and 340 share 82 %.
     assert all((found[i] == found[j]) == (size(i) == size(j) or min(size(i), size(j)) >= 280) for i in found for j in found)
+
+
+def test_pairs_far_apart_never_meet_sketches(spark, monkeypatch):
+    """Texts of twelve passages, of which any two share one (points and lines of a plane), and near copies of three of them."""
+    lines = lambda x, y: [*((m, (y - m * x) % 11) for m in range(11)), ("v", x)]
+    words = [[f"m{m}b{b}w{j}" for m, b in lines(x, y) for j in range(5)] for x in range(11) for y in range(11)]
+    texts = dict(enumerate(" ".join(w) for w in [*words, words[0][1:], words[40][1:], words[80][1:]]))
+    near, given, dealt, plain = NearDuplicates(scratch(spark), width=2), set(), set(), NearDuplicates._estimated
+
+    def seen(self, pairs, sketch, percent):
+        given.update((r.a, r.b) for r in pairs.collect())
+        dealt.update(r.id for r in sketch.collect())
+        return plain(self, pairs, sketch, percent)
+
+    monkeypatch.setattr(NearDuplicates, "_estimated", seen)
+    found = {r.doc_id: r.component_id for r in near.groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)).collect()}
+    # Bits that meet by chance may let a few pairs through.
+    assert given >= {(0, 121), (40, 122), (80, 123)} and len(given) < 10 and dealt == {x for pair in given for x in pair}
+    assert found == components(texts, 2)[0]
+
+
+def test_marks_bound_the_estimate(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for n in range(600):
+        shared = rng.integers(0, 2**62, rng.integers(0, 120))
+        a, b = (sorted({*shared.tolist(), *rng.integers(0, 2**62, rng.integers(1, 1 + 2 ** (n % 8))).tolist()}) for _ in range(2))
+        rows += [(2 * n, len(a), a[:64]), (2 * n + 1, len(b), b[:64])]
+    sketch = spark.createDataFrame(rows, "id long, n long, sketch array<long>")
+    both = sketch.join(sketch.select("id", "n", "sketch").mapInArrow(near_dup._marks, ", ".join(f"{c} long" for c in ("id", "n", *near_dup.MARKS))).drop("n"), "id")
+    a, b = (both.where(F.col("id") % 2 == at).select((F.col("id") - at).alias("id"), *(F.col(c).alias(f"{c}_{side}") for c in both.columns if c != "id")) for at, side in enumerate("ab"))
+    got = a.join(b, "id").select(near_dup.estimate(F.col("sketch_a"), F.col("sketch_b"), 64).alias("est"), near_dup.most(64).alias("most")).collect()
+    assert len(got) == 600 and all(r.est <= r.most + 1e-12 for r in got)
+    assert sum(r.est < 0.1 for r in got) > 10 and all(r.most < 0.45 for r in got if r.est < 0.1)
+
+
+def test_near_dup_leaves_no_shuffle_files(spark, docs, monkeypatch):
+    import time
+    from pathlib import Path
+
+    folders = [Path(str(d)) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p.name for d in folders for p in d.rglob("shuffle_*.data")}
+    own, before = scratch(spark), files()
+    rows = own.keep(spark.range(20_000).repartition(4, F.rand(1)), "rows", tidy=True)
+    end = time.time() + 20
+    while (left := files() - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left and rows.count() == 20_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    tidied, plain = [], Scratch.keep
+
+    def seen(self, df, name, tidy=False):
+        tidied.append(tidy)
+        return plain(self, df, name, tidy)
+
+    monkeypatch.setattr(Scratch, "keep", seen)
+    NearDuplicates(scratch(spark), width=2).groups(docs)
+    assert len(tidied) > 10 and all(tidied)
